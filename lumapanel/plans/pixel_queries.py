@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.columns import literal_rows
 from ..operators import pixels as P
-from ..operators.polygons import clip_cells, join_cells, zone_spans, polygon_edges
+from ..operators.polygons import clip_cells, join_cells, polygon_edges, zone_spans
 from ..operators.ranking import summarise, top_k
-from .registry import GRID, add_view, query
+from .registry import GRID, YEARS, add_view, query
 
 R6 = lambda *names: [F.round(n, 6).alias(n) for n in names]
 
@@ -114,8 +115,7 @@ STATS = """round(avg(med), 6) AS mean_value, round(median(med), 6) AS median_val
     FROM y LEFT JOIN s ON y.zone = s.zone AND y.yr = s.yr""",
 )
 def _(t):
-    years = t.pixels.select("yr").distinct()
-    spine = t.zones.select("zone").join(years, F.lit(True))
+    spine = literal_rows(t.zones.select("zone"), "yr", YEARS)
     out = P.zonal_stats(P.quality_filter(t.zone_pixels), ["zone", "yr"], "med", spine)
     return out.select("zone", "yr", "pixel_count", *R6("mean_value", "median_value", "min_value", "max_value", "std_value"))
 

@@ -1,0 +1,238 @@
+"""Distance, ring, wedge and nearest-location queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import geo as G
+from ..functions.scalars import suitability
+from ..operators import pixels as P
+from ..operators import spatial as X
+from ..operators.domes import light_domes
+from ..operators.polygons import join_cells
+from .pixel_queries import R6
+from .registry import BOX, GRID, add_view, query
+
+RADIUS = 60.0
+BUFFER = 30.0
+RINGS = (20.0, 40.0, 60.0, 80.0, 120.0)
+
+HAV = """2 * 6371.0 * atan2(sqrt(pow(sin(radians({b}lat - {a}lat) / 2), 2) + cos(radians({a}lat)) * cos(radians({b}lat)) *
+ pow(sin(radians({b}lon - {a}lon) / 2), 2)), sqrt(1 - (pow(sin(radians({b}lat - {a}lat) / 2), 2) + cos(radians({a}lat)) *
+ cos(radians({b}lat)) * pow(sin(radians({b}lon - {a}lon) / 2), 2))))"""
+BEAR = """fmod(degrees(atan2(sin(radians({b}lon - {a}lon)) * cos(radians({b}lat)), cos(radians({a}lat)) * sin(radians({b}lat)) -
+ sin(radians({a}lat)) * cos(radians({b}lat)) * cos(radians({b}lon - {a}lon)))) + 360.0, 360.0)"""
+
+
+def hav(a: str, b: str) -> str:
+    return HAV.format(a=a + ".", b=b + ".")
+
+
+def bear(a: str, b: str) -> str:
+    return BEAR.format(a=a + ".", b=b + ".")
+
+
+add_view(
+    "near",
+    "pixels sites",
+    f"""SELECT p.*, s.site_id, {hav('p', 's')} AS km, {bear('s', 'p')} AS angle FROM pixels p, sites s""",
+)
+add_view("near_city", "pixels cities", f"SELECT p.*, s.city_id, {hav('p', 's')} AS km FROM pixels p, cities s")
+
+
+def _loc(df, key):
+    return df.select(key, F.col("lat").alias("loc_lat"), F.col("lon").alias("loc_lon"))
+
+
+@query("p10_haversine", "sites cities", f"SELECT s.site_id, c.city_id, round({hav('s', 'c')}, 6) AS km FROM sites s JOIN cities c ON s.site_id % 25 = c.city_id")
+def _(t):
+    both = t.sites.withColumn("city_id", F.col("site_id") % 25).join(
+        t.cities.select("city_id", F.col("lat").alias("b"), F.col("lon").alias("l")), "city_id"
+    )
+    km = G.haversine_km(F.col("lat"), F.col("lon"), F.col("b"), F.col("l"))
+    return both.select("site_id", "city_id", F.round(km, 6).alias("km"))
+
+
+@query(
+    "p11_bearing_compass",
+    "sites cities",
+    f"""WITH b AS (SELECT s.site_id, c.city_id, {bear('s', 'c')} AS a FROM sites s JOIN cities c ON s.site_id % 25 = c.city_id)
+    SELECT site_id, city_id, round(a, 6) AS bearing, ['N','NE','E','SE','S','SW','W','NW'][1 + CAST(round_even(a / 45, 0) AS INT) % 8] AS direction FROM b""",
+)
+def _(t):
+    both = t.sites.withColumn("city_id", F.col("site_id") % 25).join(
+        t.cities.select("city_id", F.col("lat").alias("b"), F.col("lon").alias("l")), "city_id"
+    )
+    a = G.bearing_deg(F.col("lat"), F.col("lon"), F.col("b"), F.col("l"))
+    return both.select("site_id", "city_id", F.round(a, 6).alias("bearing"), G.compass8(a).alias("direction"))
+
+
+@query(
+    "p22_bounding_box",
+    "sites",
+    """SELECT site_id, NOT (lat BETWEEN 16.5 AND 21 AND lon BETWEEN 73.5 AND 79) AS outside,
+     NOT (lat BETWEEN 16 AND 21.5 AND lon BETWEEN 73 AND 79.5) AS outside_with_margin FROM sites""",
+)
+def _(t):
+    lat, lon = F.col("lat"), F.col("lon")
+    return t.sites.select(
+        "site_id",
+        (~G.in_box(lat, lon, BOX)).alias("outside"),
+        (~G.in_box(lat, lon, BOX, 0.5)).alias("outside_with_margin"),
+    )
+
+
+@query(
+    "j02_buffer_join",
+    "near",
+    f"SELECT site_id, yr, count(*) AS n, round(sum(km), 4) AS km_sum, round(avg(med), 6) AS mean_value FROM near WHERE km <= {RADIUS} GROUP BY 1, 2",
+)
+def _(t):
+    pairs = X.within_distance(t.pixels, _loc(t.sites, "site_id"), RADIUS)
+    return pairs.groupBy("site_id", "yr").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("distance_km"), 4).alias("km_sum"), F.round(F.avg("med"), 6).alias("mean_value")
+    )
+
+
+@query(
+    "j02_buffer_join_clipped",
+    "near zone_pixels",
+    f"""SELECT site_id, n.yr, count(*) AS n, round(avg(n.med), 6) AS mean_value FROM near n
+    JOIN zone_pixels z ON n.yr = z.yr AND n.r = z.r AND n.c = z.c WHERE km <= {RADIUS} GROUP BY 1, 2""",
+)
+def _(t):
+    pairs = X.within_distance(join_cells(t.pixels, t.spans).drop("zone"), _loc(t.sites, "site_id"), RADIUS)
+    return pairs.groupBy("site_id", "yr").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("med"), 6).alias("mean_value"))
+
+
+RING_SQL = "CASE WHEN km <= 20 THEN 20.0 WHEN km <= 40 THEN 40.0 WHEN km <= 60 THEN 60.0 WHEN km <= 80 THEN 80.0 ELSE 120.0 END"
+
+
+@query(
+    "j03_ring_join",
+    "near_city",
+    f"SELECT city_id, CAST({RING_SQL} AS DOUBLE) AS ring_km, yr, count(*) AS n FROM near_city WHERE km <= 120 GROUP BY 1, 2, 3",
+)
+def _(t):
+    pairs = X.ring_pairs(t.pixels, _loc(t.cities, "city_id"), RINGS)
+    return pairs.groupBy("city_id", "ring_km", "yr").agg(F.count(F.lit(1)).alias("n"))
+
+
+WEDGE_SQL = "CASE WHEN angle >= 315 OR angle < 45 THEN 'north' WHEN angle < 135 THEN 'east' WHEN angle < 225 THEN 'south' ELSE 'west' END"
+
+
+@query("j04_wedge_join", "near", f"SELECT site_id, {WEDGE_SQL} AS direction, yr, count(*) AS n FROM near WHERE km <= {RADIUS} GROUP BY 1, 2, 3")
+def _(t):
+    pairs = X.wedge_pairs(t.pixels, _loc(t.sites, "site_id"), RADIUS)
+    return pairs.groupBy("site_id", "direction", "yr").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "j05_inside_outside_join",
+    "near",
+    f"""SELECT site_id, CASE WHEN km <= {RADIUS} THEN 'inside' ELSE 'outside' END AS side, yr, count(*) AS n
+    FROM near WHERE km <= {RADIUS + BUFFER} GROUP BY 1, 2, 3""",
+)
+def _(t):
+    pairs = X.side_pairs(t.pixels, _loc(t.sites, "site_id"), RADIUS, BUFFER)
+    return pairs.groupBy("site_id", "side", "yr").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "j06_nearest_city",
+    "sites cities",
+    f"""WITH d AS (SELECT s.site_id, c.name, {hav('s', 'c')} AS km, {bear('s', 'c')} AS a,
+      row_number() OVER (PARTITION BY s.site_id ORDER BY {hav('s', 'c')}, c.city_id) AS rn FROM sites s, cities c)
+    SELECT site_id, name AS nearest_city, round(km, 6) AS distance_km, round(a, 6) AS bearing_deg,
+     ['N','NE','E','SE','S','SW','W','NW'][1 + CAST(round_even(a / 45, 0) AS INT) % 8] AS direction FROM d WHERE rn = 1""",
+)
+def _(t):
+    near = X.nearest_location(t.sites, t.cities, "site_id", "name", "city_id")
+    return near.select("site_id", "nearest_city", *R6("distance_km", "bearing_deg"), "direction")
+
+
+@query(
+    "a11_radial_profile",
+    "near_city cities",
+    f"""WITH s AS (SELECT city_id, CAST({RING_SQL} AS DOUBLE) AS ring_km, count(*) AS n, avg(med) AS mv, median(med) AS dv, stddev_pop(med) AS sv
+       FROM near_city WHERE km <= 120 AND yr = 1998 GROUP BY 1, 2),
+     k AS (SELECT city_id, CAST(unnest([20, 40, 60, 80, 120]) AS DOUBLE) AS ring_km FROM cities)
+    SELECT k.city_id, k.ring_km, coalesce(n, 0) AS pixel_count, round(mv, 6) AS mean_value, round(dv, 6) AS median_value, round(sv, 6) AS std_value
+    FROM k LEFT JOIN s ON k.city_id = s.city_id AND k.ring_km = s.ring_km""",
+)
+def _(t):
+    out = _profile(t)
+    return out.select("city_id", "ring_km", "pixel_count", *R6("mean_value", "median_value", "std_value"))
+
+
+def _profile(t):
+    pairs = X.ring_pairs(t.pixels.filter(F.col("yr") == 1998), _loc(t.cities, "city_id"), RINGS)
+    return X.radial_profile(pairs, t.cities, "city_id", "med", RINGS)
+
+
+@query(
+    "a12_inside_outside",
+    "near sites",
+    f"""WITH s AS (SELECT site_id, avg(med) FILTER (WHERE km <= {RADIUS}) AS im, median(med) FILTER (WHERE km <= {RADIUS}) AS id,
+        avg(med) FILTER (WHERE km > {RADIUS}) AS om, median(med) FILTER (WHERE km > {RADIUS}) AS od
+        FROM near WHERE km <= {RADIUS + BUFFER} AND yr = 1998 GROUP BY 1)
+    SELECT sites.site_id, round(im, 6) AS inside_mean, round(id, 6) AS inside_median, round(om, 6) AS outside_mean,
+      round(od, 6) AS outside_median, CASE WHEN id > 0 THEN round(od / id, 6) END AS ratio, round((od - id) / {BUFFER}, 6) AS gradient
+    FROM sites LEFT JOIN s ON s.site_id = sites.site_id""",
+)
+def _(t):
+    pairs = X.side_pairs(t.pixels.filter(F.col("yr") == 1998), _loc(t.sites, "site_id"), RADIUS, BUFFER)
+    out = X.inside_outside(pairs, t.sites, "site_id", "med", BUFFER)
+    return out.select("site_id", *R6(*[c for c in out.columns if c != "site_id"]))
+
+
+DIR_SQL = f"""WITH w AS (SELECT site_id, {WEDGE_SQL} AS d, med FROM near WHERE km <= {RADIUS} AND yr = 1998),
+ m AS (SELECT site_id, avg(med) FILTER (WHERE d = 'north') AS n, avg(med) FILTER (WHERE d = 'east') AS e,
+   avg(med) FILTER (WHERE d = 'south') AS s, avg(med) FILTER (WHERE d = 'west') AS w FROM w GROUP BY 1),
+ g AS (SELECT *, greatest(n, e, s, w) AS hi, least(n, e, s, w) AS lo FROM m)
+"""
+DOMINANT = "CASE WHEN n = hi THEN 'NORTH' WHEN e = hi THEN 'EAST' WHEN s = hi THEN 'SOUTH' WHEN w = hi THEN 'WEST' ELSE 'N/A' END"
+
+
+@query(
+    "a13_directional",
+    "near sites",
+    DIR_SQL
+    + f"""SELECT sites.site_id, round(n, 6) AS north_mean, round(e, 6) AS east_mean, round(s, 6) AS south_mean, round(w, 6) AS west_mean,
+    {DOMINANT} AS dominant_direction, CASE WHEN lo > 0 THEN round(hi / lo, 6) END AS max_min_ratio
+    FROM sites LEFT JOIN g ON g.site_id = sites.site_id""",
+)
+def _(t):
+    out = _directional(t)
+    return out.select(
+        "site_id", *R6("north_mean", "east_mean", "south_mean", "west_mean", "max_min_ratio"), "dominant_direction"
+    )
+
+
+def _directional(t):
+    pairs = X.wedge_pairs(t.pixels.filter(F.col("yr") == 1998), _loc(t.sites, "site_id"), RADIUS)
+    return X.directional(pairs, t.sites, "site_id", "med")
+
+
+@query(
+    "p27_site_suitability",
+    "near sites",
+    DIR_SQL
+    + f""", v AS (SELECT site_id, median(med) AS m FROM near WHERE km <= {RADIUS} AND yr = 1998 AND lit > 0 AND cf >= 5 GROUP BY 1)
+    SELECT sites.site_id, round(m, 6) AS median_value, CASE WHEN m < 1 THEN 'SUITABLE' ELSE 'NOT SUITABLE' END AS suitability,
+     {DOMINANT} AS dominant_direction, CASE WHEN lo > 0 THEN round(hi / lo, 6) END AS max_min_ratio
+    FROM sites LEFT JOIN g ON g.site_id = sites.site_id LEFT JOIN v ON v.site_id = sites.site_id""",
+)
+def _(t):
+    good = P.site_quality_filter(t.pixels.filter(F.col("yr") == 1998))
+    stats = P.zonal_stats(X.within_distance(good, _loc(t.sites, "site_id"), RADIUS), ["site_id"], "med", t.sites.select("site_id"))
+    out = stats.join(_directional(t), "site_id", "left")
+    return out.select(
+        "site_id", *R6("median_value", "max_min_ratio"), suitability("median_value").alias("suitability"), "dominant_direction"
+    )
+
+
+@query("t15_light_domes")
+def _(t):
+    out = light_domes(_profile(t), "city_id", "ring_km", "median_value")
+    return out.select("city_id", *[F.round(c, 4).alias(c) for c in out.columns if c != "city_id"])
