@@ -16,6 +16,8 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import saved
+
 # Buckets per factor e of the value: a bucket spans a tenth of a percent, which
 # holds at most some thousand distinct single-precision values.
 BUCKETS_PER_E = 1024
@@ -106,19 +108,23 @@ def row_numbers(
 
     Ties are ranked by a second pass of ``positions`` inside the tied value, so
     neither a large group nor a large tie is sorted in one task. A NaN or NULL
-    value is numbered after all others.
+    value is numbered after all others. The input is read by several branches,
+    so it is written to the shared folder first.
     """
     keys = list(keys)
     order = f"_ord_{name}"
-    src = df.withColumn(order, -F.col(value).cast("double") if descending else F.col(value))
-    ranked = attach_positions(src.filter(F.col(order).isNotNull()), keys, order).drop("n_at", "n_group")
+    src = saved(df.withColumn(order, -F.col(value).cast("double") if descending else F.col(value)), "ranked")
+    ranked = saved(attach_positions(src.filter(F.col(order).isNotNull()), keys, order).drop("n_at", "n_group"), "ranked")
     ranked = ranked.withColumnRenamed("n_below", "_above")
     tied = positions(ranked, [*keys, order], tie).select(*keys, order, tie, F.col("n_below").alias("_in_tie"))
     out = ranked.join(tied, [*keys, order, tie]).withColumn(
         name, (F.col("_above") + F.col("_in_tie") + 1).cast("int")
     )
     out = out.drop("_above", "_in_tie", order)
-    nulls = src.filter(F.col(order).isNull()).drop(order)
+    missing = src.filter(F.col(order).isNull())
+    if missing.isEmpty():
+        return out
+    nulls = missing.drop(order)
     sizes = src.groupBy(*(keys or [F.lit(0).alias("_all")])).agg(F.count(order).alias("_known"))
     nulls = nulls.join(sizes, keys) if keys else nulls.withColumn("_all", F.lit(0)).join(sizes, "_all").drop("_all")
     late = attach_positions(nulls, keys, tie)

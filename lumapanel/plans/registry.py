@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.polygons import Grid, polygon_edges, zone_spans
 from ..operators.ranking import summarise
+from ..session import saved
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,7 +43,7 @@ class Tables:
         rows = rows.select(
             F.col("c_nationkey").cast("long").alias("entity"), F.year("o_orderdate").alias("yr"), "o_totalprice"
         )
-        return summarise(
+        stats = summarise(
             rows,
             ["entity", "yr"],
             "o_totalprice",
@@ -52,7 +53,12 @@ class Tables:
             high="max_value",
             std="std_value",
             count="pixel_count",
-        ).select("entity", "yr", "pixel_count", "mean_value", "median_value", "min_value", "max_value", "std_value")
+        )
+        # Written once and read by every branch, like a panel checkpoint.
+        return saved(
+            stats.select("entity", "yr", "pixel_count", "mean_value", "median_value", "min_value", "max_value", "std_value"),
+            "panel",
+        )
 
     @cached_property
     def pixels(self) -> DataFrame:

@@ -48,8 +48,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder."""
-    spark = df.sparkSession
-    spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
+def saved(df: DataFrame, label: str = "part") -> DataFrame:
+    """Write a derived table once to the shared folder and read it back.
+
+    Cuts the lineage of tables that several branches use, survives the loss of
+    executors, and gives the optimizer the table's real size.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
