@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .columns import as_col
 
@@ -131,7 +132,7 @@ def capitalise_words(x: str | Column) -> Column:
     return F.initcap(F.regexp_replace(F.trim(as_col(x)), r"\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _strip_marks(s: pd.Series) -> pd.Series:
     def plain(v):
         if not isinstance(v, str):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import literal_rows, over
 from ..functions.scalars import ALAN_LOW, ALAN_MEDIUM, alan_class
+from ..session import saved
 from .ranking import summarise
 
 # Filter limits, change limit, land-cover classes and weights.
@@ -55,7 +56,8 @@ def site_quality_filter(px: DataFrame, value="med", lit="lit", cf="cf", cf_min=C
 
 def subtract_background(px: DataFrame, value="med", year="yr", share: float = 0.01) -> DataFrame:
     """Take each year's low percentile of positive values off, never below zero."""
-    floor = summarise(px.filter(F.col(value) > 0), [year], value, {"_floor": share})
+    # One row per year; written so that the join knows its size and leaves the pixels in place.
+    floor = saved(summarise(px.filter(F.col(value) > 0), [year], value, {"_floor": share}), "floor")
     out = px.join(floor, year, "left")
     return out.withColumn(
         value, F.when(F.col(value).isNotNull(), F.greatest(F.col(value) - F.coalesce("_floor", F.lit(0.0)), F.lit(0.0)))
@@ -191,9 +193,8 @@ def cf_sensitivity_summary(stats: DataFrame) -> DataFrame:
 def histogram(px: DataFrame, year="yr", value="med", top: float = 2.0, bins: int = 100) -> DataFrame:
     """Equal-width density histogram of values in (0, top) between each year's extremes."""
     inside = px.filter((F.col(value) > 0) & (F.col(value) < top))
-    span = inside.groupBy(year).agg(
-        F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(F.lit(1)).alias("n_year")
-    )
+    ends = inside.groupBy(year).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(F.lit(1)).alias("n_year"))
+    span = saved(ends, "span")
     width = (F.col("hi") - F.col("lo")) / bins
     slot = F.least(F.floor(F.try_divide(F.col(value) - F.col("lo"), width)), F.lit(bins - 1))
     binned = inside.join(span, year).withColumn("bin", F.coalesce(slot, F.lit(0)).cast("int"))

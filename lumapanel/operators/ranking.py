@@ -125,8 +125,13 @@ def row_numbers(
     if missing.isEmpty():
         return out
     nulls = missing.drop(order)
-    sizes = src.groupBy(*(keys or [F.lit(0).alias("_all")])).agg(F.count(order).alias("_known"))
-    nulls = nulls.join(sizes, keys) if keys else nulls.withColumn("_all", F.lit(0)).join(sizes, "_all").drop("_all")
+    known = F.count(order).alias("_known")
+    if keys:
+        nulls = nulls.join(src.groupBy(*keys).agg(known), keys)
+    else:
+        # A global aggregate is one row, which Spark broadcasts.
+        one = src.agg(known).withColumn("_all", F.lit(0))
+        nulls = nulls.withColumn("_all", F.lit(0)).join(one, "_all").drop("_all")
     late = attach_positions(nulls, keys, tie)
     late = late.withColumn(name, (F.col("_known") + F.col("n_below") + 1).cast("int"))
     return out.unionByName(late.drop("_known", "n_at", "n_below", "n_group"))

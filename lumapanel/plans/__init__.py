@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .registry import ORACLES, QUERIES
 
-GROUPS = ("pixel_queries", "spatial_queries", "trend_queries")
+GROUPS = ("pixel_queries", "spatial_queries", "trend_queries", "census_queries", "observation_queries", "table_queries")
 
 
 def _load() -> None:

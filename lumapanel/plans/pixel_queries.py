@@ -9,6 +9,7 @@ from ..functions.columns import literal_rows
 from ..operators import pixels as P
 from ..operators.polygons import clip_cells, join_cells, polygon_edges, zone_spans
 from ..operators.ranking import summarise, top_k
+from ..session import saved
 from .registry import GRID, YEARS, add_view, query
 
 R6 = lambda *names: [F.round(n, 6).alias(n) for n in names]
@@ -82,7 +83,7 @@ def _(t):
 )
 def _(t):
     px = t.pixels
-    q = summarise(px, ["yr"], "med", {"top": 0.995, "lo": 0.01, "hi": 0.99})
+    q = saved(summarise(px, ["yr"], "med", {"top": 0.995, "lo": 0.01, "hi": 0.99}), "range")
     first = px.groupBy("r", "c").agg(
         F.min_by("med", "yr").alias("base"), F.min("yr").alias("first_yr")
     ).join(px.agg(F.min("yr").alias("first_yr")), "first_yr", "left_semi").drop("first_yr")

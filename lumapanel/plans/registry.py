@@ -101,7 +101,8 @@ class Tables:
 
     @cached_property
     def spans(self) -> DataFrame:
-        return zone_spans(polygon_edges(self.polygons), GRID)
+        # Written so that the join with the pixels knows its size.
+        return saved(zone_spans(polygon_edges(self.polygons), GRID), "spans")
 
     @cached_property
     def zone_pixels(self) -> DataFrame:
