@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.student_t import corr_p
+from ..session import saved
 from .ranking import attach_positions, average_rank, summarise, top_k
 
 R_CLAMP = 0.9999999
@@ -105,15 +106,19 @@ def ols_residuals(df: DataFrame, model, y: str, features: Sequence[str]) -> Data
     return df.dropna(subset=[y, *features]).withColumn("residual", F.col(y) - fitted)
 
 
-def metric_pairs(df: DataFrame, entity: str, x_cols: Sequence[str], y_cols: Sequence[str]) -> DataFrame:
-    """Long rows (entity, x_col, x, y_col, y) of two column sets that exist in the table."""
+def metric_pairs(df: DataFrame, entity: str, x_cols: Sequence[str], y_cols: Sequence[str], carry: str | None = None) -> DataFrame:
+    """Long rows (entity, x_col, x, y_col, y, z) of the columns that exist; ``carry`` fills z."""
     xs = [c for c in x_cols if c in df.columns]
     ys = [c for c in y_cols if c in df.columns]
+    z = F.col(carry).cast("double") if carry else F.lit(None).cast("double")
     recs = [
-        F.struct(F.lit(a).alias("x_col"), F.col(a).cast("double").alias("x"), F.lit(b).alias("y_col"), F.col(b).cast("double").alias("y"))
+        F.struct(
+            F.lit(a).alias("x_col"), F.col(a).cast("double").alias("x"),
+            F.lit(b).alias("y_col"), F.col(b).cast("double").alias("y"), z.alias("z"),
+        )
         for a in xs
         for b in ys
-    ]
+    ]
     return df.select(entity, F.inline(F.array(*recs)))
 
 
@@ -121,7 +126,7 @@ def correlation_matrix(
     df: DataFrame, entity: str, x_cols: Sequence[str], y_cols: Sequence[str], population: str | None = None
 ) -> DataFrame:
     """Pearson, Spearman and (given population) partial correlation of every column pair."""
-    pairs = metric_pairs(df, entity, x_cols, y_cols)
+    pairs = saved(metric_pairs(df, entity, x_cols, y_cols, population), "pairs")
     first_x = next(c for c in x_cols if c in df.columns)
     known = pairs.filter(F.col("x_col") == first_x).groupBy("y_col").agg(F.count("y").alias("_n"))
     pairs = pairs.join(known.filter(F.col("_n") >= 3), "y_col", "left_semi")
@@ -134,8 +139,7 @@ def correlation_matrix(
     )
     out = p.join(s, keys, "left")
     if population:
-        z = df.select(entity, F.col(population).cast("double").alias("z"))
-        with_z = pairs.filter(F.col("y_col") != population).join(z, entity)
+        with_z = pairs.filter(F.col("y_col") != population)
         part = partial(with_z, keys, "x", "y", ["z"]).select(
             *keys, F.col("r").alias("partial_r"), F.col("p_value").alias("partial_p")
         )

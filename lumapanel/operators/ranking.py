@@ -114,13 +114,15 @@ def row_numbers(
     keys = list(keys)
     order = f"_ord_{name}"
     src = saved(df.withColumn(order, -F.col(value).cast("double") if descending else F.col(value)), "ranked")
-    ranked = saved(attach_positions(src.filter(F.col(order).isNotNull()), keys, order).drop("n_at", "n_group"), "ranked")
+    ranked = saved(attach_positions(src.filter(F.col(order).isNotNull()), keys, order).drop("n_group"), "ranked")
     ranked = ranked.withColumnRenamed("n_below", "_above")
-    tied = positions(ranked, [*keys, order], tie).select(*keys, order, tie, F.col("n_below").alias("_in_tie"))
-    out = ranked.join(tied, [*keys, order, tie]).withColumn(
-        name, (F.col("_above") + F.col("_in_tie") + 1).cast("int")
-    )
-    out = out.drop("_above", "_in_tie", order)
+    if ranked.filter(F.col("n_at") > 1).isEmpty():
+        ranked = ranked.withColumn("_in_tie", F.lit(0))
+    else:
+        tied = positions(ranked, [*keys, order], tie).select(*keys, order, tie, F.col("n_below").alias("_in_tie"))
+        ranked = ranked.join(tied, [*keys, order, tie])
+    out = ranked.withColumn(name, (F.col("_above") + F.col("_in_tie") + 1).cast("int"))
+    out = out.drop("_above", "_in_tie", "n_at", order)
     missing = src.filter(F.col(order).isNull())
     if missing.isEmpty():
         return out

@@ -130,7 +130,7 @@ def directional(pairs: DataFrame, spine: DataFrame, key: str, value: str) -> Dat
     )
 
 
-NEAREST_LEVELS_DEG = (0.25, 1.0, 4.0, 16.0, 60.0)
+NEAREST_LEVELS_DEG = (0.5, 4.0, 30.0)
 
 
 def nearest_location(

@@ -135,6 +135,8 @@ def _series(panel, entity, year, value) -> DataFrame:
     rows = _xy(panel, entity, year, value).filter(F.col("y").isNotNull())
     got = rows.groupBy(entity).agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("s"))
     first = F.element_at("s", 1)["x"]
+    # The resampling after this is all computation, so it is spread over every core.
+    got = got.repartition(panel.sparkSession.sparkContext.defaultParallelism, entity)
     return got.select(
         entity, F.size("s").alias("n"), F.transform("s", lambda r: r["x"] - first).alias("xs"), F.col("s.y").alias("ys")
     )

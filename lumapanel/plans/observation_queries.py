@@ -56,13 +56,17 @@ def _classes(t):
 
 def _neighbours(t, classes):
     moving = classes.filter(F.col("migration_class") != "resident")
-    return O.neighbour_profiles(t.observations.filter(F.col("state") != HOME), moving, **NAMES, **COLS)
+    # Neighbours to the north see a species a month earlier, those to the east a month later.
+    shift = F.when(F.col("state") == "view", 10).when(F.col("state") == "click", 12).otherwise(11)
+    there = t.observations.filter(F.col("state") != HOME).withColumn("mon", (1 + (F.col("mon") + shift) % 12).cast("int"))
+    return O.neighbour_profiles(there, moving, **NAMES, **COLS)
 
 
 add_view(
     "nb",
     CLASS_VIEWS,
-    f"""SELECT o.specieskey, o.state, o.mon, {SUMS} FROM observations o WHERE state <> '{HOME}' AND specieskey IN
+    f"""SELECT o.specieskey, o.state, CAST(1 + (o.mon + CASE state WHEN 'view' THEN 10 WHEN 'click' THEN 12 ELSE 11 END) % 12 AS INT) AS mon, {SUMS}
+    FROM observations o WHERE state <> '{HOME}' AND specieskey IN
     (SELECT specieskey FROM class_table WHERE migration_class <> 'resident') GROUP BY 1, 2, 3 HAVING count(*) >= 5""",
 )
 NB_VIEWS = CLASS_VIEWS + " nb"
