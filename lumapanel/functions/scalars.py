@@ -119,25 +119,27 @@ def prefix_columns(df: DataFrame, label: str, keep: Sequence[str]) -> DataFrame:
 
 
 def log_display(x: str | Column, floor: float = 0.01) -> Column:
-    return F.log10(F.greatest(as_col(x), F.lit(floor)))
+    x = as_col(x)
+    return F.when(x.isNotNull(), F.log10(F.greatest(x, F.lit(floor))))
 
 
 def power_display(x: str | Column, top: str | Column, gamma: float = 0.35) -> Column:
     """Share of ``top`` clipped to [0,1], raised to gamma."""
     share = over(x, top)
-    return F.pow(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)), F.lit(gamma))
+    return F.when(share.isNotNull(), F.pow(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)), F.lit(gamma)))
 
 
 def symmetric_display(x: str | Column, limit: float) -> Column:
     """Change mapped from [-limit, limit] to [0, 1]."""
-    clipped = F.least(F.greatest(as_col(x), F.lit(-limit)), F.lit(limit))
-    return (clipped + limit) / (2.0 * limit)
+    x = as_col(x)
+    clipped = F.least(F.greatest(x, F.lit(-limit)), F.lit(limit))
+    return F.when(x.isNotNull(), (clipped + limit) / (2.0 * limit))
 
 
 def alpha(a: str | Column, mode: str, floor: float, ceiling: float, gamma: float) -> Column:
-    """Opacity from a normalised value: its size, or its distance from the middle."""
+    """Opacity from a normalised value: its size, its distance from the middle, or full."""
     a = as_col(a)
-    strength = F.abs(a - 0.5) * 2.0 if mode == "diverging" else a
+    strength = {"diverging": F.abs(a - 0.5) * 2.0, "solid": F.when(a.isNotNull(), F.lit(1.0))}.get(mode, a)
     return F.lit(floor) + (ceiling - floor) * F.pow(strength, F.lit(gamma))
 
 

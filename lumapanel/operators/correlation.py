@@ -21,7 +21,7 @@ def safe_corr(x: Column, y: Column) -> Column:
     both = x.isNotNull() & y.isNotNull()
     x, y = F.when(both, x), F.when(both, y)
     r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-    return F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0))
+    return F.when(r.isNotNull(), F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0)))
 
 
 def _pairs(x: Column, y: Column) -> Column:
@@ -36,7 +36,7 @@ def pearson(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     r = F.least(F.greatest(F.col("r"), F.lit(-R_CLAMP)), F.lit(R_CLAMP))
     z = 0.5 * F.ln((1.0 + r) / (1.0 - r))
     half = F.when(n > 3, 1.96 / F.sqrt(n - 3.0))
-    bound = lambda sign: F.when(n > 3, F.tanh(z + sign * half)).when(F.col("r").isNotNull(), F.lit(float(sign)))
+    bound = lambda sign: F.when(F.col("r").isNotNull(), F.when(n > 3, F.tanh(z + sign * half)).otherwise(float(sign)))
     return got.withColumns({"p_value": corr_p(F.col("r"), n), "ci_low": bound(-1), "ci_high": bound(1)})
 
 

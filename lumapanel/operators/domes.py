@@ -18,29 +18,29 @@ STEPS = 200
 
 def _fit_for(df: DataFrame, key: str, ks: Column, d: str, v: str) -> DataFrame:
     """Best non-negative (peak, background) for each tried decay rate."""
-    tried = df.withColumn("k", F.explode(ks)).withColumn("e", F.exp(-F.col("k") * F.col(d)))
-    e, y = F.col("e"), F.col(v)
-    s = tried.groupBy(key, "k").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(e).alias("se"),
-        F.sum(e * e).alias("see"),
-        F.sum(y).alias("sy"),
-        F.sum(y * y).alias("syy"),
-        F.sum(e * y).alias("sey"),
+    tried = df.withColumn("_k", F.explode(ks)).withColumn("_e", F.exp(-F.col("_k") * F.col(d)))
+    e, y = F.col("_e"), F.col(v)
+    s = tried.groupBy(key, "_k").agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.sum(e).alias("_se"),
+        F.sum(e * e).alias("_see"),
+        F.sum(y).alias("_sy"),
+        F.sum(y * y).alias("_syy"),
+        F.sum(e * y).alias("_sey"),
     )
-    n, se, see, sy, sey = (F.col(c) for c in ("n", "se", "see", "sy", "sey"))
+    n, se, see, sy, sey = (F.col(c) for c in ("_n", "_se", "_see", "_sy", "_sey"))
     det = n * see - se * se
     peak = F.when(det > 1e-12 * n * see, (n * sey - se * sy) / det).otherwise(F.lit(0.0))
     base = (sy - peak * se) / n
 
     def option(p: Column, b: Column) -> Column:
-        sse = F.col("syy") - 2.0 * (p * sey + b * sy) + p * p * see + 2.0 * p * b * se + b * b * n
-        return F.struct(sse.alias("sse"), F.col("k").alias("k"), p.alias("peak"), b.alias("base"))
+        sse = F.col("_syy") - 2.0 * (p * sey + b * sy) + p * p * see + 2.0 * p * b * se + b * b * n
+        return F.struct(sse.alias("sse"), F.col("_k").alias("_k"), p.alias("_peak"), b.alias("_base"))
 
     only_peak = option(F.greatest(over(sey, see), F.lit(0.0)), F.lit(0.0))
     only_base = option(F.lit(0.0), F.greatest(sy / n, F.lit(0.0)))
     free = F.when((peak >= 0) & (base >= 0), option(peak, base))
-    return s.groupBy(key).agg(F.min(F.least(free, only_peak, only_base)).alias("fit"))
+    return s.groupBy(key).agg(F.min(F.least(free, only_peak, only_base)).alias("_fit"))
 
 
 def light_domes(profile: DataFrame, key: str, distance: str, value: str, threshold: float = BACKGROUND) -> DataFrame:
@@ -50,10 +50,10 @@ def light_domes(profile: DataFrame, key: str, distance: str, value: str, thresho
     second, finer grid around the best replaces an iterative solver. Needs
     three rings with values; otherwise every measure is NULL.
     """
-    rows = profile.filter(F.col(value).isNotNull()).select(key, F.col(distance).alias("d"), F.col(value).alias("v"))
+    rows = profile.filter(F.col(value).isNotNull()).select(key, F.col(distance).alias("_d"), F.col(value).alias("_v"))
     base = rows.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n"), F.var_pop("v").alias("var"), F.max("d").alias("far")
-    ).filter(F.col("n") >= MIN_RINGS)
+        F.count(F.lit(1)).alias("_n"), F.var_pop("_v").alias("_var"), F.max("_d").alias("_far")
+    ).filter(F.col("_n") >= MIN_RINGS)
     ok = rows.join(base.select(key), key)
     # Rates from 1e-4 to the limit in equal ratios, and zero.
     ratio = math.log(K_MAX / 1e-4) / (STEPS - 1)
@@ -61,21 +61,21 @@ def light_domes(profile: DataFrame, key: str, distance: str, value: str, thresho
         F.array(F.lit(0.0)),
         F.transform(F.sequence(F.lit(0), F.lit(STEPS - 1)), lambda i: F.lit(1e-4) * F.exp(i * ratio)),
     )
-    first = _fit_for(ok, key, coarse, "d", "v").select(key, F.col("fit.k").alias("k0"))
-    low, high = F.col("k0") * math.exp(-ratio), F.least(F.col("k0") * math.exp(ratio), F.lit(K_MAX))
-    high = F.when(F.col("k0") == 0, F.lit(1e-4)).otherwise(high)
+    first = _fit_for(ok, key, coarse, "_d", "_v").select(key, F.col("_fit._k").alias("_k0"))
+    low, high = F.col("_k0") * math.exp(-ratio), F.least(F.col("_k0") * math.exp(ratio), F.lit(K_MAX))
+    high = F.when(F.col("_k0") == 0, F.lit(1e-4)).otherwise(high)
     fine = F.transform(F.sequence(F.lit(0), F.lit(STEPS)), lambda i: low + (high - low) * i / STEPS)
-    best = _fit_for(ok.join(first, key), key, fine, "d", "v")
+    best = _fit_for(ok.join(first, key), key, fine, "_d", "_v")
     fit = best.join(base, key).select(
-        key, F.col("fit.peak").alias("peak"), F.col("fit.k").alias("k"), F.col("fit.base").alias("base"),
-        F.when(F.col("var") > 0, 1.0 - F.col("fit.sse") / (F.col("n") * F.col("var"))).otherwise(0.0).alias("r2"),
+        key, F.col("_fit._peak").alias("_peak"), F.col("_fit._k").alias("_k"), F.col("_fit._base").alias("_base"),
+        F.when(F.col("_var") > 0, 1.0 - F.col("_fit.sse") / (F.col("_n") * F.col("_var"))).otherwise(0.0).alias("_r2"),
     )
-    peak, k, b = F.col("peak"), F.col("k"), F.col("base")
+    peak, k, b = F.col("_peak"), F.col("_k"), F.col("_base")
     ends = (peak > threshold) & (k > 0) & (b < threshold)
     radius = F.when(ends, F.greatest(-F.ln((threshold - b) / peak) / k, F.lit(0.0)))
     out = fit.select(
         key, peak.alias("peak_radiance"), radius.alias("dome_radius_km"), k.alias("decay_rate"),
-        F.when(k > 0, math.log(2.0) / k).alias("half_distance_km"), F.col("r2").alias("model_r_squared"),
+        F.when(k > 0, math.log(2.0) / k).alias("half_distance_km"), F.col("_r2").alias("model_r_squared"),
         (math.pi * radius * radius).alias("effective_area_km2"),
     )
     return profile.select(key).distinct().join(out, key, "left")

@@ -185,18 +185,18 @@ def density_surface(
     covariance gives NULL densities.
     """
     stats = obs.groupBy(group).agg(
-        F.count(F.lit(1)).alias("n"), F.var_samp(lon).alias("vx"), F.var_samp(lat).alias("vy"), F.covar_samp(lon, lat).alias("vxy")
-    ).filter(F.col("n") >= min_points)
-    det = (F.col("vx") * F.col("vy") - F.col("vxy") * F.col("vxy")) * factor**4
-    stats = stats.withColumn("det", F.when(det > 1e-18, det))
+        F.count(F.lit(1)).alias("_n"), F.var_samp(lon).alias("_vx"), F.var_samp(lat).alias("_vy"), F.covar_samp(lon, lat).alias("_vxy")
+    ).filter(F.col("_n") >= min_points)
+    det = (F.col("_vx") * F.col("_vy") - F.col("_vxy") * F.col("_vxy")) * factor**4
+    stats = stats.withColumn("_det", F.when(det > 1e-18, det))
     lattice = obs.groupBy(
-        group, F.round(F.col(lon) / bin_deg).cast("long").alias("bx"), F.round(F.col(lat) / bin_deg).cast("long").alias("by")
-    ).agg(F.count(F.lit(1)).alias("m"))
+        group, F.round(F.col(lon) / bin_deg).cast("long").alias("_bx"), F.round(F.col(lat) / bin_deg).cast("long").alias("_by")
+    ).agg(F.count(F.lit(1)).alias("_m"))
     dx = (box["east"] - box["west"]) / (nx - 1)
     dy = (box["north"] - box["south"]) / (ny - 1)
-    near = lattice.join(stats.filter(F.col("det").isNotNull()), group)
-    px, py = F.col("bx") * bin_deg, F.col("by") * bin_deg
-    hx, hy = reach * factor * F.sqrt("vx"), reach * factor * F.sqrt("vy")
+    near = lattice.join(stats.filter(F.col("_det").isNotNull()), group)
+    px, py = F.col("_bx") * bin_deg, F.col("_by") * bin_deg
+    hx, hy = reach * factor * F.sqrt("_vx"), reach * factor * F.sqrt("_vy")
 
     def cells(p: Column, h: Column, origin: float, step: float, count: int) -> Column:
         a = F.greatest(F.ceil((p - h - origin) / step), F.lit(0)).cast("int")
@@ -208,15 +208,15 @@ def density_surface(
     )
     ex = F.lit(box["west"]) + F.col("ix") * dx - px
     ey = F.lit(box["south"]) + F.col("iy") * dy - py
-    q = (F.col("vy") * ex * ex - 2.0 * F.col("vxy") * ex * ey + F.col("vx") * ey * ey) * factor**2 / F.col("det")
+    q = (F.col("_vy") * ex * ex - 2.0 * F.col("_vxy") * ex * ey + F.col("_vx") * ey * ey) * factor**2 / F.col("_det")
     dens = near.groupBy(group, "ix", "iy").agg(
-        (F.sum(F.col("m") * F.exp(-q / 2.0)) / F.max(F.col("n") * 2.0 * math.pi * F.sqrt("det"))).alias("density")
+        (F.sum(F.col("_m") * F.exp(-q / 2.0)) / F.max(F.col("_n") * 2.0 * math.pi * F.sqrt("_det"))).alias("density")
     )
-    grid = stats.select(group, "det").withColumn("ix", F.explode(F.sequence(F.lit(0), F.lit(nx - 1)))).withColumn(
+    grid = stats.select(group, "_det").withColumn("ix", F.explode(F.sequence(F.lit(0), F.lit(nx - 1)))).withColumn(
         "iy", F.explode(F.sequence(F.lit(0), F.lit(ny - 1)))
     )
     out = grid.join(dens, [group, "ix", "iy"], "left")
-    return out.select(group, "ix", "iy", F.when(F.col("det").isNotNull(), F.coalesce("density", F.lit(0.0))).alias("density"))
+    return out.select(group, "ix", "iy", F.when(F.col("_det").isNotNull(), F.coalesce("density", F.lit(0.0))).alias("density"))
 
 
 def sample_points(obs, species, month, key, cap=POINTS_PER_MONTH, seed=42, lat="lat", lon="lon") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import literal_rows, literal_structs, over
 from ..functions.names import url_slug
-from ..functions.scalars import alan_class, first_present, projected_10yr
+from ..functions.scalars import alan_class, first_present, log_display, projected_10yr
 from .ranking import attach_positions, average_rank, cume_share, row_numbers, summarise, top_k
 from .trends import baseline_change
 
@@ -181,7 +181,7 @@ def growth_classes(trends: DataFrame, entity: str, growth: str = "annual_pct_cha
 
 def value_matrix(panel: DataFrame, entity: str, year: str, value: str, years: Sequence[int], log: bool = False) -> DataFrame:
     """Entities by years, ordered by the last year."""
-    v = F.log10(F.greatest(F.col(value), F.lit(0.01))) if log else F.col(value)
+    v = log_display(value) if log else F.col(value)
     wide = panel.groupBy(entity).pivot(year, list(years)).agg(F.avg(v))
     wide = wide.select(entity, *[F.col(str(y)).alias(f"y{y}") for y in years])
     return wide.orderBy(F.desc_nulls_last(f"y{years[-1]}"), entity)

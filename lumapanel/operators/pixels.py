@@ -196,8 +196,8 @@ def histogram(px: DataFrame, year="yr", value="med", top: float = 2.0, bins: int
     ends = inside.groupBy(year).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(F.lit(1)).alias("n_year"))
     span = saved(ends, "span")
     width = (F.col("hi") - F.col("lo")) / bins
-    slot = F.least(F.floor(F.try_divide(F.col(value) - F.col("lo"), width)), F.lit(bins - 1))
-    binned = inside.join(span, year).withColumn("bin", F.coalesce(slot, F.lit(0)).cast("int"))
+    at = F.coalesce(F.floor(F.try_divide(F.col(value) - F.col("lo"), width)), F.lit(0))
+    binned = inside.join(span, year).withColumn("bin", F.least(at, F.lit(bins - 1)).cast("int"))
     counted = binned.groupBy(year, "bin", "lo", "hi", "n_year").agg(F.count(F.lit(1)).alias("n"))
     return counted.select(
         year,

@@ -188,7 +188,7 @@ def nearest_location(
         looking = looking.withColumn("_cb", F.col("_cell.b")).withColumn("_cs", F.col("_cell.s")).drop("_cell")
         seen = looking.join(placed, (F.col("_cb") == F.col("_b")) & (F.col("_cs") == F.col("_s")), "left")
         found = F.when(
-            F.col("_who").isNotNull(),
+            F.col("_who").isNotNull() & F.col("_lat").isNotNull() & F.col("_lon").isNotNull(),
             F.struct(
                 haversine_km(F.col("_lat"), F.col("_lon"), F.col("_clat"), F.col("_clon")).alias("km"),
                 F.col("_who.ord").alias("ord"),

@@ -32,23 +32,23 @@ R2_LOW = 0.5
 
 def log_value(value: str | Column, clip_negative: bool = True) -> Column:
     v = as_col(value)
-    if clip_negative:
-        v = F.greatest(v, F.lit(0.0))
-    return F.when(v.isNotNull() & (v + LOG_EPSILON > 0), F.ln(v + LOG_EPSILON))
+    x = F.greatest(v, F.lit(0.0)) if clip_negative else v
+    # greatest() skips NULL, so a missing value has to be kept missing here.
+    return F.when(v.isNotNull() & (x + LOG_EPSILON > 0), F.ln(x + LOG_EPSILON))
 
 
 def _xy(panel: DataFrame, entity: str, year: str, value: str, clip=True) -> DataFrame:
-    return panel.select(entity, F.col(year).cast("double").alias("x"), log_value(value, clip).alias("y"))
+    return panel.select(entity, F.col(year).cast("double").alias("_x"), log_value(value, clip).alias("_y"))
 
 
 def _sums(x: Column, y: Column, tag: str = "") -> list[Column]:
     return [
-        F.regr_count(y, x).alias(f"n{tag}"),
-        F.regr_sxx(y, x).alias(f"sxx{tag}"),
-        F.regr_syy(y, x).alias(f"syy{tag}"),
-        F.regr_sxy(y, x).alias(f"sxy{tag}"),
-        F.regr_avgx(y, x).alias(f"mx{tag}"),
-        F.regr_avgy(y, x).alias(f"my{tag}"),
+        F.regr_count(y, x).alias(f"_n{tag}"),
+        F.regr_sxx(y, x).alias(f"_sxx{tag}"),
+        F.regr_syy(y, x).alias(f"_syy{tag}"),
+        F.regr_sxy(y, x).alias(f"_sxy{tag}"),
+        F.regr_avgx(y, x).alias(f"_mx{tag}"),
+        F.regr_avgy(y, x).alias(f"_my{tag}"),
     ]
 
 
@@ -57,8 +57,8 @@ def fit_trend(panel: DataFrame, entity: str, year: str, value: str, min_years: i
 
     A constant series has no r2; fewer than ``min_years`` rows give NULLs.
     """
-    fit = _xy(panel, entity, year, value).groupBy(entity).agg(*_sums(F.col("x"), F.col("y")), F.count(F.lit(1)).alias("rows"))
-    sxx, syy, sxy, n = (F.col(c) for c in ("sxx", "syy", "sxy", "n"))
+    fit = _xy(panel, entity, year, value).groupBy(entity).agg(*_sums(F.col("_x"), F.col("_y")), F.count(F.lit(1)).alias("_rows"))
+    sxx, syy, sxy, n = (F.col(c) for c in ("_sxx", "_syy", "_sxy", "_n"))
     ok = (n >= min_years) & (sxx > 0)
     beta = F.when(ok, sxy / sxx)
     return fit.select(
@@ -66,30 +66,30 @@ def fit_trend(panel: DataFrame, entity: str, year: str, value: str, min_years: i
         pct_of_slope(beta).alias("annual_pct_change"),
         F.when(ok & (syy > 0), sxy * sxy / (sxx * syy)).alias("r_squared"),
         F.when(ok, slope_p(sxx, syy, sxy, n)).alias("p_value"),
-        F.col("rows").cast("int").alias("n_years"),
+        F.col("_rows").cast("int").alias("n_years"),
         beta.alias("beta"),
-        F.when(ok, F.col("my") - beta * F.col("mx")).alias("intercept"),
+        F.when(ok, F.col("_my") - beta * F.col("_mx")).alias("intercept"),
     )
 
 
 def trend_residuals(panel: DataFrame, entity: str, year: str, value: str, clip: bool = True) -> DataFrame:
     """Panel rows with x, y, the fitted line's residual and the group's sums."""
     w = Window.partitionBy(entity)
-    rows = panel.select(entity, year, F.col(year).cast("double").alias("x"), log_value(value, clip).alias("y"))
-    rows = rows.filter(F.col("y").isNotNull())
-    x, y = F.col("x"), F.col("y")
+    rows = panel.select(entity, year, F.col(year).cast("double").alias("_x"), log_value(value, clip).alias("_y"))
+    rows = rows.filter(F.col("_y").isNotNull())
+    x, y = F.col("_x"), F.col("_y")
     rows = rows.withColumns(
         {
-            "n": F.count(F.lit(1)).over(w),
-            "sxx": F.regr_sxx(y, x).over(w),
-            "syy": F.regr_syy(y, x).over(w),
-            "sxy": F.regr_sxy(y, x).over(w),
-            "mx": F.avg(x).over(w),
-            "my": F.avg(y).over(w),
+            "_n": F.count(F.lit(1)).over(w),
+            "_sxx": F.regr_sxx(y, x).over(w),
+            "_syy": F.regr_syy(y, x).over(w),
+            "_sxy": F.regr_sxy(y, x).over(w),
+            "_mx": F.avg(x).over(w),
+            "_my": F.avg(y).over(w),
         }
     )
-    slope = F.try_divide(F.col("sxy"), F.col("sxx"))
-    return rows.withColumn("e", y - F.col("my") - slope * (x - F.col("mx")))
+    slope = F.try_divide(F.col("_sxy"), F.col("_sxx"))
+    return rows.withColumn("_e", y - F.col("_my") - slope * (x - F.col("_mx")))
 
 
 def latest_values(panel: DataFrame, entity: str, year: str, values: Sequence[str], suffix: str = "_latest") -> DataFrame:
@@ -132,36 +132,36 @@ def _draw(seed: int, b: Column, i: Column, size: Column) -> Column:
 
 def _series(panel, entity, year, value) -> DataFrame:
     """One row per entity: year offsets and log values in year order."""
-    rows = _xy(panel, entity, year, value).filter(F.col("y").isNotNull())
-    got = rows.groupBy(entity).agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("s"))
-    first = F.element_at("s", 1)["x"]
+    rows = _xy(panel, entity, year, value).filter(F.col("_y").isNotNull())
+    got = rows.groupBy(entity).agg(F.array_sort(F.collect_list(F.struct("_x", "_y"))).alias("_s"))
+    first = F.element_at("_s", 1)["_x"]
     # The resampling after this is all computation, so it is spread over every core.
     got = got.repartition(panel.sparkSession.sparkContext.defaultParallelism, entity)
     return got.select(
-        entity, F.size("s").alias("n"), F.transform("s", lambda r: r["x"] - first).alias("xs"), F.col("s.y").alias("ys")
+        entity, F.size("_s").alias("_n"), F.transform("_s", lambda r: r["_x"] - first).alias("_xs"), F.col("_s._y").alias("_ys")
     )
 
 
 def _bootstrap(series: DataFrame, pick, resamples: int, enough: Column) -> Column:
     """Sorted annual percents of all resamples with at least two distinct years."""
-    n = F.col("n")
+    n = F.col("_n")
 
     def one(b):
-        start = F.struct(*[F.lit(0.0).alias(k) for k in ("sx", "sy", "sxx", "sxy")])
+        start = F.struct(*[F.lit(0.0).alias(k) for k in ("sx", "sy", "_sxx", "_sxy")])
 
         def add(acc, k):
             at = (pick(b, k) + 1).cast("int")
-            x, y = F.element_at("xs", at), F.element_at("ys", at)
+            x, y = F.element_at("_xs", at), F.element_at("_ys", at)
             return F.struct(
                 (acc["sx"] + x).alias("sx"),
                 (acc["sy"] + y).alias("sy"),
-                (acc["sxx"] + x * x).alias("sxx"),
-                (acc["sxy"] + x * y).alias("sxy"),
+                (acc["_sxx"] + x * x).alias("_sxx"),
+                (acc["_sxy"] + x * y).alias("_sxy"),
             )
 
         def slope(acc):
-            den = n * acc["sxx"] - acc["sx"] * acc["sx"]
-            return pct_of_slope(F.try_divide(n * acc["sxy"] - acc["sx"] * acc["sy"], den))
+            den = n * acc["_sxx"] - acc["sx"] * acc["sx"]
+            return pct_of_slope(F.try_divide(n * acc["_sxy"] - acc["sx"] * acc["sy"], den))
 
         return F.aggregate(F.sequence(F.lit(0), n - 1), start, add, slope)
 
@@ -179,13 +179,13 @@ def _array_quantile(values: Column, share: float) -> Column:
 def bootstrap_ci(panel, entity, year, value, resamples=RESAMPLES, seed=SEED, min_years=2, shares=CI_SHARES) -> DataFrame:
     """Interval of the annual percent from independent resamples of the years."""
     series = _series(panel, entity, year, value)
-    boot = _bootstrap(series, lambda b, k: _draw(seed, b, k, F.col("n")), resamples, F.col("n") >= min_years)
-    out = series.select(entity, boot.alias("boot"))
+    boot = _bootstrap(series, lambda b, k: _draw(seed, b, k, F.col("_n")), resamples, F.col("_n") >= min_years)
+    out = series.select(entity, boot.alias("_boot"))
     return out.select(
         entity,
-        _array_quantile(F.col("boot"), shares[0]).alias("ci_low"),
-        _array_quantile(F.col("boot"), shares[1]).alias("ci_high"),
-        F.coalesce(F.size("boot"), F.lit(0)).alias("n_resamples"),
+        _array_quantile(F.col("_boot"), shares[0]).alias("ci_low"),
+        _array_quantile(F.col("_boot"), shares[1]).alias("ci_high"),
+        F.coalesce(F.size("_boot"), F.lit(0)).alias("n_resamples"),
     )
 
 
@@ -194,19 +194,19 @@ def block_bootstrap_ci(
 ) -> DataFrame:
     """The same from runs of consecutive years, which keeps their correlation."""
     series = _series(panel, entity, year, value)
-    n = F.col("n")
+    n = F.col("_n")
     blocks = F.greatest(n - (block - 1), F.lit(1))
 
     def pick(b, k):
         start = _draw(seed, b, F.floor(k / block).cast("int"), blocks)
         return F.when(n < block, k.cast("long")).otherwise(start + k % block)
 
-    out = series.select(entity, _bootstrap(series, pick, resamples, n >= 4).alias("boot"))
+    out = series.select(entity, _bootstrap(series, pick, resamples, n >= 4).alias("_boot"))
     return out.select(
         entity,
-        _array_quantile(F.col("boot"), shares[0]).alias("ci_low_block"),
-        _array_quantile(F.col("boot"), shares[1]).alias("ci_high_block"),
-        F.when(F.col("boot").isNotNull(), F.size("boot")).otherwise(0).alias("n_valid_resamples"),
+        _array_quantile(F.col("_boot"), shares[0]).alias("ci_low_block"),
+        _array_quantile(F.col("_boot"), shares[1]).alias("ci_high_block"),
+        F.when(F.col("_boot").isNotNull(), F.size("_boot")).otherwise(0).alias("n_valid_resamples"),
     )
 
 
@@ -215,7 +215,7 @@ def version_trend(panel, entity, year, value, boundary: int = VERSION_YEAR) -> D
 
     NULL where all years lie on one side.
     """
-    x, y = F.col("x"), F.col("y")
+    x, y = F.col("_x"), F.col("_y")
     late = x >= boundary
     a_x, a_y = F.when(~late, x), F.when(~late, y)
     b_x, b_y = F.when(late, x), F.when(late, y)
@@ -223,16 +223,16 @@ def version_trend(panel, entity, year, value, boundary: int = VERSION_YEAR) -> D
         *_sums(x, y), *_sums(a_x, a_y, "0"), *_sums(b_x, b_y, "1")
     )
     both = lambda s: F.coalesce(F.col(f"{s}0"), F.lit(0.0)) + F.coalesce(F.col(f"{s}1"), F.lit(0.0))
-    n, n0, n1 = F.col("n").cast("double"), F.col("n0"), F.col("n1")
-    sxx, syy, sxy = F.col("sxx"), F.col("syy"), F.col("sxy")
-    wxx, wxy, wyy = both("sxx"), both("sxy"), both("syy")
-    ok = (F.col("n") >= 4) & (sxx > 0)
+    n, n0, n1 = F.col("_n").cast("double"), F.col("_n0"), F.col("_n1")
+    sxx, syy, sxy = F.col("_sxx"), F.col("_syy"), F.col("_sxy")
+    wxx, wxy, wyy = both("_sxx"), both("_sxy"), both("_syy")
+    ok = (F.col("_n") >= 4) & (sxx > 0)
     two = ok & (n0 > 0) & (n1 > 0) & (wxx > 0)
     slope = wxy / wxx
-    gap = F.col("mx1") - F.col("mx0")
-    effect = F.col("my1") - F.col("my0") - slope * gap
+    gap = F.col("_mx1") - F.col("_mx0")
+    effect = F.col("_my1") - F.col("_my0") - slope * gap
     rss = F.greatest(wyy - wxy * wxy / wxx, F.lit(0.0))
-    dof = F.col("n") - 3
+    dof = F.col("_n") - 3
     s2 = rss / dof
     mix = n0 * n1 / n
     var_effect = s2 / (mix - mix * mix * gap * gap / sxx)
@@ -255,96 +255,96 @@ def trend_diagnostics(panel, entity, year, value) -> DataFrame:
     Values are not clipped here. Fewer than four years give one warning only.
     """
     res = trend_residuals(panel, entity, year, value, clip=False)
-    e, n = F.col("e"), F.col("n")
-    along = Window.partitionBy(entity).orderBy("x")
-    sse_row = F.greatest(F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx"), F.lit(0.0))
-    lever = 1.0 / n + (F.col("x") - F.col("mx")) * (F.col("x") - F.col("mx")) / F.col("sxx")
+    e, n = F.col("_e"), F.col("_n")
+    along = Window.partitionBy(entity).orderBy("_x")
+    sse_row = F.greatest(F.col("_syy") - over(F.col("_sxy") * F.col("_sxy"), "_sxx"), F.lit(0.0))
+    lever = 1.0 / n + over((F.col("_x") - F.col("_mx")) * (F.col("_x") - F.col("_mx")), "_sxx")
     spread = F.sqrt(F.avg(e * e).over(Window.partitionBy(entity)))
     res = res.withColumns(
         {
-            "step": e - F.lag("e").over(along),
-            "cook": F.try_divide(e * e * lever, 2.0 * F.try_divide(sse_row, n - 2) * (1.0 - lever) * (1.0 - lever)),
-            "z": F.try_divide(e, spread),
+            "_step": e - F.lag("_e").over(along),
+            "_cook": F.try_divide(e * e * lever, 2.0 * F.try_divide(sse_row, n - 2) * (1.0 - lever) * (1.0 - lever)),
+            "_z": F.try_divide(e, spread),
         }
     )
     odd = F.filter(
-        F.array_sort(F.collect_list(F.when(F.abs("z") > OUTLIER_Z, F.col(year)))), lambda v: v.isNotNull()
+        F.array_sort(F.collect_list(F.when(F.abs("_z") > OUTLIER_Z, F.col(year)))), lambda v: v.isNotNull()
     )
     agg = res.groupBy(entity).agg(
-        F.max("n").alias("n"),
-        F.max("syy").alias("syy"),
-        F.sum(e * e).alias("sse"),
-        F.try_divide(F.sum(F.col("step") * F.col("step")), F.sum(e * e)).alias("dw"),
-        F.when(F.sum(e * e) > 0, F.skewness("e")).alias("sk"),
-        F.when(F.sum(e * e) > 0, F.kurtosis("e")).alias("ku"),
-        F.max("cook").alias("cook"),
-        odd.alias("odd"),
+        F.max("_n").alias("_n"),
+        F.max("_syy").alias("_syy"),
+        F.sum(e * e).alias("_sse"),
+        F.try_divide(F.sum(F.col("_step") * F.col("_step")), F.sum(e * e)).alias("_dw"),
+        F.when(F.sum(e * e) > 0, F.skewness("_e")).alias("_sk"),
+        F.when(F.sum(e * e) > 0, F.kurtosis("_e")).alias("_ku"),
+        F.max("_cook").alias("_cook"),
+        odd.alias("_odd"),
     )
-    n = F.col("n")
-    r2 = F.when(F.col("syy") > 0, 1.0 - F.col("sse") / F.col("syy"))
-    jb = n / 6.0 * (F.col("sk") * F.col("sk") + F.col("ku") * F.col("ku") / 4.0)
-    agg = agg.withColumns({"r2": r2, "jb_p": F.exp(-jb / 2.0)})
+    n = F.col("_n")
+    r2 = F.when(F.col("_syy") > 0, 1.0 - F.col("_sse") / F.col("_syy"))
+    jb = n / 6.0 * (F.col("_sk") * F.col("_sk") + F.col("_ku") * F.col("_ku") / 4.0)
+    agg = agg.withColumns({"_r2": r2, "_jb_p": F.exp(-jb / 2.0)})
     say = lambda cond, text, v: F.when(cond, F.format_string(text, v))
     warn = F.concat_ws(
         "; ",
-        say(~F.col("dw").between(DW_LOW, DW_HIGH), "high autocorrelation (DW=%.2f)", F.col("dw")),
-        say(F.col("jb_p") < JB_ALPHA, "non-normal residuals (JB p=%.3f)", F.col("jb_p")),
-        say(F.col("cook") > COOK_LIMIT, "high-influence observation (Cook's D=%.2f)", F.col("cook")),
-        say(F.col("r2") < R2_LOW, "poor model fit (R2=%.3f)", F.col("r2")),
+        say(~F.col("_dw").between(DW_LOW, DW_HIGH), "high autocorrelation (DW=%.2f)", F.col("_dw")),
+        say(F.col("_jb_p") < JB_ALPHA, "non-normal residuals (JB p=%.3f)", F.col("_jb_p")),
+        say(F.col("_cook") > COOK_LIMIT, "high-influence observation (Cook's D=%.2f)", F.col("_cook")),
+        say(F.col("_r2") < R2_LOW, "poor model fit (R2=%.3f)", F.col("_r2")),
     )
     ok = n >= 4
     every = panel.select(entity).distinct()
     out = every.join(agg, entity, "left")
     return out.select(
         entity,
-        F.when(ok, F.col("r2")).alias("r_squared"),
-        F.when(ok, 1.0 - (1.0 - F.col("r2")) * (n - 1) / (n - 2)).alias("adj_r_squared"),
-        F.when(ok, F.col("dw")).alias("durbin_watson"),
-        F.when(ok, F.col("jb_p")).alias("jarque_bera_p"),
-        F.when(ok, F.col("cook")).alias("cooks_distance_max"),
-        F.when(ok, F.array_join(F.col("odd").cast("array<string>"), ",")).otherwise("").alias("outlier_years"),
+        F.when(ok, F.col("_r2")).alias("r_squared"),
+        F.when(ok, 1.0 - (1.0 - F.col("_r2")) * (n - 1) / (n - 2)).alias("adj_r_squared"),
+        F.when(ok, F.col("_dw")).alias("durbin_watson"),
+        F.when(ok, F.col("_jb_p")).alias("jarque_bera_p"),
+        F.when(ok, F.col("_cook")).alias("cooks_distance_max"),
+        F.when(ok, F.array_join(F.col("_odd").cast("array<string>"), ",")).otherwise("").alias("outlier_years"),
         F.when(ok, warn).otherwise("insufficient data (<4 years)").alias("model_warnings"),
     )
 
 
 def breakpoints(panel, entity, year, value) -> DataFrame:
     """Best single split of the trend by AIC; the split model is two separate lines."""
-    rows = _xy(panel, entity, year, value).filter(F.col("y").isNotNull())
-    years = F.array_sort(F.collect_list(F.col("x").cast("int")))
-    single = rows.groupBy(entity).agg(*_sums(F.col("x"), F.col("y")), years.alias("years"))
-    n = F.col("n")
-    sse1 = F.greatest(F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx"), F.lit(0.0))
+    rows = _xy(panel, entity, year, value).filter(F.col("_y").isNotNull())
+    years = F.array_sort(F.collect_list(F.col("_x").cast("int")))
+    single = rows.groupBy(entity).agg(*_sums(F.col("_x"), F.col("_y")), years.alias("_years"))
+    n = F.col("_n")
+    sse1 = F.greatest(F.col("_syy") - over(F.col("_sxy") * F.col("_sxy"), "_sxx"), F.lit(0.0))
     tiny = F.lit(1e-300)
     aic = lambda sse, n, k: n * F.ln(F.greatest(sse / n, tiny)) + 2.0 * k
-    single = single.withColumn("aic1", aic(sse1, n, 2)).withColumn("beta", F.col("sxy") / F.col("sxx"))
+    single = single.withColumn("_aic1", aic(sse1, n, 2)).withColumn("_beta", over("_sxy", "_sxx"))
     tried = single.filter(n >= 5).select(
-        entity, F.explode(F.sequence(F.get("years", F.lit(2)), F.get("years", n.cast("int") - 2))).alias("bp")
+        entity, F.explode(F.sequence(F.get("_years", F.lit(2)), F.get("_years", n.cast("int") - 2))).alias("_bp")
     )
-    x, y, bp = F.col("x"), F.col("y"), F.col("bp")
+    x, y, bp = F.col("_x"), F.col("_y"), F.col("_bp")
     before, after = x <= bp, x > bp
     split = (
         tried.join(rows, entity)
-        .groupBy(entity, "bp")
+        .groupBy(entity, "_bp")
         .agg(
             *_sums(F.when(before, x), F.when(before, y), "0"),
             *_sums(F.when(after, x), F.when(after, y), "1"),
         )
-        .filter((F.col("n0") >= 2) & (F.col("n1") >= 2) & (F.col("sxx0") > 0) & (F.col("sxx1") > 0))
+        .filter((F.col("_n0") >= 2) & (F.col("_n1") >= 2) & (F.col("_sxx0") > 0) & (F.col("_sxx1") > 0))
     )
-    part = lambda t: F.greatest(F.col(f"syy{t}") - F.col(f"sxy{t}") * F.col(f"sxy{t}") / F.col(f"sxx{t}"), F.lit(0.0))
-    m = F.col("n0") + F.col("n1")
-    split = split.withColumn("sse2", part("0") + part("1")).withColumn("aic2", aic(F.col("sse2"), m, 4))
-    b0, b1 = F.col("sxy0") / F.col("sxx0"), F.col("sxy1") / F.col("sxx1")
-    var = F.col("sse2") / (m - 4) * (1.0 / F.col("sxx0") + 1.0 / F.col("sxx1"))
+    part = lambda t: F.greatest(F.col(f"_syy{t}") - F.col(f"_sxy{t}") * F.col(f"_sxy{t}") / F.col(f"_sxx{t}"), F.lit(0.0))
+    m = F.col("_n0") + F.col("_n1")
+    split = split.withColumn("_sse2", part("0") + part("1")).withColumn("_aic2", aic(F.col("_sse2"), m, 4))
+    b0, b1 = F.col("_sxy0") / F.col("_sxx0"), F.col("_sxy1") / F.col("_sxx1")
+    var = F.col("_sse2") / (m - 4) * (1.0 / F.col("_sxx0") + 1.0 / F.col("_sxx1"))
     p = F.when(m > 4, F.when(var > 0, t_two_sided_p((b1 - b0) / F.sqrt(var), m - 4)).otherwise(0.0))
     best = split.groupBy(entity).agg(
-        F.min(F.struct(F.col("aic2").alias("aic"), bp.alias("bp"), b0.alias("b0"), b1.alias("b1"), p.alias("p"))).alias("best")
+        F.min(F.struct(F.col("_aic2").alias("aic"), bp.alias("bp"), b0.alias("b0"), b1.alias("b1"), p.alias("p"))).alias("_best")
     )
     out = single.join(best, entity, "left")
-    better = F.col("best.aic") < F.col("aic1")
+    better = F.col("_best.aic") < F.col("_aic1")
     enough = n >= 5
-    g0 = F.when(better, pct_of_slope("best.b0")).otherwise(pct_of_slope("beta"))
-    g1 = F.when(better, pct_of_slope("best.b1")).otherwise(pct_of_slope("beta"))
+    g0 = F.when(better, pct_of_slope("_best.b0")).otherwise(pct_of_slope("_beta"))
+    g1 = F.when(better, pct_of_slope("_best.b1")).otherwise(pct_of_slope("_beta"))
     kind = (
         F.when((g0 >= 0) & (g1 < 0), "reversal_to_decline")
         .when((g0 < 0) & (g1 >= 0), "reversal_to_growth")
@@ -353,49 +353,49 @@ def breakpoints(panel, entity, year, value) -> DataFrame:
     )
     return out.select(
         entity,
-        F.when(better, F.col("best.bp")).alias("breakpoint_year"),
+        F.when(better, F.col("_best.bp")).alias("breakpoint_year"),
         F.when(enough, g0).alias("growth_rate_before"),
         F.when(enough, g1).alias("growth_rate_after"),
         F.when(better, kind).alias("change_type"),
-        F.when(better, F.col("best.p")).alias("p_value"),
-        F.when(better, F.col("aic1") - F.col("best.aic")).when(enough, 0.0).alias("aic_improvement"),
+        F.when(better, F.col("_best.p")).alias("p_value"),
+        F.when(better, F.col("_aic1") - F.col("_best.aic")).when(enough, 0.0).alias("aic_improvement"),
     )
 
 
 def stability(panel, entity, year, value, led_year: int = LED_YEAR) -> DataFrame:
     """Variation measures per entity; skewness and kurtosis are bias-corrected."""
     along = Window.partitionBy(entity).orderBy(year)
-    known = panel.filter(F.col(value).isNotNull()).select(entity, year, F.col(value).cast("double").alias("v"))
-    known = known.withColumn("jump", F.abs(F.col("v") - F.lag("v").over(along)))
+    known = panel.filter(F.col(value).isNotNull()).select(entity, year, F.col(value).cast("double").alias("_v"))
+    known = known.withColumn("_jump", F.abs(F.col("_v") - F.lag("_v").over(along)))
     agg = known.groupBy(entity).agg(
-        F.count("v").alias("n"),
-        F.avg("v").alias("mean"),
-        F.stddev_samp("v").alias("sd"),
-        F.var_pop("v").alias("vp"),
-        F.skewness("v").alias("g1"),
-        F.kurtosis("v").alias("g2"),
-        (F.percentile("v", 0.75) - F.percentile("v", 0.25)).alias("iqr"),
-        F.max("jump").alias("jump"),
-        F.avg(F.when(F.col(year) < led_year, F.col("v"))).alias("pre"),
-        F.avg(F.when(F.col(year) >= led_year, F.col("v"))).alias("post"),
+        F.count("_v").alias("_n"),
+        F.avg("_v").alias("_mean"),
+        F.stddev_samp("_v").alias("_sd"),
+        F.var_pop("_v").alias("_vp"),
+        F.skewness("_v").alias("_g1"),
+        F.kurtosis("_v").alias("_g2"),
+        (F.percentile("_v", 0.75) - F.percentile("_v", 0.25)).alias("_iqr"),
+        F.max("_jump").alias("_jump"),
+        F.avg(F.when(F.col(year) < led_year, F.col("_v"))).alias("_pre"),
+        F.avg(F.when(F.col(year) >= led_year, F.col("_v"))).alias("_post"),
     )
-    n = F.col("n").cast("double")
-    ok, varied = F.col("n") >= 2, F.col("vp") > 0
-    cv = F.when(F.col("mean") > 0, F.col("sd") / F.col("mean"))
-    skew = F.when((n >= 3) & varied, F.col("g1") * F.sqrt(n * (n - 1)) / (n - 2))
-    kurt = F.when((n >= 4) & varied, ((n + 1) * F.col("g2") + 6.0) * (n - 1) / ((n - 2) * (n - 3)))
+    n = F.col("_n").cast("double")
+    ok, varied = F.col("_n") >= 2, F.col("_vp") > 0
+    cv = F.when(F.col("_mean") > 0, F.col("_sd") / F.col("_mean"))
+    skew = F.when((n >= 3) & varied, F.col("_g1") * F.sqrt(n * (n - 1)) / (n - 2))
+    kurt = F.when((n >= 4) & varied, ((n + 1) * F.col("_g2") + 6.0) * (n - 1) / ((n - 2) * (n - 3)))
     only = lambda c: F.when(ok, c)
     return panel.select(entity).distinct().join(agg, entity, "left").select(
         entity,
-        only(F.col("mean")).alias("mean_value"),
-        only(F.col("sd")).alias("std_value"),
+        only(F.col("_mean")).alias("mean_value"),
+        only(F.col("_sd")).alias("std_value"),
         only(cv).alias("coefficient_of_variation"),
         only(skew).alias("skewness"),
         only(kurt).alias("kurtosis"),
-        only(F.col("iqr")).alias("iqr"),
-        only(F.col("jump")).alias("max_year_to_year_change"),
+        only(F.col("_iqr")).alias("iqr"),
+        only(F.col("_jump")).alias("max_year_to_year_change"),
         only(stability_class(cv)).alias("stability_class"),
-        only(F.coalesce(F.col("post") < F.col("pre"), F.lit(False))).alias("possible_led_transition"),
+        only(F.coalesce(F.col("_post") < F.col("_pre"), F.lit(False))).alias("possible_led_transition"),
     )
 
 

@@ -75,10 +75,10 @@ def _(t):
     d AS (SELECT p.yr, p.r, p.c, med, top, lo, hi, med - base AS diff FROM pixels p JOIN q ON p.yr = q.yr LEFT JOIN b ON p.r = b.r AND p.c = b.c)
     SELECT yr, r, c, round(log10(greatest(med, 0.01)), 6) AS log_value,
       round(pow(least(greatest(med / top, 0), 1), 0.35), 6) AS power_value,
-      round((least(greatest(diff, -5), 5) + 5) / 10, 6) AS change5,
-      round((least(greatest(diff, -2), 2) + 2) / 4, 6) AS change2,
+      round(CASE WHEN diff IS NOT NULL THEN (least(greatest(diff, -5), 5) + 5) / 10 END, 6) AS change5,
+      round(CASE WHEN diff IS NOT NULL THEN (least(greatest(diff, -2), 2) + 2) / 4 END, 6) AS change2,
       round(0.02 + 0.93 * pow(pow(least(greatest(med / top, 0), 1), 0.35), 0.6), 6) AS alpha_magnitude,
-      round(0.02 + 0.88 * pow(abs((least(greatest(diff, -5), 5) + 5) / 10 - 0.5) * 2, 0.55), 6) AS alpha_change,
+      round(CASE WHEN diff IS NOT NULL THEN 0.02 + 0.88 * pow(abs((least(greatest(diff, -5), 5) + 5) / 10 - 0.5) * 2, 0.55) END, 6) AS alpha_change,
       round(greatest(lo, 0.1), 6) AS range_low, round(hi, 6) AS range_high FROM d""",
 )
 def _(t):
