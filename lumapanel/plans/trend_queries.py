@@ -530,11 +530,11 @@ add_view(
     f"""SELECT *, CAST(row_number() OVER (ORDER BY projected_radiance_10yr, entity) AS INT) AS rank_conservation FROM (
     SELECT t.entity, CAST(t.entity AS VARCHAR) AS slug, 2001 AS latest_year, round(l.v, 4) AS latest_radiance, 1995 AS baseline_year, round(b.v, 4) AS baseline_radiance,
      round((l.v - b.v) / b.v * 100, 2) AS pct_change_total, round(annual_pct_change, 3) AS annual_pct_change, {ALAN_SQL.format(v='l.v')} AS alan_class,
-     {TIER.format(p='cume_dist() OVER (ORDER BY l.v) * 100')} AS percentile_tier,
-     CAST(row_number() OVER (ORDER BY t.annual_pct_change DESC, t.entity) AS INT) AS rank_annual_growth,
-     CAST(row_number() OVER (ORDER BY l.v DESC, t.entity) AS INT) AS rank_latest_radiance,
+     {TIER.format(p='l.share * 100')} AS percentile_tier, t.growth_rank AS rank_annual_growth, l.latest_rank AS rank_latest_radiance,
      round(l.v * pow(1 + t.annual_pct_change / 100, 10), 3) AS projected_radiance_10yr
-    FROM trend t JOIN scaled l ON l.entity = t.entity AND l.yr = 2001 JOIN scaled b ON b.entity = t.entity AND b.yr = 1995)""",
+    FROM (SELECT *, CAST(row_number() OVER (ORDER BY annual_pct_change DESC, entity) AS INT) AS growth_rank FROM trend) t
+    JOIN (SELECT *, CAST(row_number() OVER (ORDER BY v DESC, entity) AS INT) AS latest_rank, cume_dist() OVER (ORDER BY v) AS share
+      FROM scaled WHERE yr = 2001) l ON l.entity = t.entity JOIN scaled b ON b.entity = t.entity AND b.yr = 1995)""",
 )
 PROP_VIEWS = "panel xy fit trend scaled props"
 
