@@ -165,25 +165,16 @@ def nearest_location(
     state = state.withColumn("_open", F.lit(True))
     for level in [*levels, 180.0]:
         whole = level >= 180.0
-        rows, cols = max(1, round(180.0 / level)), max(1, round(360.0 / level))
+        rows, cols = (1, 1) if whole else (max(1, round(180.0 / level)), max(1, round(360.0 / level)))
         tall, wide = 180.0 / rows, 360.0 / cols
         band = lambda y: F.least(F.floor((y + 90.0) / tall), F.lit(rows - 1)).cast("int")  # noqa: B023,E731
         sector = lambda x: F.pmod(F.floor((x + 180.0) / wide).cast("int"), F.lit(cols))  # noqa: B023,E731
-        if whole:
-            cells = F.array(F.struct(F.lit(0).alias("b"), F.lit(0).alias("s")))
-            placed = town.withColumn("_b", F.lit(0)).withColumn("_s", F.lit(0))
-        else:
-            b, s = band(F.col("_lat")), sector(F.col("_lon"))
-            cells = F.array_distinct(
-                F.array(
-                    *[
-                        F.struct((b + i).alias("b"), F.pmod(s + j, F.lit(cols)).alias("s"))
-                        for i in (-1, 0, 1)
-                        for j in (-1, 0, 1)
-                    ]
-                )
-            )
-            placed = town.withColumn("_b", band(F.col("_clat"))).withColumn("_s", sector(F.col("_clon")))
+        # The last level is one cell for the whole globe, which only open sites enter.
+        steps = (0,) if whole else (-1, 0, 1)
+        b, s = band(F.col("_lat")), sector(F.col("_lon"))
+        around = [F.struct((b + i).alias("b"), F.pmod(s + j, F.lit(cols)).alias("s")) for i in steps for j in steps]
+        cells = F.array_distinct(F.array(*around))
+        placed = town.withColumn("_b", band(F.col("_clat"))).withColumn("_s", sector(F.col("_clon")))
         looking = state.withColumn("_cell", F.explode_outer(F.when(F.col("_open"), cells)))
         looking = looking.withColumn("_cb", F.col("_cell.b")).withColumn("_cs", F.col("_cell.s")).drop("_cell")
         seen = looking.join(placed, (F.col("_cb") == F.col("_b")) & (F.col("_cs") == F.col("_s")), "left")
