@@ -28,11 +28,6 @@ def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
-def edit_similarity(a: Column, b: Column) -> Column:
-    """1 - edit distance over the longer length, computed without Python."""
-    return 1.0 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1)).cast("double")
-
-
 def _slack(lx: Column, ly: Column, threshold: float) -> tuple[Column, Column, Column]:
     """Allowed unmatched characters in total, in the first and in the second name."""
     least = F.ceil((lx + ly) * (threshold / 2.0) - 1e-9).cast("int")
