@@ -4,8 +4,9 @@ import pytest
 from oracle import connect, differences
 
 from __spark_entry__ import entry, oracle_sql, queries
+from lumapanel.plans import all_oracles, all_queries
 
-QUERIES, ORACLES = queries(), oracle_sql()
+QUERIES, ORACLES = all_queries(), all_oracles()
 
 # On the smallest tables some filters keep nothing; the results must still agree.
 
@@ -32,3 +33,5 @@ def test_entry(spark):
 
 def test_oracles_belong_to_queries():
     assert set(ORACLES) <= set(QUERIES)
+    assert set(oracle_sql()) <= set(queries())
+    assert set(QUERIES) <= set(queries())
