@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding
+from . import mixing, sharding, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,3 +73,35 @@ def op9_entropy_mixing(spark, sf_dir):
     return mixed.select(
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken")
     )
+
+
+# Base32 of a SHA-1 in hex: five hex digits are four letters.
+BASE32 = """array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST((CAST('0x' || substr(sha1(payload), CAST(i // 4 * 5 + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) % 32 + 1 AS BIGINT), 1)), '')"""
+
+
+@query(
+    "op2_zip_warc",
+    f"""WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+    g AS (SELECT payload AS same, max(page_id) AS kept, count(*) AS n FROM p GROUP BY payload)
+    SELECT page_id, octet_length(encode(payload)) AS payload_bytes, {BASE32} AS payload_digest,
+      CASE WHEN page_id IS DISTINCT FROM kept THEN 'revisit' ELSE 'response' END AS record_type,
+      CASE WHEN page_id IS DISTINCT FROM kept THEN kept END AS refers_to
+    FROM p JOIN g ON payload = same""",
+)
+def op2_zip_warc(spark, sf_dir):
+    """All pages written as WARC records in ZIP archives and read back by byte ranges."""
+    back = warc.archive_pages(table(spark, sf_dir, "pages"), min_bytes=0)
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op6_repair_tokens")
+def op6_repair_tokens(spark, sf_dir):
+    """All documents as ids in grammar-compressed files, read back."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    files = token_files.write_token_files(
+        table(spark, sf_dir, "documents"), path, end_id=2, vocabulary=token_files.vocabulary_size(path)
+    )
+    return token_files.read_token_files(files)
