@@ -48,6 +48,7 @@ class UnitEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.separator = self.tokenizer.token_to_id("\u010d")
         self.clear()
 
     def clear(self) -> None:
@@ -58,18 +59,30 @@ class UnitEncoder:
     def _codes(self, known: dict[str, int], pieces: list[str], before: str) -> np.ndarray:
         """Number of each piece; new ones are encoded after ``before`` and remembered."""
         fresh = [p for p in dict.fromkeys(pieces) if p not in known]
-        for low in range(0, len(fresh), 4096):
-            part = fresh[low : low + 4096]
-            for piece, code in zip(part, self.tokenizer.encode_batch_fast([before + p for p in part], add_special_tokens=False), strict=True):
-                ids = code.ids
-                while self.filled + len(ids) > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-                self.flat[self.filled : self.filled + len(ids)] = ids
-                self.filled += len(ids)
-                known[piece] = len(self.at) - 1
-                self.at.append(self.filled)
+        plain = [p for p in fresh if p and "\r" not in p and not p[0].isspace() and not p[-1].isspace()]
+        for low in range(0, len(plain), 4096):
+            # A carriage return before a piece or its space is a token of its own, so many pieces go in one call.
+            part = plain[low : low + 4096]
+            ids = np.array(self.tokenizer.encode("\r".join([before + p for p in part]), add_special_tokens=False).ids, np.uint32)
+            cuts = np.flatnonzero(ids == self.separator)
+            ends = np.append(cuts - np.arange(len(cuts)), len(ids) - len(cuts))
+            if len(ends) != len(part):
+                raise AssertionError("pieces ran together")
+            self._keep(known, part, ids[ids != self.separator], ends)
+        for p in fresh:
+            if p not in known:
+                ids = np.array(self.tokenizer.encode(before + p, add_special_tokens=False).ids, np.uint32)
+                self._keep(known, [p], ids, np.array([len(ids)]))
         return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
 
+    def _keep(self, known: dict[str, int], pieces: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        while self.filled + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        self.flat[self.filled : self.filled + len(ids)] = ids
+        known.update(zip(pieces, range(len(self.at) - 1, len(self.at) - 1 + len(pieces)), strict=True))
+        self.at += (ends + self.filled).tolist()
+        self.filled += len(ids)
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has."""
         if len(self.heads) + len(self.rests) > CACHE_UNITS:
@@ -86,7 +99,7 @@ class UnitEncoder:
         later[bounds[:-1]] = False
         codes[bounds[:-1]] = self._codes(self.heads, heads, "")
         codes[later] = self._codes(self.rests, rests, " ")
-        at = np.asarray(self.at)
+        at = np.array(self.at)
         lengths = at[codes + 1] - at[codes]
         ends = np.concatenate([[0], np.cumsum(lengths)])
         return self.flat[ragged(at[codes], lengths)], np.diff(ends[bounds])
