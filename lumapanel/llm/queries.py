@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding, token_files, warc
+from . import mixing, sharding, token_files, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -105,3 +105,9 @@ def op6_repair_tokens(spark, sf_dir):
         table(spark, sf_dir, "documents"), path, end_id=2, vocabulary=token_files.vocabulary_size(path)
     )
     return token_files.read_token_files(files)
+
+
+@query("op8_kernel_toxicity")
+def op8_kernel_toxicity(spark, sf_dir):
+    """Toxicity of every document."""
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
