@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding, token_files, toxicity, warc
+from . import decontamination, mixing, sharding, token_files, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -111,3 +111,9 @@ def op6_repair_tokens(spark, sf_dir):
 def op8_kernel_toxicity(spark, sf_dir):
     """Toxicity of every document."""
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op3_rare_seed_alignment")
+def op3_rare_seed_alignment(spark, sf_dir):
+    """Documents that hold a benchmark item, whole or edited, with the alignment's score."""
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

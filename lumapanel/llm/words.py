@@ -22,6 +22,9 @@ _VALUE = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) | np.
 _VALUE[_SPACE] = 0
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
+_PLAIN = np.arange(256, dtype=np.uint8)
+_PLAIN[65:91] += 32
+_PLAIN[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 32
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _powers: dict[int, np.ndarray] = {}
@@ -75,14 +78,18 @@ def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at - at[0]
 
 
-def words_of(texts: pa.Array, lower: bool = False) -> Words:
-    """All words of the texts; ``lower`` maps A-Z to a-z first."""
+def words_of(texts: pa.Array, lower: bool = False, plain: bool = False) -> Words:
+    """All words of the texts.
+
+    ``lower`` maps A-Z to a-z first; ``plain`` does so too and reads ASCII
+    punctuation as spaces.
+    """
     if not len(texts):
         none = np.empty(0, dtype=np.int64)
         return Words(none.astype(np.uint64), none, none, np.zeros(1, dtype=np.int64), np.empty(0, np.uint8))
     data, at = _bytes(texts)
-    if lower:
-        data = _LOWER[data]
+    if lower or plain:
+        data = (_PLAIN if plain else _LOWER)[data]
     n = len(data)
     inside = ~_SPACE[data]
     first, last = inside.copy(), inside.copy()
