@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, sharding, token_files, toxicity, warc
+from . import chosen_path, decontamination, mixing, sharding, token_files, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -117,3 +117,9 @@ def op8_kernel_toxicity(spark, sf_dir):
 def op3_rare_seed_alignment(spark, sf_dir):
     """Documents that hold a benchmark item, whole or edited, with the alignment's score."""
     return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op10_chosen_path_join")
+def op10_chosen_path_join(spark, sf_dir):
+    """The near-duplicate class of every document, and its number of links."""
+    return chosen_path.document_classes(table(spark, sf_dir, "documents"))
