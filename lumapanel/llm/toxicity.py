@@ -1,15 +1,16 @@
 """Toxic texts by a support vector machine on a gapped subsequence kernel.
 
 The kernel of two words is the normalised inner product of their subsequences of
-three and four letters, word ends included, with at most two letters left out;
+three to five letters, word ends included, with at most two letters left out;
 each letter left out costs a factor ``DECAY``. So an insult with an inserted
 letter stays near the insult. A Nystroem map on landmark words makes the machine
-linear, and a linear machine on landmarks is one weight per subsequence: scoring
-a word needs no kernel evaluation. A text scores as its worst word.
+linear, and a linear machine on landmarks is one weight per subsequence (hashed to
+``FEATURES`` numbers): scoring a word needs no kernel evaluation. A text scores as
+its worst word.
 
-Words are judged in Latin letters: lower case, accents folded, ``0 1 3 4 5 7 @ $``
-read as letters, other characters dropped (``i.d.i.o.t`` is ``idiot``), and three
-or more letters that stand alone are read together.
+Words are read in lower case, ``0 1 3 4 5 7 @ $`` as letters, other characters
+than letters dropped (``i.d.i.o.t`` is ``idiot``); letters outside a-z share a few
+codes; three or more letters that stand alone are read together.
 """
 
 from __future__ import annotations
@@ -30,21 +31,25 @@ from ..session import saved
 
 DECAY = 0.7
 GAP = 2
-LETTERS = 29  # 0 unused, a-z, the word's start and its end
+OTHERS = 12  # codes of the letters outside a-z
+LETTERS = 29 + OTHERS  # 0 unused, a-z, the word's start and its end, the others
 PATTERNS = [
     (offsets, DECAY ** (offsets[-1] - size + 1))
-    for size in (3, 4)
+    for size in (3, 4, 5)
     for offsets in [(0, *rest) for rest in combinations(range(1, size + GAP), size - 1)]
 ]
-FEATURES = LETTERS**3 + LETTERS**4
+FEATURE_BITS = 20
+FEATURES = 1 << FEATURE_BITS
 CACHE_WORDS = 1_000_000
 
 # Bounds of the fitting sample; everything else covers all rows.
 MAX_TOXIC, MAX_CLEAN, MAX_FIT_CHARS = 1500, 2500, 100_000
 MAX_WORDS, LANDMARKS = 10_000, 256
+LIFT = 4  # times as often in toxic texts as in clean ones
 
-_FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ013457@$", b"abcdefghijklmnopqrstuvwxyzoieastas")
-_DROP = bytes(c for c in range(256) if not (97 <= bytes([c]).translate(_FOLD)[0] <= 122 or c == 10))
+_READ = str.maketrans("013457@$", "oieastas")
+_CODE = np.zeros(128, np.int64)
+_CODE[97:123] = np.arange(1, 27)
 _SPACED = re.compile(r"(?<!\S)(?:[^\W\d_]\s){2,}[^\W\d_](?!\S)")
 
 
@@ -58,15 +63,19 @@ def tokens(text: str | None) -> set[str]:
 
 
 def letters(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Letter codes of the folded words with their end marks, and the word of each."""
-    joined = unicodedata.normalize("NFKD", "\n".join(words)).encode("ascii", "ignore").translate(_FOLD, _DROP)
-    data = np.frombuffer(b"\n" + joined + b"\n", np.uint8)
-    breaks = data == 10
+    """Letter codes of the words with their end marks, and the word of each."""
+    joined = "\n" + unicodedata.normalize("NFKC", "\n".join(words)).lower().translate(_READ) + "\n"
+    point = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    far = 29 + ((point * 2654435761) >> 13) % OTHERS
+    mark = (point < 0xAA) | ((point > 0xAA) & (point < 0xC0) & (point != 0xB5) & (point != 0xBA)) | ((point >= 0x2000) & (point < 0x2070))
+    code = np.where(point < 128, _CODE[np.minimum(point, 127)], np.where(mark, 0, far))
+    breaks = point == 10
+    kept = (code > 0) | breaks
+    code, breaks = code[kept], breaks[kept]
     # Each line break becomes the end of a word and the start of the next.
-    at = np.arange(len(data)) + np.cumsum(breaks) - 1
-    codes = np.zeros(len(data) + int(breaks.sum()), np.int64)
-    codes[at] = np.where(breaks, 28, data.astype(np.int64) - 96)
-    codes[at[breaks] + 1] = 27
+    at = np.arange(len(code)) + np.cumsum(breaks) - breaks
+    codes = np.full(len(code) + int(breaks.sum()), 27, np.int64)
+    codes[at] = np.where(breaks, 28, code)
     word = np.repeat(np.arange(-1, int(breaks.sum())), np.diff(np.concatenate([[0], at[breaks] + 1, [len(codes)]])))
     inside = (word >= 0) & (word < len(words))
     return codes[inside], word[inside]
@@ -74,15 +83,16 @@ def letters(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def subsequences(codes: np.ndarray, word: np.ndarray):
     """For each pattern: the words, feature numbers and weight of its occurrences."""
+    codes = codes.astype(np.uint64)
     for offsets, weight in PATTERNS:
         n = len(codes) - offsets[-1]
         if n <= 0:
             continue
         ok = np.flatnonzero(word[:n] == word[offsets[-1] :])
-        number = codes[ok]
-        for o in offsets[1:]:
-            number = number * LETTERS + codes[ok + o]
-        yield word[ok], number + (LETTERS**3 if len(offsets) == 4 else 0), weight
+        number = np.full(len(ok), len(offsets), np.uint64)
+        for o in offsets:
+            number = number * np.uint64(LETTERS) + codes[ok + o]
+        yield word[ok], ((number * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - FEATURE_BITS)).astype(np.int64), weight
 
 
 @dataclass
@@ -192,16 +202,21 @@ def fit(toxic: list[set[str]], clean: list[set[str]], seed: int = 11, rounds: in
     fold = lambda bags: [bags[i] for i in rng.permutation(len(bags))]
     toxic, clean = distinct_bags(fold(toxic)), fold(clean)
     cut_t, cut_c = max(1, len(toxic) * 4 // 5), max(1, len(clean) * 4 // 5)
-    seen = Counter(w for bag in clean[:cut_c] for w in bag)
-    counts = Counter(w for bag in toxic[:cut_t] for w in bag if w not in seen)
-    for least in (max(3, len(toxic) // 100), 2, 1):
-        suspects = [w for w, n in counts.most_common(MAX_WORDS // 4) if n >= least]
-        if suspects:
+    toxic_fit, clean_fit = toxic[:cut_t], clean[:cut_c]
+    seen = Counter(w for bag in clean_fit for w in bag)
+    counts = Counter(w for bag in toxic_fit for w in bag)
+    odds = len(clean_fit) / len(toxic_fit)
+    lifted = {w for w, n in counts.items() if n * odds >= LIFT * seen[w]}
+    # So often in toxic texts that hardly a word would be by chance.
+    share, spread = len(toxic_fit) / (len(toxic_fit) + len(clean_fit)), Counter((counts + seen).values())
+    for least in range(2, len(toxic_fit) + 2):
+        if sum(k for n, k in spread.items() if n >= least) * share**least < 0.5:
             break
-    suspects = suspects or sorted({w for b in toxic for w in b})[: MAX_WORDS // 4]
+    suspects = [w for w, n in counts.most_common() if n >= least and w in lifted][: MAX_WORDS // 4]
+    suspects = suspects or [w for w, _ in counts.most_common() if w in lifted][: MAX_WORDS // 4] or sorted(counts)
     positive = {w: float(counts[w] or 1) for w in suspects}
-    common = [w for w, _ in seen.most_common(MAX_WORDS // 4)]
-    others = sorted(seen.keys() - set(common))
+    common = [w for w, _ in seen.most_common(MAX_WORDS // 4) if w not in lifted]
+    others = sorted(seen.keys() - set(common) - lifted)
     negative = dict.fromkeys(common + [others[i] for i in rng.permutation(len(others))[: MAX_WORDS // 4]], 1.0)
     machine = None
     for turn in range(rounds):
@@ -226,14 +241,14 @@ def fit(toxic: list[set[str]], clean: list[set[str]], seed: int = 11, rounds: in
         weights[used] = dense @ (root @ beta)
         machine = Machine(weights.astype(np.float32), 1.0, shift)
         cache: dict[str, float] = {}
-        machine.worst(toxic[:cut_t] + clean[:cut_c], cache)
+        machine.worst(toxic_fit + clean_fit, cache)
         if turn < rounds - 1:
-            witness = Counter(max(sorted(bag - seen.keys()) or sorted(bag), key=cache.__getitem__) for bag in toxic[:cut_t] if bag)
+            witness = Counter(max(sorted(bag & lifted) or sorted(bag), key=cache.__getitem__) for bag in toxic_fit if bag)
             # Copies of one text share all their words; those that look like no insult go.
             positive = {w: float(n) for w, n in positive.items() if cache.get(w, 0.0) > 0}
             for w, n in witness.items():
                 positive[w] = positive.get(w, 0.0) + n
-            hard = sorted((w for w in seen if w not in positive), key=lambda w: (-cache[w], w))[: MAX_WORDS // 8]
+            hard = sorted((w for w in seen if w not in lifted), key=lambda w: (-cache[w], w))[: MAX_WORDS // 8]
             negative |= dict.fromkeys(hard, 2.0)
             for w in positive:
                 negative.pop(w, None)
