@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chosen_path, decontamination, mixing, sharding, token_files, toxicity, warc
+from . import chosen_path, decontamination, mixing, sharding, substrings, token_files, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -123,3 +123,20 @@ def op3_rare_seed_alignment(spark, sf_dir):
 def op10_chosen_path_join(spark, sf_dir):
     """The near-duplicate class of every document, and its number of links."""
     return chosen_path.document_classes(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op4_difference_cover",
+    r"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    win AS (SELECT rid, i, array_to_string(w[i : i + 34], ' ') AS s FROM d, LATERAL (SELECT unnest(range(1, len(w) - 33)) AS i)),
+    again AS (SELECT s FROM win GROUP BY s HAVING count(*) > 1),
+    covered AS (SELECT DISTINCT rid, unnest(range(i, i + 35)) AS p FROM win SEMI JOIN again USING (s)),
+    word AS (SELECT rid, p, w[p] AS x FROM d, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS p)),
+    kept AS (SELECT rid, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n FROM word ANTI JOIN covered USING (rid, p) GROUP BY rid)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+      sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (rid)""",
+)
+def op4_difference_cover(spark, sf_dir):
+    """All documents without passages of 35 words that start anywhere else."""
+    cleaned = substrings.remove_repeats(table(spark, sf_dir, "documents"), window=35)
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
@@ -17,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import saved, scratch_path
 
 CHUNK_ROWS = 8192
 
@@ -51,10 +52,65 @@ def open_output(uri: str) -> pa.NativeFile:
 
 
 def save_chunks(df: DataFrame, label: str, rows: int = CHUNK_ROWS) -> DataFrame:
-    """Write a table in files of at most ``rows`` rows; read back with the file's address as ``chunk``."""
+    """Write a table in files of at most ``rows`` rows; returns its files as (chunk, path), saved.
+
+    ``chunk`` is a hash of the path, for the rows that are gathered for a file.
+    """
     path = scratch_path(df.sparkSession, label)
-    df.write.option("maxRecordsPerFile", rows).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path).withColumn("chunk", F.input_file_name())
+    df.write.option("maxRecordsPerFile", rows).option("compression", "zstd").parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    files = written.select(F.input_file_name().alias("path")).distinct()
+    return saved(files.select(F.xxhash64("path").alias("chunk"), "path"), f"{label}-files")
+
+
+def per_file(files: DataFrame, fn, schema: str) -> DataFrame:
+    """Run ``fn(chunk, path)``, a generator of record batches, for every file, about one file to a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, path in zip(batch["chunk"].to_pylist(), batch["path"].to_pylist(), strict=True):
+                yield from fn(chunk, path)
+
+    return files.repartition(max(1, files.count()), "chunk").mapInArrow(run, schema)
+
+
+def per_chunk(files: DataFrame, gathered: DataFrame, fn, schema: str) -> DataFrame:
+    """Run ``fn(chunk, path, columns)`` for every file with the rows (chunk, ...) gathered for it.
+
+    ``columns`` holds numpy arrays of long columns; a file for which nothing was
+    gathered gets empty ones. What is gathered for a file must be bounded by the
+    file's size.
+    """
+    names = [c for c in gathered.columns if c != "chunk"]
+    rows = gathered.select("chunk", *names, F.lit(None).cast("string").alias("path")).union(
+        files.select("chunk", *[F.lit(None).cast("long").alias(c) for c in names], "path")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, path, held = None, None, []
+        for batch in batches:
+            keys = batch["chunk"].to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+                if low == high:
+                    continue
+                if chunk is not None and keys[low] != chunk:
+                    yield from fn(int(chunk), path, _columns(held, names))
+                    path, held = None, []
+                chunk, part = keys[low], batch.slice(low, high - low)
+                marker = part.filter(part["path"].is_valid())
+                if marker.num_rows:
+                    path = marker["path"][0].as_py()
+                    part = part.filter(part["path"].is_null())
+                held.append(part)
+        if chunk is not None:
+            yield from fn(int(chunk), path, _columns(held, names))
+
+    return rows.repartition(max(1, files.count()), "chunk").sortWithinPartitions("chunk").mapInArrow(run, schema)
+
+
+def _columns(held: list[pa.RecordBatch], names: list[str]) -> dict[str, np.ndarray]:
+    return {c: np.concatenate([p[c].to_numpy(zero_copy_only=False).astype(np.int64) for p in held]) if held else np.empty(0, np.int64) for c in names}
 
 
 def read_chunk(uri: str, columns: list[str], rows: int = 1024) -> Iterator[pa.RecordBatch]:
