@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chosen_path, decontamination, mixing, sharding, substrings, token_files, toxicity, warc
+from . import backoff_lm, chosen_path, decontamination, mixing, sharding, substrings, token_files, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -140,3 +140,9 @@ def op4_difference_cover(spark, sf_dir):
     """All documents without passages of 35 words that start anywhere else."""
     cleaned = substrings.remove_repeats(table(spark, sf_dir, "documents"), window=35)
     return cleaned.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
+@query("op7_backoff_automaton")
+def op7_backoff_automaton(spark, sf_dir):
+    """Log-probability of every document under an n-gram automaton."""
+    return backoff_lm.score_documents(table(spark, sf_dir, "documents"))
