@@ -30,6 +30,7 @@ END = np.uint64(0x1D8AF066E4A9B3C7)  # stands for the end among the words' hashe
 WORD_SHARE, GRAM_SHARE = 1e-5, 5e-7
 ORDER = 3
 DISCOUNT = 0.75
+MIN_COUNT = 2
 
 
 def held_out(doc_id: Column, folds: int = 7, fold: int = 2) -> Column:
@@ -217,7 +218,7 @@ def build(files: DataFrame, counts: DataFrame, total: int, distinct: int, word_s
 
         grams = per_file(files, count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
         # At most 1 / gram_share of them.
-        kept = grams.filter(F.col("n") >= max(2, int(np.ceil(gram_share * total))))
+        kept = grams.filter(F.col("n") >= max(MIN_COUNT, int(np.ceil(gram_share * total))))
         rows = sorted((r["code"], r["n"]) for r in kept.toLocalIterator())
         if not rows:
             break

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff_lm, chosen_path, decontamination, mixing, sharding, substrings, token_files, toxicity, warc
+from . import backoff_lm, chosen_path, decontamination, mixing, sharding, substrings, token_files, toxicity, vantage, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -146,3 +146,18 @@ def op4_difference_cover(spark, sf_dir):
 def op7_backoff_automaton(spark, sf_dir):
     """Log-probability of every document under an n-gram automaton."""
     return backoff_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op5_vantage_trees",
+    """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0)
+    SELECT query_id, rank, vec_id, score FROM (
+      SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM (
+        SELECT q.vec_id AS query_id, e.vec_id, list_inner_product(q.v, e.v) AS score
+        FROM e q JOIN e ON q.vec_id <> e.vec_id AND len(q.v) = len(e.v) WHERE q.vec_id % 20 = 0)) WHERE rank <= 20""",
+)
+def op5_vantage_trees(spark, sf_dir):
+    """The 20 nearest rows of every twentieth embedding, exactly."""
+    return vantage.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, factor=1.0)
