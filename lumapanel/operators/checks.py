@@ -9,6 +9,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -75,10 +77,13 @@ def check_schema(df: DataFrame | None, rules: Sequence[Rule], step: str, spark:
 
 
 def require_schema(df: DataFrame, rules: Sequence[Rule], step: str) -> DataFrame:
-    """The strict form: raise on the first failures, else hand the table on."""
-    bad = check_schema(df, rules, step).limit(5).collect()
-    if bad:
-        raise ValueError(f"[{step}] schema violations: {[tuple(r) for r in bad]}")
+    """The strict form: hand the table on, or write all failures down and raise with their number and place."""
+    path = scratch_path(df.sparkSession, "schema-failures")
+    check_schema(df, rules, step).write.parquet(path)
+    bad = df.sparkSession.read.parquet(path)
+    if n := bad.count():
+        kinds = bad.groupBy("column", "check").count().orderBy("column", "check").collect()
+        raise ValueError(f"[{step}] {n} schema violations, all in {path}: {[tuple(r) for r in kinds]}")
     return df
 
 

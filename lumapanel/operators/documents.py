@@ -2,7 +2,7 @@
 
 Each document is one row of JSON text per entity, feature or board. Collections
 are written with Spark's JSON sink, so no whole collection has to pass through
-one task; a leaderboard comes in pages of a fixed size.
+one task; a leaderboard comes in pages of the size that the caller wants.
 """
 
 from __future__ import annotations
@@ -27,13 +27,11 @@ def feature_rows(zones: DataFrame, props: DataFrame, zone: str, coords: str = "c
     return joined.select(zone, F.to_json(feature).alias("feature"))
 
 
-PAGE = 1000
-
-
-def leaderboard_pages(board: DataFrame, cols: Sequence[str], page: int = PAGE) -> DataFrame:
+def leaderboard_pages(board: DataFrame, cols: Sequence[str], page: int) -> DataFrame:
     """JSON texts (board, page, document) holding the rows in rank order, ``page`` rows each.
 
-    One page is the whole board for up to ``page`` entities.
+    A board of up to ``page`` entities is one document; there is no default, so no
+    board is split unasked.
     """
     item = F.struct("rank", *cols)
     paged = board.withColumn("page", F.floor((F.col("rank") - 1) / page).cast("int"))

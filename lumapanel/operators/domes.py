@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,11 +17,11 @@ MIN_RINGS = 3
 STEPS = 200
 
 
-def _fit_for(df: DataFrame, key: str, ks: Column, d: str, v: str) -> DataFrame:
+def _fit_for(df: DataFrame, keys: list[str], ks: Column, d: str, v: str) -> DataFrame:
     """Best non-negative (peak, background) for each tried decay rate."""
     tried = df.withColumn("_k", F.explode(ks)).withColumn("_e", F.exp(-F.col("_k") * F.col(d)))
     e, y = F.col("_e"), F.col(v)
-    s = tried.groupBy(key, "_k").agg(
+    s = tried.groupBy(*keys, "_k").agg(
         F.count(F.lit(1)).alias("_n"),
         F.sum(e).alias("_se"),
         F.sum(e * e).alias("_see"),
@@ -40,42 +41,43 @@ def _fit_for(df: DataFrame, key: str, ks: Column, d: str, v: str) -> DataFrame:
     only_peak = option(F.greatest(over(sey, see), F.lit(0.0)), F.lit(0.0))
     only_base = option(F.lit(0.0), F.greatest(sy / n, F.lit(0.0)))
     free = F.when((peak >= 0) & (base >= 0), option(peak, base))
-    return s.groupBy(key).agg(F.min(F.least(free, only_peak, only_base)).alias("_fit"))
+    return s.groupBy(*keys).agg(F.min(F.least(free, only_peak, only_base)).alias("_fit"))
 
 
-def light_domes(profile: DataFrame, key: str, distance: str, value: str, threshold: float = BACKGROUND) -> DataFrame:
+def light_domes(profile: DataFrame, key: str | Sequence[str], distance: str, value: str, threshold: float = BACKGROUND) -> DataFrame:
     """Peak, decay, dome radius, half distance, r2 and area per location.
 
     For a given decay rate the model is linear, so a grid of rates with a
     second, finer grid around the best replaces an iterative solver. Needs
     three rings with values; otherwise every measure is NULL.
     """
-    rows = profile.filter(F.col(value).isNotNull()).select(key, F.col(distance).alias("_d"), F.col(value).alias("_v"))
-    base = rows.groupBy(key).agg(
+    keys = [key] if isinstance(key, str) else list(key)
+    rows = profile.filter(F.col(value).isNotNull()).select(*keys, F.col(distance).alias("_d"), F.col(value).alias("_v"))
+    base = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.var_pop("_v").alias("_var"), F.max("_d").alias("_far")
     ).filter(F.col("_n") >= MIN_RINGS)
-    ok = rows.join(base.select(key), key)
+    ok = rows.join(base.select(*keys), keys)
     # Rates from 1e-4 to the limit in equal ratios, and zero.
     ratio = math.log(K_MAX / 1e-4) / (STEPS - 1)
     coarse = F.concat(
         F.array(F.lit(0.0)),
         F.transform(F.sequence(F.lit(0), F.lit(STEPS - 1)), lambda i: F.lit(1e-4) * F.exp(i * ratio)),
     )
-    first = _fit_for(ok, key, coarse, "_d", "_v").select(key, F.col("_fit._k").alias("_k0"))
+    first = _fit_for(ok, keys, coarse, "_d", "_v").select(*keys, F.col("_fit._k").alias("_k0"))
     low, high = F.col("_k0") * math.exp(-ratio), F.least(F.col("_k0") * math.exp(ratio), F.lit(K_MAX))
     high = F.when(F.col("_k0") == 0, F.lit(1e-4)).otherwise(high)
     fine = F.transform(F.sequence(F.lit(0), F.lit(STEPS)), lambda i: low + (high - low) * i / STEPS)
-    best = _fit_for(ok.join(first, key), key, fine, "_d", "_v")
-    fit = best.join(base, key).select(
-        key, F.col("_fit._peak").alias("_peak"), F.col("_fit._k").alias("_k"), F.col("_fit._base").alias("_base"),
+    best = _fit_for(ok.join(first, keys), keys, fine, "_d", "_v")
+    fit = best.join(base, keys).select(
+        *keys, F.col("_fit._peak").alias("_peak"), F.col("_fit._k").alias("_k"), F.col("_fit._base").alias("_base"),
         F.when(F.col("_var") > 0, 1.0 - F.col("_fit.sse") / (F.col("_n") * F.col("_var"))).otherwise(0.0).alias("_r2"),
     )
     peak, k, b = F.col("_peak"), F.col("_k"), F.col("_base")
     ends = (peak > threshold) & (k > 0) & (b < threshold)
     radius = F.when(ends, F.greatest(-F.ln((threshold - b) / peak) / k, F.lit(0.0)))
     out = fit.select(
-        key, peak.alias("peak_radiance"), radius.alias("dome_radius_km"), k.alias("decay_rate"),
+        *keys, peak.alias("peak_radiance"), radius.alias("dome_radius_km"), k.alias("decay_rate"),
         F.when(k > 0, math.log(2.0) / k).alias("half_distance_km"), F.col("_r2").alias("model_r_squared"),
         (math.pi * radius * radius).alias("effective_area_km2"),
     )
-    return profile.select(key).distinct().join(out, key, "left")
+    return profile.select(*keys).distinct().join(out, keys, "left")

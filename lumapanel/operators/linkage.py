@@ -188,7 +188,11 @@ def town_master(rows: DataFrame, district: str, norm: str, year: str, name: str,
 
 
 def cross_check(a: DataFrame, b: DataFrame, a_name: str, b_name: str) -> DataFrame:
-    """Names on one side only or differing in case, with suggestions by first four letters."""
+    """Names on one side only or differing in case; (name, status, similar).
+
+    A name that only ``b`` has comes once with every name of ``a`` that starts
+    with its first four letters (all of them, if it is shorter), or once with NULL.
+    """
     left = a.select(F.col(a_name).alias("a")).distinct().withColumn("k", F.lower(F.trim("a")))
     right = b.select(F.col(b_name).alias("b")).distinct().withColumn("k", F.lower(F.trim("b")))
     both = left.join(right, "k", "full_outer")
@@ -198,7 +202,7 @@ def cross_check(a: DataFrame, b: DataFrame, a_name: str, b_name: str) -> DataFra
         .when(F.col("a") != F.col("b"), "case_only")
     )
     odd = both.withColumn("status", status).filter(F.col("status").isNotNull())
-    hints = left.groupBy(F.substring("k", 1, 4).alias("_p")).agg(F.array_join(F.array_sort(F.collect_set("a")), ", ").alias("_similar"))
-    odd = odd.withColumn("_p", F.substring("k", 1, 4)).join(hints, "_p", "left")
-    similar = F.when(F.col("status") == "extra", F.coalesce("_similar", F.lit(""))).otherwise("")
-    return odd.select(F.coalesce("b", "a").alias("name"), "status", similar.alias("similar"))
+    starts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.substring("k", F.lit(1), n)))
+    hints = left.select(F.col("a").alias("similar"), F.explode(starts).alias("_p")).distinct()
+    odd = odd.withColumn("_p", F.when(F.col("status") == "extra", F.substring("k", 1, 4)))
+    return odd.join(hints, "_p", "left").select(F.coalesce("b", "a").alias("name"), "status", "similar")

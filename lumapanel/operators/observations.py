@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import saved
 from .ranking import top_k
 
 # Observation limits, months, seasons and red-list codes.
 MIN_OBS = 5
 RESIDENT_MONTHS, MIGRATORY_MONTHS = 10, 3
 COAST_LON = 73.5
-POINTS_PER_MONTH = 500
 SEASONS = {
     "post_nuptial": (9, 10, 11),
     "pre_nuptial": (12, 1, 2, 3, 4, 5),
@@ -174,52 +176,67 @@ def seasonal_summary(classes: DataFrame, code="iucn_code") -> DataFrame:
 
 def density_surface(
     obs: DataFrame, group: str, box: Mapping[str, float], nx: int, ny: int, lat="lat", lon="lon",
-    factor: float = KDE_FACTOR, bin_deg: float = 0.01, reach: float = 6.0, min_points: int = KDE_MIN_POINTS,
+    factor: float = KDE_FACTOR, min_points: int = KDE_MIN_POINTS,
 ) -> DataFrame:
     """Gaussian kernel density on a grid over the box, per group.
 
-    The bandwidth is ``factor`` times the full covariance of the group. Points
-    are first counted on a fine lattice, then each lattice point meets only the
-    grid cells within ``reach`` bandwidths, beyond which the kernel is below
-    exp(-reach^2/2). Groups with too few points are left out; a singular
-    covariance gives NULL densities.
+    The bandwidth is ``factor`` times the full covariance of the group. Equal
+    points are counted first; then every task adds up the kernels of its points
+    in an array the size of the grid, and only those partial sums are shuffled.
+    Points without a position take no part. Groups with too few points are left
+    out; a singular covariance gives NULL densities.
     """
-    stats = obs.groupBy(group).agg(
+    placed = obs.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull() & F.col(group).isNotNull())
+    stats = placed.groupBy(group).agg(
         F.count(F.lit(1)).alias("_n"), F.var_samp(lon).alias("_vx"), F.var_samp(lat).alias("_vy"), F.covar_samp(lon, lat).alias("_vxy")
     ).filter(F.col("_n") >= min_points)
     det = (F.col("_vx") * F.col("_vy") - F.col("_vxy") * F.col("_vxy")) * factor**4
-    stats = stats.withColumn("_det", F.when(det > 1e-18, det))
-    lattice = obs.groupBy(
-        group, F.round(F.col(lon) / bin_deg).cast("long").alias("_bx"), F.round(F.col(lat) / bin_deg).cast("long").alias("_by")
-    ).agg(F.count(F.lit(1)).alias("_m"))
-    dx = (box["east"] - box["west"]) / (nx - 1)
-    dy = (box["north"] - box["south"]) / (ny - 1)
-    near = lattice.join(stats.filter(F.col("_det").isNotNull()), group)
-    px, py = F.col("_bx") * bin_deg, F.col("_by") * bin_deg
-    hx, hy = reach * factor * F.sqrt("_vx"), reach * factor * F.sqrt("_vy")
-
-    def cells(p: Column, h: Column, origin: float, step: float, count: int) -> Column:
-        a = F.greatest(F.ceil((p - h - origin) / step), F.lit(0)).cast("int")
-        b = F.least(F.floor((p + h - origin) / step), F.lit(count - 1)).cast("int")
-        return F.when(a <= b, F.sequence(a, b))
-
-    near = near.withColumn("ix", F.explode(cells(px, hx, box["west"], dx, nx))).withColumn(
-        "iy", F.explode(cells(py, hy, box["south"], dy, ny))
-    )
-    ex = F.lit(box["west"]) + F.col("ix") * dx - px
-    ey = F.lit(box["south"]) + F.col("iy") * dy - py
-    q = (F.col("_vy") * ex * ex - 2.0 * F.col("_vxy") * ex * ey + F.col("_vx") * ey * ey) * factor**2 / F.col("_det")
-    dens = near.groupBy(group, "ix", "iy").agg(
-        (F.sum(F.col("_m") * F.exp(-q / 2.0)) / F.max(F.col("_n") * 2.0 * math.pi * F.sqrt("_det"))).alias("density")
-    )
-    grid = stats.select(group, "_det").withColumn("ix", F.explode(F.sequence(F.lit(0), F.lit(nx - 1)))).withColumn(
+    stats = saved(stats.withColumn("_det", F.when(det > 1e-18, det)), "kernels")
+    points = placed.groupBy(group, F.col(lon).cast("double").alias("_px"), F.col(lat).cast("double").alias("_py")).agg(F.count(F.lit(1)).alias("_m"))
+    rows = points.join(stats.filter(F.col("_det").isNotNull()), group)
+    gx = np.tile(np.linspace(box["west"], box["east"], nx), ny)
+    gy = np.repeat(np.linspace(box["south"], box["north"], ny), nx)
+    block = max(1, (1 << 20) // (nx * ny))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, total = None, np.zeros(nx * ny)
+
+        def part() -> pa.RecordBatch:
+            cells = np.flatnonzero(total)
+            return pa.RecordBatch.from_pydict({group: pa.array([key] * len(cells), kind), "_cell": cells, "_part": total[cells]})
+
+        for batch in batches:
+            kind, keys = batch[group].type, batch[group].to_pylist()
+            cuts = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
+            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+                if low == high:
+                    continue
+                if key is not None and keys[low] != key:
+                    yield part()
+                    total[:] = 0.0
+                key = keys[low]
+                x, y, m, vx, vy, vxy, d = (
+                    batch[c].to_numpy()[low:high] for c in ("_px", "_py", "_m", "_vx", "_vy", "_vxy", "_det")
+                )
+                a, b, c = vy[0] * factor**2 / d[0], vxy[0] * factor**2 / d[0], vx[0] * factor**2 / d[0]
+                for i in range(0, len(x), block):
+                    ex, ey = gx[None, :] - x[i : i + block, None], gy[None, :] - y[i : i + block, None]
+                    total += m[i : i + block] @ np.exp(-0.5 * (a * ex * ex - 2.0 * b * ex * ey + c * ey * ey))
+        if key is not None:
+            yield part()
+
+    kind = obs.schema[group].dataType.simpleString()
+    sums = rows.select(group, "_px", "_py", "_m", "_vx", "_vy", "_vxy", "_det").sortWithinPartitions(group)
+    sums = sums.mapInArrow(add, f"`{group}` {kind}, _cell long, _part double").groupBy(group, "_cell").agg(F.sum("_part").alias("_sum"))
+    grid = stats.withColumn("ix", F.explode(F.sequence(F.lit(0), F.lit(nx - 1)))).withColumn(
         "iy", F.explode(F.sequence(F.lit(0), F.lit(ny - 1)))
     )
-    out = grid.join(dens, [group, "ix", "iy"], "left")
-    return out.select(group, "ix", "iy", F.when(F.col("_det").isNotNull(), F.coalesce("density", F.lit(0.0))).alias("density"))
+    grid = grid.withColumn("_cell", (F.col("iy") * nx + F.col("ix")).cast("long"))
+    density = F.coalesce("_sum", F.lit(0.0)) / (F.col("_n") * 2.0 * math.pi * F.sqrt("_det"))
+    return grid.join(sums, [group, "_cell"], "left").select(group, "ix", "iy", density.alias("density"))
 
 
-def sample_points(obs, species, month, key, cap=POINTS_PER_MONTH, seed=42, lat="lat", lon="lon") -> DataFrame:
+def sample_points(obs, species, month, key, cap: int, seed=42, lat="lat", lon="lon") -> DataFrame:
     """At most ``cap`` points per (species, month), picked by a seeded hash of the row key."""
     pick = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
     rows = obs.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull() & F.col(month).isNotNull())

@@ -93,7 +93,9 @@ def entity_properties(panel: DataFrame, trends: DataFrame, entity: str, year: st
     Entities need a value in both the first and the last year of the panel.
     """
     span = panel.agg(F.min(year).alias("_first"), F.max(year).alias("_last"))
-    ends = panel.join(span, (F.col(year) == F.col("_first")) | (F.col(year) == F.col("_last")))
+    # The span is one row, attached through a constant key.
+    ends = panel.withColumn("_k", F.lit(1)).join(span.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    ends = ends.filter((F.col(year) == F.col("_first")) | (F.col(year) == F.col("_last")))
     ends = ends.groupBy(entity).agg(
         F.max("_first").alias("baseline_year"),
         F.max("_last").alias("latest_year"),
@@ -193,7 +195,7 @@ def mean_by_entity(df: DataFrame, entity: str, value: str, spine: DataFrame, nam
 
 def anomaly_flags(trends: DataFrame, entity: str, growth="annual_pct_change", r2="r_squared") -> DataFrame:
     """Entities with a poor fit or an extreme trend, reasons joined by '; '."""
-    weak = F.when(F.col(r2) < LOW_R2, F.format_string("Low R2 (%.2f)", F.col(r2)))
+    weak = F.when(F.col(r2) < LOW_R2, F.format_string("Low R² (%.2f)", F.col(r2)))
     wild = F.when(F.abs(growth) > EXTREME_PCT, F.format_string("Extreme trend (%+.1f%%/yr)", F.col(growth)))
     return trends.select(entity, F.concat_ws("; ", weak, wild).alias("reasons")).filter(F.length("reasons") > 0)
 

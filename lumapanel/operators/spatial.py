@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import over
 from ..functions.geo import DIRECTIONS, EARTH_RADIUS_KM, bearing_deg, compass8, haversine_km, wedge
+from ..session import saved
 from .ranking import summarise
 
 RING_LIMITS_KM = (1.0, 5.0, 10.0, 20.0, 50.0)
@@ -89,36 +90,46 @@ def side_pairs(points, locations, radius_km: float, buffer_km: float, **names) -
     return pairs.withColumn("side", F.when(F.col("distance_km") <= radius_km, "inside").otherwise("outside"))
 
 
-def radial_profile(pairs: DataFrame, spine: DataFrame, key: str, value: str, limits=RING_LIMITS_KM) -> DataFrame:
-    """Statistics per (location, ring); rings without points stay with count 0."""
+def _names(key: str | Sequence[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def radial_profile(pairs: DataFrame, spine: DataFrame, key: str | Sequence[str], value: str, limits=RING_LIMITS_KM) -> DataFrame:
+    """Statistics per (location, ring); rings without points stay with count 0.
+
+    ``key`` may be several columns, such as location and year.
+    """
+    keys = _names(key)
     stats = summarise(
-        pairs, [key, "ring_km"], value, {"median_value": 0.5}, mean="mean_value", std="std_value", count="pixel_count"
+        pairs, [*keys, "ring_km"], value, {"median_value": 0.5}, mean="mean_value", std="std_value", count="pixel_count"
     )
-    rings = spine.select(key).distinct().withColumn(
+    rings = spine.select(*keys).distinct().withColumn(
         "ring_km", F.explode(F.array(*[F.lit(float(x)) for x in limits]))
     )
-    return rings.join(stats, [key, "ring_km"], "left").withColumn("pixel_count", F.coalesce("pixel_count", F.lit(0)))
+    return rings.join(stats, [*keys, "ring_km"], "left").withColumn("pixel_count", F.coalesce("pixel_count", F.lit(0)))
 
 
-def inside_outside(pairs: DataFrame, spine: DataFrame, key: str, value: str, buffer_km: float) -> DataFrame:
+def inside_outside(pairs: DataFrame, spine: DataFrame, key: str | Sequence[str], value: str, buffer_km: float) -> DataFrame:
     """Mean and median of both sides, their ratio and the gradient per km."""
-    stats = summarise(pairs, [key, "side"], value, {"med": 0.5}, mean="avg")
+    keys = _names(key)
+    stats = summarise(pairs, [*keys, "side"], value, {"med": 0.5}, mean="avg")
     pick = lambda side, what: F.max(F.when(F.col("side") == side, F.col(what)))
-    wide = stats.groupBy(key).agg(
+    wide = stats.groupBy(*keys).agg(
         pick("inside", "avg").alias("inside_mean"),
         pick("inside", "med").alias("inside_median"),
         pick("outside", "avg").alias("outside_mean"),
         pick("outside", "med").alias("outside_median"),
     )
     inner, outer = F.col("inside_median"), F.col("outside_median")
-    out = spine.select(key).distinct().join(wide, key, "left")
+    out = spine.select(*keys).distinct().join(wide, keys, "left")
     return out.withColumn("ratio", F.when(inner > 0, outer / inner)).withColumn("gradient", (outer - inner) / buffer_km)
 
 
-def directional(pairs: DataFrame, spine: DataFrame, key: str, value: str) -> DataFrame:
+def directional(pairs: DataFrame, spine: DataFrame, key: str | Sequence[str], value: str) -> DataFrame:
     """Mean per quadrant, the brightest quadrant and the bright/dark ratio."""
-    wide = pairs.groupBy(key).pivot("direction", DIRECTIONS).agg(F.avg(value))
-    out = spine.select(key).distinct().join(wide, key, "left")
+    keys = _names(key)
+    wide = pairs.groupBy(*keys).pivot("direction", DIRECTIONS).agg(F.avg(value))
+    out = spine.select(*keys).distinct().join(wide, keys, "left")
     vals = [F.col(d) for d in DIRECTIONS]
     top, low = F.greatest(*vals), F.least(*vals)
     best = F.lit("N/A")
@@ -126,7 +137,7 @@ def directional(pairs: DataFrame, spine: DataFrame, key: str, value: str) -> Dat
         best = F.when(F.col(d) == top, d.upper()).otherwise(best)
     out = out.withColumn("dominant_direction", best).withColumn("max_min_ratio", F.when(low > 0, over(top, low)))
     return out.select(
-        key, *[F.col(d).alias(f"{d}_mean") for d in DIRECTIONS], "dominant_direction", "max_min_ratio"
+        *keys, *[F.col(d).alias(f"{d}_mean") for d in DIRECTIONS], "dominant_direction", "max_min_ratio"
     )
 
 
@@ -175,7 +186,9 @@ def nearest_location(
         around = [F.struct((b + i).alias("b"), F.pmod(s + j, F.lit(cols)).alias("s")) for i in steps for j in steps]
         cells = F.array_distinct(F.array(*around))
         placed = town.withColumn("_b", band(F.col("_clat"))).withColumn("_s", sector(F.col("_clon")))
-        looking = state.withColumn("_cell", F.explode_outer(F.when(F.col("_open"), cells)))
+        # Settled sites don't join again.
+        settled_before, state = state.filter(~F.col("_open")), state.filter(F.col("_open"))
+        looking = state.withColumn("_cell", F.explode_outer(cells))
         looking = looking.withColumn("_cb", F.col("_cell.b")).withColumn("_cs", F.col("_cell.s")).drop("_cell")
         seen = looking.join(placed, (F.col("_cb") == F.col("_b")) & (F.col("_cs") == F.col("_s")), "left")
         found = F.when(
@@ -198,6 +211,8 @@ def nearest_location(
             )
             settled = F.coalesce(F.col("_best.km") < F.greatest(edge, F.lit(0.0)), F.lit(False))
             state = state.withColumn("_open", F.col("_open") & ~settled)
+        # Written once, as both parts of the next level read it.
+        state = saved(state.unionByName(settled_before), "nearest")
     angle = bearing_deg(F.col("_lat"), F.col("_lon"), F.col("_best.clat"), F.col("_best.clon"))
     return state.select(
         F.col(site),

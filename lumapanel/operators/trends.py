@@ -165,6 +165,8 @@ def _bootstrap(series: DataFrame, pick, resamples: int, enough: Column) -> Colum
 
         return F.aggregate(F.sequence(F.lit(0), n - 1), start, add, slope)
 
+    if resamples < 1:
+        return F.array().cast("array<double>")
     drawn = F.transform(F.sequence(F.lit(1), F.lit(resamples)), one)
     return F.when(enough, F.array_sort(F.filter(drawn, lambda v: v.isNotNull())))
 
@@ -290,7 +292,7 @@ def trend_diagnostics(panel, entity, year, value) -> DataFrame:
         say(~F.col("_dw").between(DW_LOW, DW_HIGH), "high autocorrelation (DW=%.2f)", F.col("_dw")),
         say(F.col("_jb_p") < JB_ALPHA, "non-normal residuals (JB p=%.3f)", F.col("_jb_p")),
         say(F.col("_cook") > COOK_LIMIT, "high-influence observation (Cook's D=%.2f)", F.col("_cook")),
-        say(F.col("_r2") < R2_LOW, "poor model fit (R2=%.3f)", F.col("_r2")),
+        say(F.col("_r2") < R2_LOW, "poor model fit (R²=%.3f)", F.col("_r2")),
     )
     ok = n >= 4
     every = panel.select(entity).distinct()

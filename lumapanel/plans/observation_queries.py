@@ -17,7 +17,7 @@ HOME = "error"
 COLS = {"individuals": "individualcount"}
 NAMES = {"species": "specieskey", "month": "mon"}
 EXTENT = {"west": 72.6, "east": 80.6, "south": 16.0, "north": 22.0}
-NX, NY, BIN = 17, 13, 0.05
+NX, NY = 17, 13
 
 SUMS = """count(*) AS obs_count, avg(lat) AS mean_lat, avg(lon) AS mean_lon, CAST(sum(coalesce(individualcount, 1)) AS BIGINT) AS individual_sum"""
 add_view(
@@ -248,14 +248,14 @@ def _(t):
     "a23_density_surface",
     "observations",
     f"""WITH s AS (SELECT mon, count(*) AS n, var_samp(lon) AS vx, var_samp(lat) AS vy, covar_samp(lon, lat) AS vxy FROM observations GROUP BY 1 HAVING count(*) >= 10),
-    b AS (SELECT mon, CAST(round(lon / {BIN}) AS BIGINT) * {BIN} AS px, CAST(round(lat / {BIN}) AS BIGINT) * {BIN} AS py, count(*) AS m FROM observations GROUP BY 1, 2, 3),
+    b AS (SELECT mon, lon AS px, lat AS py, count(*) AS m FROM observations GROUP BY 1, 2, 3),
     g AS (SELECT CAST(i AS INT) AS ix, CAST(j AS INT) AS iy, 72.6 + i * 0.5 AS gx, 16.0 + j * 0.5 AS gy FROM (SELECT unnest(range(0, {NX})) AS i), (SELECT unnest(range(0, {NY})) AS j)),
     c AS (SELECT mon, n, vx * 0.0225 AS a, vy * 0.0225 AS d, vxy * 0.0225 AS o, (vx * vy - vxy * vxy) * 0.0225 * 0.0225 AS det FROM s)
     SELECT c.mon, ix, iy, round(sum(m * exp(-0.5 * (d * pow(gx - px, 2) - 2 * o * (gx - px) * (gy - py) + a * pow(gy - py, 2)) / det)) / max(n * 2 * pi() * sqrt(det)), 5) AS density
     FROM c JOIN b ON b.mon = c.mon, g GROUP BY 1, 2, 3""",
 )
 def _(t):
-    return O.density_surface(t.observations, "mon", EXTENT, NX, NY, bin_deg=BIN).select("mon", "ix", "iy", F.round("density", 5).alias("density"))
+    return O.density_surface(t.observations, "mon", EXTENT, NX, NY).select("mon", "ix", "iy", F.round("density", 5).alias("density"))
 
 
 @query(

@@ -10,7 +10,7 @@ from ..operators import pixels as P
 from ..operators.polygons import clip_cells, join_cells, polygon_edges, zone_spans
 from ..operators.ranking import summarise, top_k
 from ..session import saved
-from .registry import GRID, YEARS, add_view, query
+from .registry import GRID, add_view, query, years_of
 
 R6 = lambda *names: [F.round(n, 6).alias(n) for n in names]
 
@@ -116,7 +116,7 @@ STATS = """round(avg(med), 6) AS mean_value, round(median(med), 6) AS median_val
     FROM y LEFT JOIN s ON y.zone = s.zone AND y.yr = s.yr""",
 )
 def _(t):
-    spine = literal_rows(t.zones.select("zone"), "yr", YEARS)
+    spine = literal_rows(t.zones.select("zone"), "yr", years_of(t.pixels))
     out = P.zonal_stats(P.quality_filter(t.zone_pixels), ["zone", "yr"], "med", spine)
     return out.select("zone", "yr", "pixel_count", *R6("mean_value", "median_value", "min_value", "max_value", "std_value"))
 

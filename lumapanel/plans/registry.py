@@ -19,7 +19,12 @@ WEST, SOUTH, EAST, NORTH = 72.5, 15.5, 81.0, 22.1
 GRID = Grid(WEST, NORTH, 0.2125, 0.165)
 BOX = {"west": 73.5, "south": 16.5, "east": 79.0, "north": 21.0}
 ZONE_INSET = (0.12, 0.1)
-YEARS = list(range(1995, 2002))
+
+
+def years_of(df: DataFrame) -> list[int]:
+    """The years a table holds, in order."""
+    return sorted(r["yr"] for r in df.select("yr").distinct().collect())
+
 
 
 class Tables:

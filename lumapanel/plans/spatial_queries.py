@@ -8,10 +8,11 @@ from ..functions import geo as G
 from ..functions.scalars import suitability
 from ..operators import pixels as P
 from ..operators import spatial as X
-from ..operators.domes import light_domes
+from ..functions.columns import literal_rows
+from ..operators.domes import BACKGROUND, K_MAX, MIN_RINGS, STEPS, light_domes
 from ..operators.polygons import join_cells
 from .pixel_queries import R6
-from .registry import BOX, GRID, add_view, query
+from .registry import BOX, GRID, add_view, query, years_of
 
 RADIUS = 60.0
 BUFFER = 30.0
@@ -154,43 +155,54 @@ def _(t):
 @query(
     "a11_radial_profile",
     "near_city cities",
-    f"""WITH s AS (SELECT city_id, CAST({RING_SQL} AS DOUBLE) AS ring_km, count(*) AS n, avg(med) AS mv, median(med) AS dv, stddev_pop(med) AS sv
-       FROM near_city WHERE km <= 120 AND yr = 1998 GROUP BY 1, 2),
-     k AS (SELECT city_id, CAST(unnest([20, 40, 60, 80, 120]) AS DOUBLE) AS ring_km FROM cities)
-    SELECT k.city_id, k.ring_km, coalesce(n, 0) AS pixel_count, round(mv, 6) AS mean_value, round(dv, 6) AS median_value, round(sv, 6) AS std_value
-    FROM k LEFT JOIN s ON k.city_id = s.city_id AND k.ring_km = s.ring_km""",
+    f"""WITH s AS (SELECT city_id, CAST({RING_SQL} AS DOUBLE) AS ring_km, yr, count(*) AS n, avg(med) AS mv, median(med) AS dv, stddev_pop(med) AS sv
+       FROM near_city WHERE km <= 120 GROUP BY 1, 2, yr),
+     k AS (SELECT city_id, yr, CAST(unnest([20, 40, 60, 80, 120]) AS DOUBLE) AS ring_km FROM cities, (SELECT DISTINCT yr FROM pixels))
+    SELECT k.city_id, k.yr, k.ring_km, coalesce(n, 0) AS pixel_count, round(mv, 6) AS mean_value, round(dv, 6) AS median_value, round(sv, 6) AS std_value
+    FROM k LEFT JOIN s ON k.city_id = s.city_id AND k.yr = s.yr AND k.ring_km = s.ring_km""",
 )
 def _(t):
     out = _profile(t)
-    return out.select("city_id", "ring_km", "pixel_count", *R6("mean_value", "median_value", "std_value"))
+    return out.select("city_id", "yr", "ring_km", "pixel_count", *R6("mean_value", "median_value", "std_value"))
 
 
 def _profile(t):
-    pairs = X.ring_pairs(t.pixels.filter(F.col("yr") == 1998), _loc(t.cities, "city_id"), RINGS)
-    return X.radial_profile(pairs, t.cities, "city_id", "med", RINGS)
+    pairs = X.ring_pairs(t.pixels, _loc(t.cities, "city_id"), RINGS)
+    return X.radial_profile(pairs, _by_year(t, t.cities.select("city_id")), ["city_id", "yr"], "med", RINGS)
+
+
+def _by_year(t, locations):
+    """Each location in each year of the pixels."""
+    return literal_rows(locations, "yr", years_of(t.pixels))
 
 
 @query(
     "a12_inside_outside",
     "near sites",
-    f"""WITH s AS (SELECT site_id, avg(med) FILTER (WHERE km <= {RADIUS}) AS im, median(med) FILTER (WHERE km <= {RADIUS}) AS id,
+    f"""WITH s AS (SELECT site_id, yr, avg(med) FILTER (WHERE km <= {RADIUS}) AS im, median(med) FILTER (WHERE km <= {RADIUS}) AS id,
         avg(med) FILTER (WHERE km > {RADIUS}) AS om, median(med) FILTER (WHERE km > {RADIUS}) AS od
-        FROM near WHERE km <= {RADIUS + BUFFER} AND yr = 1998 GROUP BY 1)
-    SELECT sites.site_id, round(im, 6) AS inside_mean, round(id, 6) AS inside_median, round(om, 6) AS outside_mean,
+        FROM near WHERE km <= {RADIUS + BUFFER} GROUP BY 1, 2), y AS (SELECT site_id, yr FROM sites, (SELECT DISTINCT yr FROM pixels))
+    SELECT y.site_id, y.yr, round(im, 6) AS inside_mean, round(id, 6) AS inside_median, round(om, 6) AS outside_mean,
       round(od, 6) AS outside_median, CASE WHEN id > 0 THEN round(od / id, 6) END AS ratio, round((od - id) / {BUFFER}, 6) AS gradient
-    FROM sites LEFT JOIN s ON s.site_id = sites.site_id""",
+    FROM y LEFT JOIN s ON s.site_id = y.site_id AND s.yr = y.yr""",
 )
 def _(t):
-    pairs = X.side_pairs(t.pixels.filter(F.col("yr") == 1998), _loc(t.sites, "site_id"), RADIUS, BUFFER)
-    out = X.inside_outside(pairs, t.sites, "site_id", "med", BUFFER)
-    return out.select("site_id", *R6(*[c for c in out.columns if c != "site_id"]))
+    pairs = X.side_pairs(t.pixels, _loc(t.sites, "site_id"), RADIUS, BUFFER)
+    out = X.inside_outside(pairs, _by_year(t, t.sites.select("site_id")), ["site_id", "yr"], "med", BUFFER)
+    return out.select("site_id", "yr", *R6(*[c for c in out.columns if c not in ("site_id", "yr")]))
 
 
-DIR_SQL = f"""WITH w AS (SELECT site_id, {WEDGE_SQL} AS d, med FROM near WHERE km <= {RADIUS} AND yr = 1998),
- m AS (SELECT site_id, avg(med) FILTER (WHERE d = 'north') AS n, avg(med) FILTER (WHERE d = 'east') AS e,
-   avg(med) FILTER (WHERE d = 'south') AS s, avg(med) FILTER (WHERE d = 'west') AS w FROM w GROUP BY 1),
+DIR_SQL = f"""WITH y AS (SELECT site_id, yr FROM sites, (SELECT DISTINCT yr FROM pixels)),
+ w AS (SELECT site_id, yr, {WEDGE_SQL} AS d, med FROM near WHERE km <= {RADIUS}),
+ m AS (SELECT site_id, yr, avg(med) FILTER (WHERE d = 'north') AS n, avg(med) FILTER (WHERE d = 'east') AS e,
+   avg(med) FILTER (WHERE d = 'south') AS s, avg(med) FILTER (WHERE d = 'west') AS w FROM w GROUP BY 1, 2),
  g AS (SELECT *, greatest(n, e, s, w) AS hi, least(n, e, s, w) AS lo FROM m)
 """
+# Ratios of short sums can end in a 5; the nudge makes both sides round it up.
+def _ratio():
+    return F.round(F.col("max_min_ratio") + 1e-9, 6).alias("max_min_ratio")
+
+
 DOMINANT = "CASE WHEN n = hi THEN 'NORTH' WHEN e = hi THEN 'EAST' WHEN s = hi THEN 'SOUTH' WHEN w = hi THEN 'WEST' ELSE 'N/A' END"
 
 
@@ -198,41 +210,77 @@ DOMINANT = "CASE WHEN n = hi THEN 'NORTH' WHEN e = hi THEN 'EAST' WHEN s = hi TH
     "a13_directional",
     "near sites",
     DIR_SQL
-    + f"""SELECT sites.site_id, round(n, 6) AS north_mean, round(e, 6) AS east_mean, round(s, 6) AS south_mean, round(w, 6) AS west_mean,
-    {DOMINANT} AS dominant_direction, CASE WHEN lo > 0 THEN round(hi / lo, 6) END AS max_min_ratio
-    FROM sites LEFT JOIN g ON g.site_id = sites.site_id""",
+    + f"""SELECT y.site_id, y.yr, round(n, 6) AS north_mean, round(e, 6) AS east_mean, round(s, 6) AS south_mean, round(w, 6) AS west_mean,
+    {DOMINANT} AS dominant_direction, CASE WHEN lo > 0 THEN round(hi / lo + 1e-9, 6) END AS max_min_ratio
+    FROM y LEFT JOIN g ON g.site_id = y.site_id AND g.yr = y.yr""",
 )
 def _(t):
     out = _directional(t)
     return out.select(
-        "site_id", *R6("north_mean", "east_mean", "south_mean", "west_mean", "max_min_ratio"), "dominant_direction"
+        "site_id", "yr", *R6("north_mean", "east_mean", "south_mean", "west_mean"), _ratio(), "dominant_direction"
     )
 
 
 def _directional(t):
-    pairs = X.wedge_pairs(t.pixels.filter(F.col("yr") == 1998), _loc(t.sites, "site_id"), RADIUS)
-    return X.directional(pairs, t.sites, "site_id", "med")
+    pairs = X.wedge_pairs(t.pixels, _loc(t.sites, "site_id"), RADIUS)
+    return X.directional(pairs, _by_year(t, t.sites.select("site_id")), ["site_id", "yr"], "med")
 
 
 @query(
     "p27_site_suitability",
     "near sites",
     DIR_SQL
-    + f""", v AS (SELECT site_id, median(med) AS m FROM near WHERE km <= {RADIUS} AND yr = 1998 AND lit > 0 AND cf >= 5 GROUP BY 1)
-    SELECT sites.site_id, round(m, 6) AS median_value, CASE WHEN m < 1 THEN 'SUITABLE' ELSE 'NOT SUITABLE' END AS suitability,
-     {DOMINANT} AS dominant_direction, CASE WHEN lo > 0 THEN round(hi / lo, 6) END AS max_min_ratio
-    FROM sites LEFT JOIN g ON g.site_id = sites.site_id LEFT JOIN v ON v.site_id = sites.site_id""",
+    + f""", v AS (SELECT site_id, yr, median(med) AS m FROM near WHERE km <= {RADIUS} AND lit > 0 AND cf >= 5 GROUP BY 1, 2)
+    SELECT y.site_id, y.yr, round(m, 6) AS median_value, CASE WHEN m < 1 THEN 'SUITABLE' ELSE 'NOT SUITABLE' END AS suitability,
+     {DOMINANT} AS dominant_direction, CASE WHEN lo > 0 THEN round(hi / lo + 1e-9, 6) END AS max_min_ratio
+    FROM y LEFT JOIN g ON g.site_id = y.site_id AND g.yr = y.yr LEFT JOIN v ON v.site_id = y.site_id AND v.yr = y.yr""",
 )
 def _(t):
-    good = P.site_quality_filter(t.pixels.filter(F.col("yr") == 1998))
-    stats = P.zonal_stats(X.within_distance(good, _loc(t.sites, "site_id"), RADIUS), ["site_id"], "med", t.sites.select("site_id"))
-    out = stats.join(_directional(t), "site_id", "left")
+    good = P.site_quality_filter(t.pixels)
+    near = X.within_distance(good, _loc(t.sites, "site_id"), RADIUS)
+    stats = P.zonal_stats(near, ["site_id", "yr"], "med", _by_year(t, t.sites.select("site_id")))
+    out = stats.join(_directional(t), ["site_id", "yr"], "left")
     return out.select(
-        "site_id", *R6("median_value", "max_min_ratio"), suitability("median_value").alias("suitability"), "dominant_direction"
+        "site_id", "yr", *R6("median_value"), _ratio(), suitability("median_value").alias("suitability"), "dominant_direction"
     )
 
 
-@query("t15_light_domes")
+def _dome_options(name: str, rows: str) -> str:
+    """Oracle: the best non-negative line in exp(-k d) for each tried rate ``k`` of (city_id, yr, d, v, k)."""
+    return f"""{name}_s AS (SELECT city_id, yr, k, count(*) AS n, sum(exp(-k * d)) AS se, sum(exp(-k * d) * exp(-k * d)) AS see, sum(v) AS sy,
+       sum(v * v) AS syy, sum(exp(-k * d) * v) AS sey FROM {rows} GROUP BY 1, 2, 3),
+     {name}_p AS (SELECT *, CASE WHEN n * see - se * se > 1e-12 * n * see THEN (n * sey - se * sy) / (n * see - se * se) ELSE 0 END AS p FROM {name}_s),
+     {name}_o AS (SELECT *, p AS peak, (sy - p * se) / n AS base FROM {name}_p WHERE p >= 0 AND (sy - p * se) / n >= 0
+       UNION ALL SELECT *, greatest(CASE WHEN see <> 0 THEN sey / see ELSE 0 END, 0), 0 FROM {name}_p UNION ALL SELECT *, 0, greatest(sy / n, 0) FROM {name}_p),
+     {name} AS (SELECT city_id, yr, k, peak, base, syy - 2 * (peak * sey + base * sy) + peak * peak * see + 2 * peak * base * se + base * base * n AS sse
+       FROM {name}_o QUALIFY row_number() OVER (PARTITION BY city_id, yr ORDER BY sse, k, peak, base) = 1)"""
+
+
+# With a steeper decay only the innermost ring counts and the rate is not determined: only r2 is compared.
+STEEP = 0.5
+RATIO = f"(ln(CAST({K_MAX} AS DOUBLE) / CAST(1e-4 AS DOUBLE)) / {STEPS - 1})"
+
+
+@query(
+    "t15_light_domes",
+    "near_city cities",
+    f"""WITH every AS (SELECT city_id, yr FROM cities, (SELECT DISTINCT yr FROM pixels)),
+     ring AS (SELECT city_id, yr, CAST({RING_SQL} AS DOUBLE) AS d, median(med) AS v FROM near_city WHERE km <= 120 GROUP BY 1, 2, 3),
+     stat AS (SELECT city_id, yr, count(v) AS n, var_pop(v) AS var FROM ring GROUP BY 1, 2 HAVING count(v) >= {MIN_RINGS}),
+     coarse AS (SELECT r.*, unnest(list_prepend(CAST(0 AS DOUBLE), list_transform(range(0, {STEPS}), lambda i: CAST(1e-4 AS DOUBLE) * exp(i * {RATIO})))) AS k
+       FROM ring r JOIN stat USING (city_id, yr)),
+     {_dome_options("first", "coarse")},
+     bound AS (SELECT city_id, yr, k * exp(-{RATIO}) AS lo, CASE WHEN k = 0 THEN CAST(1e-4 AS DOUBLE) ELSE least(k * exp({RATIO}), CAST({K_MAX} AS DOUBLE)) END AS hi FROM first),
+     fine AS (SELECT r.*, unnest(list_transform(range(0, {STEPS} + 1), lambda i: lo + (hi - lo) * i / {STEPS})) AS k FROM ring r JOIN bound USING (city_id, yr)),
+     {_dome_options("best", "fine")},
+     dome AS (SELECT b.*, CASE WHEN peak > {BACKGROUND} AND k > 0 AND base < {BACKGROUND} THEN greatest(-ln(({BACKGROUND} - base) / peak) / k, 0) END AS radius,
+       CASE WHEN var > 0 THEN 1 - sse / (n * var) ELSE 0 END AS r2 FROM best b JOIN stat USING (city_id, yr))
+    SELECT e.city_id, e.yr, round(peak, 3) AS peak_radiance, round(radius, 3) AS dome_radius_km, round(k, 4) AS decay_rate,
+      CASE WHEN k > 0 THEN round(ln(2) / k, 3) END AS half_distance_km, round(r2, 4) AS model_r_squared, round(pi() * radius * radius, 2) AS effective_area_km2
+      FROM every e LEFT JOIN (SELECT city_id, yr, r2, CASE WHEN k < {STEEP} THEN k END AS k, CASE WHEN k < {STEEP} THEN peak END AS peak, CASE WHEN k < {STEEP} THEN radius END AS radius FROM dome) USING (city_id, yr)""",
+)
 def _(t):
-    out = light_domes(_profile(t), "city_id", "ring_km", "median_value")
-    return out.select("city_id", *[F.round(c, 4).alias(c) for c in out.columns if c != "city_id"])
+    out = light_domes(_profile(t), ["city_id", "yr"], "ring_km", "median_value")
+    digits = {"decay_rate": 4, "model_r_squared": 4, "effective_area_km2": 2}
+    kept = lambda c: F.col(c) if c == "model_r_squared" else F.when(F.col("decay_rate") < STEEP, F.col(c))
+    return out.select("city_id", "yr", *[F.round(kept(c), digits.get(c, 3)).alias(c) for c in out.columns if c not in ("city_id", "yr")])

@@ -12,7 +12,7 @@ from ..session import scratch_path
 from ..sources import layers as Y
 from ..sources import places as Z
 from ..sources import sinks as K
-from .registry import BOX, YEARS, query
+from .registry import BOX, query, years_of
 from .trend_queries import PROP_VIEWS, _scaled, _trend, props_of
 
 SCHEMA_CHECKS = [
@@ -174,14 +174,15 @@ def _(t):
 @query(
     "q03_partition_completeness",
     "pixels",
-    """SELECT CAST(y AS INT) AS yr, l AS layer FROM (SELECT unnest(range(1993, 2004)) AS y), (SELECT unnest(['median', 'average', 'cf_cvg', 'lit_mask']) AS l)
+    """SELECT CAST(y AS INT) AS yr, l AS layer FROM (SELECT unnest(range(min(yr) - 2, max(yr) + 3)) AS y FROM pixels), (SELECT unnest(['median', 'average', 'cf_cvg', 'lit_mask']) AS l)
     WHERE NOT (y IN (SELECT yr FROM pixels) AND (l IN ('median', 'lit_mask') OR (l = 'cf_cvg' AND y % 2 = 0)))""",
 )
 def _(t):
     present = t.pixels.select("yr").distinct().withColumn(
         "layer", F.explode(F.when(F.col("yr") % 2 == 0, F.array(F.lit("median"), F.lit("lit_mask"), F.lit("cf_cvg"))).otherwise(F.array(F.lit("median"), F.lit("lit_mask"))))
     )
-    return Y.missing_layers(present, [*range(1993, 1995), *YEARS, 2002, 2003])
+    years = years_of(t.pixels)
+    return Y.missing_layers(present, list(range(years[0] - 2, years[-1] + 3)))
 
 
 @query("q04_duplicate_names", "", "SELECT p_brand, p_name, count(*) AS n FROM part GROUP BY 1, 2 HAVING count(*) > 1")
@@ -204,7 +205,7 @@ def _(t):
     path = scratch_path(t.spark, "inputs")
     t.nation.select("n_name", F.concat_ws(",", "n_nationkey", "n_regionkey").alias("value")).write.partitionBy("n_name").text(path)
     state = Q.file_states(t.spark, path).withColumn("output", F.regexp_extract("path", "n_name=([^/]+)", 1))
-    state = state.join(t.nation.select(F.col("n_name").alias("output"), (F.col("n_nationkey") % 5).alias("m")), "output").cache()
+    state = state.join(t.nation.select(F.col("n_name").alias("output"), (F.col("n_nationkey") % 5).alias("m")), "output")
     before = state.filter("m <> 1").select(
         "output", F.when(F.col("m") == 2, F.concat("path", F.lit(".old"))).otherwise(F.col("path")).alias("path"),
         F.when(F.col("m") == 3, "0").otherwise(F.col("hash")).alias("hash"), (F.col("mtime") - F.expr("INTERVAL 1 DAY")).alias("mtime"),
@@ -231,7 +232,7 @@ def _(t):
     UNION ALL SELECT 'fastest_changing', 0, count(*), string_agg(slug, ',' ORDER BY annual_pct_change DESC, entity) FROM props""",
 )
 def _(t):
-    out = D.leaderboard_pages(N.leaderboard(props_of(t), "entity"), ["entity", "slug", "latest_radiance", "annual_pct_change"])
+    out = D.leaderboard_pages(N.leaderboard(props_of(t), "entity"), ["entity", "slug", "latest_radiance", "annual_pct_change"], 1_000_000)
     rows = F.from_json("document", "rows array<struct<rank:int,slug:string>>")["rows"]
     return out.select("board", "page", F.size(rows).cast("long").alias("total"), F.array_join(rows["slug"], ",").alias("slugs"))
 

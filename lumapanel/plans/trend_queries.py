@@ -12,7 +12,7 @@ from ..operators import panel as N
 from ..operators import trends as T
 from ..operators.ranking import row_numbers, top_k
 from .pixel_queries import R6
-from .registry import YEARS, add_view, query, sql_t_p
+from .registry import add_view, query, sql_t_p, years_of
 
 BOUNDARY = 1998
 PCT = "(exp({b}) - 1) * 100"
@@ -164,7 +164,7 @@ def _(t):
      concat_ws('; ', CASE WHEN dw < 1 OR dw > 3 THEN printf('high autocorrelation (DW=%.2f)', dw) END,
        CASE WHEN jb < 0.05 THEN printf('non-normal residuals (JB p=%.3f)', jb) END,
        CASE WHEN cook > 1 THEN printf('high-influence observation (Cook''s D=%.2f)', cook) END,
-       CASE WHEN r2 < 0.5 THEN printf('poor model fit (R2=%.3f)', r2) END) AS model_warnings FROM j""",
+       CASE WHEN r2 < 0.5 THEN printf('poor model fit (R²=%.3f)', r2) END) AS model_warnings FROM j""",
 )
 def _(t):
     out = T.trend_diagnostics(t.panel, "entity", "yr", "median_value")
@@ -496,10 +496,10 @@ add_view(
 TIER_VIEWS = "panel scaled tiers"
 
 
-@query("w01_percentile_tiers", TIER_VIEWS, "SELECT entity, round(v, 6) AS v, percentile_rank, alan_tier FROM tiers WHERE yr = 2001")
+@query("w01_percentile_tiers", TIER_VIEWS, "SELECT entity, yr, round(v, 6) AS v, percentile_rank, alan_tier FROM tiers")
 def _(t):
-    out = N.percentile_tiers(_scaled(t).filter(F.col("yr") == 2001), "entity", "yr", "v")
-    return out.select("entity", *R6("v"), "percentile_rank", "alan_tier")
+    out = N.percentile_tiers(_scaled(t), "entity", "yr", "v")
+    return out.select("entity", "yr", *R6("v"), "percentile_rank", "alan_tier")
 
 
 @query(
@@ -584,9 +584,9 @@ def _(t):
     return top_k(o, 5, [F.desc("o_totalprice"), F.col("o_orderkey")], ["o_orderpriority"])
 
 
-@query("k03_district_ranking", "panel", "SELECT entity, round(median_value, 4) AS v FROM panel WHERE yr = 2001 AND median_value IS NOT NULL ORDER BY median_value")
+@query("k03_district_ranking", "panel", "SELECT entity, round(median_value, 4) AS v FROM panel WHERE yr = (SELECT max(yr) FROM panel) AND median_value IS NOT NULL ORDER BY median_value")
 def _(t):
-    p = t.panel.filter((F.col("yr") == 2001) & F.col("median_value").isNotNull())
+    p = t.panel.join(t.panel.agg(F.max("yr").alias("yr")), "yr").filter(F.col("median_value").isNotNull())
     return p.orderBy("median_value").select("entity", F.round("median_value", 4).alias("v"))
 
 
@@ -722,11 +722,11 @@ def _(t):
 @query(
     "a29_value_matrix",
     "panel",
-    "SELECT entity, " + ", ".join(f"round(avg(log10(greatest(median_value, 0.01))) FILTER (WHERE yr = {y}), 6) AS y{y}" for y in YEARS) + " FROM panel GROUP BY entity",
+    """SELECT * FROM (PIVOT (SELECT entity, 'y' || yr AS y, log10(greatest(median_value, 0.01)) AS v FROM panel) ON y USING round(avg(v), 6) GROUP BY entity)""",
 )
 def _(t):
-    out = N.value_matrix(t.panel, "entity", "yr", "median_value", YEARS, log=True)
-    return out.select("entity", *R6(*[f"y{y}" for y in YEARS]))
+    out = N.value_matrix(t.panel, "entity", "yr", "median_value", years_of(t.panel), log=True)
+    return out.select("entity", *R6(*[c for c in out.columns if c != "entity"]))
 
 
 @query(
@@ -753,7 +753,7 @@ def _(t):
 @query(
     "a33_anomalies",
     "panel xy fit trend",
-    """SELECT entity, concat_ws('; ', CASE WHEN r_squared < 0.3 THEN printf('Low R2 (%.2f)', r_squared) END,
+    """SELECT entity, concat_ws('; ', CASE WHEN r_squared < 0.3 THEN printf('Low R² (%.2f)', r_squared) END,
       CASE WHEN abs(annual_pct_change * 10) > 20 THEN printf('Extreme trend (%+.1f%%/yr)', annual_pct_change * 10) END) AS reasons
     FROM trend WHERE r_squared < 0.3 OR abs(annual_pct_change * 10) > 20""",
 )

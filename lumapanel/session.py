@@ -36,7 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get(CHECKPOINT_CONF, None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors share")
     fresh = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.conf.set(CHECKPOINT_CONF, fresh)

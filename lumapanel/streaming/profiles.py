@@ -10,22 +10,23 @@ from ..session import scratch_path
 
 def stream_monthly_sums(
     spark: SparkSession, folder: str, schema, keys: list[str], checkpoint: str | None = None, table: str = "monthly_sums",
-    files_per_trigger: int = 1, fmt: str = "parquet", prepare=None, **cols,
+    files_per_trigger: int = 1000, fmt: str = "parquet", prepare=None, **cols,
 ) -> DataFrame:
     """Running counts and sums per key over all files that have arrived.
 
     State is one row per key, which months and species bound. Takes what is
-    there and stops; the checkpoint folder lets a later call continue. Each
-    batch's complete result replaces the table in the shared folder, so a
-    repeated batch changes nothing.
+    there and stops; the checkpoint folder lets a later call continue, also when
+    nothing new has arrived. Each batch writes the complete result to a folder
+    of its own beside the checkpoint and the last finished batch is read, so a
+    repeated batch changes nothing and a broken one is never seen.
     """
     checkpoint = checkpoint or scratch_path(spark, "stream-state")
-    target = scratch_path(spark, table)
+    target = f"{checkpoint}-{table}"
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).format(fmt).load(folder)
     sums = monthly_sums(prepare(rows) if prepare else rows, keys, **cols)
 
     def replace(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(target)
+        batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
     query = (
         sums.writeStream.outputMode("complete")
@@ -35,4 +36,11 @@ def stream_monthly_sums(
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(sums.schema).parquet(target)
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):  # no file has ever arrived
+        return spark.createDataFrame([], sums.schema)
+    done = [s.getPath() for s in fs.listStatus(path)]
+    done = [p for p in done if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    last = max(done, key=lambda p: int(p.getName().split("=")[1]))
+    return spark.read.schema(sums.schema).parquet(last.toString())

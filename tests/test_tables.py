@@ -94,14 +94,14 @@ def test_density_close_to_exact_kernel(spark):
     xy = rng.multivariate_normal([75, 18], [[1.0, 0.4], [0.4, 0.8]], 400)
     df = spark.createDataFrame([(1, float(y), float(x)) for x, y in xy] + [(2, 18.0, float(x)) for x in range(12)] + [(3, 1.0, 1.0)], "m int, lat double, lon double")
     box = {"west": 72.0, "east": 78.0, "south": 15.0, "north": 21.0}
-    got = O.density_surface(df, "m", box, 13, 13, bin_deg=0.001).collect()
+    got = O.density_surface(df, "m", box, 13, 13).collect()
     cov = np.cov(xy.T) * 0.15**2
     inv, norm = np.linalg.inv(cov), 400 * 2 * math.pi * math.sqrt(np.linalg.det(cov))
     for r in got:
         if r.m == 1:
             d = np.array([72 + r.ix * 0.5, 15 + r.iy * 0.5]) - xy
             want = np.exp(-0.5 * np.einsum("ij,jk,ik->i", d, inv, d)).sum() / norm
-            assert r.density == pytest.approx(want, rel=0.02, abs=1e-4)
+            assert r.density == pytest.approx(want, rel=1e-9)
     assert all(r.density is None for r in got if r.m == 2) and not [r for r in got if r.m == 3]
 
 
