@@ -39,6 +39,12 @@ def _partner_lengths(n: Column, threshold: float) -> Column:
     return F.sequence(low, F.floor(n * ((2.0 - threshold) / threshold) + 1e-9).cast("int"))
 
 
+def _letters(name: Column) -> Column:
+    """The letters of a name as a set: a letter's second occurrence is another member than its first."""
+    chars = F.filter(F.split(name, ""), lambda c: c != "")
+    return F.transform(chars, lambda c, i: F.concat(c, F.size(F.filter(F.slice(chars, F.lit(1), i), lambda d: d == c)).cast("string")))
+
+
 def similar_pairs(
     left: DataFrame, right: DataFrame, a: str, b: str, threshold: float, keys: Sequence[str] = ()
 ) -> DataFrame:
@@ -89,6 +95,9 @@ def similar_pairs(
     )
     cols = [*keys, "lx", "ly", "i", "piece"]
     pairs = index.select(*keys, a, "p.*").join(probe.select(*keys, b, "p.*"), cols).select(*keys, a, b).distinct()
+    # The matching blocks can't hold more letters than the names share: most candidates never reach Python.
+    shared = F.size(F.array_intersect(_letters(x), _letters(y)))
+    pairs = pairs.filter(2.0 * shared >= threshold * (lx + ly) - 1e-9)
     return pairs.withColumn("ratio", matching_ratio(F.col(a), F.col(b))).filter(F.col("ratio") >= threshold)
 
 

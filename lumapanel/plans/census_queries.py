@@ -297,7 +297,13 @@ def _typo(t):
     )
 
 
-@query("j12_name_resolution")
+@query(
+    "j12_name_resolution",
+    "census",
+    r"""WITH d AS (SELECT DISTINCT district, CAST(regexp_extract(district, '(\d+)', 1) AS INT) AS k FROM census)
+    SELECT CASE k % 4 WHEN 0 THEN upper(district) WHEN 1 THEN 'Nationn ' || k WHEN 2 THEN 'Old ' || k ELSE 'zz ' || k END AS name,
+      CASE WHEN k % 4 = 3 THEN 'zz ' || k ELSE district END AS resolved, ['exact', 'fuzzy', 'override', 'unmatched'][k % 4 + 1] AS method FROM d""",
+)
 def _(t):
     known = t.census.select("district").distinct()
     over = {f"nation {i}": f"old {i}" for i in range(2, 25, 4)}
@@ -313,16 +319,21 @@ def _towns(t):
     return t.census.withColumn("name", name).withColumn("norm", M.town_key("name"))
 
 
-@query("j13_town_matching")
+TOWN_CTE = """t AS (SELECT *, CASE WHEN yr = 2011 AND no_hh % 40 = 0 THEN lower(town) || 'a' ELSE lower(town) END AS norm,
+ CASE WHEN yr = 2001 THEN town || ' (M Cl)' WHEN yr = 2011 AND no_hh % 40 = 0 THEN lower(town) || 'a' ELSE town END AS name FROM census)"""
+
+# A misspelt town joins the right spelling of its district if that was seen in two censuses.
+KEY_CTE = f"""{TOWN_CTE}, m AS (SELECT district, norm, count(DISTINCT yr) AS n FROM t GROUP BY 1, 2),
+ keyed AS (SELECT t.*, CASE WHEN t.norm <> lower(t.town) AND m.n >= 2 THEN lower(t.town) ELSE t.norm END AS town_key
+   FROM t LEFT JOIN m ON m.district = t.district AND m.norm = lower(t.town))"""
+
+
+@query("j13_town_matching", "census", f"WITH {KEY_CTE} SELECT DISTINCT district, norm, yr, town_key FROM keyed")
 def _(t):
     rows = _towns(t).withColumn("ord", F.col("tot_p"))
     return L.match_across_years(rows, "district", "norm", "yr", "ord")
 
 
-TOWN_CTE = """t AS (SELECT *, CASE WHEN yr = 2011 AND no_hh % 40 = 0 THEN lower(town) || 'a' ELSE lower(town) END AS norm,
- CASE WHEN yr = 2001 THEN town || ' (M Cl)' WHEN yr = 2011 AND no_hh % 40 = 0 THEN lower(town) || 'a' ELSE town END AS name FROM census)"""
-
-
 @query(
     "j14_town_master",
     "census",
@@ -394,13 +405,22 @@ def _(t):
     return project(_district(t), ["district"], "yr", ["tot_p"], [1985, 1991, 1996, 2001, 2006, 2011, 2020]).select("district", "year", *R6("tot_p"))
 
 
-@query("t18_town_projection")
+@query(
+    "t18_town_projection",
+    "census",
+    f"""WITH {KEY_CTE}, g AS (SELECT district, town_key, yr, CAST(max(tot_p) AS DOUBLE) AS p, CAST(max(p_lit) AS DOUBLE) AS l FROM keyed GROUP BY 1, 2, 3),
+     a AS (SELECT *, row_number() OVER (PARTITION BY district, town_key ORDER BY yr DESC) AS k FROM g)
+    SELECT x.district, x.town_key, CAST(t AS INT) AS year, round(z.p + (x.p - z.p) / (x.yr - z.yr) * (t - z.yr), 6) AS tot_p,
+      round(z.l + (x.l - z.l) / (x.yr - z.yr) * (t - z.yr), 6) AS p_lit
+    FROM a x JOIN a z ON x.district = z.district AND x.town_key = z.town_key AND x.k = 1 AND z.k = 2, (SELECT unnest(range(2012, 2025)) AS t)""",
+)
 def _(t):
     rows = _towns(t).withColumn("ord", F.col("tot_p"))
     keys = L.match_across_years(rows, "district", "norm", "yr", "ord")
     linked = rows.join(keys, ["district", "norm", "yr"])
     sums = linked.groupBy("district", "town_key", "yr").agg(F.max("tot_p").alias("tot_p"), F.max("p_lit").alias("p_lit"))
-    return project(sums, ["district", "town_key"], "yr", ["tot_p", "p_lit"], single="null")
+    out = project(sums, ["district", "town_key"], "yr", ["tot_p", "p_lit"], single="null")
+    return out.select("district", "town_key", "year", *R6("tot_p", "p_lit"))
 
 
 PROJ19 = f"""WITH {TOWN_CTE},
