@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import saved
+from .ordering import numbered
 
 # Buckets per factor e of the value: a bucket spans a tenth of a percent, which
 # holds at most some thousand distinct single-precision values.
@@ -104,39 +105,20 @@ def attach_positions(df: DataFrame, keys: Sequence[str], value: str) -> DataFram
 def row_numbers(
     df: DataFrame, value: str, tie: str, name: str, keys: Sequence[str] = (), descending: bool = False
 ) -> DataFrame:
-    """Number all rows by value, equal values by ``tie``; NULL values last.
+    """Number all rows by value, equal values by ``tie``; NULL and NaN values last.
 
-    Ties are ranked by a second pass of ``positions`` inside the tied value, so
-    neither a large group nor a large tie is sorted in one task. A NaN or NULL
-    value is numbered after all others. The input is read by several branches,
-    so it is written to the shared folder first.
+    The rows are cut at measured boundaries of (keys, value, tie), so neither a
+    large group nor a large tie, nor ids, dates or names that lie close together,
+    are sorted in one task.
     """
-    keys = list(keys)
-    order = f"_ord_{name}"
-    src = saved(df.withColumn(order, -F.col(value).cast("double") if descending else F.col(value)), "ranked")
-    ranked = saved(attach_positions(src.filter(F.col(order).isNotNull()), keys, order).drop("n_group"), "ranked")
-    ranked = ranked.withColumnRenamed("n_below", "_above")
-    if ranked.filter(F.col("n_at") > 1).isEmpty():
-        ranked = ranked.withColumn("_in_tie", F.lit(0))
-    else:
-        tied = positions(ranked, [*keys, order], tie).select(*keys, order, tie, F.col("n_below").alias("_in_tie"))
-        ranked = ranked.join(tied, [*keys, order, tie])
-    out = ranked.withColumn(name, (F.col("_above") + F.col("_in_tie") + 1).cast("int"))
-    out = out.drop("_above", "_in_tie", "n_at", order)
-    missing = src.filter(F.col(order).isNull())
-    if missing.isEmpty():
-        return out
-    nulls = missing.drop(order)
-    known = F.count(order).alias("_known")
-    if keys:
-        nulls = nulls.join(src.groupBy(*keys).agg(known), keys)
-    else:
-        # A global aggregate is one row, which Spark broadcasts.
-        one = src.agg(known).withColumn("_all", F.lit(0))
-        nulls = nulls.withColumn("_all", F.lit(0)).join(one, "_all").drop("_all")
-    late = attach_positions(nulls, keys, tie)
-    late = late.withColumn(name, (F.col("_known") + F.col("n_below") + 1).cast("int"))
-    return out.unionByName(late.drop("_known", "n_at", "n_below", "n_group"))
+    order, late = f"_ord_{name}", f"_late_{name}"
+    missing = F.col(value).isNull()
+    if df.schema[value].dataType.typeName() in ("double", "float"):
+        missing |= F.isnan(value)
+    turned = -F.col(value).cast("double") if descending else F.col(value)
+    src = df.withColumn(late, missing).withColumn(order, F.when(~missing, turned))
+    out = numbered(src, list(keys), [late, order, tie], "_number")
+    return out.withColumn(name, (F.col("_number") + 1).cast("int")).drop(late, order, "_number")
 
 
 def _quantile(p: float, value: str) -> Column:
@@ -164,32 +146,71 @@ def summarise(
     extra: Mapping[str, Callable[[Column, Column], Column]] | None = None,
     buckets_per_e: int = BUCKETS_PER_E,
 ) -> DataFrame:
-    """Exact statistics of ``value`` per group in one pass over the input.
+    """Exact statistics of ``value`` per group.
 
-    Everything is read from the distinct values and their counts. The standard
-    deviation is the population one. ``extra`` builds aggregates from
-    (value, count) columns.
+    One pass counts and sums the fine buckets of each group, combined before the
+    shuffle. The counts tell which one or two buckets hold a wanted rank; a second
+    pass shuffles only the rows in those, cut further into equal parts of the
+    range that was measured in the bucket. The standard deviation is the
+    population one. ``extra`` builds aggregates from (value, count) columns.
     """
-    pos = positions(df, keys, value, buckets_per_e)
-    v, n = F.col(value), F.col("n_at")
-    total = F.sum(n)
-    shift = (F.col("low") + F.col("high")) / 2.0
-    d = v - shift
-    aggs = []
-    if count:
-        aggs.append(total.cast("long").alias(count))
-    if mean:
-        aggs.append((F.max(shift) + F.sum(d * n) / total).alias(mean))
-    if low:
-        aggs.append(F.min(v).alias(low))
-    if high:
-        aggs.append(F.max(v).alias(high))
-    if std:
-        off = F.sum(d * n) / total
-        aggs.append(F.sqrt(F.greatest(F.sum(d * d * n) / total - off * off, F.lit(0.0))).alias(std))
-    aggs += [_quantile(p, value).alias(name) for name, p in (quantiles or {}).items()]
-    aggs += [make(v, n).alias(name) for name, make in (extra or {}).items()]
-    return pos.groupBy(*keys).agg(*aggs)
+    grouped = list(keys) or ["_all"]
+    src = df if keys else df.withColumn("_all", F.lit(0))
+    src = src.filter(F.col(value).isNotNull()).dropna(subset=grouped).withColumn("_bucket", _bucket(src, value, buckets_per_e))
+    v, rows = F.col(value), F.count(F.lit(1))
+    cells = src.groupBy(*grouped, "_bucket").agg(
+        rows.alias("_n"), F.avg(v).alias("_mean"), F.var_pop(v).alias("_var"), F.min(v).alias("_lo"), F.max(v).alias("_hi")
+    )
+    cells = saved(cells, "buckets")
+    total = F.sum("_n")
+    whole = cells.groupBy(*grouped).agg(
+        total.cast("long").alias("_total"),
+        (F.sum(F.col("_mean") * F.col("_n")) / total).alias("_avg"),
+        F.min("_lo").alias("_min"),
+        F.max("_hi").alias("_max"),
+    )
+    off = F.col("_mean") - F.col("_avg")
+    spread = cells.join(whole, grouped).groupBy(*grouped).agg(
+        *[F.first(c).alias(c) for c in ("_total", "_avg", "_min", "_max")],
+        F.sqrt(F.sum(F.col("_n") * (F.col("_var") + off * off)) / F.first("_total")).alias("_std"),
+    )
+    names = {"_total": count, "_avg": mean, "_min": low, "_max": high, "_std": std}
+    out = spread.select(*grouped, *[F.col(c).alias(n) for c, n in names.items() if n])
+    if extra:
+        more = src.groupBy(*grouped).agg(*[make(v, F.lit(1)).alias(n) for n, make in extra.items()])
+        out = out.join(more, grouped)
+    if quantiles:
+        out = out.join(_quantiles(src, cells, grouped, value, quantiles), grouped)
+    return out.select(*keys, *[c for c in out.columns if c not in grouped])
+
+
+SUB_BUCKETS = 256
+
+
+def _quantiles(src: DataFrame, cells: DataFrame, grouped: list[str], value: str, quantiles: Mapping[str, float]) -> DataFrame:
+    """Interpolated percentiles per group, from the rows of the buckets that hold a wanted rank."""
+    line, group = Window.partitionBy(*grouped).orderBy("_bucket"), Window.partitionBy(*grouped)
+    placed = cells.withColumn("_start", F.sum("_n").over(line) - F.col("_n")).withColumn("n_group", F.sum("_n").over(group))
+    wanted = F.lit(False)
+    for p in quantiles.values():
+        at = (F.col("n_group") - 1) * F.lit(float(p))
+        for rank in (F.floor(at), F.ceil(at)):
+            wanted |= (F.col("_start") <= rank) & (rank < F.col("_start") + F.col("_n"))
+    held = saved(placed.filter(wanted).select(*grouped, "_bucket", "_start", "n_group", "_lo", "_hi"), "ranks")
+    rows = src.select(*grouped, "_bucket", value).join(held, [*grouped, "_bucket"])
+    v, lo, hi = (F.col(c).cast("double") for c in (value, "_lo", "_hi"))
+    part = F.when(hi > lo, F.least(F.floor((v - lo) / (hi - lo) * SUB_BUCKETS), F.lit(SUB_BUCKETS - 1))).otherwise(F.lit(0))
+    cell = [*grouped, "_bucket", "_sub"]
+    counted = rows.withColumn("_sub", part.cast("int")).groupBy(*cell, value).agg(
+        F.count(F.lit(1)).alias("n_at"), F.first("_start").alias("_start"), F.first("n_group").alias("n_group")
+    )
+    subs = counted.groupBy(*cell).agg(F.sum("n_at").alias("_in"))
+    before = Window.partitionBy(*grouped, "_bucket").orderBy("_sub")
+    starts = subs.select(*cell, (F.sum("_in").over(before) - F.col("_in")).alias("_skip"))
+    inside = Window.partitionBy(*cell).orderBy(value)
+    ranked = counted.withColumn("_run", F.sum("n_at").over(inside) - F.col("n_at")).join(starts, cell)
+    ranked = ranked.withColumn("n_below", F.col("_start") + F.col("_skip") + F.col("_run"))
+    return ranked.groupBy(*grouped).agg(*[_quantile(p, value).alias(name) for name, p in quantiles.items()])
 
 
 def top_k(df: DataFrame, k: int, order: Sequence[Column], keys: Sequence[str] = ()) -> DataFrame:
