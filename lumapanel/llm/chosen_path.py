@@ -20,11 +20,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from ..session import saved
 from .components import components
@@ -35,10 +33,10 @@ SHINGLE = 5
 THRESHOLD = 0.8
 TOKENS = 128
 RUNS = 10  # a pair at the threshold shares one chosen token per run on average: it is missed with e**-10
-DEEPER = 8  # the same for each further split
 DEPTH = 3
 BUCKET = 256
-BLOCK = 128
+CENTRES = 16
+BLOCK = 384
 SLACK = 0.14  # four standard deviations of the sketch's estimate at the threshold
 
 _MULT = np.random.default_rng(1).integers(0, 2**32, TOKENS, dtype=np.uint32) | np.uint32(1)
@@ -115,7 +113,7 @@ def _more_picks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for low in range(0, batch.num_rows, 2048):
             part = batch.slice(low, 2048)
-            row, path = _picks(part["path"].to_numpy().view(np.uint64), _sketches(part["sketch"]), DEEPER)
+            row, path = _picks(part["path"].to_numpy().view(np.uint64), _sketches(part["sketch"]), 1.0)
             yield pa.RecordBatch.from_pydict({"path": path.view(np.int64), "rep": part["rep"].take(pa.array(row))})
 
 
@@ -154,21 +152,44 @@ def star(n: int, linked: Iterator[tuple[int, np.ndarray]]) -> np.ndarray:
     return root
 
 
+def _stars(tokens: np.ndarray) -> np.ndarray:
+    """For each sketch the first of its set of sketches that look alike, directly or by way of others."""
+    n = len(tokens)
+    return star(n, ((i, i + np.flatnonzero((tokens[i:] == tokens[i]).mean(axis=1) >= THRESHOLD - SLACK)) for i in range(n - 1)))
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Brute force over small buckets: a star per set of sketches that look alike."""
     for batch, bounds in whole_groups(batches, ["path"]):
         tokens, reps = _sketches(batch["sketch"]), batch["rep"].to_numpy()
         a, b = [], []
         for low, high in zip(bounds[:-1], bounds[1:], strict=True):
-            t = tokens[low:high]
-            alike = ((i, i + np.flatnonzero((t[i:] == t[i]).mean(axis=1) >= THRESHOLD - SLACK)) for i in range(high - low - 1))
-            root = star(high - low, alike)
+            root = _stars(tokens[low:high])
             joined = np.flatnonzero(root != np.arange(high - low))
             a.append(reps[low:high][root[joined]])
             b.append(reps[low:high][joined])
         yield pa.RecordBatch.from_pydict({"a": np.concatenate(a), "b": np.concatenate(b)})
 
 
+def _compare_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A block of a large bucket with the bucket's centres: stars, and the members that no centre's star holds."""
+    for batch, bounds in whole_groups(batches, ["path", "block"]):
+        tokens, reps, path = _sketches(batch["sketch"]), batch["rep"].to_numpy(), batch["path"].to_numpy()
+        centre = batch["centre"].to_numpy(zero_copy_only=False)
+        out = [[], [], []]
+        for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+            root = _stars(tokens[low:high])
+            near = np.isin(root, root[centre[low:high]])
+            kept = np.flatnonzero((root != np.arange(high - low)) | ~near)
+            out[0].append(reps[low:high][root[kept]])
+            out[1].append(reps[low:high][kept])
+            out[2].append(np.where(near[kept], 0, path[low]))
+        far = np.concatenate(out[2])
+        yield pa.RecordBatch.from_pydict(
+            {"a": np.concatenate(out[0]), "b": np.concatenate(out[1]), "far": pa.array(far, mask=far == 0)}
+        )
+
+
 LINKS = "a long, b long"
 
 
@@ -176,51 +197,64 @@ def _by_block(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys)
 
 
-@F.pandas_udf(DoubleType())
-def _likeness(x: pd.Series, y: pd.Series) -> pd.Series:
-    """Share of equal tokens of two sketches."""
-    rows = [(np.frombuffer(p, np.uint32) == np.frombuffer(q, np.uint32)).mean() for p, q in zip(x, y, strict=True)]
-    return pd.Series(rows, dtype="float64")
-
-
 def _buckets(picks: DataFrame) -> DataFrame:
-    """(path, n, least) of the buckets of two or more, one for each set of members."""
+    """(path, n) of the buckets of two or more, one for each set of members."""
     sets = picks.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.min("rep").alias("least"))
-    return sets.filter("n > 1").groupBy("n", "x", "least").agg(F.min("path").alias("path")).select(F.col("path").alias("_path"), "n", "least")
+    return sets.filter("n > 1").groupBy("n", "x", "least").agg(F.min("path").alias("path")).select(F.col("path").alias("_path"), "n")
+
+
+def _in_blocks(large: DataFrame, sketch: DataFrame) -> DataFrame:
+    """Large buckets (path, rep, n) dealt to blocks of about ``BUCKET`` members, each with all centres of its bucket.
+
+    Centres are about ``CENTRES`` members drawn by a hash; members of a set that
+    looks alike and isn't small are tied together by them across the blocks.
+    """
+    blocks = F.ceil(F.col("n") / BUCKET).cast("long")
+    drawn = F.pmod(F.xxhash64("path", "rep"), F.lit(1 << 30)) < (F.lit(CENTRES * (1 << 30)) / F.col("n"))
+    own = F.pmod(F.xxhash64("rep", "path"), blocks)
+    dealt = large.select("path", "rep", F.explode(F.when(drawn, F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array(own))).alias("block"), drawn.alias("centre"))
+    return dealt.join(sketch, F.col("rep") == F.col("_rep")).select("path", "block", "rep", "centre", "sketch")
 
 
 def candidate_links(reps: DataFrame) -> DataFrame:
-    """Star links (a, b) among representatives (rep, sketch) that met in a bucket and look alike."""
+    """Star links (a, b) among representatives (rep, sketch) that met in a bucket and look alike.
+
+    A large bucket is compared in blocks first. If some members look like no
+    centre, the whole bucket is split by further tokens, and where that leaves
+    large buckets again, the members that look like no centre are split once
+    more; what is left at ``DEPTH`` is compared block against block.
+    """
     sketch = reps.select(F.col("rep").alias("_rep"), "sketch")
     picks = saved(reps.select("rep", "sketch").mapInArrow(_first_picks, "path long, rep long"), "picks")
-    links = None
+    links = []
     for depth in range(1, DEPTH + 1):
         kept = saved(_buckets(picks), "buckets")
-        met = saved(picks.join(kept, F.col("path") == F.col("_path")).select("path", "rep", "n", "least"), "met")
+        met = saved(picks.join(kept, F.col("path") == F.col("_path")).select("path", "rep", "n"), "met")
         small = met.filter(F.col("n") <= BUCKET).join(sketch, F.col("rep") == F.col("_rep")).select("path", "rep", "sketch")
-        new = _by_block(small, ["path"]).mapInArrow(_compare, LINKS)
+        links.append(saved(_by_block(small, ["path"]).mapInArrow(_compare, LINKS).distinct(), "links"))
         large = met.filter(F.col("n") > BUCKET)
-        if not large.isEmpty():
-            # A large bucket whose members all look like its first is one group and needs no split.
-            centre = large.select("path", "least").distinct().join(sketch, F.col("least") == F.col("_rep"))
-            centre = centre.select(F.col("path").alias("_path"), F.col("sketch").alias("_centre"))
-            large = large.join(sketch, F.col("rep") == F.col("_rep")).join(centre, F.col("path") == F.col("_path"))
-            large = large.withColumn("_near", _likeness("sketch", "_centre") >= THRESHOLD - SLACK)
-            large = saved(large.select("path", "rep", "n", "least", "sketch", "_near"), "large")
-            new = new.union(large.filter("_near and rep != least").select(F.col("least").alias("a"), F.col("rep").alias("b")))
-            far = large.filter("not _near").select(F.col("path").alias("_path")).distinct()
-            large = large.join(far, F.col("path") == F.col("_path"), "left_semi")
-            if depth < DEPTH:
-                picks = saved(large.select("path", "rep", "sketch").mapInArrow(_more_picks, "path long, rep long"), "picks")
-            else:
-                new = new.union(_compare_in_blocks(large))
-                large = None
-        else:
-            large = None
-        links = new if links is None else links.union(new)
-        if large is None or (depth < DEPTH and picks.isEmpty()):
+        if large.isEmpty():
+            break
+        blocks = _by_block(_in_blocks(large, sketch), ["path", "block"])
+        found = saved(blocks.mapInArrow(_compare_block, LINKS + ", far long"), "blocks")
+        links.append(found.filter("a != b").select("a", "b").distinct())
+        far = saved(found.filter("far is not null").select(F.col("far").alias("path"), F.col("b").alias("rep")).distinct(), "far")
+        if far.isEmpty():
+            break
+        if depth == DEPTH:
+            links.append(_compare_in_blocks(far, sketch))
             break
-    return saved(links.distinct(), "links")
+        if depth == 1:  # the whole bucket is split
+            open_ = far.select(F.col("path").alias("_path")).distinct()
+            again = large.join(open_, F.col("path") == F.col("_path"), "left_semi")
+        else:  # the others have met their like: in this bucket, its blocks and the other runs
+            again = far
+        again = again.join(sketch, F.col("rep") == F.col("_rep"))
+        picks = saved(again.select("path", "rep", "sketch").mapInArrow(_more_picks, "path long, rep long"), "picks")
+    every = links[0]
+    for more in links[1:]:
+        every = every.union(more)
+    return every
 
 
 def block_pairs(rows: DataFrame, group: str, order: str, block: int) -> DataFrame:
@@ -231,11 +265,10 @@ def block_pairs(rows: DataFrame, group: str, order: str, block: int) -> DataFram
     return wide.select(group, order, "_own", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"))
 
 
-def _compare_in_blocks(large: DataFrame) -> DataFrame:
-    """The rest of a split that did not get small: all members, block against block."""
-    pairs = block_pairs(large.select("path", "rep"), "path", "rep", BUCKET // 2)
-    rows = pairs.join(large.select(F.col("rep").alias("_rep"), F.col("path").alias("_path"), "sketch"), (F.col("rep") == F.col("_rep")) & (F.col("path") == F.col("_path")))
-    rows = rows.select(F.xxhash64("path", "_i", "_j").alias("path"), "rep", "sketch")
+def _compare_in_blocks(far: DataFrame, sketch: DataFrame) -> DataFrame:
+    """Members (path, rep) that are still in large buckets and like no centre, block against block."""
+    pairs = block_pairs(far, "path", "rep", BUCKET // 2).join(sketch, F.col("rep") == F.col("_rep"))
+    rows = pairs.select(F.xxhash64("path", "_i", "_j").alias("path"), "rep", "sketch")
     return _by_block(rows, ["path"]).mapInArrow(_compare, LINKS)
 
 

@@ -25,14 +25,14 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("c"), F.least("a", "m").alias("m"))
         large = both.join(least, F.col("a") == F.col("c")).filter(F.col("b") > F.col("a")).select(F.col("m").alias("a"), "b")
-        edges = saved(large.filter(F.col("a") != F.col("b")).distinct(), "links")
+        edges = saved(large.filter(F.col("a") != F.col("b")), "links")
         # Small star: a node and its smaller neighbours link to the smallest of these.
         down = edges.groupBy("b").agg(F.min("a").alias("m")).withColumnRenamed("b", "c")
         joined = edges.join(down, F.col("b") == F.col("c"))
         small = joined.select(F.col("m").alias("x"), F.col("a").alias("y")).union(joined.select(F.col("m").alias("x"), F.col("b").alias("y")))
         small = small.filter(F.col("x") != F.col("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         edges = saved(small.distinct(), "links")
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        state = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if state == before:
             break
         before = state
