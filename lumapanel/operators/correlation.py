@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException, UnsupportedOperationException
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
@@ -90,7 +92,7 @@ def multiple_ols(df: DataFrame, y: str, features: Sequence[str]):
     coefs = [*map(float, model.coefficients), float(model.intercept)]
     try:
         p_values = list(map(float, s.pValues))
-    except Exception:  # the summary refuses p-values without spare degrees of freedom
+    except (Py4JJavaError, UnsupportedOperationException, IllegalArgumentException):  # the summary refuses p-values without spare degrees of freedom
         p_values = [None] * len(terms)
     table = df.sparkSession.createDataFrame(
         [(t, c, p, float(s.r2)) for t, c, p in zip(terms, coefs, p_values)],

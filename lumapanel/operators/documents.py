@@ -16,12 +16,15 @@ from ..functions.scalars import round_coords
 
 
 def feature_rows(zones: DataFrame, props: DataFrame, zone: str, coords: str = "coordinates", depth: int = 3, digits: int = 5) -> DataFrame:
-    """GeoJSON feature text per zone with properties; zones without properties are skipped."""
+    """GeoJSON feature text per zone with properties; zones without properties are skipped.
+
+    Coordinates nested ``depth`` 3 deep are polygons, 4 deep multi-polygons.
+    """
     cols = [c for c in props.columns if c != zone]
     joined = zones.select(zone, round_coords(coords, depth, digits).alias("_c")).join(props, zone)
     feature = F.struct(
         F.lit("Feature").alias("type"),
-        F.struct(F.lit("Polygon").alias("type"), F.col("_c").alias("coordinates")).alias("geometry"),
+        F.struct(F.lit("Polygon" if depth == 3 else "MultiPolygon").alias("type"), F.col("_c").alias("coordinates")).alias("geometry"),
         F.struct(F.col(zone), *cols).alias("properties"),
     )
     return joined.select(zone, F.to_json(feature).alias("feature"))

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import unmapped_districts
+
 
 def merge_yearly(panel: DataFrame, datasets: Sequence[tuple[DataFrame, str, str]], entity: str, year: str = "year") -> DataFrame:
     """Left-join datasets given as (table, temporal type, entity type).
@@ -47,9 +49,15 @@ def fan_out(before: DataFrame, after: DataFrame, label: str, factor: float = 2.0
     )
 
 
-def roll_up(wards: DataFrame, district: str, town: str, town_name: str, metrics: Sequence[str], rural: DataFrame) -> DataFrame:
+def roll_up(
+    wards: DataFrame, district: str, town: str, town_name: str, metrics: Sequence[str], rural: DataFrame,
+    unmapped: Sequence[str] | None = None,
+) -> DataFrame:
     """Ward and rural rows to TOWN, DISTRICT-Urban, DISTRICT-Rural and DISTRICT-Total rows.
 
+    Districts without a modern match (``unmapped``, by default those of the alias
+    table) are dropped.
+
     ``rural`` has the district and the metrics. One grouping-sets aggregation
     makes all levels.
     """
@@ -58,6 +66,8 @@ def roll_up(wards: DataFrame, district: str, town: str, town_name: str, metrics:
     urban = wards.withColumn("tru", F.lit("Urban"))
     country = rural.select(district, blank.alias(town), blank.alias(town_name), F.lit("Rural").alias("tru"), *metrics)
     rows = urban.select(*cols).unionByName(country.select(*cols))
+    lost = list(unmapped_districts() if unmapped is None else unmapped)
+    rows = rows.filter(F.col(district).isNull() | ~F.col(district).isin(lost))
     sets = [[F.col(district), F.col("tru"), F.col(town)], [F.col(district), F.col("tru")], [F.col(district)]]
     agg = rows.groupingSets(sets, F.col(district), F.col("tru"), F.col(town)).agg(
         *[F.sum(m).alias(m) for m in metrics],

@@ -229,7 +229,7 @@ def _(t):
 @query(
     "a16_hierarchy_roll_up",
     "census",
-    """WITH u AS (SELECT district, town, tot_p, no_hh FROM census WHERE yr = 2011), r AS (SELECT district, tot_p * 2 AS tot_p, no_hh FROM census WHERE yr = 2001),
+    """WITH u AS (SELECT district, town, tot_p, no_hh FROM census WHERE yr = 2011 AND district <> 'Nation 7'), r AS (SELECT district, tot_p * 2 AS tot_p, no_hh FROM census WHERE yr = 2001 AND district <> 'Nation 7'),
     a AS (SELECT district, tot_p, no_hh, 'Urban' AS tru FROM u UNION ALL SELECT district, tot_p, no_hh, 'Rural' FROM r)
     SELECT district, 'TOWN' AS level, 'Urban' AS tru, min(town) AS entity_name, town AS entity_code, CAST(sum(tot_p) AS BIGINT) AS tot_p, CAST(sum(no_hh) AS BIGINT) AS no_hh FROM u GROUP BY district, town
     UNION ALL SELECT district, 'DISTRICT', tru, district, '', CAST(sum(tot_p) AS BIGINT), CAST(sum(no_hh) AS BIGINT) FROM a GROUP BY district, tru
@@ -239,7 +239,7 @@ def _(t):
     c = t.census
     wards = c.filter("yr = 2011").select("district", F.col("town").alias("code"), F.col("town").alias("name"), "tot_p", "no_hh")
     rural = c.filter("yr = 2001").select("district", (F.col("tot_p") * 2).alias("tot_p"), "no_hh")
-    return G.level_order(G.roll_up(wards, "district", "code", "name", ["tot_p", "no_hh"], rural), "district")
+    return G.level_order(G.roll_up(wards, "district", "code", "name", ["tot_p", "no_hh"], rural, unmapped=["Nation 7"]), "district")
 
 
 MERGE_SQL = "SELECT p.entity, p.yr, round(p.mean_value, 6) AS mean_value, d.tot_p, d.p_lit FROM panel p LEFT JOIN {ds} d ON d.district = concat('Nation ', p.entity) {on}"

@@ -54,7 +54,8 @@ def _geojson(t):
     ring = F.array(corner("x0", "y0"), corner("x1", "y0"), corner("x1", "y1"), corner("x0", "y1"), corner("x0", "y0"))
     even = F.col("zone") % 2 == 0
     props = F.struct(
-        F.concat(F.lit(" zone "), F.col("zone").cast("string")).alias("dtname"), F.when(F.col("zone") % 3 == 0, "Alpha").otherwise("beta").alias("stname")
+        F.concat(F.lit(" zone "), F.col("zone").cast("string")).alias("dtname"), F.when(F.col("zone") % 3 == 0, "Alpha").otherwise("beta").alias("stname"),
+        F.col("zone").alias("dtcode11"), (F.col("zone") + 500).alias("Dist_LGD"),
     )
     poly = F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")))
     multi = F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), F.array(F.array(ring)).alias("coordinates")))
@@ -68,12 +69,12 @@ def _geojson(t):
 @query(
     "s09_boundary_scan",
     "zones",
-    "SELECT 'Zone ' || zone AS zone, 0 AS part, 0 AS ring, CAST(5 AS INT) AS n, round(x0, 6) AS west, round(y1, 6) AS north FROM zones",
+    "SELECT 'Zone ' || zone AS zone, CASE WHEN zone % 3 = 0 THEN 'Alpha' ELSE 'beta' END AS state, CAST(zone AS VARCHAR) AS district_code, CAST(zone + 500 AS VARCHAR) AS district_lgd, 0 AS part, 0 AS ring, CAST(5 AS INT) AS n, round(x0, 6) AS west, round(y1, 6) AS north FROM zones",
 )
 def _(t):
     b = Z.read_boundaries(t.spark, _geojson(t))
     return b.select(
-        "zone", "part", "ring", F.size("vertices").alias("n"), F.round(F.array_min("vertices.x"), 6).alias("west"), F.round(F.array_max("vertices.y"), 6).alias("north")
+        "zone", "state", "district_code", "district_lgd", "part", "ring", F.size("vertices").alias("n"), F.round(F.array_min("vertices.x"), 6).alias("west"), F.round(F.array_max("vertices.y"), 6).alias("north")
     )
 
 
@@ -89,12 +90,12 @@ def _(t):
     return region.groupBy("state_name").agg(F.count(F.lit(1)).alias("n")).unionByName(lost)
 
 
-@query("s12_place_files", "", "SELECT replace(lower(p_type), ' ', '_') AS district_key, count(*) AS n, count(*) AS pending FROM part GROUP BY 1")
+@query("s12_place_files", "", "SELECT replace(lower(p_type), ' ', '_') AS district_key, p_name AS name, count(*) AS n, count(*) AS pending FROM part GROUP BY 1, 2")
 def _(t):
     path = scratch_path(t.spark, "placefiles")
     K.write_places(t.part.select(F.col("p_name").alias("name"), F.col("p_type").alias("district")), "district", path)
     back = t.spark.read.option("header", True).csv(path)
-    return back.groupBy("district_key").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("geocode_status") == "pending").alias("pending"))
+    return back.groupBy("district_key", "name").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("geocode_status") == "pending").alias("pending"))
 
 
 @query("s13_panel_sink", "panel", "SELECT entity, yr, pixel_count, round(median_value, 4) AS median_value FROM panel")

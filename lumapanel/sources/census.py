@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -151,6 +152,6 @@ def load_all(tables: dict[str, DataFrame], known: DataFrame | None, registry: Se
         if meta.name in tables:
             try:
                 loaded[meta.name] = load_dataset(tables[meta.name], meta, known, entity)
-            except Exception as e:  # one broken table must not stop the others
+            except (AnalysisException, KeyError, ValueError) as e:  # one broken table must not stop the others
                 failed[meta.name] = str(e)
     return loaded, failed

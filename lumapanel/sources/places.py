@@ -13,7 +13,14 @@ from ..functions.names import title_case
 
 # Property keys that may hold a region's or a zone's name.
 REGION_KEYS = ("stname", "STNAME", "NAME_1", "name", "ST_NM", "state")
-ZONE_KEYS = {"dtname": "district", "stname": "state", "dtcode11": "district_code", "stcode11": "state_code"}
+ZONE_KEYS = {
+    "dtname": "district",
+    "stname": "state",
+    "dtcode11": "district_code",
+    "stcode11": "state_code",
+    "Dist_LGD": "district_lgd",
+    "State_LGD": "state_lgd",
+}
 
 FEATURES = """type STRING, features ARRAY<STRUCT<type: STRING, properties: MAP<STRING, STRING>,
  geometry: STRUCT<type: STRING, coordinates: STRING>>>"""
@@ -39,17 +46,20 @@ def _polygons() -> Column:
 
 
 def read_boundaries(spark: SparkSession, path: str, columns: Mapping[str, str] = ZONE_KEYS, zone: str = "district") -> DataFrame:
-    """Rings of every zone: (zone, part, ring, vertices); names are trimmed and title-cased."""
+    """Rings of every zone: (zone, part, ring, vertices) and the other mapped properties; names are trimmed and title-cased."""
     feats = read_features(spark, path)
     sources = [k for k, v in columns.items() if v == zone] + [zone]
     name = F.coalesce(*[F.element_at("properties", F.lit(k)) for k in sources])
     feats = feats.withColumn("zone", title_case(F.trim(name)))
     if feats.filter(F.col("zone").isNotNull()).isEmpty():
         raise ValueError(f"no property among {sources} names the zones")
-    parts = feats.select("zone", F.posexplode(_polygons()).alias("part", "poly"))
-    rings = parts.select("zone", "part", F.posexplode("poly").alias("ring", "pts"))
+    others = list(dict.fromkeys(v for v in columns.values() if v != zone))
+    held = {o: [F.element_at("properties", F.lit(k)) for k, v in columns.items() if v == o] for o in others}
+    feats = feats.select("*", *[F.coalesce(*found).alias(o) for o, found in held.items()])
+    parts = feats.select("zone", *others, F.posexplode(_polygons()).alias("part", "poly"))
+    rings = parts.select("zone", *others, "part", F.posexplode("poly").alias("ring", "pts"))
     vertex = lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y"))
-    return rings.select("zone", "part", "ring", F.transform("pts", vertex).alias("vertices"))
+    return rings.select("zone", *others, "part", "ring", F.transform("pts", vertex).alias("vertices"))
 
 
 def region_name(keys: Sequence[str] = REGION_KEYS) -> Column:
