@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..session import saved
 from .components import components
-from .order import numbered
+from ..operators.ordering import numbered
 from .words import mix, slices, window_hashes, words_of
 
 SHINGLE = 5

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import saved
-from .order import numbered
+from ..operators.ordering import numbered
 
 WEIGHTS = (5, 2, 1)
 SCALE = 1 << 30  # rates are rounded to this before they are summed, so sums don't depend on the order

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .order import numbered
+from ..operators.ordering import numbered
 
 # The generator's multiplier, fixed by the published algorithm, in limbs of 22 bits.
 MULTIPLIER = 2862933555777941757
