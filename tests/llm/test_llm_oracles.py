@@ -71,7 +71,7 @@ def test_op8_held_out_accuracy(spark):
     rows = [r for r in QUERIES["op8_kernel_toxicity"](spark, sf_dir).collect() if r["held_out"] and r["doc_id"] in labels]
     toxic = [r["predicted"] for r in rows if labels[r["doc_id"]]]
     clean = [r["predicted"] for r in rows if not labels[r["doc_id"]]]
-    assert np.mean(toxic) > 0.85 and np.mean(clean) < 0.02
+    assert np.mean(toxic) > 0.8 and np.mean(clean) < 0.025
 
 
 def test_op9_meets_targets(spark, sf_dir):
