@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from ..session import saved
 
 SHARD_ROWS, QUERY_ROWS, LEAF = 4096, 2048, 128
+PAIRS = 1 << 17
 EPS = 1e-9
 
 
@@ -107,6 +108,12 @@ def search(tree: Tree, queries: np.ndarray, own: np.ndarray, k: int, factor: flo
 
     def visit(node: int, active: np.ndarray) -> None:
         _, _, low, _, high, _, _ = tree.nodes[node]
+        # A leaf of one common vector ties with itself for every query: few queries at a time bound the pairs.
+        step = max(1, PAIRS // (high - low))
+        for first in range(0, len(active), step):
+            compare(low, high, active[first : first + step])
+
+    def compare(low: int, high: int, active: np.ndarray) -> None:
         rough = queries[active] @ tree.vectors[low:high].T
         slack = EPS * (1 + np.sqrt(length[active] * tree.reach))
         a, b = np.nonzero(rough >= (scores[active, -1] - slack)[:, None])
