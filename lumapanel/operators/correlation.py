@@ -154,17 +154,29 @@ def strongest(corr: DataFrame, k: int, r: str = "pearson_r") -> DataFrame:
     return top_k(corr.filter(F.col(r).isNotNull()), k, [F.abs(r).desc(), F.col("x_col"), F.col("y_col")])
 
 
-def pair_lines(df: DataFrame, entity: str, chosen: DataFrame, x_cols, y_cols) -> DataFrame:
+def pearson_matrix(df: DataFrame, x_cols: Sequence[str], y_cols: Sequence[str]) -> DataFrame:
+    """Pearson correlation and regression line of every column pair, from one aggregation over the table.
+
+    Columns that don't exist, and y columns with fewer than three values, are left out.
+    """
+    value = lambda c: F.col(c).cast("double")
+    pairs = [(a, b) for a in x_cols for b in y_cols if a in df.columns and b in df.columns]
+    cells = [
+        F.struct(
+            F.lit(a).alias("x_col"), F.lit(b).alias("y_col"), safe_corr(value(a), value(b)).alias("r"), _pairs(value(a), value(b)).alias("n"),
+            F.regr_slope(value(b), value(a)).alias("slope"), F.regr_intercept(value(b), value(a)).alias("intercept"), F.count(b).alias("_known"),
+        ).alias(f"_{i}")
+        for i, (a, b) in enumerate(pairs)
+    ]
+    out = df.agg(*cells).select(F.inline(F.array(*[F.col(f"_{i}") for i in range(len(pairs))]))).filter(F.col("_known") >= 3)
+    out = out.withColumn("pearson_r", F.when(F.col("n") >= 3, F.col("r")))
+    return out.withColumn("p_value", corr_p(F.col("r"), F.col("n"))).drop("_known")
+
+
+def pair_lines(df: DataFrame, chosen: DataFrame, x_cols: Sequence[str], y_cols: Sequence[str]) -> DataFrame:
     """Regression line of each chosen pair."""
-    pairs = metric_pairs(df, entity, x_cols, y_cols).join(chosen.select("x_col", "y_col"), ["x_col", "y_col"], "left_semi")
-    x, y = F.col("x"), F.col("y")
-    got = pairs.groupBy("x_col", "y_col").agg(
-        F.regr_slope(y, x).alias("slope"),
-        F.regr_intercept(y, x).alias("intercept"),
-        safe_corr(x, y).alias("r"),
-        _pairs(x, y).alias("n"),
-    )
-    return got.withColumn("p_value", corr_p(F.col("r"), F.col("n")))
+    lines = pearson_matrix(df, x_cols, y_cols).join(chosen.select("x_col", "y_col"), ["x_col", "y_col"], "left_semi")
+    return lines.select("x_col", "y_col", "slope", "intercept", "r", "n", "p_value")
 
 
 def quadrants(df: DataFrame, entity: str, pairs: Sequence[tuple[str, str]]) -> DataFrame:

@@ -382,8 +382,8 @@ def _(t):
 )
 def _(t):
     cross = _cross(t)
-    best = C.strongest(C.correlation_matrix(cross, "entity", X_COLS, Y_COLS), 6)
-    out = C.pair_lines(cross, "entity", best, X_COLS, Y_COLS)
+    best = C.strongest(C.pearson_matrix(cross, X_COLS, Y_COLS), 6)
+    out = C.pair_lines(cross, best, X_COLS, Y_COLS)
     return out.select("x_col", "y_col", *R6("slope", "r", "p_value"), F.round("intercept", 5).alias("intercept"), "n")
 
 
@@ -393,7 +393,7 @@ def _(t):
     "SELECT x_col, y_col, round(corr(x, y), 6) AS pearson_r FROM long_pairs GROUP BY 1, 2 ORDER BY abs(corr(x, y)) DESC LIMIT 5",
 )
 def _(t):
-    best = C.strongest(C.correlation_matrix(_cross(t), "entity", X_COLS, Y_COLS), 5)
+    best = C.strongest(C.pearson_matrix(_cross(t), X_COLS, Y_COLS), 5)
     return best.select("x_col", "y_col", *R6("pearson_r"))
 
 
