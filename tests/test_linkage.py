@@ -134,3 +134,20 @@ def test_projection_rules(spark):
 def test_query_variants(spark):
     df = spark.createDataFrame([("Roha Ashtami",)], "x string")
     assert df.select(F.size(M.query_variants("x", F.lit("D"), "S", "C"))).first()[0] == 3
+
+
+def test_short_names_get_suggestions(spark):
+    a = spark.createDataFrame([("Pune",), ("Nashik",), ("Nanded",)], "n string")
+    b = spark.createDataFrame([("Pun",), ("Nashik",), ("na",), ("NANDED",), ("Qq",)], "n string")
+    got = sorted(((r["name"], r["status"], r["similar"]) for r in L.cross_check(a, b, "n", "n").collect()), key=str)
+    assert got == sorted(
+        [("Pun", "extra", "Pune"), ("Pune", "missing", None), ("na", "extra", "Nashik"), ("na", "extra", "Nanded"), ("NANDED", "case_only", None), ("Qq", "extra", None)],
+        key=str,
+    )
+
+
+def test_frequent_pieces_lose_no_pair(spark):
+    names = [f"district {i:04d}" for i in range(0, 2400, 20)]
+    df = spark.createDataFrame([(n,) for n in names], "a string")
+    got = {(r["a"], r["b"]) for r in L.similar_pairs(df, df.withColumnRenamed("a", "b"), "a", "b", 0.85).collect()}
+    assert got == {(x, y) for x in names for y in names if ratio(x, y) >= 0.85}

@@ -66,3 +66,17 @@ def test_top_k_limits_before_the_shuffle(spark):
 def test_empty_input(spark):
     df = spark.createDataFrame([], "g int, v double")
     assert R.summarise(df, ["g"], "v", {"m": 0.5}).count() == 0
+
+
+def test_close_values_are_spread_over_tasks(spark):
+    """Ids, times and names that lie close together are numbered in many tasks."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for make in (lambda i: i + 10**9, lambda i: F.concat(F.lit("Customer#"), F.lpad(i.cast("string"), 9, "0"))):
+            df = spark.range(20_000).select(make(F.col("id")).alias("v"), F.col("id").alias("t"))
+            out = R.row_numbers(df, "v", "t", "rn")
+            assert out.filter(F.col("rn") != F.col("t") + 1).count() == 0
+            sizes = [len(p) for p in R.numbered(df, [], ["v", "t"], "k").rdd.glom().collect()]
+            assert max(sizes) < 12_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

@@ -117,6 +117,8 @@ def test_stream_equals_batch_and_resumes(spark):
     whole = spark.read.parquet(folder)
     want = {(r.species_key, r.month): tuple(r)[2:] for r in O.monthly_sums(whole, ["species_key", "month"]).collect()}
     assert got == want and whole.count() == 200
+    again = {(r.species_key, r.month): tuple(r)[2:] for r in run().collect()}  # nothing new has arrived
+    assert again == want
 
 
 def test_broken_dataset_is_reported(spark):

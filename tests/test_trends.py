@@ -155,3 +155,10 @@ def test_magnitude_falls_with_light(spark, values):
     df = spark.createDataFrame([(v,) for v in sorted(values)], "x double")
     mags = [r[0] for r in df.select(S.sky_magnitude("x")).collect()]
     assert all(a >= b for a, b in zip(mags, mags[1:]))
+
+
+def test_no_resamples_give_no_interval(spark):
+    df = panel(spark, {"a": [(y, 2.0 + y % 3) for y in YEARS]})
+    for make in (T.bootstrap_ci, T.block_bootstrap_ci):
+        r = make(df, "e", "y", "v", resamples=0).first()
+        assert tuple(r)[1:] == (None, None, 0)
