@@ -13,6 +13,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +22,12 @@ from pyspark.sql import functions as F
 
 from ..session import saved
 from .store import attempt_name, located, new_folder, open_output
+from .words import slices
 
 MAGIC = b"REPAIR01"
-ROUND_RULES = (6000, 4000, 3000, 2000)  # new symbols per pass; with a 50k vocabulary they fit into 16 bits
-FILE_TOKENS = 8 << 20
-CACHE_UNITS = 1_500_000
+ROUND_RULES = (4000, 3000, 2000)  # new symbols per pass; with a 50k vocabulary they fit into 16 bits
+FILE_TOKENS = 2 << 20
+CACHE_UNITS = 1_000_000
 
 
 # --- encoding ----------------------------------------------------------------
@@ -41,7 +43,7 @@ class UnitEncoder:
     """
 
     _cut = re.compile(r"(?<=\S) (?=\S)")
-    _unsafe = re.compile(r"\s | \s|\A | \Z")
+    _rare = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -54,16 +56,24 @@ class UnitEncoder:
     def clear(self) -> None:
         self.heads: dict[str, int] = {}
         self.rests: dict[str, int] = {}
-        self.flat, self.at, self.filled = np.empty(1 << 20, np.uint32), [0], 0
+        self.flat, self.filled = np.empty(1 << 20, np.uint32), 0
+        self.at, self.units = np.zeros(1 << 17, np.int64), 0
+
+    def _simple(self, text: str) -> bool:
+        """Whether every space stands between two other characters than white space."""
+        near = "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " "
+        return not near and not any(c in text for c in self._rare)
 
     def _codes(self, known: dict[str, int], pieces: list[str], before: str) -> np.ndarray:
         """Number of each piece; new ones are encoded after ``before`` and remembered."""
-        fresh = [p for p in dict.fromkeys(pieces) if p not in known]
+        codes = np.fromiter(map(known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        unknown = np.flatnonzero(codes < 0).tolist()
+        fresh = list(dict.fromkeys([pieces[k] for k in unknown]))
         plain = [p for p in fresh if p and "\r" not in p and not p[0].isspace() and not p[-1].isspace()]
         for low in range(0, len(plain), 4096):
             # A carriage return before a piece or its space is a token of its own, so many pieces go in one call.
             part = plain[low : low + 4096]
-            ids = np.array(self.tokenizer.encode("\r".join([before + p for p in part]), add_special_tokens=False).ids, np.uint32)
+            ids = np.array(self.tokenizer.encode_batch_fast(["\r".join([before + p for p in part])], add_special_tokens=False)[0].ids, np.uint32)
             cuts = np.flatnonzero(ids == self.separator)
             ends = np.append(cuts - np.arange(len(cuts)), len(ids) - len(cuts))
             if len(ends) != len(part):
@@ -73,15 +83,19 @@ class UnitEncoder:
             if p not in known:
                 ids = np.array(self.tokenizer.encode(before + p, add_special_tokens=False).ids, np.uint32)
                 self._keep(known, [p], ids, np.array([len(ids)]))
-        return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+        codes[unknown] = [known[pieces[k]] for k in unknown]
+        return codes
 
     def _keep(self, known: dict[str, int], pieces: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
         while self.filled + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while self.units + len(pieces) >= len(self.at):
+            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
         self.flat[self.filled : self.filled + len(ids)] = ids
-        known.update(zip(pieces, range(len(self.at) - 1, len(self.at) - 1 + len(pieces)), strict=True))
-        self.at += (ends + self.filled).tolist()
+        known.update(zip(pieces, range(self.units, self.units + len(pieces)), strict=True))
+        self.at[self.units + 1 : self.units + 1 + len(pieces)] = ends + self.filled
         self.filled += len(ids)
+        self.units += len(pieces)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has."""
@@ -89,7 +103,7 @@ class UnitEncoder:
             self.clear()
         heads, rests, counts = [], [], []
         for text in texts:
-            parts = self._cut.split(text) if self._unsafe.search(text) else text.split(" ")
+            parts = text.split(" ") if self._simple(text) else self._cut.split(text)
             heads.append(parts[0])
             rests += parts[1:]
             counts.append(len(parts))
@@ -99,7 +113,7 @@ class UnitEncoder:
         later[bounds[:-1]] = False
         codes[bounds[:-1]] = self._codes(self.heads, heads, "")
         codes[later] = self._codes(self.rests, rests, " ")
-        at = np.array(self.at)
+        at = self.at
         lengths = at[codes + 1] - at[codes]
         ends = np.concatenate([[0], np.cumsum(lengths)])
         return self.flat[ragged(at[codes], lengths)], np.diff(ends[bounds])
@@ -286,8 +300,8 @@ def write_token_files(
             )
 
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                piece = batch.slice(low, 256)
+            for low, high in slices(batch["text"], 1 << 20):
+                piece = batch.slice(low, high - low)
                 ids, n = enc.encode([t or "" for t in piece["text"].to_pylist()])
                 out = np.full(len(ids) + len(n), end_id, np.uint32)
                 out[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = ids
