@@ -1,13 +1,18 @@
 """Scoring texts with a smoothed n-gram model as a weighted backoff automaton.
 
-Counts of single words are exact, cover all training texts and stay distributed:
-each word of a file of texts gets its count back to that file. Longer n-grams
-become states and arcs only if they make up a given share of the training tokens,
-so the automaton has at most 1/share arcs whatever the corpus holds, and goes to
-every task. A state is a history; its arcs carry interpolated probabilities with
-absolute discounting, and its failure arc leads, at the price of the mass that is
-left, to the history without its oldest word. The last state falls back to the
-add-one distribution of single words. Each state's probabilities sum to one.
+Counts of words, pairs and triples are exact, cover all training texts and stay
+distributed: each file of texts gets back the counts of what its own texts hold.
+A pair or triple has an arc from ``MIN_COUNT`` occurrences on, whatever the
+corpus holds. Each file walks its own part of the automaton: a state is a
+history; its arcs carry interpolated probabilities with absolute discounting, and
+its failure arc leads, at the price of the mass that is left (summed over the
+whole corpus), to the history without its oldest word. The last state falls back
+to the add-one distribution of single words. Each state's probabilities sum to
+one.
+
+Pairs and triples go by 64-bit hashes. A file deals its distinct ones, packed, to
+slots by the hash; a slot sums the files' values and answers in the same order,
+so no key travels back.
 
 Tokens: words in lower case (A-Z), then one end per text, counted as a token.
 """
@@ -24,13 +29,16 @@ from pyspark.sql import functions as F
 
 from ..session import saved
 from .store import per_chunk, per_file, read_chunk, save_chunks
-from .words import slices, words_of
+from .words import mix, slices, words_of
 
 END = np.uint64(0x1D8AF066E4A9B3C7)  # stands for the end among the words' hashes
-WORD_SHARE, GRAM_SHARE = 1e-5, 5e-7
-ORDER = 3
-DISCOUNT = 0.75
+START = np.uint64(0x7C15F39CC0605CED)  # and for the start of a text in pairs and triples
+DISCOUNT, PARTS = 0.75, 4  # discounted counts are whole numbers of a PARTS-th
 MIN_COUNT = 2
+SLOT_TOKENS, LEAST_SLOTS = 1 << 22, 64
+PAIR, TRIPLE, WORD_MASS, PAIR_MASS, WORD = range(5)
+
+_JOIN = np.uint64(0xD6E8FEB86659FD93)
 
 
 def held_out(doc_id: Column, folds: int = 7, fold: int = 2) -> Column:
@@ -82,7 +90,7 @@ def word_counts(files: DataFrame) -> DataFrame:
 class Automaton:
     """Histories, arcs and failure arcs.
 
-    ``words`` are the hashes of the modelled words, sorted; a word's number is its
+    ``words`` are the hashes of the words, sorted; a word's number is its
     place there. State 0 is the empty history, 1 + k the history of word k, and
     ``1 + len(words)`` the start of a text; longer histories follow. Arc keys are
     state * len(words) + word.
@@ -100,13 +108,6 @@ class Automaton:
     def start(self) -> int:
         return 1 + len(self.words)
 
-    def numbers(self, hashes: np.ndarray) -> np.ndarray:
-        """Word numbers, -1 for words that have no state."""
-        if not len(self.words):
-            return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[at] == hashes, at, -1)
-
     def step(self, state: np.ndarray, word: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log10 probability of one word each, and the states after it."""
         total, after = np.zeros(len(state)), np.empty(len(state), np.int64)
@@ -142,88 +143,237 @@ class Automaton:
         return out
 
 
-def _grow(model: Automaton, length: int, codes: np.ndarray, counts: np.ndarray, history: np.ndarray) -> np.ndarray:
-    """Add the arcs of n-grams of one length; returns the count of each new history, by state.
+def _joined(history: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(history * _JOIN + word)
+
 
-    ``codes`` are arc keys, ``history`` the training count of each state.
+class Texts:
+    """The tokens of some texts, their distinct words and pairs, and of these the training counts.
+
+    Pairs are arc keys as in ``Automaton``, sorted: state * len(words) + word.
     """
-    n_words = len(model.words)
-    state, word = codes // n_words, codes % n_words
-    share = np.maximum(counts - DISCOUNT, 0) / history[state]
-    left = 1.0 - np.bincount(state, share, len(model.back))
-    model.back = np.where(np.isin(np.arange(len(left)), state), np.log10(np.maximum(left, 1e-12)), model.back)
-    lower, _ = model.step(model.fail[state], word, model.word_p[word])
-    keys = np.concatenate([model.keys, codes])
-    p = np.concatenate([model.arc_p, np.log10(share + np.maximum(left[state], 1e-12) * 10**lower)])
-    # After the arc the history is as long as a state for it exists: the new n-gram itself, if longer ones will follow.
-    if length < ORDER:
-        fresh = np.arange(len(codes)) + len(model.back)
-        fresh_fail = word + 1
-        target = np.concatenate([model.target, fresh])
-        model.back = np.concatenate([model.back, np.zeros(len(codes))])
-        model.fail = np.concatenate([model.fail, fresh_fail])
-        grown = np.concatenate([history, counts])
-    else:
-        # From (u, v) on w to the history (v, w), where it is one, else w.
-        inner = model.fail[state] * n_words + word
-        at = np.minimum(np.searchsorted(model.keys, inner), len(model.keys) - 1)
-        known = model.keys[at] == inner
-        target = np.concatenate([model.target, np.where(known, model.target[at], word + 1)])
-        grown = history
+
+    def __init__(self, tokens: np.ndarray, offsets: np.ndarray, used: np.ndarray):
+        self.offsets, self.used = offsets, np.repeat(used, np.diff(offsets))
+        self.words, self.word = np.unique(tokens, return_inverse=True)
+        n = len(self.words)
+        self.begin = np.zeros(len(tokens), bool)
+        self.begin[offsets[:-1]] = True
+        state = np.concatenate([[0], self.word[:-1] + 1])
+        state[self.begin] = n + 1
+        self.pairs, self.pair = np.unique(state * n + self.word, return_inverse=True)
+        self.pair_n = np.bincount(self.pair[self.used], minlength=len(self.pairs))
+
+    def history_keys(self) -> np.ndarray:
+        """Keys of the histories of one word: the words, then the start."""
+        return mix(np.append(self.words, START))
+
+    def pair_keys(self) -> np.ndarray:
+        return _joined(np.append(self.words, START)[self.pairs // len(self.words) - 1], self.words[self.pairs % len(self.words)])
+
+    def keep(self, counts: np.ndarray, least: float) -> None:
+        """Take the whole corpus's counts of the pairs, and go on with those of ``least`` or more.
+
+        A triple counts no more than either of its pairs, so only triples of two such pairs are looked at.
+        """
+        keys = self.pair_keys()
+        self.kept = np.flatnonzero((counts >= least) & (counts > 0))
+        place = np.full(len(self.pairs), -1)
+        place[self.kept] = np.arange(len(self.kept))
+        at, keys = place[self.pair], keys[self.kept]
+        second = np.flatnonzero((at[1:] >= 0) & (at[:-1] >= 0) & ~self.begin[1:]) + 1
+        n = len(self.words)
+        self.triples, which = np.unique(at[second - 1] * n + self.word[second], return_inverse=True)
+        self.inner = np.empty(len(self.triples), np.int64)  # the pair that a triple ends with
+        self.inner[which] = at[second]
+        self.triple_n = np.bincount(which[self.used[second]], minlength=len(self.triples))
+        self.pairs, self.pair_c, self.kept_keys = self.pairs[self.kept], counts[self.kept], keys
+        self.triple_keys = _joined(keys[self.triples // n], self.words[self.triples % n])
+
+    def word_mass(self, own: np.ndarray) -> np.ndarray:
+        """Discounted counts, in parts, of the pairs ``own`` after each history of one word."""
+        return _mass(self.pairs[own] // len(self.words) - 1, self.pair_c[own], len(self.words) + 1)
+
+    def pair_mass(self, counts: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """The same of the triples ``own`` after each kept pair."""
+        return _mass(self.triples[own] // len(self.words), counts[own], len(self.pairs))
+
+
+def _mass(history: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
+    out = np.zeros(size, np.int64)
+    np.add.at(out, history, (PARTS * counts - PARTS * DISCOUNT).astype(np.int64))
+    return out
+
+
+def assemble(texts: Texts, word_c: np.ndarray, tokens: tuple[int, int, int], word_mass: np.ndarray, pair_mass: np.ndarray, triple_c: np.ndarray, least: float) -> Automaton:
+    """The automaton of what some texts hold; ``tokens``: training tokens, distinct ones and texts of the whole corpus."""
+    total, distinct, ends = tokens
+    n = len(texts.words)
+    history, last = texts.pairs // n - 1, texts.pairs % n
+    after = np.concatenate([word_c, [ends], texts.pair_c])  # count of each history's followers
+    mass = np.concatenate([word_mass, pair_mass])
+    left = np.ones(len(after))
+    full = after > 0
+    left[full] = np.maximum(PARTS * after[full] - mass[full], PARTS * 1e-12) / (PARTS * after[full])
+    word_p = (word_c + 1) / (total + distinct + 1)
+    pair_p = np.maximum(texts.pair_c - DISCOUNT, 0) / after[history] + left[history] * word_p[last]
+    real = np.flatnonzero((triple_c >= least) & (triple_c > 0))
+    before, inner = texts.triples[real] // n, texts.inner[real]
+    triple_p = np.maximum(triple_c[real] - DISCOUNT, 0) / texts.pair_c[before] + left[n + 1 + before] * pair_p[inner]
+    states = n + 2 + np.arange(len(texts.pairs))
+    # States of pairs follow all states of words, so the keys are sorted.
+    return Automaton(
+        texts.words,
+        np.log10(word_p),
+        np.log10(np.append(1.0, left)),
+        np.concatenate([np.zeros(n + 2, np.int64), last + 1]),
+        np.concatenate([texts.pairs, texts.triples[real] + (n + 2) * n]),
+        np.log10(np.concatenate([pair_p, triple_p])),
+        np.concatenate([states, states[inner]]),
+    )
+
+
+def _read(path: str) -> tuple[Texts, list[pa.RecordBatch]]:
+    """The texts of a file, and its other columns."""
+    parts = list(_tokens(path, ["doc_id", "held"]))
+    lengths = np.concatenate([np.diff(offsets) for _, _, offsets in parts])
+    used = np.concatenate([~part["held"].to_numpy(zero_copy_only=False) for part, _, _ in parts])
+    texts = Texts(np.concatenate([tokens for _, tokens, _ in parts]), np.concatenate([[0], np.cumsum(lengths)]), used)
+    return texts, [part.select(["doc_id", "held"]) for part, _, _ in parts]
+
+
+def build(files: DataFrame, counts: DataFrame, total: int, distinct: int, pair_least: float = MIN_COUNT, triple_least: float = MIN_COUNT) -> Automaton:
+    """The automaton of all texts at once, on the driver: for small corpora, and to compare with."""
+    paths = [r["path"] for r in files.select("path").toLocalIterator()]
+    parts = [p for path in paths for p in _tokens(path, ["held"])]
+    lengths = np.concatenate([np.diff(offsets) for _, _, offsets in parts])
+    used = np.concatenate([~part["held"].to_numpy(zero_copy_only=False) for part, _, _ in parts])
+    texts = Texts(np.concatenate([tokens for _, tokens, _ in parts]), np.concatenate([[0], np.cumsum(lengths)]), used)
+    known = {r["key"]: r["c"] for r in counts.filter("first").toLocalIterator()}
+    word_c = np.array([known[int(k)] for k in texts.words.view(np.int64)], np.int64)
+    texts.keep(texts.pair_n, pair_least)
+    triple_c = texts.triple_n
+    word_mass = texts.word_mass(np.arange(len(texts.pairs)))
+    pair_mass = texts.pair_mass(triple_c, np.flatnonzero((triple_c >= triple_least) & (triple_c > 0)))
+    return assemble(texts, word_c, (total, distinct, int(used.sum())), word_mass, pair_mass, triple_c, triple_least)
+
+
+def _packed(values: np.ndarray) -> bytes:
+    return values.astype(np.min_scalar_type(int(values.max()))).tobytes() if len(values) else b""
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, f"u{len(data) // n}").astype(np.int64)
+
+
+ASKED = "chunk long, slot long, kind long, keys binary, data binary"
+ANSWER = "chunk long, slot long, kind long, data binary"
+
+
+def _ask(chunk: int, kind: int, keys: np.ndarray, values: np.ndarray, slots: int) -> Iterator[pa.RecordBatch]:
+    """Keys and values of a file, dealt to slots by ranges of the keys."""
+    order = np.argsort(keys)
+    keys, values = keys[order], values[order]
+    width = 2**64 // slots + 1
+    cuts = np.append(np.searchsorted(keys, np.array([k * width for k in range(slots)], np.uint64)), len(keys))
+    slot = np.flatnonzero(np.diff(cuts))
+    for low in range(0, len(slot), 16):
+        some = slot[low : low + 16]
+        yield pa.RecordBatch.from_pydict(
+            {
+                "chunk": np.full(len(some), chunk),
+                "slot": some,
+                "kind": np.full(len(some), kind),
+                "keys": pa.array([keys[cuts[k] : cuts[k + 1]].tobytes() for k in some], pa.binary()),
+                "data": pa.array([_packed(values[cuts[k] : cuts[k + 1]]) for k in some], pa.binary()),
+            }
+        )
+
+
+def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per key the sum over all files, times two, plus one in the one file that owns the key."""
+    at, held = None, []
+
+    def answer() -> Iterator[pa.RecordBatch]:
+        keys = [np.frombuffer(k, np.uint64) for _, k, _ in held]
+        values = np.concatenate([_unpacked(d, len(k)) for (_, _, d), k in zip(held, keys, strict=True)])
+        every = np.concatenate(keys)
+        order = np.argsort(every, kind="stable")
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = every[order[1:]] != every[order[:-1]]
+        start = np.flatnonzero(fresh)
+        sums = np.add.reduceat(values[order], start)
+        values[order] = 2 * np.repeat(sums, np.diff(np.append(start, len(order)))) + fresh
+        cuts = np.cumsum([0, *map(len, keys)])
+        for low in range(0, len(held), 16):
+            some = range(low, min(low + 16, len(held)))
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "chunk": np.array([held[k][0] for k in some]),
+                    "slot": np.full(len(some), at[0]),
+                    "kind": np.full(len(some), at[1]),
+                    "data": pa.array([_packed(values[cuts[k] : cuts[k + 1]]) for k in some], pa.binary()),
+                }
+            )
+
+    for batch in batches:
+        for chunk, slot, kind, keys, data in zip(*(batch[c].to_pylist() for c in ("chunk", "slot", "kind", "keys", "data")), strict=True):
+            if at is not None and at != (slot, kind):
+                yield from answer()
+                held = []
+            at = (slot, kind)
+            held.append((chunk, keys, data))
+    if held:
+        yield from answer()
+
+
+def _answers(asked: DataFrame, slots: int) -> DataFrame:
+    dealt = asked.repartition(slots, "slot").sortWithinPartitions("slot", "kind")
+    return saved(dealt.mapInArrow(_sum, ANSWER), "sums")
+
+
+def _word_rows(chunk: int, path: str, got: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The words of a file and their counts, packed."""
+    data = np.stack([got["key"], got["c"]], axis=1)
+    parts = [data[low : low + (1 << 16)].tobytes() for low in range(0, len(data), 1 << 16)]
+    none = np.zeros(len(parts), np.int64)
+    yield pa.RecordBatch.from_pydict({"chunk": none + chunk, "slot": none, "kind": none + WORD, "data": pa.array(parts, pa.binary())})
+
+
+def _with_answers(files: DataFrame, answers: list[DataFrame], fn, schema: str) -> DataFrame:
+    """Run ``fn(chunk, path, got)`` for every file with the answers to what it asked, by kind."""
+    rows = files.select("chunk", F.lit(-1).cast("long").alias("slot"), F.lit(-1).cast("long").alias("kind"), F.encode("path", "UTF-8").alias("data"))
+    for part in answers:
+        rows = rows.unionByName(part)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, path, got = None, "", {}
+        for batch in batches:
+            for chunk, kind, data in zip(*(batch[c].to_pylist() for c in ("chunk", "kind", "data")), strict=True):
+                if chunk != at:
+                    if at is not None:
+                        yield from fn(at, path, got)
+                    at, got = chunk, {}
+                if kind < 0:
+                    path = data.decode()
+                else:
+                    got.setdefault(kind, []).append(data)
+        if at is not None:
+            yield from fn(at, path, got)
+
+    return rows.repartition(max(1, files.count()), "chunk").sortWithinPartitions("chunk", "kind", "slot").mapInArrow(run, schema)
+
+
+def _replies(keys: np.ndarray, data: list[bytes], slots: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums, in the order of ``keys``, and which of them the file owns."""
     order = np.argsort(keys)
-    model.keys, model.arc_p, model.target = keys[order], p[order], target[order]
-    return grown
-
-
-def build(files: DataFrame, counts: DataFrame, total: int, distinct: int, word_share: float = WORD_SHARE, gram_share: float = GRAM_SHARE) -> Automaton:
-    """The automaton of order ``ORDER`` over the saved texts and their word counts."""
-    spark = files.sparkSession
-    least = max(2, int(np.ceil(word_share * total)))
-    # At most 1 / word_share words.
-    common = counts.filter(F.col("first") & ((F.col("c") >= least) | ((F.col("key") == int(END.view(np.int64))) & (F.col("c") > 0))))
-    rows = sorted((np.int64(r["key"]).view(np.uint64), r["c"]) for r in common.select("key", "c").toLocalIterator())
-    words, times = np.array([k for k, _ in rows], np.uint64), np.array([c for _, c in rows], np.int64)
-    n = len(words)
-    model = Automaton(words, np.log10((times + 1) / (total + distinct + 1)), np.zeros(n + 2), np.zeros(n + 2, np.int64))
-    ends = np.flatnonzero(words == END)
-    if not len(ends):
-        return model  # no training text
-    # A history's count is that of its followers; the end has none, and every text has one start.
-    history = np.concatenate([[total], times, [times[ends[0]]]]).astype(np.float64)
-    model.back[1 + ends[0]] = 0.0
-    for length in range(2, ORDER + 1):
-        shared = spark.sparkContext.broadcast(model)
-
-        def count(chunk: int, path: str, shared=shared, length=length) -> Iterator[pa.RecordBatch]:
-            model, found = shared.value, []
-            for part, tokens, offsets in _tokens(path, ["held"]):
-                tokens, offsets = _training(part, tokens, offsets)
-                word = model.numbers(tokens)
-                begin = np.zeros(len(tokens), bool)
-                begin[offsets[:-1]] = True
-                state = np.where(begin, model.start, np.concatenate([[0], word[:-1] + 1]) if len(word) else word)
-                if length == 3:  # histories of two words: the state of the arc just taken
-                    before = np.concatenate([[0], state[:-1]]) if len(state) else state
-                    last = np.concatenate([[-1], word[:-1]]) if len(word) else word
-                    key = before * len(model.words) + last
-                    at = np.minimum(np.searchsorted(model.keys, key), max(0, len(model.keys) - 1))
-                    known = (model.keys[at] == key) & (last >= 0) & ~begin if len(model.keys) else np.zeros(len(key), bool)
-                    state = np.where(known, model.target[at] if len(model.keys) else 0, 0)
-                ok = (state > 0) & (word >= 0)
-                found.append(state[ok] * len(model.words) + word[ok])
-            codes, times = np.unique(np.concatenate(found), return_counts=True)
-            for low in range(0, len(codes), 1 << 16):
-                cut = slice(low, low + (1 << 16))
-                yield pa.RecordBatch.from_pydict({"code": codes[cut], "n": times[cut]})
-
-        grams = per_file(files, count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-        # At most 1 / gram_share of them.
-        kept = grams.filter(F.col("n") >= max(MIN_COUNT, int(np.ceil(gram_share * total))))
-        rows = sorted((r["code"], r["n"]) for r in kept.toLocalIterator())
-        if not rows:
-            break
-        history = _grow(model, length, np.array([c for c, _ in rows]), np.array([k for _, k in rows], np.float64), history)
-    return model
+    width = 2**64 // slots + 1
+    cuts = np.append(np.searchsorted(keys[order], np.array([k * width for k in range(slots)], np.uint64)), len(keys))
+    out = np.empty(len(keys), np.int64)
+    if len(keys):
+        sizes = np.diff(cuts)
+        out[order] = np.concatenate([_unpacked(d, n) for d, n in zip(data, sizes[sizes > 0], strict=True)])
+    return out >> 1, (out & 1).astype(bool)
 
 
 def score_documents(docs: DataFrame, is_held_out: Column | None = None) -> DataFrame:
@@ -240,34 +390,54 @@ def score_documents(docs: DataFrame, is_held_out: Column | None = None) -> DataF
     counts = saved(word_counts(files), "words")
     facts = counts.filter("first").agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     total, distinct = int(facts["n"] or 0), int(facts["v"])
-    shared = docs.sparkSession.sparkContext.broadcast(build(files, counts, total, distinct))
-
-    def score(chunk: int, path: str, got: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        order = np.argsort(got["key"].view(np.uint64))
-        keys, c = got["key"].view(np.uint64)[order], got["c"][order]
-        ids, flags, words, known, base, lengths = [], [], [], [], [], []
-        for part, tokens, offsets in _tokens(path, ["doc_id", "held"]):
-            times = c[np.searchsorted(keys, tokens)]
-            ids.append(part["doc_id"])
-            flags.append(part["held"])
-            words.append(shared.value.numbers(tokens))
-            base.append(np.log10((times + 1) / (total + distinct + 1)))
-            known.append(np.add.reduceat((times > 0).astype(np.int64), offsets[:-1]))
-            lengths.append(np.diff(offsets))
-        base, lengths = np.concatenate(base), np.concatenate(lengths)
-        offsets = np.concatenate([[0], np.cumsum(lengths)])
-        result = shared.value.scores(np.concatenate(words), base, offsets)
+    ends = int(counts.filter(F.col("first") & (F.col("key") == int(END.view(np.int64)))).agg(F.sum("c")).first()[0] or 0)
+    slots = max(LEAST_SLOTS, total // SLOT_TOKENS)
+
+    def with_pairs(path: str, got: dict[int, list[bytes]]) -> tuple[Texts, list[pa.RecordBatch], np.ndarray]:
+        texts, parts = _read(path)
+        sums, own = _replies(texts.pair_keys(), got[PAIR], slots)
+        texts.keep(sums, MIN_COUNT)
+        return texts, parts, own[texts.kept]
+
+    def ask_pairs(chunk: int, path: str) -> Iterator[pa.RecordBatch]:
+        texts, _ = _read(path)
+        yield from _ask(chunk, PAIR, texts.pair_keys(), texts.pair_n, slots)
+
+    def ask_triples(chunk: int, path: str, got: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
+        texts, _, own = with_pairs(path, got)
+        yield from _ask(chunk, TRIPLE, texts.triple_keys, texts.triple_n, slots)
+        yield from _ask(chunk, WORD_MASS, texts.history_keys(), texts.word_mass(np.flatnonzero(own)), slots)
+
+    def ask_masses(chunk: int, path: str, got: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
+        texts, _, _ = with_pairs(path, got)
+        sums, own = _replies(texts.triple_keys, got.get(TRIPLE, []), slots)
+        yield from _ask(chunk, PAIR_MASS, texts.kept_keys, texts.pair_mass(sums, np.flatnonzero(own & (sums >= MIN_COUNT))), slots)
+
+    def score(chunk: int, path: str, got: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
+        texts, parts, _ = with_pairs(path, got)
+        pairs = np.frombuffer(b"".join(got[WORD]), np.int64).reshape(-1, 2)
+        word_c = pairs[np.argsort(pairs[:, 0].copy().view(np.uint64)), 1]  # a file's words are all counted
+        triple_c, _ = _replies(texts.triple_keys, got.get(TRIPLE, []), slots)
+        word_mass, _ = _replies(texts.history_keys(), got[WORD_MASS], slots)
+        pair_mass, _ = _replies(texts.kept_keys, got.get(PAIR_MASS, []), slots)
+        model = assemble(texts, word_c, (total, distinct, ends), word_mass, pair_mass, triple_c, MIN_COUNT)
+        base, offsets = model.word_p[texts.word], texts.offsets
         yield pa.RecordBatch.from_pydict(
             {
-                "doc_id": pa.concat_arrays(ids),
-                "held_out": pa.concat_arrays(flags),
-                "n_tokens": lengths,
-                "n_known": np.concatenate(known),
-                "train_tokens": np.full(len(lengths), total),
+                "doc_id": pa.concat_arrays([p["doc_id"] for p in parts]),
+                "held_out": pa.concat_arrays([p["held"] for p in parts]),
+                "n_tokens": np.diff(offsets),
+                "n_known": np.add.reduceat((word_c[texts.word] > 0).astype(np.int64), offsets[:-1]),
+                "train_tokens": np.full(len(offsets) - 1, total),
                 "base_score": np.add.reduceat(base, offsets[:-1]),
-                "score": result,
+                "score": model.scores(texts.word, base, offsets),
             }
         )
 
+    pair_sums = _answers(per_file(files, ask_pairs, ASKED), slots)
+    triple_sums = _answers(_with_answers(files, [pair_sums], ask_triples, ASKED), slots)
+    of_triples = triple_sums.filter(F.col("kind") == TRIPLE)
+    masses = _answers(_with_answers(files, [pair_sums, of_triples], ask_masses, ASKED), slots)
+    words = per_chunk(files, counts.select("chunk", "key", "c"), _word_rows, ANSWER)
     fields = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return per_chunk(files, counts.select("chunk", "key", "c"), score, fields)
+    return _with_answers(files, [pair_sums, triple_sums, masses, words], score, fields)

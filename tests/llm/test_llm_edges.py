@@ -1,5 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import collections
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -257,6 +259,40 @@ def test_automaton_states_sum_to_one(spark, odd_docs, no_docs):
     assert backoff_lm.score_documents(no_docs).count() == 0
 
 
+def test_rare_phrases_are_modelled_in_a_larger_corpus(spark):
+    rng = np.random.default_rng(21)
+    filler = [f"f{k}" for k in range(300)]
+    phrase = "seldom seen words stand here together"
+    texts = {k: " ".join(rng.choice(filler, 1000)) for k in range(260)}
+    texts |= {1000 + k: f"{texts[k][:200]} {phrase} {texts[k + 1][:100]}" for k in range(2)}  # more than 2e5 tokens, the phrase twice
+    texts |= {2000: f"f1 f2 {phrase} f3", 2001: "", 2002: "never met before"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r for r in backoff_lm.score_documents(docs, F.col("doc_id") >= 2000).collect()}
+    trained = [[None, *t.split(), ""] for k, t in texts.items() if k < 2000]  # None: start, "": end
+    one, two, three = (collections.Counter(tuple(t[i : i + n]) for t in trained for i in range(len(t) - n + 1)) for n in (1, 2, 3))
+    total = sum(n for (w,), n in one.items() if w is not None)
+    kept, after = {2: two, 3: three}, {2: one, 3: two}
+    mass = {n: collections.Counter() for n in kept}
+    for n, grams in kept.items():
+        for g, c in grams.items():
+            if c >= 2:
+                mass[n][g[:-1]] += c - 0.75
+
+    def p(history, w):
+        if not history:
+            return (one[(w,)] + 1) / (total + len(one) - 1 + 1)
+        n = len(history) + 1
+        c, all_ = kept[n][history + (w,)], after[n][history]
+        if not all_:
+            return p(history[1:], w)
+        return (c - 0.75 if c >= 2 else 0) / all_ + (1 - mass[n][history] / all_) * p(history[1:], w)
+
+    for k in (0, 1, 1000, 1001, 2000, 2001, 2002):
+        t = [None, *texts[k].split(), ""]
+        assert np.isclose(got[k]["score"], sum(np.log10(p(tuple(t[max(0, i - 2) : i]), t[i])) for i in range(1, len(t))), rtol=1e-9)
+    assert got[2000]["score"] - got[2000]["base_score"] > 15  # held out
+
+
 def test_toxicity_odd_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 1), (3, 0), (3, 1), (None, 1), (6, 0)], "doc_id long, toxic int")
     for docs, n in ((odd_docs, 10), (no_docs, 0)):
