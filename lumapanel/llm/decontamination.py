@@ -2,10 +2,11 @@
 
 Test items are a stated query set: they are taken in blocks of bounded size, and
 each block meets all documents in one pass without a shuffle. A first pass counts
-in how many documents each n-gram of the block occurs. Of every ``RUN`` neighbouring
-n-grams of an item the rarest is a seed, so each exact run of ``NGRAM + RUN - 1``
-words of an item holds a seed, however common its words are. Where a seed hits, the
-item is aligned with the document's words around it (Smith-Waterman).
+in how many documents each n-gram of the block occurs. Every n-gram that some
+document holds is a seed: a rarer neighbour may come from another document, so
+leaving out the more frequent one would lose copies whose unchanged runs are no
+longer than ``NGRAM`` words. Where a seed hits, the item is aligned with the
+document's words around it (Smith-Waterman).
 
 Words are lower case, and ASCII punctuation separates them.
 """
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .words import Words, slices, window_hashes, words_of
 
-NGRAM, RUN = 3, 2
+NGRAM = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_WORDS = 200_000
 MIN_SCORE = 0.5
@@ -115,10 +116,7 @@ class Matcher:
         keys = np.unique(np.concatenate(grams))
         seeds, owner, place = [], [], []
         for k, g in enumerate(grams):
-            n = counts[np.searchsorted(keys, g)]
-            span = min(RUN, len(g))
-            near = np.lib.stride_tricks.sliding_window_view(n, span)
-            chosen = np.unique(np.arange(len(near)) + near.argmin(axis=1))
+            chosen = np.flatnonzero(counts[np.searchsorted(keys, g)])
             seeds.append(g[chosen])
             owner.append(np.full(len(chosen), k))
             place.append(chosen)

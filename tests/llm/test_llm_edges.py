@@ -123,6 +123,21 @@ def test_decontamination_finds_edited_copies(spark, odd_docs):
     assert decontamination.find_leaks(odd_docs, items).count() == 0
 
 
+def test_decontamination_finds_copies_with_every_fourth_word_changed(spark):
+    rng = np.random.default_rng(4)
+    item = [f"w{k}" for k in range(31)]
+    changed = [f"c{k}" if k % 4 == 3 else w for k, w in enumerate(item)]
+    noise = lambda: [f"n{k}" for k in rng.integers(0, 3000, 100)]
+    docs = spark.createDataFrame([(1, " ".join(noise() + changed + noise())), (2, " ".join(noise()))], "doc_id long, text string")
+    items = spark.createDataFrame([(9, " ".join(item)), (8, "no document holds this")], "item_id long, text string")
+    out = decontamination.find_leaks(docs, items).collect()
+    assert [(r["doc_id"], r["item_id"]) for r in out] == [(1, 9)] and out[0]["score"] > 0.5
+    assert [r["doc_id"] for r in decontamination.without_leaks(docs, items).collect()] == [2]
+    assert decontamination.find_leaks(docs, items.filter("item_id = 8")).count() == 0
+    better = spark.createDataFrame([(3, " ".join(noise() + item))], "doc_id long, text string")  # holds the neighbours of the short runs
+    assert {r["doc_id"] for r in decontamination.find_leaks(docs.union(better), items).collect()} == {1, 3}
+
+
 def smith_waterman(a, b):
     h = np.zeros((len(a) + 1, len(b) + 1))
     for i in range(1, len(a) + 1):
