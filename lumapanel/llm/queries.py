@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff_lm, chosen_path, decontamination, mixing, sharding, substrings, token_files, toxicity, vantage, warc
+from . import backoff_lm, chosen_path, decontamination, mixing, sharding, substrings, token_files, toxicity, vantage, variants, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -161,3 +161,35 @@ def op7_backoff_automaton(spark, sf_dir):
 def op5_vantage_trees(spark, sf_dir):
     """The 20 nearest rows of every twentieth embedding, exactly."""
     return vantage.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, factor=1.0)
+
+
+@query(
+    "op12_sorted_list_variants",
+    r"""WITH RECURSIVE """ + CRC_CTES + r""",
+    runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]{7,}')),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+    crc AS (SELECT run, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+        list_transform(range(1, length(x) // 2 + 1), lambda i: CAST(('0x' || substr(x, CAST(2 * i - 1 AS BIGINT), 2)) AS BIGINT))),
+        lambda c, b: xor(c // 256, t[CAST(xor(c % 256, b) AS BIGINT) + 1]))) AS h
+      FROM (SELECT run, hex(encode(id || ':' || run)) AS x FROM runs) CROSS JOIN crc_table),
+    v AS (SELECT word, count(*) AS n FROM (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT))
+        || substr(run, CAST(h % length(run) + 2 AS BIGINT)) ELSE run END AS word FROM crc) WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+    gaps AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS d FROM v, LATERAL (SELECT unnest(range(1, length(word) + 1)) AS i)),
+    shorter AS (SELECT DISTINCT g.word AS a, v.word AS b FROM gaps g JOIN v ON g.d = v.word),
+    near AS (SELECT a.word AS x, b.word AS y FROM gaps a JOIN gaps b ON a.d = b.d AND a.i = b.i AND a.word <> b.word
+      UNION ALL SELECT a, b FROM shorter UNION ALL SELECT b, a FROM shorter),
+    best AS (SELECT x, count(*) AS n_near, first(y ORDER BY v.n DESC, encode(y)) AS y, max(v.n) AS top FROM near JOIN v ON v.word = y GROUP BY x),
+    formed AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 10 * n THEN y END AS form, CASE WHEN top >= 10 * n THEN top END AS form_n
+      FROM v LEFT JOIN best ON x = word),
+    walk AS (SELECT word, word AS root FROM formed UNION ALL SELECT w.word, f.form FROM walk w JOIN formed f ON f.word = w.root WHERE f.form IS NOT NULL),
+    ended AS (SELECT w.word, w.root FROM walk w JOIN formed f ON f.word = w.root WHERE f.form IS NULL)
+    SELECT word, form, root, n, n_near, form_n FROM formed JOIN ended USING (word)""",
+)
+def op12_sorted_list_variants(spark, sf_dir):
+    """The near words of every word of all documents, and the form it is a variant of."""
+    runs = variants.letter_runs(table(spark, sf_dir, "documents"), least=7)
+    mark = F.crc32(F.encode(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "run"), "UTF-8"))
+    spot = (F.col("h") % F.length("run")).cast("int")
+    cut = F.concat(F.substr("run", F.lit(1), spot), F.substr("run", spot + 2))
+    words = runs.withColumn("h", mark).select(F.when(F.col("h") % 31 == 0, cut).otherwise(F.col("run")).alias("word"))
+    return variants.group_variants(variants.count_words(words, min_length=7, min_count=2), min_length=7)
