@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_local_dirs: dict[str, str] = {}  # by application; the setting itself can't be changed in a running session
 
 
 def local_session(cpus: int | str = "*", app: str = "lumapanel") -> SparkSession:
@@ -39,9 +40,10 @@ def shared_dir(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if master != "local" and not master.startswith("local["):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors share")
-    fresh = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set(CHECKPOINT_CONF, fresh)
-    return fresh
+    app = spark.sparkContext.applicationId
+    if app not in _local_dirs:
+        _local_dirs[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _local_dirs[app]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
