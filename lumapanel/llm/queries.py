@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff_lm, chosen_path, decontamination, mixing, sharding, substrings, token_files, toxicity, vantage, variants, warc
+from . import backoff_lm, chosen_path, collocations, decontamination, mixing, sharding, substrings, token_files, toxicity, vantage, variants, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -193,3 +193,29 @@ def op12_sorted_list_variants(spark, sf_dir):
     cut = F.concat(F.substr("run", F.lit(1), spot), F.substr("run", spot + 2))
     words = runs.withColumn("h", mark).select(F.when(F.col("h") % 31 == 0, cut).otherwise(F.col("run")).alias("word"))
     return variants.group_variants(variants.count_words(words, min_length=7, min_count=2), min_length=7)
+
+
+@query(
+    "op13_quotient_filter_collocations",
+    r"""WITH pieces AS (SELECT row_number() OVER () AS pid, lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM (
+        SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[.,;:!?\x0A-\x0D]')) AS p FROM documents)),
+    totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+    words AS (SELECT pid, lang, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM pieces),
+    led AS (SELECT lang, x, lead(x, 1) OVER line AS y, lead(x, 2) OVER line AS z FROM words WINDOW line AS (PARTITION BY pid ORDER BY i)),
+    grams AS (SELECT lang, k, phrase, count(*) AS a FROM (SELECT lang, 1 AS k, x AS phrase FROM led
+        UNION ALL SELECT lang, 2, x || ' ' || y FROM led WHERE y IS NOT NULL
+        UNION ALL SELECT lang, 3, x || ' ' || y || ' ' || z FROM led WHERE z IS NOT NULL) GROUP BY ALL HAVING count(*) >= 10),
+    parts AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS ws FROM grams WHERE k > 1),
+    halves AS (SELECT *, array_to_string(ws[1 : c], ' ') AS p1, array_to_string(ws[c + 1 :], ' ') AS p2 FROM parts, LATERAL (SELECT unnest(range(1, k)) AS c)),
+    cut AS (SELECT h.lang, h.k, h.phrase, h.a, c, f.a AS l, r.a AS r, (CAST(1000000 AS HUGEINT) * h.a * h.a) // (CAST(f.a AS HUGEINT) * r.a) AS score
+      FROM halves h JOIN grams f ON f.lang = h.lang AND f.phrase = p1 JOIN grams r ON r.lang = h.lang AND r.phrase = p2),
+    scored AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+    longer AS (SELECT lang, array_to_string(ws[s : s + 1], ' ') AS phrase, max(a) AS top FROM parts, (VALUES (1), (2)) ss(s) WHERE k = 3 GROUP BY ALL),
+    kept AS (SELECT s.* FROM scored s LEFT JOIN longer g ON s.k = 2 AND g.lang = s.lang AND g.phrase = s.phrase WHERE top IS NULL OR 100 * top < 50 * a)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+    FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000""",
+)
+def op13_quotient_filter_collocations(spark, sf_dir):
+    """The 2000 best phrases of two and three words of each language in all documents."""
+    return collocations.mine(table(spark, sf_dir, "documents"), least=10, most=2000, share=50)

@@ -1,6 +1,7 @@
 """Files in the shared folder: texts in bounded pieces, and binary files.
 
-A *chunk* is one Parquet file of a saved table, with a bounded number of rows.
+A *chunk* is one Parquet file of a saved table, bounded in rows or, by
+``save_texts``, in bytes (one longer text is a file of its own).
 What a job has gathered for a chunk comes back keyed by the chunk, and the task
 reads the chunk's file itself, so whole texts are never shuffled. A lost task
 is simply run again: the files are complete before anything reads them.
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import saved, scratch_path
+from .words import SLICE_BYTES, slices
 
 CHUNK_ROWS = 8192
 
@@ -63,6 +65,39 @@ def save_chunks(df: DataFrame, label: str, rows: int = CHUNK_ROWS) -> DataFrame:
     return saved(files.select(F.xxhash64("path").alias("chunk"), "path"), f"{label}-files")
 
 
+def save_texts(df: DataFrame, label: str, size: int) -> DataFrame:
+    """Write a table with a column ``text`` in files of about ``size`` bytes of text; returns (chunk, path), saved.
+
+    Tasks write their rows as they come, so nothing is shuffled and a file holds
+    few long texts or many short ones.
+    """
+    folder = scratch_path(df.sparkSession, label)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, out, writer, held, path = 0, None, None, 0, ""
+        for batch in batches:
+            for low, high in slices(batch["text"], min(size, SLICE_BYTES)):
+                part = batch.slice(low, high - low)
+                if writer is None:
+                    path = attempt_name(folder, f"-{number}.parquet")
+                    out = open_output(path)
+                    writer = pq.ParquetWriter(out, part.schema, compression="zstd")
+                writer.write_batch(part)
+                held += part["text"].nbytes
+                if held >= size:
+                    writer.close()
+                    out.close()
+                    yield pa.RecordBatch.from_pydict({"path": [path]})
+                    number, writer, held = number + 1, None, 0
+        if writer is not None:
+            writer.close()
+            out.close()
+            yield pa.RecordBatch.from_pydict({"path": [path]})
+
+    written = saved(df.mapInArrow(write, "path string"), f"{label}-files")
+    return written.select(F.xxhash64("path").alias("chunk"), "path")
+
+
 def per_file(files: DataFrame, fn, schema: str) -> DataFrame:
     """Run ``fn(chunk, path)``, a generator of record batches, for every file, about one file to a task."""
 

@@ -67,7 +67,7 @@ class Words:
         return np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.offsets))
 
 
-def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and text offsets; a null text is empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -87,7 +87,7 @@ def words_of(texts: pa.Array, lower: bool = False, plain: bool = False) -> Words
     if not len(texts):
         none = np.empty(0, dtype=np.int64)
         return Words(none.astype(np.uint64), none, none, np.zeros(1, dtype=np.int64), np.empty(0, np.uint8))
-    data, at = _bytes(texts)
+    data, at = text_bytes(texts)
     if lower or plain:
         data = (_PLAIN if plain else _LOWER)[data]
     n = len(data)
@@ -111,7 +111,7 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
     """Ranges of texts of about ``limit`` bytes; a longer text stands alone."""
     if not len(texts):
         return
-    at = _bytes(texts)[1]
+    at = text_bytes(texts)[1]
     low = 0
     while low < len(texts):
         high = max(low + 1, int(np.searchsorted(at, at[low] + limit, side="right")) - 1)
