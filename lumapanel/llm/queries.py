@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff_lm, chosen_path, collocations, decontamination, mixing, sharding, substrings, token_files, toxicity, vantage, variants, warc
+from . import backoff_lm, chosen_path, collocations, decontamination, mixing, quality, sharding, substrings, token_files, toxicity, vantage, variants, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -219,3 +219,9 @@ def op12_sorted_list_variants(spark, sf_dir):
 def op13_quotient_filter_collocations(spark, sf_dir):
     """The 2000 best phrases of two and three words of each language in all documents."""
     return collocations.mine(table(spark, sf_dir, "documents"), least=10, most=2000, share=50)
+
+
+@query("op11_histogram_boosted_quality")
+def op11_histogram_boosted_quality(spark, sf_dir):
+    """Quality of every document."""
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
