@@ -1,9 +1,13 @@
 """Name resolution and record linkage.
 
-Similar names are found without comparing all pairs: a name is cut into one
-more piece than the number of unmatched characters the threshold allows, so a
-partner that is similar enough must contain one piece unchanged and near its
-place. Pieces are joined by equality; only those candidates get the exact ratio.
+Similar names are found without comparing all pairs. The threshold says how many
+characters of two names may stay unmatched. Where those are few, both names
+meet by what is left when so many characters are taken out: the candidates are
+exactly the pairs with a common subsequence of the wanted length, however often
+a part like ``district `` is shared. Otherwise a name is cut into more pieces
+than that, so a partner that is similar enough must contain one of them
+unchanged and near its place; with pieces to spare, the most frequent ones are
+left out. Both are joined by equality; only the candidates get the exact ratio.
 """
 
 from __future__ import annotations
@@ -12,6 +16,7 @@ import difflib
 from collections.abc import Mapping, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +25,9 @@ from ..functions.names import DISTRICT_OVERRIDES, mapped, normal_name
 from ..session import saved
 
 MIN_THRESHOLD = 0.7
+# Longest name from which none, one, two or three characters are taken out: 300 variants at most.
+TAKEN_OUT = (1 << 30, 300, 25, 12)
+SPARE_LENGTH = 3  # characters per piece from which one piece more than needed is cut
 
 
 @F.pandas_udf(T.DoubleType())
@@ -45,6 +53,104 @@ def _letters(name: Column) -> Column:
     return F.transform(chars, lambda c, i: F.concat(c, F.size(F.filter(F.slice(chars, F.lit(1), i), lambda d: d == c)).cast("string")))
 
 
+def _taken_out(name: Column, k: Column) -> Column:
+    """All distinct strings left when ``k`` characters, 3 at most, are taken out of the name."""
+    levels = [F.array(name)]
+    for _ in TAKEN_OUT[1:]:
+        one = lambda v: F.transform(
+            F.sequence(F.lit(1), F.length(v)), lambda i: F.concat(F.substring(v, F.lit(1), i - 1), F.substring(v, i + 1, F.length(v)))
+        )
+        levels.append(F.array_distinct(F.flatten(F.transform(levels[-1], one))))
+    out = levels[-1]
+    for n, level in reversed(list(enumerate(levels[:-1]))):
+        out = F.when(k == n, level).otherwise(out)  # only the level that is asked for is computed
+    return out
+
+
+def _few_taken_out(lx: Column, ly: Column, threshold: float) -> Column:
+    """Whether both names of these lengths have few enough variants."""
+    _, in_x, in_y = _slack(lx, ly, threshold)
+    fits = F.lit(True)
+    for n, k in ((lx, in_x), (ly, in_y)):
+        longest = F.element_at(F.array(*[F.lit(v) for v in TAKEN_OUT]), F.least(F.greatest(k, F.lit(0)), F.lit(len(TAKEN_OUT) - 1)) + 1)
+        fits &= (k < len(TAKEN_OUT)) & (n <= longest)
+    return fits
+
+
+def _variant_keys(name: Column, other: Column, threshold: float, first: bool) -> Column:
+    """(lx, ly, key) of a name for a partner of length ``other``; ``first``: the name is the first of the two."""
+    own = F.length(name)
+    lx, ly = (own, other) if first else (other, own)
+    _, in_x, in_y = _slack(lx, ly, threshold)
+    return F.transform(_taken_out(name, in_x if first else in_y), lambda v: F.struct(lx.alias("lx"), ly.alias("ly"), v.alias("key")))
+
+
+def _pieces(n: Column, other: Column, threshold: float) -> Column:
+    """Pieces that are cut: one more than characters may stay unmatched, and one to spare in long names."""
+    needed = _slack(n, other, threshold)[0] + 1
+    return needed + (n >= SPARE_LENGTH * (needed + 1)).cast("int")
+
+
+def candidate_rows(left: DataFrame, right: DataFrame, a: str, b: str, threshold: float, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, a, b) of the pairs to compare, once for each way they meet; no pair of at least ``threshold`` is missing."""
+    keys = list(keys)
+    x, y = F.col(a), F.col(b)
+    lx, ly = F.length(x), F.length(y)
+
+    def plans(n: Column, found: Column, first: bool) -> Column:
+        """For each partner's length: the pieces of the first name, how far they may shift and how many are to spare."""
+
+        def plan(o: Column) -> Column:
+            one, two = (n, o) if first else (o, n)
+            total, in_x, in_y = _slack(one, two, threshold)
+            parts = _pieces(one, two, threshold)
+            fields = {"lx": one, "ly": two, "parts": parts, "back": in_x, "on": in_y, "spare": parts - total - 1}
+            return F.struct(*[v.cast("int").alias(k) for k, v in fields.items()])
+
+        return F.transform(found, plan)
+
+    def spans(p: Column) -> Column:
+        at = lambda i: F.floor(i * p["lx"] / p["parts"]).cast("int")
+        return F.transform(F.sequence(F.lit(0), p["parts"] - 1), lambda i: F.struct(i.alias("i"), at(i).alias("at"), (at(i + 1) - at(i)).alias("size")))
+
+    def pieces(p: Column) -> Column:
+        piece = lambda s: F.substring(x, s["at"] + 1, s["size"]).alias("piece")
+        return F.transform(spans(p), lambda s: F.struct(p["lx"].alias("lx"), p["ly"].alias("ly"), s["i"].alias("i"), piece(s), p["spare"].alias("spare")))
+
+    def probes(p: Column) -> Column:
+        def at(s: Column) -> Column:
+            low, high = F.greatest(s["at"] - p["back"], F.lit(0)), F.least(s["at"] + p["on"], p["ly"] - s["size"])
+            spots = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+            piece = lambda q: F.substring(y, q + 1, s["size"]).alias("piece")
+            return F.transform(spots, lambda q: F.struct(p["lx"].alias("lx"), p["ly"].alias("ly"), s["i"].alias("i"), piece(q)))
+
+        return F.flatten(F.transform(spans(p), at))
+
+    def lengths(n: Column, few: bool, first: bool) -> Column:
+        def fits(o: Column) -> Column:
+            found = _few_taken_out(n, o, threshold) if first else _few_taken_out(o, n, threshold)
+            return found if few else ~found
+
+        return F.filter(_partner_lengths(n, threshold), fits)
+
+    def exploded(df: DataFrame, name: str, found: Column) -> DataFrame:
+        return df.filter(F.length(name) > 0).select(*keys, name, F.explode(found).alias("p")).select(*keys, name, "p.*")
+
+    mine = exploded(left, a, F.flatten(F.transform(lengths(lx, True, True), lambda o: _variant_keys(x, o, threshold, True))))
+    yours = exploded(right, b, F.flatten(F.transform(lengths(ly, True, False), lambda o: _variant_keys(y, o, threshold, False))))
+    close = mine.join(yours, [*keys, "lx", "ly", "key"]).filter(x != y).select(*keys, a, b)
+    same = left.filter(lx > 0).select(*keys, a).join(right.select(*keys, b, y.alias(a)), [*keys, a]).select(*keys, a, b)
+
+    index = exploded(left, a, F.flatten(F.transform(plans(lx, lengths(lx, False, True), True), pieces)))
+    probe = exploded(right, b, F.array_distinct(F.flatten(F.transform(plans(ly, lengths(ly, False, False), False), probes))))
+    cols = [*keys, "lx", "ly", "i", "piece"]
+    # A name's rarest pieces are kept; as many as may be spared go, so one of the kept ones is unchanged.
+    index = index.withColumn("_often", F.count(F.lit(1)).over(Window.partitionBy(*cols)))
+    rarest = Window.partitionBy(*keys, a, "ly").orderBy(F.desc("_often"), "i")
+    index = index.withColumn("_at", F.row_number().over(rarest)).filter(F.col("_at") > F.col("spare"))
+    return same.unionByName(close).unionByName(index.join(probe, cols).select(*keys, a, b))
+
+
 def similar_pairs(
     left: DataFrame, right: DataFrame, a: str, b: str, threshold: float, keys: Sequence[str] = ()
 ) -> DataFrame:
@@ -54,51 +160,12 @@ def similar_pairs(
     """
     if threshold < MIN_THRESHOLD:
         raise ValueError(f"threshold below {MIN_THRESHOLD} would need all pairs")
-    keys = list(keys)
+    pairs = candidate_rows(left, right, a, b, threshold, keys).distinct()
     x, y = F.col(a), F.col(b)
-    lx, ly = F.length(x), F.length(y)
-
-    def cut(i: Column, length: Column, parts: Column) -> Column:
-        return F.floor(i * length / parts).cast("int")
-
-    def pieces(other: Column) -> Column:
-        parts = _slack(lx, other, threshold)[0] + 1
-        return F.transform(
-            F.sequence(F.lit(0), parts - 1),
-            lambda i: F.struct(
-                lx.alias("lx"),
-                other.alias("ly"),
-                i.alias("i"),
-                F.substring(x, cut(i, lx, parts) + 1, cut(i + 1, lx, parts) - cut(i, lx, parts)).alias("piece"),
-            ),
-        )
-
-    def probes(other: Column) -> Column:
-        total, in_x, in_y = _slack(other, ly, threshold)
-        parts = total + 1
-
-        def at(i: Column) -> Column:
-            start, size = cut(i, other, parts), cut(i + 1, other, parts) - cut(i, other, parts)
-            spots = F.filter(F.sequence(start - in_x, start + in_y), lambda q: (q >= 0) & (q + size <= ly))
-            return F.transform(
-                spots,
-                lambda q: F.struct(
-                    other.alias("lx"), ly.alias("ly"), i.alias("i"), F.substring(y, q + 1, size).alias("piece")
-                ),
-            )
-
-        return F.flatten(F.transform(F.sequence(F.lit(0), total), at))
-
-    index = left.filter(lx > 0).select(*keys, a, F.explode(F.flatten(F.transform(_partner_lengths(lx, threshold), pieces))).alias("p"))
-    probe = right.filter(ly > 0).select(
-        *keys, b, F.explode(F.array_distinct(F.flatten(F.transform(_partner_lengths(ly, threshold), probes)))).alias("p")
-    )
-    cols = [*keys, "lx", "ly", "i", "piece"]
-    pairs = index.select(*keys, a, "p.*").join(probe.select(*keys, b, "p.*"), cols).select(*keys, a, b).distinct()
     # The matching blocks can't hold more letters than the names share: most candidates never reach Python.
     shared = F.size(F.array_intersect(_letters(x), _letters(y)))
-    pairs = pairs.filter(2.0 * shared >= threshold * (lx + ly) - 1e-9)
-    return pairs.withColumn("ratio", matching_ratio(F.col(a), F.col(b))).filter(F.col("ratio") >= threshold)
+    pairs = pairs.filter(2.0 * shared >= threshold * (F.length(x) + F.length(y)) - 1e-9)
+    return pairs.withColumn("ratio", matching_ratio(x, y)).filter(F.col("ratio") >= threshold)
 
 
 def resolve_names(
@@ -148,6 +215,19 @@ def apply_resolution(df: DataFrame, mapping: DataFrame, name: str) -> DataFrame:
     return out.withColumn(name, F.coalesce("resolved", name)).select(*df.columns)
 
 
+def _by_turns(found: pa.Table) -> pa.Table:
+    """The partner of each single of one district and year: in their order, each takes the best place still open."""
+    rows = found.select(["_ord", "single", "ratio", "_mord", "multi"]).to_pylist()
+    rows.sort(key=lambda r: (r["_ord"], r["single"], -r["ratio"], r["_mord"], r["multi"]))
+    placed, taken = {}, set()
+    for r in rows:
+        if r["single"] not in placed and r["multi"] not in taken:
+            placed[r["single"]] = r["multi"]
+            taken.add(r["multi"])
+    district = pa.repeat(found[0][0], len(placed))
+    return pa.table([district, pa.array(placed.keys(), pa.string()), pa.array(placed.values(), pa.string())], names=["_d", "single", "multi"])
+
+
 def match_across_years(
     rows: DataFrame, district: str, norm: str, year: str, order: str, threshold: float = 0.85
 ) -> DataFrame:
@@ -155,7 +235,10 @@ def match_across_years(
 
     Names seen in one year join the most similar name of the district that was
     seen in several years but not in that one. Earlier rows choose first, and a
-    (name, year) place is taken once; the rounds end when nobody is turned away.
+    (name, year) place is taken once. All places rank the names alike, so a name
+    whose best place no earlier name could want has it at once; only names in
+    conflict, with the places that are left, go by district and year to a task
+    that lets them choose in turn, however long their chain is.
     """
     seen = saved(
         rows.groupBy(district, norm, year).agg(F.min(order).alias("_ord")), "towns"
@@ -169,17 +252,19 @@ def match_across_years(
     multi = per.filter(F.col("_n") >= 2).select(district, F.col(norm).alias("multi"), "_years", F.col("_first").alias("_mord"))
     close = similar_pairs(single.select(district, "single"), multi.select(district, "multi"), "single", "multi", threshold, [district])
     cand = close.join(single, [district, "single"]).join(multi, [district, "multi"])
-    cand = saved(cand.filter(~F.array_contains("_years", F.col("_y"))).drop("_years"), "pairs")
+    cand = cand.filter(~F.array_contains("_years", F.col("_y"))).drop("_years")
     mine = Window.partitionBy(district, "single").orderBy(F.desc("ratio"), "_mord", "multi")
-    place = Window.partitionBy(district, "multi", "_y").orderBy("_y", "_ord", "single")
-    while True:
-        asked = cand.withColumn("_k", F.row_number().over(mine)).filter("_k = 1")
-        asked = saved(asked.withColumn("_place", F.row_number().over(place)).drop("_k"), "round")
-        turned = asked.filter("_place > 1").select(district, "single", "multi")
-        if turned.isEmpty():
-            break
-        cand = saved(cand.join(turned, [district, "single", "multi"], "left_anti"), "pairs")
-    merged = asked.select(district, F.col("single").alias(norm), F.col("multi").alias("_to"))
+    place = Window.partitionBy(district, "multi", "_y")
+    claim = F.struct("_ord", "single")
+    marked = cand.withColumn("_k", F.row_number().over(mine)).withColumn("_open", (F.col("_k") == 1) & (F.min(claim).over(place) == claim))
+    # Whether the single, or the place, is settled by one of its pairs.
+    marked = marked.withColumn("_settled", F.max("_open").over(Window.partitionBy(district, "single")) | F.max("_open").over(place))
+    marked = saved(marked, "pairs")
+    at_once = marked.filter("_open").select(F.col(district).alias("_d"), "single", "multi")
+    kind = rows.schema[district].dataType.simpleString()
+    in_turn = marked.filter(~F.col("_settled")).select(district, "_y", "_ord", "single", "ratio", "_mord", "multi")
+    in_turn = in_turn.groupBy(district, "_y").applyInArrow(_by_turns, f"_d {kind}, single string, multi string")
+    merged = at_once.unionByName(in_turn).select(F.col("_d").alias(district), F.col("single").alias(norm), F.col("multi").alias("_to"))
     out = seen.drop("_ord").join(merged, [district, norm], "left")
     return out.select(district, norm, year, F.coalesce("_to", norm).alias("town_key"))
 

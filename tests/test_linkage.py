@@ -151,3 +151,56 @@ def test_frequent_pieces_lose_no_pair(spark):
     df = spark.createDataFrame([(n,) for n in names], "a string")
     got = {(r["a"], r["b"]) for r in L.similar_pairs(df, df.withColumnRenamed("a", "b"), "a", "b", 0.85).collect()}
     assert got == {(x, y) for x in names for y in names if ratio(x, y) >= 0.85}
+
+
+def test_names_with_a_shared_part_make_few_candidates(spark):
+    names = [f"district {i:04d}" for i in range(400)]
+    df = spark.createDataFrame([(n,) for n in names], "a string")
+    other = df.withColumnRenamed("a", "b")
+    assert L.candidate_rows(df, other, "a", "b", 0.85).count() < 0.15 * len(names) ** 2
+    got = {(r["a"], r["b"]) for r in L.similar_pairs(df, other, "a", "b", 0.85).collect()}
+    assert got == {(x, y) for x in names for y in names if ratio(x, y) >= 0.85}
+
+
+@pytest.mark.parametrize("threshold", [0.8, 0.9])
+def test_long_names_by_their_rare_pieces(spark, threshold):
+    rnd = random.Random(7)
+    base = ["municipal area of " + "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(4, 14))) for _ in range(6)]
+    names = set(base)
+    for n in base:
+        for _ in range(5):
+            w = list(n)
+            for _ in range(rnd.randint(1, 6)):
+                w[rnd.randrange(len(w))] = rnd.choice(["", "x", "ab"])
+            names.add("".join(w))
+    names = sorted(names)
+    df = spark.createDataFrame([(n,) for n in names], "a string")
+    got = {(r["a"], r["b"]) for r in L.similar_pairs(df, df.withColumnRenamed("a", "b"), "a", "b", threshold).collect()}
+    assert got == {(x, y) for x in names for y in names if ratio(x, y) >= threshold}
+
+
+def test_a_chain_of_conflicts_in_one_pass(spark):
+    # Town k is as near to name k as to name k + 1, and every name but the last is wanted by an earlier town.
+    stem = lambda k: f"{chr(97 + k // 26)}{chr(97 + k % 26)}" * 3
+    rows = []
+    for k in range(51):
+        rows += [("D", stem(k) + "nagarpur", y, 10_000 * (y == 2011) + k) for y in (1991, 2011)]
+    n = len(rows)
+    for k in range(50):
+        rows += [("D", stem(k) + "nagarpu", 2001, 20_000 + n + 2 * k), ("D", stem(k) + "nagarpurr", 2001, 20_001 + n + 2 * k)]
+    df = spark.createDataFrame(rows, "district string, norm string, yr int, ord int")
+    out = L.match_across_years(df, "district", "norm", "yr", "ord", 0.8)
+    got = {(r.district, r.norm, r.yr): r.town_key for r in out.collect()}
+    assert got == sequential_matching(rows, 0.8)
+    short = L.match_across_years(df.filter("ord % 7 = 0"), "district", "norm", "yr", "ord", 0.8)
+    plan = lambda d: d._jdf.queryExecution().analyzed().toString().count("\n")
+    assert plan(out) == plan(short)
+
+
+def test_long_chain_of_turned_away_names(spark):
+    pairs = [("D", 2001, k, f"s{k:02d}", 1.0 - j / 1000, k + j, f"m{k + j:02d}") for k in range(50) for j in range(51 - k)]
+    pairs = pairs[::-1]
+    table = L.pa.Table.from_pylist([dict(zip(("district", "_y", "_ord", "single", "ratio", "_mord", "multi"), p)) for p in pairs])
+    # All want the first places; each takes the best one left.
+    got = {r["single"]: r["multi"] for r in L._by_turns(table).to_pylist()}
+    assert got == {f"s{k:02d}": f"m{k:02d}" for k in range(50)}
