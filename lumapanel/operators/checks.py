@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import saved, scratch_path
+from ..sources.files import BLOCK_BYTES, blocks, listed, located, pieces
 
 
 @dataclass(frozen=True)
@@ -128,10 +131,42 @@ def not_allowed(df: DataFrame, column: str, allowed: Sequence[str]) -> DataFrame
     return df.filter(~F.coalesce(F.col(column).isin(list(allowed)), F.lit(False))).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
 
 
-def file_states(spark: SparkSession, path: str) -> DataFrame:
-    """Path, modification time and content hash of every file below a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", F.col("modificationTime").alias("mtime"), F.sha2("content", 256).alias("hash"))
+def _block_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = []
+        for path, start, size in zip(*(batch[c].to_pylist() for c in ("path", "start", "size")), strict=True):
+            fs, name = located(path)
+            digest = hashlib.sha256()
+            with fs.open_input_file(name) as file:
+                for piece in pieces(file, start, size):
+                    digest.update(piece)
+            found.append(digest.hexdigest())
+        yield pa.RecordBatch.from_pydict({"path": batch["path"], "block": batch["block"], "leaf": pa.array(found, pa.string())})
+
+
+def file_states(spark: SparkSession, path: str, known: DataFrame | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Path, length, modification time and content hash of every file below a folder that isn't empty.
+
+    The hash is a tree of two levels: SHA-256 over the SHA-256 of the blocks and
+    the length. Blocks are ranges read by separate tasks, so a file may have any
+    size. A file whose length and time are those in ``known`` (path, length,
+    mtime, hash; all of the same ``block_bytes``) keeps its hash and isn't read.
+    """
+    files = saved(listed(spark, path), "files")
+    if known is not None:
+        old = known.select("path", "length", "mtime", F.col("hash").alias("_hash")).dropDuplicates(["path"])
+        files = saved(files.join(old, ["path", "length", "mtime"], "left"), "files")
+        unread = files.filter("_hash IS NULL")
+    else:
+        unread = files
+    leaves = blocks(unread.select("path", "length"), block_bytes)[0].mapInArrow(_block_hashes, "path string, block long, leaf string")
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("block", "leaf"))), lambda b: b["leaf"])
+    roots = leaves.groupBy("path").agg(F.array_join(in_order, "").alias("_leaves"))
+    read = unread.join(roots, "path").withColumn("hash", F.sha2(F.concat_ws(":", "_leaves", "length"), 256))
+    out = read.select("path", "length", "mtime", "hash")
+    if known is not None:
+        out = out.unionByName(files.filter("_hash IS NOT NULL").select("path", "length", "mtime", F.col("_hash").alias("hash")))
+    return out
 
 
 def stale_outputs(manifest: DataFrame, inputs: DataFrame, outputs: DataFrame) -> DataFrame:

@@ -1,4 +1,7 @@
+import hashlib
+import json
 import math
+import os
 
 import numpy as np
 import pytest
@@ -10,6 +13,7 @@ from lumapanel.operators import pixels as P
 from lumapanel.session import saved, scratch_path, shared_dir
 from lumapanel.sources import census as C
 from lumapanel.sources import layers as Y
+from lumapanel.sources import places as Z
 from lumapanel.streaming.profiles import stream_monthly_sums
 
 
@@ -121,6 +125,78 @@ def test_stream_equals_batch_and_resumes(spark):
     assert again == want
 
 
+def test_batches_hold_changed_keys_and_repeat_safely(spark):
+    folder, state = scratch_path(spark, "in"), scratch_path(spark, "state")
+    parts = [obs(spark, [(f"s{i % 5}", 1, 1.0, 2.0, 1.0) for i in range(50)])]
+    parts += [obs(spark, [(f"s{k}", 1, 3.0, 4.0, None)]) for k in (1, 1, 7)]
+    run = lambda: stream_monthly_sums(spark, folder, parts[0].schema, ["species_key", "month"], state, compact_every=3)
+    table = f"{state}-monthly_sums"
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(folder)
+        got = sorted(map(tuple, run().collect()))
+    want = sorted(map(tuple, O.monthly_sums(spark.read.parquet(folder), ["species_key", "month"]).collect()))
+    assert got == want
+    sizes = [spark.read.parquet(f"{table}/batch={n}").count() for n in range(4)]
+    assert sizes == [5, 1, 1, 1] and spark.read.parquet(f"{table}/whole=2").count() == 5
+    # The last batch is run again if its commit was lost.
+    jvm = spark._jvm.org.apache.hadoop.fs
+    fs = jvm.Path(state).getFileSystem(spark._jsc.hadoopConfiguration())
+    assert fs.delete(jvm.Path(f"{state}/commits/3"), False)
+    assert sorted(map(tuple, run().collect())) == want
+    # A batch that broke off is not seen.
+    spark.range(1).write.parquet(f"{table}/batch=9")
+    fs.delete(jvm.Path(f"{table}/batch=9/_SUCCESS"), False)
+    assert sorted(map(tuple, run().collect())) == want
+
+
+def test_large_and_unchanged_files(spark, tmp_path):
+    small, big = tmp_path / "a" / "small.bin", tmp_path / "a" / "big.tif"
+    small.parent.mkdir()
+    small.write_bytes(b"x" * 1000)
+    with open(big, "wb") as f:  # a sparse file over the 2 GB that one value may have
+        f.truncate((2 << 30) + 12_345)
+    state = lambda known=None, block=256 << 20: {r["path"].rsplit("/", 1)[1]: r for r in Q.file_states(spark, str(tmp_path / "a"), known, block).collect()}
+    first = state()
+    assert first["big.tif"]["length"] == (2 << 30) + 12_345 and len({r["hash"] for r in first.values()}) == 2
+    leaf = hashlib.sha256(b"x" * 1000).hexdigest()
+    assert first["small.bin"]["hash"] == hashlib.sha256(f"{leaf}:1000".encode()).hexdigest()
+    known = spark.createDataFrame(list(first.values()), "path string, length long, mtime timestamp, hash string")
+    stat = os.stat(small)
+    small.write_bytes(b"y" * 1000)
+    os.utime(small, ns=(stat.st_atime_ns, stat.st_mtime_ns))
+    assert state(known)["small.bin"]["hash"] == first["small.bin"]["hash"]  # same size and time: not read
+    os.utime(small, ns=(stat.st_atime_ns, stat.st_mtime_ns + 10**9))
+    second = state(known)
+    assert second["small.bin"]["hash"] != first["small.bin"]["hash"] and second["big.tif"]["hash"] == first["big.tif"]["hash"]
+    # The last byte of the last block counts.
+    with open(big, "r+b") as f:
+        f.seek(-1, 2)
+        f.write(b"z")
+    assert state(known)["big.tif"]["hash"] != first["big.tif"]["hash"]
+
+
+@pytest.mark.parametrize("range_bytes", [7, 64, 1000, 1 << 20])
+def test_one_geojson_file_is_read_in_ranges(spark, tmp_path, range_bytes):
+    n = 6 if range_bytes == 7 else 60
+    names = [f'Zone {k} "x" {chr(92) * (k % 4)} {{[}}] é漢' for k in range(n)]
+    ring = [[70.0, 10.0], [71.5, 10.0], [71.5, 11.25], [70.0, 10.0]]
+    feats = []
+    for k, name in enumerate(names):
+        members = [("type", "Feature"), ("properties", {"dtname": name, "stname": "S", "note": [{"type": "Feature"}]})]
+        members.append(("geometry", {"type": "Polygon", "coordinates": [[[x + k, y] for x, y in ring]]}))
+        feats.append(dict(members[:: -1 if k % 2 else 1]))
+    doc = {"name": 'a "b" {', "crs": {"type": "name", "properties": {"name": "x"}}, "features": feats, "bbox": [1, 2], "type": "FeatureCollection"}
+    (tmp_path / "one.geojson").write_text(json.dumps(doc, indent=1 if range_bytes == 64 else None, ensure_ascii=range_bytes > 64), encoding="utf-8")
+    (tmp_path / "two.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": feats[:1]}))
+    got = Z.read_features(spark, str(tmp_path), range_bytes).collect()
+    assert sorted(r["properties"]["dtname"] for r in got) == sorted(names + names[:1])
+    first = json.loads(next(r["text"] for r in got if r["properties"]["dtname"] == names[3]))
+    assert first == [[[x + 3, y] for x, y in ring]]
+    if range_bytes == 1000:  # many tasks hold features of the one file
+        parts = Z.feature_texts(spark, str(tmp_path / "one.geojson"), range_bytes).groupBy(F.spark_partition_id()).count()
+        assert parts.count() >= 4
+
+
 def test_broken_dataset_is_reported(spark):
     good = spark.createDataFrame([("Pune", 10.0, 5.0)], "district string, TOT_P double, P_LIT double")
     loaded, failed = C.load_all({"census_2011": good, "census_2001": good.drop("district")}, spark.createDataFrame([("Pune",)], "district string"))
