@@ -19,11 +19,14 @@ import re
 import unicodedata
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -170,56 +173,103 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 30) -> tu
     return w[:-1], float(w[-1])
 
 
-def distinct_bags(bags: list[set[str]]) -> list[set[str]]:
-    """The bags without near copies, whose shared words would all look like evidence.
+@dataclass
+class Bags:
+    """The distinct tokens of labelled texts as numbers of their sorted common vocabulary; no text is held."""
+
+    words: pa.Array
+    ids: np.ndarray
+    offsets: np.ndarray
+
+    @staticmethod
+    def of(tokens: pa.Array) -> Bags:
+        """From one list of tokens per text."""
+        flat = tokens.flatten()
+        words = flat.unique().sort() if len(flat) else flat
+        ids = pc.index_in(flat, words).to_numpy(zero_copy_only=False).astype(np.int32) if len(flat) else np.empty(0, np.int32)
+        offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(tokens).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        return Bags(words, ids, offsets)
+
+    def bag(self, k: int) -> np.ndarray:
+        return self.ids[self.offsets[k] : self.offsets[k + 1]]
+
+    def counts(self, some: list[int]) -> np.ndarray:
+        """In how many of some texts each word is."""
+        return sum((np.bincount(self.bag(k), minlength=len(self.words)) for k in some), np.zeros(len(self.words), np.int64))
+
+    def names(self, ids: np.ndarray) -> list[str]:
+        return self.words.take(pa.array(ids, pa.int64())).to_pylist()
 
-    A bag goes if half of its 16 tokens with the smallest hashes are among those
-    of one earlier bag.
+    def scores(self, machine: Machine) -> np.ndarray:
+        parts = [machine.word_scores(self.words.slice(low, 1 << 15).to_pylist()) for low in range(0, len(self.words), 1 << 15)]
+        return np.concatenate(parts) if parts else np.empty(0)
+
+    def worst(self, value: np.ndarray, some: list[int]) -> np.ndarray:
+        return np.array([value[self.bag(k)].max(initial=-1.0) for k in some])
+
+
+def distinct_bags(bags: Bags, some: list[int]) -> list[int]:
+    """Some texts without near copies, whose shared words would all look like evidence.
+
+    A text goes if half of its 16 tokens with the smallest hashes are among those
+    of one earlier text.
     """
-    owners: dict[str, list[int]] = {}
+    crc = np.array([zlib.crc32(w.as_buffer()) for w in bags.words.cast(pa.binary())], np.int64)
+    owners: dict[int, list[int]] = {}
     kept = []
-    for bag in bags:
-        marks = sorted(bag, key=lambda w: zlib.crc32(w.encode()))[:16]
+    for text in some:
+        ids = bags.bag(text)
+        marks = ids[np.lexsort((ids, crc[ids]))[:16]].tolist()
         shared = Counter(k for w in marks for k in owners.get(w, ()))
         if not shared or max(shared.values()) * 2 < len(marks):
             for w in marks:
                 owners.setdefault(w, []).append(len(kept))
-            kept.append(bag)
+            kept.append(text)
     return kept
 
 
 def fit(toxic: list[set[str]], clean: list[set[str]], seed: int = 11, rounds: int = 3) -> Machine:
-    """Fit on the token sets of labelled texts.
+    """Fit on the token sets of labelled texts."""
+    lists = pa.array([sorted(bag) for bag in [*toxic, *clean]], pa.list_(pa.string()))
+    return fit_bags(Bags.of(lists), np.arange(len(lists)) < len(toxic), seed, rounds)
+
+
+def fit_bags(bags: Bags, is_toxic: np.ndarray, seed: int = 11, rounds: int = 3) -> Machine:
+    """Fit on the tokens of labelled texts.
 
     Which words make a text toxic isn't labelled: words of toxic texts alone are
     the first suspects; in each round every toxic text puts forward its worst
     word, suspects that score as clean are let go, and the clean words that score
     highest are added to the others. A fifth of the texts is kept for the line to
-    probabilities. Without one of the classes every text scores 0.
+    probabilities. Without one of the classes every text scores 0. Equal words
+    go by code points.
     """
     rng = np.random.default_rng(seed)
-    if not toxic or not clean:
+    if is_toxic.all() or not is_toxic.any():
         return Machine(np.zeros(FEATURES, np.float32), 0.0, -60.0)
-    fold = lambda bags: [bags[i] for i in rng.permutation(len(bags))]
-    toxic, clean = distinct_bags(fold(toxic)), fold(clean)
+    toxic = distinct_bags(bags, rng.permutation(np.flatnonzero(is_toxic)).tolist())
+    clean = rng.permutation(np.flatnonzero(~is_toxic)).tolist()
     cut_t, cut_c = max(1, len(toxic) * 4 // 5), max(1, len(clean) * 4 // 5)
     toxic_fit, clean_fit = toxic[:cut_t], clean[:cut_c]
-    seen = Counter(w for bag in clean_fit for w in bag)
-    counts = Counter(w for bag in toxic_fit for w in bag)
-    odds = len(clean_fit) / len(toxic_fit)
-    lifted = {w for w, n in counts.items() if n * odds >= LIFT * seen[w]}
+    counts, seen = bags.counts(toxic_fit), bags.counts(clean_fit)
+    lifted = (counts > 0) & (counts * (len(clean_fit) / len(toxic_fit)) >= LIFT * seen)
     # So often in toxic texts that hardly a word would be by chance.
-    share, spread = len(toxic_fit) / (len(toxic_fit) + len(clean_fit)), Counter((counts + seen).values())
+    share, spread = len(toxic_fit) / (len(toxic_fit) + len(clean_fit)), np.bincount(counts + seen)
     for least in range(2, len(toxic_fit) + 2):
-        if sum(k for n, k in spread.items() if n >= least) * share**least < 0.5:
+        if spread[least:].sum() * share**least < 0.5:
             break
-    suspects = [w for w, n in counts.most_common() if n >= least and w in lifted][: MAX_WORDS // 4]
-    suspects = suspects or [w for w, _ in counts.most_common() if w in lifted][: MAX_WORDS // 4] or sorted(counts)
-    positive = {w: float(counts[w] or 1) for w in suspects}
-    common = [w for w, _ in seen.most_common(MAX_WORDS // 4) if w not in lifted]
-    others = sorted(seen.keys() - set(common) - lifted)
-    negative = dict.fromkeys(common + [others[i] for i in rng.permutation(len(others))[: MAX_WORDS // 4]], 1.0)
-    machine = None
+    falling = np.argsort(-counts, kind="stable")
+    suspects = falling[(lifted & (counts >= least))[falling]][: MAX_WORDS // 4]
+    if not len(suspects):
+        suspects = falling[lifted[falling]][: MAX_WORDS // 4]
+    if not len(suspects):
+        suspects = np.flatnonzero(counts)
+    positive = {w: float(n) for w, n in zip(bags.names(suspects), counts[suspects], strict=True)}
+    common = np.argsort(-seen, kind="stable")[: MAX_WORDS // 4]
+    common = common[(seen[common] > 0) & ~lifted[common]]
+    others = np.setdiff1d(np.flatnonzero((seen > 0) & ~lifted), common)
+    negative = dict.fromkeys(bags.names(np.concatenate([common, rng.permutation(others)[: MAX_WORDS // 4]])), 1.0)
+    machine = value = None
     for turn in range(rounds):
         pos = sorted(positive, key=lambda w: (-positive[w], w))[: MAX_WORDS // 2]
         # Insults spelt with a letter too many must stay on their side.
@@ -231,30 +281,36 @@ def fit(toxic: list[set[str]], clean: list[set[str]], seed: int = 11, rounds: in
         marks = pos[: LANDMARKS // 2] + [neg[i] for i in rng.permutation(len(neg))[: LANDMARKS - min(len(pos), LANDMARKS // 2)]]
         kernel, used, dense = _kernel_map(pos + neg, marks)
         own = _kernel_map(marks, marks)[0]
-        value, vector = np.linalg.eigh((own + own.T) / 2)
-        keep = value > 1e-6
-        root = vector[:, keep] / np.sqrt(value[keep])
+        level, vector = np.linalg.eigh((own + own.T) / 2)
+        keep = level > 1e-6
+        root = vector[:, keep] / np.sqrt(level[keep])
         y = np.r_[np.ones(len(pos)), -np.ones(len(neg))]
         weight = np.r_[[positive[w] for w in pos], [negative[w] for w in neg]]
-        share = np.where(y > 0, weight / weight[y > 0].sum(), weight / weight[y < 0].sum()) * len(neg) * 2
-        beta, shift = _svm(kernel @ root, y, share)
+        cost = np.where(y > 0, weight / weight[y > 0].sum(), weight / weight[y < 0].sum()) * len(neg) * 2
+        beta, shift = _svm(kernel @ root, y, cost)
         weights = np.zeros(FEATURES)
         weights[used] = dense @ (root @ beta)
         machine = Machine(weights.astype(np.float32), 1.0, shift)
-        cache: dict[str, float] = {}
-        machine.worst(toxic_fit + clean_fit, cache)
+        value = bags.scores(machine)
         if turn < rounds - 1:
-            witness = Counter(max(sorted(bag & lifted) or sorted(bag), key=cache.__getitem__) for bag in toxic_fit if bag)
             # Copies of one text share all their words; those that look like no insult go.
-            positive = {w: float(n) for w, n in positive.items() if cache.get(w, 0.0) > 0}
-            for w, n in witness.items():
+            place = pc.index_in(pa.array(list(positive), pa.string()), bags.words).to_pylist()
+            positive = {w: n for (w, n), k in zip(positive.items(), place, strict=True) if k is not None and value[k] > 0}
+            witness: Counter[int] = Counter()
+            for text in toxic_fit:
+                ids = np.sort(bags.bag(text))
+                ids = ids[lifted[ids]] if lifted[ids].any() else ids
+                if len(ids):
+                    witness[int(ids[value[ids].argmax()])] += 1
+            for w, n in zip(bags.names(np.array(list(witness), np.int64)), witness.values(), strict=True):
                 positive[w] = positive.get(w, 0.0) + n
-            hard = sorted((w for w in seen if w not in lifted), key=lambda w: (-cache[w], w))[: MAX_WORDS // 8]
-            negative |= dict.fromkeys(hard, 2.0)
+            calm = np.flatnonzero((seen > 0) & ~lifted)
+            hard = calm[np.argsort(-value[calm], kind="stable")[: MAX_WORDS // 8]]
+            negative |= dict.fromkeys(bags.names(hard), 2.0)
             for w in positive:
                 negative.pop(w, None)
-    t = machine.worst(toxic[cut_t:] or toxic, cache)
-    c = machine.worst(clean, cache)  # a fifth of them unseen; all, as false alarms are rare
+    t = bags.worst(value, toxic[cut_t:] or toxic)
+    c = bags.worst(value, clean)  # a fifth of them unseen; all, as false alarms are rare
     return _calibrate(machine, t, c)
 
 
@@ -294,24 +350,27 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
 
     Rows of the held-out fold, unlabelled rows, null and over-long texts
     (``MAX_FIT_CHARS``) aren't used for fitting. Several labels of one id: toxic
-    if any is.
+    if any is; several rows of one: the smallest text. Only distinct tokens come
+    to the driver, as one Arrow table.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg((F.max("toxic") > 0).alias("_toxic"))
-    sizes = {r["_toxic"]: r["n"] for r in known.groupBy("_toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) / float(1 << 20)
-    share = F.when(F.col("_toxic"), min(1.0, max_toxic / max(1, sizes.get(True, 0)))).otherwise(min(1.0, max_clean / max(1, sizes.get(False, 0))))
-    chosen = saved(known.filter(draw < share).select(F.col("doc_id").alias("_id"), "_toxic").coalesce(1), "labelled")
-    usable = docs.select("doc_id", "text").filter(F.length("text") <= MAX_FIT_CHARS)
-    bags, same = {True: [], False: []}, {}
-    rows = usable.join(chosen, F.col("doc_id") == F.col("_id")).select("_toxic", "text", "doc_id")
-    rows = rows.limit(2 * (max_toxic + max_clean))  # repeated ids can't make the sample grow past its bound
-    for r in sorted(rows.toLocalIterator(prefetchPartitions=True), key=lambda r: (r["doc_id"], r["text"])):
-        bags[r["_toxic"]].append({same.setdefault(w, w) for w in tokens(r["text"])})  # one object per word
-    return fit(bags[True], bags[False])
+    known = known.groupBy(F.col("doc_id").alias("_id")).agg((F.max("toxic") > 0).alias("_toxic"))
+    draw = F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(1 << 20))
+    kinds = [known.filter(kind).orderBy(draw, "_id").limit(most) for kind, most in ((F.col("_toxic"), max_toxic), (~F.col("_toxic"), max_clean))]
+    chosen = saved(kinds[0].unionByName(kinds[1]), "labelled")
+    usable = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.length("text") <= MAX_FIT_CHARS)
+    rows = usable.join(chosen, F.col("doc_id") == F.col("_id")).groupBy("_id").agg(F.min("text").alias("text"), F.first("_toxic").alias("toxic"))
 
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = pa.array([sorted(tokens(t)) for t in batch["text"].to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch["_id"], batch["toxic"], words], names=["_id", "toxic", "words"])
 
-_cache: dict[int, dict[str, float]] = {}
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    split_rows = saved(rows.mapInArrow(split, f"_id {kind}, toxic boolean, words array<string>"), "labelled-tokens")
+    found = split_rows.orderBy("_id").toArrow()
+    lists = pa.concat_arrays([c.cast(pa.list_(pa.string())) for c in found["words"].chunks]) if len(found) else pa.array([], pa.list_(pa.string()))
+    return fit_bags(Bags.of(lists), found["toxic"].to_numpy().astype(bool))
 
 
 def scorer(machine: Machine, spark):
@@ -321,7 +380,7 @@ def scorer(machine: Machine, spark):
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         machine, out = shared.value, np.empty(len(texts))
-        cache = _cache.setdefault(id(machine), {})
+        cache = machine.__dict__.setdefault("cache", {})  # goes with the machine
         values = texts.tolist()
         for low in range(0, len(values), 256):
             if len(cache) > CACHE_WORDS:
