@@ -28,13 +28,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import saved
-from .store import per_chunk, per_file, read_chunk, save_chunks
+from .store import per_chunk, per_file, read_chunk, save_texts
 from .words import mix, slices, words_of
 
 END = np.uint64(0x1D8AF066E4A9B3C7)  # stands for the end among the words' hashes
 START = np.uint64(0x7C15F39CC0605CED)  # and for the start of a text in pairs and triples
 DISCOUNT, PARTS = 0.75, 4  # discounted counts are whole numbers of a PARTS-th
 MIN_COUNT = 2
+FILE_BYTES = 14 << 20  # of text that a task holds as tokens, pairs and triples
 SLOT_TOKENS, LEAST_SLOTS = 1 << 22, 64
 PAIR, TRIPLE, WORD_MASS, PAIR_MASS, WORD = range(5)
 
@@ -386,7 +387,7 @@ def score_documents(docs: DataFrame, is_held_out: Column | None = None) -> DataF
     """
     held = held_out(F.col("doc_id")) if is_held_out is None else is_held_out
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held.alias("held"))
-    files = save_chunks(rows, "texts")
+    files = save_texts(rows, "texts", FILE_BYTES)
     counts = saved(word_counts(files), "words")
     facts = counts.filter("first").agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     total, distinct = int(facts["n"] or 0), int(facts["v"])
