@@ -49,7 +49,8 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # The strings of added tokens are tokens wherever they stand, so texts that hold one are encoded whole.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.separator = self.tokenizer.token_to_id("\u010d")
         self.clear()
 
@@ -101,13 +102,19 @@ class UnitEncoder:
         """All ids, and how many each text has."""
         if len(self.heads) + len(self.rests) > CACHE_UNITS:
             self.clear()
+        if any(a in text for a in self.added for text in texts):
+            found = [self.tokenizer.encode(text, add_special_tokens=False).ids if any(a in text for a in self.added) else None for text in texts]
+            plain, sizes = self.encode([t for t, ids in zip(texts, found, strict=True) if ids is None])
+            ends = iter(np.split(plain, np.cumsum(sizes))[:-1])
+            every = [next(ends) if ids is None else np.array(ids, np.uint32) for ids in found]
+            return np.concatenate(every), np.array([len(ids) for ids in every])
         heads, rests, counts = [], [], []
         for text in texts:
             parts = text.split(" ") if self._simple(text) else self._cut.split(text)
             heads.append(parts[0])
             rests += parts[1:]
             counts.append(len(parts))
-        bounds = np.concatenate([[0], np.cumsum(counts)])
+        bounds = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
         codes = np.empty(bounds[-1], np.int64)
         later = np.ones(len(codes), bool)
         later[bounds[:-1]] = False

@@ -14,6 +14,7 @@ from lumapanel.llm import (
     decontamination,
     mixing,
     sharding,
+    store,
     substrings,
     token_files,
     toxicity,
@@ -232,7 +233,6 @@ def test_token_files_odd_rows(odd_docs, no_docs):
     assert [r["start"] for r in out] == [0, *np.cumsum([r["n_tokens"] for r in out])[:-1]]
     assert token_files.read_token_files(token_files.write_token_files(no_docs, path, 2, 50257)).count() == 0
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     enc = token_files.UnitEncoder(path)
     for t in ["", " a", "a  b \n c", "\n", "a\n b c\x00 \x00d", "x  y <|endoftext|> z", "  ", "a ", "don't  stop", "a\r b", "  x  y z"]:
         assert enc.encode([t, t])[0].tolist() == plain.encode(t, add_special_tokens=False).ids * 2
@@ -257,7 +257,7 @@ def test_automaton_states_sum_to_one(spark, odd_docs, no_docs):
     rng = np.random.default_rng(10)
     texts = [" ".join(rng.choice(list("abcdef"), rng.integers(0, 30), p=[0.4, 0.2, 0.1, 0.1, 0.1, 0.1])) for _ in range(200)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("held", F.lit(False))
-    files = backoff_lm.save_chunks(docs, "texts")
+    files = store.save_texts(docs, "texts", 1 << 14)
     counts = backoff_lm.saved(backoff_lm.word_counts(files), "words")
     total = sum(len(t.split()) + 1 for t in texts)
     model = backoff_lm.build(files, counts, total, 7, 1e-5, 1e-5)
@@ -308,6 +308,19 @@ def test_rare_phrases_are_modelled_in_a_larger_corpus(spark):
     assert got[2000]["score"] - got[2000]["base_score"] > 15  # held out
 
 
+def test_texts_with_added_tokens():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    texts = ["hello <|endoftext|> world", "plain text here", "<|endoftext|>", "", "a<|endoftext|>\r b <|endoftext", " lead  <|endoftext|>"]
+    for some in (texts, texts[:1], texts[1:2], texts[3:4]):
+        ids, n = token_files.UnitEncoder(path).encode(some)
+        want = [tok.encode(t, add_special_tokens=False).ids for t in some]
+        assert ids.tolist() == [i for w in want for i in w] and n.tolist() == [len(w) for w in want]
+
+
 def test_toxicity_odd_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 1), (3, 0), (3, 1), (None, 1), (6, 0)], "doc_id long, toxic int")
     for docs, n in ((odd_docs, 10), (no_docs, 0)):
