@@ -25,7 +25,8 @@ from .store import attempt_name, located, new_folder, open_output
 from .words import slices
 
 MAGIC = b"REPAIR01"
-ROUND_RULES = (4000, 3000, 2000)  # new symbols per pass; with a 50k vocabulary they fit into 16 bits
+# New symbols per pass. With a 50k vocabulary they use up the 16-bit symbols; more rules need 32 bits and make larger files.
+ROUND_RULES = (2500,) * 6
 FILE_TOKENS = 2 << 20
 CACHE_UNITS = 1_000_000
 
@@ -144,7 +145,7 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def repair(ids: np.ndarray, end_id: int, first_symbol: int, rounds: tuple[int, ...] = ROUND_RULES) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, rules): in each pass the most frequent pairs become new symbols.
+    """(symbols, rules): in each pass the most frequent pairs become new symbols, until no pair occurs four times.
 
     Pairs are first counted by a hash, then those of the fullest cells exactly.
     Occurrences that overlap are taken from the left. No pair holds ``end_id``.
