@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 from ..functions.columns import over
 from ..functions.geo import DIRECTIONS, EARTH_RADIUS_KM, bearing_deg, compass8, haversine_km, wedge
 from ..session import saved
+from .polygons import Grid, join_cells, polygon_edges, zone_spans
 from .ranking import summarise
 
 RING_LIMITS_KM = (1.0, 5.0, 10.0, 20.0, 50.0)
+CIRCLE_SIDES = 64
 KM_PER_DEG = math.pi * EARTH_RADIUS_KM / 180.0
 
 
@@ -90,6 +92,50 @@ def side_pairs(points, locations, radius_km: float, buffer_km: float, **names) -
     return pairs.withColumn("side", F.when(F.col("distance_km") <= radius_km, "inside").otherwise("outside"))
 
 
+def circle(lat: Column, lon: Column, radius_km: Column | float, sides: int = CIRCLE_SIDES) -> Column:
+    """Vertices (x: longitude, y: latitude) of a circle on the globe, clockwise from the north."""
+    reach = radius_km / F.lit(EARTH_RADIUS_KM) if not isinstance(radius_km, float) else F.lit(radius_km / EARTH_RADIUS_KM)
+    phi, lam = F.radians(lat), F.radians(lon)
+
+    def vertex(i: Column) -> Column:
+        angle = i * (2.0 * math.pi / sides)
+        y = F.asin(F.sin(phi) * F.cos(reach) + F.cos(phi) * F.sin(reach) * F.cos(angle))
+        x = lam + F.atan2(F.sin(angle) * F.sin(reach) * F.cos(phi), F.cos(reach) - F.sin(phi) * F.sin(y))
+        return F.struct(F.degrees(x).alias("x"), F.degrees(y).alias("y"))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(sides - 1)), vertex)
+
+
+def ring_spans(
+    locations: DataFrame, key: str, grid: Grid, limits: Sequence[float] = RING_LIMITS_KM, loc_lat: str = "loc_lat", loc_lon: str = "loc_lon",
+    all_touched: bool = True, sides: int = CIRCLE_SIDES,
+) -> DataFrame:
+    """Disjoint runs (key, ring_km, r, c0, c1) of the cells of each location's annuli; the first is a full disc.
+
+    With ``all_touched`` a cell belongs to every annulus that it shares any area
+    with, so cells on a circle are in two. A disc far smaller than a cell still
+    has the cells it touches. The runs come from the circles alone, whatever the
+    number of cells; no cell is tested against a location. Locations without a
+    position have none.
+    """
+    known = locations.filter(F.col(loc_lat).isNotNull() & F.col(loc_lon).isNotNull())
+    inner = [None, *[float(v) for v in limits[:-1]]]
+    # An annulus is its outer circle with the inner one as a hole.
+    shapes = F.array(*[
+        F.struct(F.lit(float(outer)).alias("ring_km"), F.lit(radius).alias("radius"))
+        for outer, hole in zip(limits, inner, strict=True) for radius in (float(outer), hole) if radius
+    ])
+    rings = known.select(F.col(key), loc_lat, loc_lon, F.inline(shapes))
+    rings = rings.select(F.struct(key, "ring_km").alias("zone"), circle(F.col(loc_lat), F.col(loc_lon), F.col("radius"), sides).alias("vertices"))
+    spans = zone_spans(polygon_edges(rings), grid, all_touched=all_touched)
+    return spans.select(F.col(f"zone.{key}").alias(key), F.col("zone.ring_km").alias("ring_km"), "r", "c0", "c1")
+
+
+def touched_ring_pairs(cells: DataFrame, locations: DataFrame, key: str, grid: Grid, limits: Sequence[float] = RING_LIMITS_KM, **settings) -> DataFrame:
+    """All (cell, location, ring) of cells (r, c, ...) that an annulus touches, by one equi-join on rows and column blocks."""
+    return join_cells(cells, ring_spans(locations, key, grid, limits, **settings))
+
+
 def _names(key: str | Sequence[str]) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 

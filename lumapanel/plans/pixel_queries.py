@@ -9,7 +9,8 @@ from ..functions.columns import literal_rows
 from ..operators import pixels as P
 from ..operators.polygons import clip_cells, join_cells, polygon_edges, zone_spans
 from ..operators.ranking import summarise, top_k
-from ..session import saved
+from ..session import saved, scratch_path
+from ..sources.layers import align_layers, read_pixels, write_pixels
 from .registry import GRID, add_view, query, years_of
 
 R6 = lambda *names: [F.round(n, 6).alias(n) for n in names]
@@ -18,19 +19,15 @@ add_view("good", "zone_pixels", "SELECT * FROM zone_pixels WHERE med IS NOT NULL
 add_view("gpix", "pixels", "SELECT * FROM pixels WHERE med IS NOT NULL AND lit > 0 AND cf >= 5")
 
 
-@query("s01_pixel_scan", "pixels", "SELECT yr, r, c, round(med, 6) AS med, lit, cf FROM pixels WHERE yr IN (1996, 1998) AND r < 20")
+@query("s01_pixel_scan", "pixels", "SELECT yr, r, c, round(med, 6) AS med, lit, cf FROM pixels WHERE yr IN (1996, 1998)")
 def _(t):
-    from ..sources.layers import align_layers
-
-    px = t.pixels
-    return align_layers(
-        {
-            "med": px.select("yr", "r", "c", "med"),
-            "lit": px.select("yr", "r", "c", "lit"),
-            "cf": px.select("yr", "r", "c", "cf"),
-        },
-        years=[1996, 1998],
-    ).filter(F.col("r") < 20).withColumn("med", F.round("med", 6))
+    """Each layer written by year and read back for two years only."""
+    layers = {}
+    for name in ("med", "lit", "cf"):
+        path = scratch_path(t.spark, f"layer-{name}")
+        write_pixels(t.pixels.select("yr", "r", "c", name), path)
+        layers[name] = read_pixels(t.spark, path, [1996, 1998])
+    return align_layers(layers).select("yr", "r", "c", F.round("med", 6).alias("med"), "lit", "cf")
 
 
 @query(

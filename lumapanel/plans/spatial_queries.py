@@ -10,7 +10,7 @@ from ..operators import pixels as P
 from ..operators import spatial as X
 from ..functions.columns import literal_rows
 from ..operators.domes import BACKGROUND, K_MAX, MIN_RINGS, STEPS, light_domes
-from ..operators.polygons import join_cells
+from ..operators.polygons import Grid, join_cells
 from .pixel_queries import R6
 from .registry import BOX, GRID, add_view, query, years_of
 
@@ -119,6 +119,55 @@ def _(t):
     return pairs.groupBy("city_id", "ring_km", "yr").agg(F.count(F.lit(1)).alias("n"))
 
 
+TOUCH_GRID = Grid(72.5, 22.1, 1 / 240, 1 / 240)
+TOUCH_RINGS = (1.0, 5.0, 10.0)
+# Oracle: every grid cell near a city against every side of its circles: a side that passes through the cell, or an odd
+# number of sides to the west of the cell's centre.
+TOUCH_CTES = f"""rings AS (SELECT city_id, lat, lon, unnest([1.0, 5.0, 5.0, 10.0, 10.0]) AS ring_km, unnest([1.0, 5.0, 1.0, 10.0, 5.0]) / 6371.0 AS d, unnest([1, 2, 3, 4, 5]) AS shape FROM cities),
+  spots AS (SELECT *, i, asin(sin(radians(lat)) * cos(d) + cos(radians(lat)) * sin(d) * cos(i * (2 * pi() / 64))) AS yr FROM rings, (SELECT unnest(range(0, 65)) % 64 AS i, unnest(range(0, 65)) AS k)),
+  verts AS (SELECT city_id, ring_km, shape, k, degrees(yr) AS y, degrees(radians(lon) + atan2(sin(i * (2 * pi() / 64)) * sin(d) * cos(radians(lat)), cos(d) - sin(radians(lat)) * sin(yr))) AS x FROM spots),
+  sides AS (SELECT a.city_id, a.ring_km, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM verts a JOIN verts b ON a.city_id = b.city_id AND a.shape = b.shape AND b.k = a.k + 1),
+  cells AS (SELECT city_id, CAST(floor((22.1 - lat) * 240) AS INT) + dr AS r, CAST(floor((lon - 72.5) * 240) AS INT) + dc AS c
+    FROM cities, (SELECT unnest(range(-26, 27)) AS dr), (SELECT unnest(range(-28, 29)) AS dc)),
+  boxes AS (SELECT *, 72.5 + c / 240.0 AS w, 72.5 + (c + 1) / 240.0 AS e, 22.1 - r / 240.0 AS n, 22.1 - (r + 1) / 240.0 AS s FROM cells),
+  met AS (SELECT b.city_id, ring_km, r, c,
+      greatest(0, CASE WHEN x1 = x2 THEN CASE WHEN x1 BETWEEN w AND e THEN 0 ELSE 2 END ELSE least((w - x1) / (x2 - x1), (e - x1) / (x2 - x1)) END,
+        CASE WHEN y1 = y2 THEN CASE WHEN y1 BETWEEN s AND n THEN 0 ELSE 2 END ELSE least((s - y1) / (y2 - y1), (n - y1) / (y2 - y1)) END) AS t0,
+      least(1, CASE WHEN x1 = x2 THEN 1 ELSE greatest((w - x1) / (x2 - x1), (e - x1) / (x2 - x1)) END,
+        CASE WHEN y1 = y2 THEN 1 ELSE greatest((s - y1) / (y2 - y1), (n - y1) / (y2 - y1)) END) AS t1,
+      (y1 > (n + s) / 2) <> (y2 > (n + s) / 2) AND x1 + ((n + s) / 2 - y1) * (x2 - x1) / (y2 - y1) < (w + e) / 2 AS crossed
+    FROM boxes b JOIN sides USING (city_id)),
+  touched AS (SELECT city_id, ring_km, r, c FROM met GROUP BY ALL HAVING bool_or(t0 <= t1) OR count(*) FILTER (WHERE crossed) % 2 = 1)"""
+
+
+@query(
+    "j03_touched_rings",
+    "cities",
+    f"""WITH {TOUCH_CTES} SELECT city_id, CAST(ring_km AS DOUBLE) AS ring_km, count(*) AS n, CAST(sum(r) AS BIGINT) AS r_sum, CAST(sum(c) AS BIGINT) AS c_sum FROM touched GROUP BY 1, 2""",
+)
+def _(t):
+    """Cells of 1/240 degree that the rings of 1, 5 and 10 km around each city touch."""
+    spans = X.ring_spans(_loc(t.cities, "city_id"), "city_id", TOUCH_GRID, TOUCH_RINGS)
+    size = (F.col("c1") - F.col("c0") + 1).cast("long")
+    cols = (F.col("c0") + F.col("c1")) * size / 2
+    return spans.groupBy("city_id", "ring_km").agg(
+        F.sum(size).alias("n"), F.sum(F.col("r") * size).alias("r_sum"), F.sum(cols).cast("long").alias("c_sum")
+    )
+
+
+@query(
+    "j02_touched_buffers",
+    "pixels cities",
+    f"""WITH {TOUCH_CTES}, px AS (SELECT *, CAST(floor((22.1 - lat) * 240) AS INT) AS fr, CAST(floor((lon - 72.5) * 240) AS INT) AS fc FROM pixels)
+    SELECT city_id, yr, count(*) AS n, round(avg(med), 6) AS mean_value FROM (SELECT DISTINCT city_id, r, c FROM touched) d JOIN px ON fr = d.r AND fc = d.c GROUP BY 1, 2""",
+)
+def _(t):
+    """Pixels whose fine cell a disc of 10 km around each city touches."""
+    px = t.pixels.withColumns({"r": TOUCH_GRID.row(F.col("lat")), "c": TOUCH_GRID.col(F.col("lon"))})
+    pairs = X.touched_ring_pairs(px, _loc(t.cities, "city_id"), "city_id", TOUCH_GRID, (10.0,))
+    return pairs.groupBy("city_id", "yr").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("med"), 6).alias("mean_value"))
+
+
 WEDGE_SQL = "CASE WHEN angle >= 315 OR angle < 45 THEN 'north' WHEN angle < 135 THEN 'east' WHEN angle < 225 THEN 'south' ELSE 'west' END"
 
 

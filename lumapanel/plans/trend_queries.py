@@ -494,6 +494,7 @@ add_view(
     (rank() OVER (PARTITION BY yr ORDER BY v) + (count(*) OVER (PARTITION BY yr, v) - 1) / 2.0) / count(*) OVER (PARTITION BY yr) * 100 AS p FROM scaled)""",
 )
 TIER_VIEWS = "panel scaled tiers"
+ORDER_YEARS = range(1995, 2002)  # the years the driver's orders have
 
 
 @query("w01_percentile_tiers", TIER_VIEWS, "SELECT entity, yr, round(v, 6) AS v, percentile_rank, alan_tier FROM tiers")
@@ -722,7 +723,9 @@ def _(t):
 @query(
     "a29_value_matrix",
     "panel",
-    """SELECT * FROM (PIVOT (SELECT entity, 'y' || yr AS y, log10(greatest(median_value, 0.01)) AS v FROM panel) ON y USING round(avg(v), 6) GROUP BY entity)""",
+    "SELECT entity, "
+    + ", ".join(f"round(avg(log10(greatest(median_value, 0.01))) FILTER (WHERE yr = {y}), 6) AS y{y}" for y in ORDER_YEARS)
+    + " FROM panel GROUP BY entity",
 )
 def _(t):
     out = N.value_matrix(t.panel, "entity", "yr", "median_value", years_of(t.panel), log=True)

@@ -13,10 +13,20 @@ CELL = ("yr", "r", "c")
 LAYERS = ("median", "average", "cf_cvg", "lit_mask")
 
 
-def read_pixels(spark: SparkSession, path: str, years: Sequence[int] | None = None, year: str = "yr") -> DataFrame:
-    """Pixel table partitioned by year; only the asked partitions are read."""
+def read_pixels(
+    spark: SparkSession, path: str, years: Sequence[int] | None = None, year: str = "yr", box: tuple[int, int, int, int] | None = None
+) -> DataFrame:
+    """Pixel table partitioned by year; only the asked partitions are read.
+
+    ``box`` (first row, last row, first column, last column) skips the files and
+    row groups that hold none of its rows.
+    """
     px = nan_to_null(spark.read.parquet(path))
-    return px.filter(F.col(year).isin(list(years))) if years is not None else px
+    if years is not None:
+        px = px.filter(F.col(year).isin(list(years)))
+    if box is not None:
+        px = px.filter(F.col("r").between(box[0], box[1]) & F.col("c").between(box[2], box[3]))
+    return px
 
 
 def write_pixels(px: DataFrame, path: str, year: str = "yr") -> None:

@@ -120,3 +120,31 @@ def test_rings_and_compass(spark):
     assert [tuple(r) for r in b.select(compass8(F.col("b")), wedge(F.col("b"))).collect()] == [
         ("N", "north"), ("E", "east"), ("N", "north"), ("NW", "north"), ("NE", "east"),
     ]
+
+
+def test_cells_that_a_small_ring_touches(spark):
+    grid = P.Grid(70.0, 20.0, 1.0, 1.0)  # cells about 110 km wide
+    rows = [("middle", 15.5, 75.5), ("edge", 15.5, 76.0), ("corner", 15.0, 77.0), ("nowhere", None, 75.0)]
+    places = spark.createDataFrame(rows, "name string, loc_lat double, loc_lon double")
+    cells = spark.range(400).selectExpr("CAST(id DIV 20 AS INT) AS r", "CAST(id % 20 AS INT) AS c")
+    got = {}
+    for p in X.touched_ring_pairs(cells, places, "name", grid, (1.0, 5.0)).collect():
+        got.setdefault((p["name"], p["ring_km"]), set()).add((p["r"], p["c"]))
+    at = {"middle": {(4, 5)}, "edge": {(4, 5), (4, 6)}, "corner": {(4, 6), (4, 7), (5, 6), (5, 7)}}
+    # Both the disc and the annulus around it touch these cells, though none of their centres lies in either.
+    assert got == {(name, ring): found for name, found in at.items() for ring in (1.0, 5.0)} | {("middle", 1.0): {(4, 5)}}
+    centres = X.ring_spans(places, "name", grid, (1.0, 5.0), all_touched=False)
+    assert [(r["name"], r["ring_km"]) for r in centres.collect()] == [("middle", 1.0)]
+
+
+def test_inner_cells_belong_to_the_disc_only(spark):
+    grid = P.Grid(70.0, 20.0, 1 / 240, 1 / 240)
+    places = spark.createDataFrame([(1, 15.5, 75.5)], "k int, loc_lat double, loc_lon double")
+    cells = {ring: set() for ring in (5.0, 10.0)}
+    for s in X.ring_spans(places, "k", grid, (5.0, 10.0)).collect():
+        cells[s["ring_km"]] |= {(s["r"], c) for c in range(s["c0"], s["c1"] + 1)}
+    both = cells[5.0] & cells[10.0]
+    middle = (int((20 - 15.5) * 240), int(5.5 * 240))
+    assert middle in cells[5.0] - both and 60 < len(both) < 140  # about the cells on the inner circle
+    area = len(cells[5.0] | cells[10.0]) * (111.19 / 240) ** 2 * math.cos(math.radians(15.5))
+    assert math.pi * 100 < area < math.pi * 100 * 1.12

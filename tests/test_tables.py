@@ -2,6 +2,7 @@ import hashlib
 import json
 import math
 import os
+import re
 
 import numpy as np
 import pytest
@@ -52,9 +53,11 @@ def test_pixel_table_round_trip_prunes_years(spark):
     path = scratch_path(spark, "px")
     px = spark.range(100).select((F.col("id") % 3 + 2010).cast("int").alias("yr"), F.col("id").cast("int").alias("r"), F.lit(0).alias("c"), F.lit(1.0).alias("med"))
     Y.write_pixels(px, path)
-    got = Y.read_pixels(spark, path, [2011])
-    assert got.count() == 33
-    assert "PartitionFilters: [isnotnull" in got._jdf.queryExecution().executedPlan().toString() or "yr" in str(got.inputFiles())
+    got = Y.read_pixels(spark, path, [2011], box=(10, 40, 0, 5))
+    assert sorted(r["r"] for r in got.collect()) == list(range(10, 41, 3))
+    scan = next(line for line in got._jdf.queryExecution().toString().split("\n") if "FileScan" in line)
+    assert re.search(r"PartitionFilters: \[[^]]*yr[^]]*2011", scan)
+    assert "GreaterThanOrEqual(r,10)" in scan and "LessThanOrEqual(r,40)" in scan
 
 
 def test_schema_checks(spark):
