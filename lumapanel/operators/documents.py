@@ -1,12 +1,14 @@
 """Nested JSON documents from entity tables.
 
-Each document is one row of JSON text per entity, feature or board. Collections
-are written with Spark's JSON sink, so no whole collection has to pass through
-one task; a leaderboard comes in pages of the size that the caller wants.
+Each document is one row of JSON text per entity, feature or ranked row. A
+collection or a leaderboard is a list of pieces (header, rows in order, footer)
+for ``sinks.write_document``, so none of it is ever one value; a leaderboard is
+also to be had in pages of the size that the caller wants.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -30,6 +32,36 @@ def feature_rows(zones: DataFrame, props: DataFrame, zone: str, coords: str = "c
     return joined.select(zone, F.to_json(feature).alias("feature"))
 
 
+def feature_collection(features: DataFrame, zone: str) -> list[str | DataFrame]:
+    """The pieces of a GeoJSON feature collection, features in the order of their zones."""
+    return ['{"type":"FeatureCollection","features":[', features.select(F.col(zone).alias("rank"), F.col("feature").alias("value")), "]}"]
+
+
+# What the two rankings go by.
+RANKING_BASIS = {
+    "best_conserving": {"metric": "projected_radiance_10yr", "formula": "latest_radiance * (1 + annual_pct_change/100)^10", "order": "ascending"},
+    "fastest_changing": {"metric": "annual_pct_change", "order": "descending"},
+}
+BOARD_FIELDS = ("slug", "latest_radiance", "annual_pct_change", "annual_pct_change_ci_lower", "annual_pct_change_ci_upper", "alan_class",
+                "percentile_tier", "projected_radiance_10yr")
+
+
+def leaderboard_document(board: DataFrame, entity: str, panel: DataFrame, year: str, cols: Sequence[str] = BOARD_FIELDS) -> list[str | DataFrame]:
+    """The pieces of the leaderboard document: what the ranks go by, the years of the data, the number of entities, both rankings."""
+    years = panel.agg(F.array(F.min(year), F.max(year)).alias("data_years")).withColumn("_k", F.lit(1))
+    size = board.filter(F.col("board") == "best_conserving").agg(F.count(F.lit(1)).alias("total_districts")).withColumn("_k", F.lit(1))
+    facts = years.join(size, "_k").select(
+        F.lit(0).alias("rank"), F.to_json(F.struct(F.current_timestamp().alias("generated_at"), "data_years", "total_districts")).alias("_json")
+    )
+    # The object's closing bracket goes: the rankings follow inside it.
+    facts = facts.select("rank", F.expr("substr(_json, 1, length(_json) - 1)").alias("value"))
+    row = F.to_json(F.struct("rank", F.col(entity).alias("district"), *cols), {"ignoreNullFields": "false"})
+    pieces: list[str | DataFrame] = [facts, f',"ranking_basis":{json.dumps(RANKING_BASIS)}']
+    for name in RANKING_BASIS:
+        pieces += [f',"{name}":[', board.filter(F.col("board") == name).select("rank", row.alias("value")), "]"]
+    return [*pieces, "}"]
+
+
 def leaderboard_pages(board: DataFrame, cols: Sequence[str], page: int) -> DataFrame:
     """JSON texts (board, page, document) holding the rows in rank order, ``page`` rows each.
 

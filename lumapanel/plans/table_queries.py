@@ -214,28 +214,65 @@ def _(t):
     return Q.stale_outputs(before, state, state.select("output", (F.col("m") != 0).alias("present")))
 
 
-@query("n01_feature_collection", PROP_VIEWS + " zones", "SELECT zone, 'Feature' AS kind, 5 AS points, rank_conservation FROM zones JOIN props ON zone = entity WHERE zone % 2 = 0")
+def _joined(t, pieces):
+    """A document written in parts, as one file."""
+    path = scratch_path(t.spark, "document")
+    K.write_document(t.spark, pieces, path)
+    return K.join_document(t.spark, path, f"{path}-whole.json")
+
+
+@query(
+    "n01_feature_collection",
+    PROP_VIEWS + " zones",
+    """SELECT zone, 'Polygon' AS kind, CAST(5 AS INT) AS points, round(x0, 5) AS west, round(x1, 5) AS east, round(y0, 5) AS south, round(y1, 5) AS north, slug, latest_year, latest_radiance, baseline_year,
+      baseline_radiance, pct_change_total, annual_pct_change, alan_class, percentile_tier, rank_annual_growth, rank_latest_radiance, rank_conservation
+    FROM zones JOIN props ON zone = entity WHERE zone % 2 = 0""",
+)
 def _(t):
+    """The features of a written collection as a GeoJSON reader finds them."""
     pt = lambda x, y: F.array(F.col(x), F.col(y))
     ring = F.array(pt("x0", "y0"), pt("x1", "y0"), pt("x1", "y1"), pt("x0", "y1"), pt("x0", "y0"))
     zones = t.zones.select("zone", F.array(ring).alias("coordinates"))
     props = props_of(t).filter("entity % 2 = 0").withColumnRenamed("entity", "zone")
-    out = D.feature_rows(zones, props, "zone")
-    schema = "type string, geometry struct<type:string,coordinates:array<array<array<double>>>>, properties struct<rank_conservation:int>"
-    doc = out.select("zone", F.from_json("feature", schema).alias("f"))
-    return doc.select("zone", F.col("f.type").alias("kind"), F.size(F.col("f.geometry.coordinates")[0]).alias("points"), F.col("f.properties.rank_conservation").alias("rank_conservation"))
+    found = Z.read_features(t.spark, _joined(t, D.feature_collection(D.feature_rows(zones, props, "zone"), "zone")))
+    kinds = {f.name: f.dataType for f in props.schema}
+    names = ["zone", "slug", "latest_year", "latest_radiance", "baseline_year", "baseline_radiance", "pct_change_total", "annual_pct_change", "alan_class",
+             "percentile_tier", "rank_annual_growth", "rank_latest_radiance", "rank_conservation"]
+    ends = F.from_json("text", "array<array<array<double>>>")[0]
+    xs, ys = F.transform(ends, lambda p: p[0]), F.transform(ends, lambda p: p[1])
+    box = {"west": F.array_min(xs), "east": F.array_max(xs), "south": F.array_min(ys), "north": F.array_max(ys)}
+    return found.select(
+        *[F.col("properties")[n].cast(kinds[n]).alias(n) for n in names], "kind", F.size(ends).alias("points"), *[v.alias(k) for k, v in box.items()]
+    )
 
 
 @query(
     "n02_leaderboard_document",
     PROP_VIEWS,
-    """SELECT 'best_conserving' AS board, 0 AS page, count(*) AS total, string_agg(slug, ',' ORDER BY rank_conservation) AS slugs FROM props
-    UNION ALL SELECT 'fastest_changing', 0, count(*), string_agg(slug, ',' ORDER BY annual_pct_change DESC, entity) FROM props""",
+    """WITH p AS (SELECT *, annual_pct_change - 1 AS lo, annual_pct_change + 1 AS hi FROM props),
+    b AS (SELECT 'best_conserving' AS board, 'projected_radiance_10yr' AS metric, 'ascending' AS direction, rank_conservation AS rank, * FROM p
+      UNION ALL SELECT 'fastest_changing', 'annual_pct_change', 'descending', CAST(row_number() OVER (ORDER BY annual_pct_change DESC, entity) AS INT), * FROM p)
+    SELECT board, metric, direction, 1995 AS first_year, 2001 AS last_year, (SELECT count(*) FROM props) AS total_districts, rank, entity AS district, slug, latest_radiance, annual_pct_change,
+      round(lo, 3) AS ci_lower, round(hi, 3) AS ci_upper, alan_class, percentile_tier, projected_radiance_10yr FROM b""",
 )
 def _(t):
-    out = D.leaderboard_pages(N.leaderboard(props_of(t), "entity"), ["entity", "slug", "latest_radiance", "annual_pct_change"], 1_000_000)
-    rows = F.from_json("document", "rows array<struct<rank:int,slug:string>>")["rows"]
-    return out.select("board", "page", F.size(rows).cast("long").alias("total"), F.array_join(rows["slug"], ",").alias("slugs"))
+    """Every row of the written leaderboard with the document's header."""
+    around = {"annual_pct_change_ci_lower": F.round(F.col("annual_pct_change") - 1, 3), "annual_pct_change_ci_upper": F.round(F.col("annual_pct_change") + 1, 3)}
+    pieces = D.leaderboard_document(N.leaderboard(props_of(t).withColumns(around), "entity"), "entity", t.panel, "yr")
+    row = """array<struct<rank:int,district:bigint,slug:string,latest_radiance:double,annual_pct_change:double,annual_pct_change_ci_lower:double,
+      annual_pct_change_ci_upper:double,alan_class:string,percentile_tier:string,projected_radiance_10yr:double>>"""
+    basis = "struct<metric:string,order:string>"
+    schema = f"""data_years array<int>, total_districts bigint, best_conserving {row}, fastest_changing {row},
+      ranking_basis struct<best_conserving:{basis},fastest_changing:{basis}>"""
+    doc = t.spark.read.option("multiLine", True).schema(schema).json(_joined(t, pieces))
+    rows = None
+    for board in D.RANKING_BASIS:
+        part = doc.select(
+            F.lit(board).alias("board"), F.col(f"ranking_basis.{board}.metric").alias("metric"), F.col(f"ranking_basis.{board}.order").alias("direction"),
+            F.col("data_years")[0].alias("first_year"), F.col("data_years")[1].alias("last_year"), "total_districts", F.inline(board),
+        )
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.withColumnsRenamed({"annual_pct_change_ci_lower": "ci_lower", "annual_pct_change_ci_upper": "ci_upper"})
 
 
 @query(

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator, Sequence
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import district_key
+from ..operators.ordering import numbered
+from .files import located, pieces
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -36,3 +41,53 @@ def write_places(df: DataFrame, district: str, path: str) -> None:
         {"lat": F.lit(None).cast("double"), "lon": F.lit(None).cast("double"), "geocode_status": F.lit("pending"), "district_key": district_key(district)}
     )
     out.repartition("district_key").write.mode("overwrite").partitionBy("district_key").option("header", True).csv(path)
+
+
+def write_document(spark: SparkSession, pieces: Sequence[str | DataFrame], path: str, order: str = "rank", text: str = "value") -> None:
+    """Write one text document, such as a JSON collection, as ordered part files.
+
+    A piece is fixed text or a table of (``order``, ``text``): its texts follow in
+    that order with commas between them. All pieces go to one job that cuts them
+    at measured boundaries, so a part holds a stretch of the document, and header,
+    rows and footer are committed together. The part files in the order of their
+    names, one after the other, are the document; ``join_document`` makes one file
+    of them.
+    """
+    lines = None
+    for k, piece in enumerate(pieces):
+        if isinstance(piece, str):
+            rows = spark.range(1).select(F.lit(k).alias("_piece"), F.lit(0).cast("long").alias("_n"), F.lit(piece).alias("value"))
+        else:
+            placed = numbered(piece.select(order, text), [], [order, text], "_n")
+            line = F.concat(F.when(F.col("_n") > 0, ",").otherwise(""), F.col(text))
+            rows = placed.select(F.lit(k).alias("_piece"), F.col("_n").cast("long").alias("_n"), line.alias("value"))
+        lines = rows if lines is None else lines.unionByName(rows)
+    ordered = lines.repartitionByRange("_piece", "_n").sortWithinPartitions("_piece", "_n")
+    ordered.select("value").write.mode("overwrite").text(path)
+
+
+def join_document(spark: SparkSession, path: str, target: str) -> str:
+    """Copy the part files of a document into one file, a little at a time; returns its address.
+
+    One file has one writer; it holds a megabyte at once. The file appears under
+    its name only when it is whole.
+    """
+    from pyspark import TaskContext
+
+    parts = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size")).distinct()
+
+    def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, name = located(target)
+        part = f"{name}.{TaskContext.get().taskAttemptId()}.part"
+        fs.create_dir(name.rsplit("/", 1)[0], recursive=True)
+        with fs.open_output_stream(part) as out:
+            for batch in batches:
+                for source, size in zip(batch["path"].to_pylist(), batch["size"].to_pylist(), strict=True):
+                    theirs, at = located(source)
+                    with theirs.open_input_file(at) as file:
+                        for piece in pieces(file, 0, size):
+                            out.write(piece)
+        fs.move(part, name)
+        yield pa.RecordBatch.from_pydict({"target": [target]})
+
+    return parts.coalesce(1).sortWithinPartitions("path").mapInArrow(copy, "target string").first()[0]

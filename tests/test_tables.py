@@ -15,6 +15,7 @@ from lumapanel.session import saved, scratch_path, shared_dir
 from lumapanel.sources import census as C
 from lumapanel.sources import layers as Y
 from lumapanel.sources import places as Z
+from lumapanel.sources import sinks as K
 from lumapanel.streaming.profiles import stream_monthly_sums
 
 
@@ -200,6 +201,19 @@ def test_one_geojson_file_is_read_in_ranges(spark, tmp_path, range_bytes):
         assert parts.count() >= 4
 
 
+def test_documents_come_in_ordered_parts(spark, tmp_path):
+    rows = spark.range(5000).selectExpr("CAST((id * 7919) % 5000 AS INT) AS rank", "concat('{\"k\":', (id * 7919) % 5000, '}') AS value").repartition(7)
+    path = f"file://{tmp_path}/parts"
+    K.write_document(spark, ['{"a":[', rows, '],"b":[', rows.filter("rank < 1"), '],"none":[', rows.filter("false"), "]}"], path)
+    parts = sorted(p for p in (tmp_path / "parts").iterdir() if p.name.startswith("part-"))
+    doc = json.loads("".join(p.read_text() for p in parts))
+    assert [r["k"] for r in doc["a"]] == list(range(5000)) and doc["b"] == [{"k": 0}] and doc["none"] == []
+    assert (tmp_path / "parts" / "_SUCCESS").exists()
+    whole = K.join_document(spark, path, f"file://{tmp_path}/out/whole.json")
+    assert whole.endswith("whole.json") and json.loads((tmp_path / "out" / "whole.json").read_text()) == doc
+    assert [p.name for p in (tmp_path / "out").iterdir() if "crc" not in p.name] == ["whole.json"]
+
+
 def test_broken_dataset_is_reported(spark):
     good = spark.createDataFrame([("Pune", 10.0, 5.0)], "district string, TOT_P double, P_LIT double")
     loaded, failed = C.load_all({"census_2011": good, "census_2001": good.drop("district")}, spark.createDataFrame([("Pune",)], "district string"))
