@@ -6,8 +6,13 @@ its group is never longer than the number of years.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +26,7 @@ RESAMPLES = 1000
 SEED = 42
 CI_SHARES = (0.025, 0.975)
 BLOCK_YEARS = 3
+SERIES_AT_ONCE = 1000
 VERSION_YEAR = 2014
 LED_YEAR = 2015
 OUTLIER_Z = 2.0
@@ -124,10 +130,27 @@ def site_trends(panel, entity, year, value, mean_value, quality="quality_pct", v
     )
 
 
-def _draw(seed: int, b: Column, i: Column, size: Column) -> Column:
-    """Reproducible pick in [0, size) from a hash of (seed, resample, draw)."""
-    text = F.md5(F.concat_ws(":", F.lit(str(seed)), b.cast("string"), i.cast("string")))
-    return F.conv(F.substring(text, 1, 8), 16, 10).cast("long") % size
+@lru_cache(maxsize=64)
+def _draw_counts(n: int, resamples: int, seed: int, block: int | None) -> np.ndarray:
+    """How often each of ``n`` years is drawn (columns) in each resample (rows).
+
+    A draw is a pick from a hash of (seed, resample, draw), so every worker has
+    the same matrix. With ``block`` whole runs of years are drawn and the last
+    one is cut at ``n`` years; shorter series are taken as they are.
+    """
+    out = np.zeros((resamples, n), np.int32)
+    size = n if block is None else max(n - (block - 1), 1)
+    for b in range(resamples):
+        for k in range(0, n, block or 1):
+            text = f"{seed}:{b + 1}:{k // (block or 1)}"
+            start = int(hashlib.md5(text.encode()).hexdigest()[:8], 16) % size
+            if block is None:
+                out[b, start] += 1
+            elif n >= block:
+                out[b, start : start + min(block, n - k)] += 1
+    if block is not None and n < block:
+        out[:] = 1
+    return out
 
 
 def _series(panel, entity, year, value) -> DataFrame:
@@ -135,81 +158,59 @@ def _series(panel, entity, year, value) -> DataFrame:
     rows = _xy(panel, entity, year, value).filter(F.col("_y").isNotNull())
     got = rows.groupBy(entity).agg(F.array_sort(F.collect_list(F.struct("_x", "_y"))).alias("_s"))
     first = F.element_at("_s", 1)["_x"]
-    # The resampling after this is all computation, so it is spread over every core.
-    got = got.repartition(panel.sparkSession.sparkContext.defaultParallelism, entity)
-    return got.select(
-        entity, F.size("_s").alias("_n"), F.transform("_s", lambda r: r["_x"] - first).alias("_xs"), F.col("_s._y").alias("_ys")
-    )
-
-
-def _bootstrap(series: DataFrame, pick, resamples: int, enough: Column) -> Column:
-    """Sorted annual percents of all resamples with at least two distinct years."""
-    n = F.col("_n")
-
-    def one(b):
-        start = F.struct(*[F.lit(0.0).alias(k) for k in ("sx", "sy", "_sxx", "_sxy")])
-
-        def add(acc, k):
-            at = (pick(b, k) + 1).cast("int")
-            x, y = F.element_at("_xs", at), F.element_at("_ys", at)
-            return F.struct(
-                (acc["sx"] + x).alias("sx"),
-                (acc["sy"] + y).alias("sy"),
-                (acc["_sxx"] + x * x).alias("_sxx"),
-                (acc["_sxy"] + x * y).alias("_sxy"),
-            )
-
-        def slope(acc):
-            den = n * acc["_sxx"] - acc["sx"] * acc["sx"]
-            return pct_of_slope(F.try_divide(n * acc["_sxy"] - acc["sx"] * acc["sy"], den))
-
-        return F.aggregate(F.sequence(F.lit(0), n - 1), start, add, slope)
-
-    if resamples < 1:
-        return F.array().cast("array<double>")
-    drawn = F.transform(F.sequence(F.lit(1), F.lit(resamples)), one)
-    return F.when(enough, F.array_sort(F.filter(drawn, lambda v: v.isNotNull())))
-
-
-def _array_quantile(values: Column, share: float) -> Column:
-    at = (F.size(values) - 1) * F.lit(share)
-    lo, hi = F.floor(at).cast("int"), F.ceil(at).cast("int")
-    a, b = F.get(values, lo), F.get(values, hi)
-    return F.when(F.size(values) > 0, a + (b - a) * (at - lo))
+    return got.select(entity, F.transform("_s", lambda r: r["_x"] - first).alias("_xs"), F.col("_s._y").alias("_ys"))
+
+
+def _intervals(x: np.ndarray, y: np.ndarray, counts: np.ndarray, shares: Sequence[float]) -> tuple[np.ndarray, np.ndarray]:
+    """Quantiles of the annual percent over all resamples, a row per series; and how many resamples had two years or more."""
+    n = x.shape[1]
+    w = counts.T.astype(float)
+    sx, sy, sxx, sxy = x @ w, y @ w, (x * x) @ w, (x * y) @ w
+    den = n * sxx - sx * sx
+    slope = np.divide(n * sxy - sx * sy, den, out=np.full(den.shape, np.nan), where=den != 0)
+    pct = np.sort((np.exp(slope) - 1.0) * 100.0, axis=1)  # NaN last
+    valid = (~np.isnan(pct)).sum(axis=1)
+    out = np.full((len(x), len(shares)), np.nan)
+    some = np.flatnonzero(valid)
+    for j, share in enumerate(shares):
+        at = (valid[some] - 1) * share
+        low, high = np.floor(at).astype(int), np.ceil(at).astype(int)
+        a, b = pct[some, low], pct[some, high]
+        out[some, j] = a + (b - a) * (at - low)
+    return out, valid
+
+
+def _resampled(series: DataFrame, entity: str, names: Sequence[str], resamples: int, seed: int, least: int, block: int | None, shares: Sequence[float]) -> DataFrame:
+    """(entity, low, high, resamples): series of one length share the matrix of draws, so a batch needs one product per length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = pc.list_value_length(batch["_ys"]).to_numpy(zero_copy_only=False)
+            ends, valid = np.full((len(lengths), 2), np.nan), np.zeros(len(lengths), np.int32)
+            for n in np.unique(lengths[lengths >= least]) if resamples > 0 else ():
+                counts, which = _draw_counts(int(n), resamples, seed, block), np.flatnonzero(lengths == n)
+                for low in range(0, len(which), SERIES_AT_ONCE):
+                    some = which[low : low + SERIES_AT_ONCE]
+                    x, y = (batch[c].take(pa.array(some)).flatten().to_numpy(zero_copy_only=False).reshape(-1, n) for c in ("_xs", "_ys"))
+                    ends[some], valid[some] = _intervals(x, y, counts, shares)
+            bounds = [pa.array(ends[:, j], from_pandas=True) for j in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch[entity], *bounds, pa.array(valid)], names=[entity, *names])
+
+    kind = series.schema[entity].dataType.simpleString()
+    return series.mapInArrow(run, f"`{entity}` {kind}, {names[0]} double, {names[1]} double, {names[2]} int")
 
 
 def bootstrap_ci(panel, entity, year, value, resamples=RESAMPLES, seed=SEED, min_years=2, shares=CI_SHARES) -> DataFrame:
     """Interval of the annual percent from independent resamples of the years."""
-    series = _series(panel, entity, year, value)
-    boot = _bootstrap(series, lambda b, k: _draw(seed, b, k, F.col("_n")), resamples, F.col("_n") >= min_years)
-    out = series.select(entity, boot.alias("_boot"))
-    return out.select(
-        entity,
-        _array_quantile(F.col("_boot"), shares[0]).alias("ci_low"),
-        _array_quantile(F.col("_boot"), shares[1]).alias("ci_high"),
-        F.coalesce(F.size("_boot"), F.lit(0)).alias("n_resamples"),
-    )
+    return _resampled(_series(panel, entity, year, value), entity, ("ci_low", "ci_high", "n_resamples"), resamples, seed, min_years, None, shares)
 
 
 def block_bootstrap_ci(
     panel, entity, year, value, block=BLOCK_YEARS, resamples=RESAMPLES, seed=SEED, shares=CI_SHARES
 ) -> DataFrame:
     """The same from runs of consecutive years, which keeps their correlation."""
-    series = _series(panel, entity, year, value)
-    n = F.col("_n")
-    blocks = F.greatest(n - (block - 1), F.lit(1))
-
-    def pick(b, k):
-        start = _draw(seed, b, F.floor(k / block).cast("int"), blocks)
-        return F.when(n < block, k.cast("long")).otherwise(start + k % block)
-
-    out = series.select(entity, _bootstrap(series, pick, resamples, n >= 4).alias("_boot"))
-    return out.select(
-        entity,
-        _array_quantile(F.col("_boot"), shares[0]).alias("ci_low_block"),
-        _array_quantile(F.col("_boot"), shares[1]).alias("ci_high_block"),
-        F.when(F.col("_boot").isNotNull(), F.size("_boot")).otherwise(0).alias("n_valid_resamples"),
-    )
+    names = ("ci_low_block", "ci_high_block", "n_valid_resamples")
+    return _resampled(_series(panel, entity, year, value), entity, names, resamples, seed, 4, block, shares)
 
 
 def version_trend(panel, entity, year, value, boundary: int = VERSION_YEAR) -> DataFrame:
