@@ -501,8 +501,10 @@ def _(t):
 @query(
     "s12_census_sinks",
     "census dcensus",
-    """SELECT 'totals' AS output, count(*) AS n FROM dcensus WHERE yr = 2011 UNION ALL SELECT 'districts', count(*) FROM dcensus WHERE yr = 2011
-    UNION ALL SELECT 'towns', count(*) FROM census WHERE yr = 2011 UNION ALL SELECT 'by_district', (SELECT count(*) FROM census WHERE yr = 2011) + (SELECT count(*) FROM dcensus WHERE yr = 2011)""",
+    """WITH d AS (SELECT district, 'DISTRICT' AS level, district AS entity_name, tot_p FROM dcensus WHERE yr = 2011),
+    w AS (SELECT district, 'TOWN' AS level, town AS entity_name, tot_p FROM census WHERE yr = 2011)
+    SELECT output, district, level, entity_name, CAST(tot_p AS BIGINT) AS tot_p FROM (SELECT 'totals' AS output, district, NULL AS level, NULL AS entity_name, tot_p FROM d
+      UNION ALL SELECT 'districts', * FROM d UNION ALL SELECT 'towns', * FROM w UNION ALL SELECT 'by_district', * FROM d UNION ALL SELECT 'by_district', * FROM w)""",
 )
 def _(t):
     d = _district(t).filter("yr = 2011").select("district", F.lit("DISTRICT").alias("level"), F.lit("Total").alias("tru"), F.col("district").alias("entity_name"), "tot_p")
@@ -511,7 +513,9 @@ def _(t):
     paths = K.census_outputs(rows, 2011, scratch_path(t.spark, "outputs"), ["tot_p"])
     out = None
     for name, path in paths.items():
-        one = t.spark.read.option("header", True).csv(path).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("output"), "n")
+        back = t.spark.read.option("header", True).csv(path)
+        held = [F.col(c) if c in back.columns else F.lit(None).cast("string").alias(c) for c in ("district", "level", "entity_name")]
+        one = back.select(F.lit(name).alias("output"), *held, F.col("tot_p").cast("long").alias("tot_p"))
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -118,8 +118,9 @@ def _(t):
 @query(
     "s11_partitioned_split",
     "observations",
-    """SELECT replace(state, ' ', '_') AS state_key, CASE WHEN event_id % 21 = 20 THEN 'archive' WHEN 1985 + event_id % 20 >= 1991 THEN 'modern' ELSE 'archive' END AS era, count(*) AS n
-    FROM observations WHERE event_id % 8 <> 0 GROUP BY 1, 2""",
+    """SELECT replace(state, ' ', '_') AS state_key, CASE WHEN event_id % 21 = 20 THEN 'archive' WHEN 1985 + event_id % 20 >= 1991 THEN 'modern' ELSE 'archive' END AS era,
+      event_id, CASE WHEN event_id % 21 = 20 THEN 'x' ELSE CAST(1985 + event_id % 20 AS VARCHAR) END AS year, ' ' || upper(state) || '.' AS province
+    FROM observations WHERE event_id % 8 <> 0""",
 )
 def _(t):
     e = F.col("event_id")
@@ -128,9 +129,9 @@ def _(t):
         "event_id", F.when(e % 8 != 0, F.concat(F.lit(" "), F.upper("state"), F.lit("."))).otherwise(" ").alias("stateProvince"),
         F.when(e % 21 == 20, "x").otherwise((1985 + e % 20).cast("string")).alias("year"),
     )
-    R.write_split(rows, "stateProvince", "year", path)
-    back = t.spark.read.option("sep", "\t").option("header", True).csv(path)
-    return back.groupBy("state_key", "era").agg(F.count(F.lit(1)).alias("n"))
+    R.write_split(rows, "stateProvince", "year", path, rows_per_file=1000)
+    back = t.spark.read.option("sep", "\t").option("header", True).option("ignoreLeadingWhiteSpace", False).csv(path)
+    return back.select("state_key", "era", F.col("event_id").cast("long").alias("event_id"), "year", F.col("stateProvince").alias("province"))
 
 
 @query(

@@ -93,7 +93,7 @@ def _(t):
 @query("s12_place_files", "", "SELECT replace(lower(p_type), ' ', '_') AS district_key, p_name AS name, count(*) AS n, count(*) AS pending FROM part GROUP BY 1, 2")
 def _(t):
     path = scratch_path(t.spark, "placefiles")
-    K.write_places(t.part.select(F.col("p_name").alias("name"), F.col("p_type").alias("district")), "district", path)
+    K.write_places(t.part.select(F.col("p_name").alias("name"), F.col("p_type").alias("district")), "district", path, rows_per_file=100)
     back = t.spark.read.option("header", True).csv(path)
     return back.groupBy("district_key", "name").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("geocode_status") == "pending").alias("pending"))
 

@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import number
 from ..functions.names import state_key
+from .sinks import ROWS_PER_FILE, in_sized_files
 
 ERA_YEAR = 1991
 
 
-def read_observations(spark: SparkSession, path: str, keys: DataFrame | None = None) -> DataFrame:
+def read_observations(spark: SparkSession, path: str, keys: DataFrame | None = None, spread: int | None = None) -> DataFrame:
     """Tab-separated observations with coordinates and month; only used columns are parsed.
 
-    A gzip file is read by one task, so the rows are spread before any work.
+    A gzip file is read by one task; ``spread`` deals its parsed rows to so many
+    tasks before any other work.
     """
     raw = spark.read.option("header", True).option("sep", "\t").option("quote", "").csv(path)
     out = raw.select(
@@ -26,6 +28,8 @@ def read_observations(spark: SparkSession, path: str, keys: DataFrame | None = N
         number("year").cast("int").alias("year"),
         number("individualCount").alias("individuals"),
     ).dropna(subset=["lat", "lon", "month"])
+    if spread:
+        out = out.repartition(spread)
     if keys is not None:
         out = out.join(keys.select("species_key").distinct(), "species_key", "left_semi")
     return out
@@ -59,12 +63,12 @@ def split_keys(rows: DataFrame, state: str, year: str) -> DataFrame:
     return ok.withColumn("state_key", state_key(state)).withColumn("era", era_of(F.col(year).cast("string")))
 
 
-def write_split(rows: DataFrame, state: str, year: str, path: str, files_per_key: int = 16) -> None:
-    """One folder per (state, era). A hash of the row spreads a large state over several files."""
-    keyed = split_keys(rows, state, year).withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(files_per_key)))
-    keyed.repartition("state_key", "era", "_salt").drop("_salt").write.mode("overwrite").partitionBy("state_key", "era").option(
-        "sep", "\t"
-    ).option("header", True).option("compression", "gzip").csv(path)
+def write_split(rows: DataFrame, state: str, year: str, path: str, rows_per_file: int = ROWS_PER_FILE) -> None:
+    """One folder per (state, era), with as many files as the measured number of its rows needs."""
+    parts = in_sized_files(split_keys(rows, state, year), ["state_key", "era"], rows_per_file).write.mode("overwrite")
+    parts = parts.partitionBy("state_key", "era").option("maxRecordsPerFile", rows_per_file)
+    parts = parts.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)  # values stay as they are
+    parts.option("sep", "\t").option("header", True).option("compression", "gzip").csv(path)
 
 
 def split_counts(rows: DataFrame, state: str, year: str) -> DataFrame:

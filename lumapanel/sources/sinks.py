@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import district_key
 from ..operators.ordering import numbered
+from ..session import saved
 from .files import located, pieces
 
 
@@ -19,6 +20,26 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     w.option("header", True).csv(path) if fmt == "csv" else w.format(fmt).save(path)
 
 
+ROWS_PER_FILE = 1_000_000
+
+
+def in_sized_files(df: DataFrame, keys: Sequence[str], rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
+    """Rows dealt to tasks so that each key gets files after its measured number of rows.
+
+    A small key is one file, a large one as many as its rows need, by a hash of
+    the row; equal rows stay together, and ``maxRecordsPerFile`` cuts those. Keys
+    may be null.
+    """
+    keys = list(keys)
+    sizes = saved(df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / rows_per_file).cast("int").alias("_files")), "key-sizes")
+    named = sizes.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_files")
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    dealt = df.join(named, same).withColumn("_file", F.pmod(F.xxhash64(*df.columns), F.col("_files")))
+    return dealt.repartition(*keys, "_file").select(*df.columns)
+
+
 def census_outputs(rows: DataFrame, year: int, folder: str, keep: list[str]) -> dict[str, str]:
     """District totals, all district rows, one folder per district, and all towns."""
     paths = {
@@ -30,17 +51,19 @@ def census_outputs(rows: DataFrame, year: int, folder: str, keep: list[str]) ->
     is_district = F.col("level") == "DISTRICT"
     write_table(rows.filter(is_district & (F.col("tru") == "Total")).select("district", *keep), paths["totals"], "csv")
     write_table(rows.filter(is_district), paths["districts"], "csv")
-    rows.repartition("district_code").write.mode("overwrite").partitionBy("district_code").option("header", True).csv(paths["by_district"])
+    by_district = in_sized_files(rows, ["district_code"]).write.mode("overwrite").partitionBy("district_code")
+    by_district.option("header", True).option("maxRecordsPerFile", ROWS_PER_FILE).csv(paths["by_district"])
     write_table(rows.filter(F.col("level") == "TOWN"), paths["towns"], "csv")
     return paths
 
 
-def write_places(df: DataFrame, district: str, path: str) -> None:
-    """One CSV folder per district, with the coordinates still to be found."""
+def write_places(df: DataFrame, district: str, path: str, rows_per_file: int = ROWS_PER_FILE) -> None:
+    """One CSV folder per district, with the coordinates still to be found; large districts have several files."""
     out = df.withColumns(
         {"lat": F.lit(None).cast("double"), "lon": F.lit(None).cast("double"), "geocode_status": F.lit("pending"), "district_key": district_key(district)}
     )
-    out.repartition("district_key").write.mode("overwrite").partitionBy("district_key").option("header", True).csv(path)
+    parts = in_sized_files(out, ["district_key"], rows_per_file).write.mode("overwrite").partitionBy("district_key")
+    parts.option("header", True).option("maxRecordsPerFile", rows_per_file).csv(path)
 
 
 def write_document(spark: SparkSession, pieces: Sequence[str | DataFrame], path: str, order: str = "rank", text: str = "value") -> None:

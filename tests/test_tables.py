@@ -214,6 +214,16 @@ def test_documents_come_in_ordered_parts(spark, tmp_path):
     assert [p.name for p in (tmp_path / "out").iterdir() if "crc" not in p.name] == ["whole.json"]
 
 
+def test_large_keys_get_more_files(spark, tmp_path):
+    rows = spark.range(2000).selectExpr("concat('n', id) AS name", "CASE WHEN id < 1500 THEN 'Big' WHEN id < 1510 THEN 'Small' WHEN id < 1990 THEN 'Copies' END AS district")
+    rows = rows.withColumn("name", F.when(F.col("district") == "Copies", "same").otherwise(F.col("name")))
+    dealt = K.in_sized_files(rows, ["district"], 100)
+    assert dealt.exceptAll(rows).count() == 0 and dealt.count() == 2000
+    K.write_places(rows.filter("district IS NOT NULL"), "district", str(tmp_path / "p"), rows_per_file=100)
+    files = {d.name.split("=")[1]: len(list(d.glob("*.csv"))) for d in (tmp_path / "p").iterdir() if d.is_dir()}
+    assert files["big"] >= 15 and files["small"] == 1 and files["copies"] == 5
+
+
 def test_broken_dataset_is_reported(spark):
     good = spark.createDataFrame([("Pune", 10.0, 5.0)], "district string, TOT_P double, P_LIT double")
     loaded, failed = C.load_all({"census_2011": good, "census_2001": good.drop("district")}, spark.createDataFrame([("Pune",)], "district string"))
