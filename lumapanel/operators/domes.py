@@ -15,6 +15,7 @@ K_MAX = 10.0
 BACKGROUND = 0.5
 MIN_RINGS = 3
 STEPS = 200
+NEGLIGIBLE = 1e-4  # of the innermost ring's share, at the second ring
 
 
 def _fit_for(df: DataFrame, keys: list[str], ks: Column, d: str, v: str) -> DataFrame:
@@ -50,11 +51,18 @@ def light_domes(profile: DataFrame, key: str | Sequence[str], distance: str, val
     For a given decay rate the model is linear, so a grid of rates with a
     second, finer grid around the best replaces an iterative solver. Needs
     three rings with values; otherwise every measure is NULL.
+
+    Where the best decay is so steep that the dome has gone by the second ring,
+    any steeper one fits as well: the rate, and what follows from it, is not
+    determined by the data. ``rate_determined`` is false then and those measures
+    are NULL; the background, the fitted value at the innermost ring and r2 are
+    given for every dome.
     """
     keys = [key] if isinstance(key, str) else list(key)
     rows = profile.filter(F.col(value).isNotNull()).select(*keys, F.col(distance).alias("_d"), F.col(value).alias("_v"))
     base = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.var_pop("_v").alias("_var"), F.max("_d").alias("_far")
+        F.count(F.lit(1)).alias("_n"), F.var_pop("_v").alias("_var"), F.max("_d").alias("_far"),
+        F.slice(F.array_sort(F.collect_set("_d")), 1, 2).alias("_near"),  # a location has few rings
     ).filter(F.col("_n") >= MIN_RINGS)
     ok = rows.join(base.select(*keys), keys)
     # Rates from 1e-4 to the limit in equal ratios, and zero.
@@ -70,14 +78,18 @@ def light_domes(profile: DataFrame, key: str | Sequence[str], distance: str, val
     best = _fit_for(ok.join(first, keys), keys, fine, "_d", "_v")
     fit = best.join(base, keys).select(
         *keys, F.col("_fit._peak").alias("_peak"), F.col("_fit._k").alias("_k"), F.col("_fit._base").alias("_base"),
-        F.when(F.col("_var") > 0, 1.0 - F.col("_fit.sse") / (F.col("_n") * F.col("_var"))).otherwise(0.0).alias("_r2"),
+        "_near", F.when(F.col("_var") > 0, 1.0 - F.col("_fit.sse") / (F.col("_n") * F.col("_var"))).otherwise(0.0).alias("_r2"),
     )
     peak, k, b = F.col("_peak"), F.col("_k"), F.col("_base")
     ends = (peak > threshold) & (k > 0) & (b < threshold)
     radius = F.when(ends, F.greatest(-F.ln((threshold - b) / peak) / k, F.lit(0.0)))
+    known = k * (F.get("_near", F.lit(1)) - F.get("_near", F.lit(0))) < -math.log(NEGLIGIBLE)
+    measures = {
+        "peak_radiance": peak, "dome_radius_km": radius, "decay_rate": k, "half_distance_km": F.when(k > 0, math.log(2.0) / k),
+        "effective_area_km2": math.pi * radius * radius,
+    }
     out = fit.select(
-        *keys, peak.alias("peak_radiance"), radius.alias("dome_radius_km"), k.alias("decay_rate"),
-        F.when(k > 0, math.log(2.0) / k).alias("half_distance_km"), F.col("_r2").alias("model_r_squared"),
-        (math.pi * radius * radius).alias("effective_area_km2"),
+        *keys, *[F.when(known, v).alias(n) for n, v in measures.items()], F.col("_r2").alias("model_r_squared"), b.alias("background_radiance"),
+        (b + peak * F.exp(-k * F.get("_near", F.lit(0)))).alias("inner_radiance"), known.alias("rate_determined"),
     )
     return profile.select(*keys).distinct().join(out, keys, "left")

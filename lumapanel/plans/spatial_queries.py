@@ -9,7 +9,7 @@ from ..functions.scalars import suitability
 from ..operators import pixels as P
 from ..operators import spatial as X
 from ..functions.columns import literal_rows
-from ..operators.domes import BACKGROUND, K_MAX, MIN_RINGS, STEPS, light_domes
+from ..operators.domes import BACKGROUND, K_MAX, MIN_RINGS, NEGLIGIBLE, STEPS, light_domes
 from ..operators.polygons import Grid, join_cells
 from .pixel_queries import R6
 from .registry import BOX, GRID, add_view, query, years_of
@@ -305,8 +305,6 @@ def _dome_options(name: str, rows: str) -> str:
        FROM {name}_o QUALIFY row_number() OVER (PARTITION BY city_id, yr ORDER BY sse, k, peak, base) = 1)"""
 
 
-# With a steeper decay only the innermost ring counts and the rate is not determined: only r2 is compared.
-STEEP = 0.5
 RATIO = f"(ln(CAST({K_MAX} AS DOUBLE) / CAST(1e-4 AS DOUBLE)) / {STEPS - 1})"
 
 
@@ -315,7 +313,7 @@ RATIO = f"(ln(CAST({K_MAX} AS DOUBLE) / CAST(1e-4 AS DOUBLE)) / {STEPS - 1})"
     "near_city cities",
     f"""WITH every AS (SELECT city_id, yr FROM cities, (SELECT DISTINCT yr FROM pixels)),
      ring AS (SELECT city_id, yr, CAST({RING_SQL} AS DOUBLE) AS d, median(med) AS v FROM near_city WHERE km <= 120 GROUP BY 1, 2, 3),
-     stat AS (SELECT city_id, yr, count(v) AS n, var_pop(v) AS var FROM ring GROUP BY 1, 2 HAVING count(v) >= {MIN_RINGS}),
+     stat AS (SELECT city_id, yr, count(v) AS n, var_pop(v) AS var, list_sort(list(DISTINCT d) FILTER (WHERE v IS NOT NULL)) AS ds FROM ring GROUP BY 1, 2 HAVING count(v) >= {MIN_RINGS}),
      coarse AS (SELECT r.*, unnest(list_prepend(CAST(0 AS DOUBLE), list_transform(range(0, {STEPS}), lambda i: CAST(1e-4 AS DOUBLE) * exp(i * {RATIO})))) AS k
        FROM ring r JOIN stat USING (city_id, yr)),
      {_dome_options("first", "coarse")},
@@ -323,13 +321,15 @@ RATIO = f"(ln(CAST({K_MAX} AS DOUBLE) / CAST(1e-4 AS DOUBLE)) / {STEPS - 1})"
      fine AS (SELECT r.*, unnest(list_transform(range(0, {STEPS} + 1), lambda i: lo + (hi - lo) * i / {STEPS})) AS k FROM ring r JOIN bound USING (city_id, yr)),
      {_dome_options("best", "fine")},
      dome AS (SELECT b.*, CASE WHEN peak > {BACKGROUND} AND k > 0 AND base < {BACKGROUND} THEN greatest(-ln(({BACKGROUND} - base) / peak) / k, 0) END AS radius,
-       CASE WHEN var > 0 THEN 1 - sse / (n * var) ELSE 0 END AS r2 FROM best b JOIN stat USING (city_id, yr))
-    SELECT e.city_id, e.yr, round(peak, 3) AS peak_radiance, round(radius, 3) AS dome_radius_km, round(k, 4) AS decay_rate,
-      CASE WHEN k > 0 THEN round(ln(2) / k, 3) END AS half_distance_km, round(r2, 4) AS model_r_squared, round(pi() * radius * radius, 2) AS effective_area_km2
-      FROM every e LEFT JOIN (SELECT city_id, yr, r2, CASE WHEN k < {STEEP} THEN k END AS k, CASE WHEN k < {STEEP} THEN peak END AS peak, CASE WHEN k < {STEEP} THEN radius END AS radius FROM dome) USING (city_id, yr)""",
+       CASE WHEN var > 0 THEN 1 - sse / (n * var) ELSE 0 END AS r2, base + peak * exp(-k * ds[1]) AS inner_v, k * (ds[2] - ds[1]) < -ln({NEGLIGIBLE}) AS known
+       FROM best b JOIN stat USING (city_id, yr))
+    SELECT e.city_id, e.yr, CASE WHEN known THEN round(peak, 3) END AS peak_radiance, CASE WHEN known THEN round(radius, 3) END AS dome_radius_km,
+      CASE WHEN known THEN round(k, 4) END AS decay_rate, CASE WHEN known AND k > 0 THEN round(ln(2) / k, 3) END AS half_distance_km, round(r2, 4) AS model_r_squared,
+      CASE WHEN known THEN round(pi() * radius * radius, 2) END AS effective_area_km2, round(base, 2) AS background_radiance, round(inner_v, 2) AS inner_radiance, known AS rate_determined
+      FROM every e LEFT JOIN dome USING (city_id, yr)""",
 )
 def _(t):
     out = light_domes(_profile(t), ["city_id", "yr"], "ring_km", "median_value")
-    digits = {"decay_rate": 4, "model_r_squared": 4, "effective_area_km2": 2}
-    kept = lambda c: F.col(c) if c == "model_r_squared" else F.when(F.col("decay_rate") < STEEP, F.col(c))
-    return out.select("city_id", "yr", *[F.round(kept(c), digits.get(c, 3)).alias(c) for c in out.columns if c not in ("city_id", "yr")])
+    digits = {"decay_rate": 4, "model_r_squared": 4, "effective_area_km2": 2, "background_radiance": 2, "inner_radiance": 2}
+    plain = ("city_id", "yr", "rate_determined")
+    return out.select(*plain, *[F.round(c, digits.get(c, 3)).alias(c) for c in out.columns if c not in plain])
