@@ -53,7 +53,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = docs.withColumn(row, F.monotonically_increasing_id())
     sized = rows.select("source", mixing.word_count(F.col("text")).alias("size"), "doc_id", F.col(row).alias("row"))
     taken = mixing.mix_sources(sized).filter("copies > 0").select(F.col("row").alias(row), F.col("copies").alias(times))
-    repeated = rows.join(saved(taken, "taken"), row).withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times))))
+    # The same join at every size: the copies are as many as the documents.
+    repeated = rows.join(saved(taken, "taken").hint("merge"), row).withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times))))
     return repeated.select(*docs.columns)
 
 
@@ -64,7 +65,7 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keys = rows.select("doc_id", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32"), F.col(row).alias("row"))
     placed = sharding.shard_rows(keys, "doc_id", ["text_crc32", "row"], SHARDS)
     found = [F.col(c).alias(_free(docs, c)) for c in ("shard", "slot", "grown_shard")]
-    return rows.join(placed.select(F.col("row").alias(row), *found), row).drop(row)
+    return rows.join(placed.select(F.col("row").alias(row), *found).hint("merge"), row).drop(row)
 
 
 STAGES = [
