@@ -145,10 +145,14 @@ def _strip_marks(s: pd.Series) -> pd.Series:
 def normal_name(x: str | Column) -> Column:
     """Name without diacritics, lower case, single spaces; NULL gives ''.
 
-    Pure ASCII names never reach the Arrow function's slow branch, so apply
-    this to distinct names, not to fact rows.
+    Only names with other letters than ASCII ones go through the Arrow function
+    (it gets NULL for the others), so apply this to distinct names, not to fact
+    rows.
     """
-    return strip_chars(F.regexp_replace(F.lower(_strip_marks(as_col(x))), r"\s+", " "), " ")
+    name = as_col(x)
+    other = name.rlike(r"[^\x00-\x7F]")
+    plain = F.when(other, _strip_marks(F.when(other, name))).otherwise(F.coalesce(name, F.lit("")))
+    return strip_chars(F.regexp_replace(F.lower(plain), r"\s+", " "), " ")
 
 
 def town_key(x: str | Column) -> Column:

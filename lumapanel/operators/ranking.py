@@ -223,3 +223,12 @@ def top_k(df: DataFrame, k: int, order: Sequence[Column], keys: Sequence[str] =
         return df.orderBy(*order).limit(k)
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).drop("_rn")
+
+
+def first_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """One whole row per key, the first in ``order``; rows equal in it are told apart by their other columns.
+
+    Columns that can't be ordered, such as maps, may be there but tell no rows apart.
+    """
+    ties = [f.name for f in df.schema if f.name not in keys and f.dataType.typeName() not in ("map", "variant")]
+    return top_k(df, 1, [*order, *[F.col(c) for c in ties]], keys)

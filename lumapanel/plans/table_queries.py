@@ -8,6 +8,7 @@ from ..functions import scalars as S
 from ..operators import checks as Q
 from ..operators import documents as D
 from ..operators import panel as N
+from ..operators.ranking import first_by_key
 from ..session import scratch_path
 from ..sources import layers as Y
 from ..sources import places as Z
@@ -137,6 +138,18 @@ def _(t):
     return a.unionByName(b, allowMissingColumns=True)
 
 
+@query(
+    "u02_first_by_key",
+    "",
+    """SELECT o_custkey, o_orderstatus, o_orderkey, o_totalprice, o_orderpriority FROM orders
+    QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderdate DESC, o_totalprice, o_orderkey, o_orderpriority) = 1""",
+)
+def _(t):
+    """Per customer and status the latest order, with its other columns."""
+    o = t.orders.select("o_custkey", "o_orderstatus", "o_orderkey", "o_totalprice", "o_orderpriority", "o_orderdate")
+    return first_by_key(o, ["o_custkey", "o_orderstatus"], [F.desc("o_orderdate"), F.col("o_totalprice")]).drop("o_orderdate")
+
+
 @query("u02_distinct_by_key", "", "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem")
 def _(t):
     return t.lineitem.select("l_returnflag", "l_linestatus").dropDuplicates(["l_returnflag", "l_linestatus"])
