@@ -24,18 +24,20 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import saved
-from .store import per_chunk, per_file, read_chunk, save_texts
-from .words import mix, slices, words_of
+from .store import attempt_name, located, new_folder, open_output, per_chunk, per_file
+from .words import SLICE_BYTES, mix, slices, words_of
 
 END = np.uint64(0x1D8AF066E4A9B3C7)  # stands for the end among the words' hashes
 START = np.uint64(0x7C15F39CC0605CED)  # and for the start of a text in pairs and triples
 DISCOUNT, PARTS = 0.75, 4  # discounted counts are whole numbers of a PARTS-th
 MIN_COUNT = 2
 FILE_BYTES = 14 << 20  # of text that a task holds as tokens, pairs and triples
+WORDS = ".words"  # beside a token file: the hashes of its words
 SLOT_TOKENS, LEAST_SLOTS = 1 << 22, 64
 PAIR, TRIPLE, WORD_MASS, PAIR_MASS, WORD = range(5)
 
@@ -47,37 +49,62 @@ def held_out(doc_id: Column, folds: int = 7, fold: int = 2) -> Column:
     return F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "UTF-8")) % folds == fold
 
 
-def _tokens(path: str, columns: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Rows of a file, their tokens (each text's end included) and the offsets."""
-    for batch in read_chunk(path, [*columns, "text"]):
-        for low, high in slices(batch["text"]):
-            part = batch.slice(low, high - low)
-            w = words_of(part["text"], lower=True)
-            n = np.diff(w.offsets)
-            out = np.full(len(w.hashes) + len(n), END, np.uint64)
-            out[np.arange(len(w.hashes)) + np.repeat(np.arange(len(n)), n)] = w.hashes
-            yield part, out, w.offsets + np.arange(len(n) + 1)
+def with_ends(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of some texts as hashes, each text's end included, and their offsets."""
+    w = words_of(texts, lower=True)
+    n = np.diff(w.offsets)
+    out = np.full(len(w.hashes) + len(n), END, np.uint64)
+    out[np.arange(len(w.hashes)) + np.repeat(np.arange(len(n)), n)] = w.hashes
+    return out, w.offsets + np.arange(len(n) + 1)
 
 
-def _training(part: pa.RecordBatch, tokens: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens and offsets of the training rows only."""
-    used = ~part["held"].to_numpy(zero_copy_only=False)
-    n = np.diff(offsets)
-    return tokens[np.repeat(used, n)], np.concatenate([[0], np.cumsum(n[used])])
+def save_tokens(rows: DataFrame, size: int = FILE_BYTES) -> DataFrame:
+    """Write (doc_id, text, held) as token files of about ``size`` bytes of text each; returns (chunk, path), saved.
+
+    A file holds a row's tokens as numbers of its own sorted words, whose hashes
+    lie beside it, so texts are split into words once, whatever the number of
+    passes. Tasks write their rows as they come; nothing is shuffled.
+    """
+    folder = new_folder(rows.sparkSession, "tokens")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, parts = 0, 0, []
+
+        def close() -> pa.RecordBatch:
+            path = attempt_name(folder, f"-{number}.parquet")
+            words, word = np.unique(np.concatenate([t for _, t, _ in parts]), return_inverse=True)
+            offsets = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(o) for _, _, o in parts]))])
+            table = pa.Table.from_batches([part for part, _, _ in parts]).append_column(
+                "word", pa.LargeListArray.from_arrays(offsets, pa.array(word.astype(np.uint32)))
+            )
+            with open_output(path) as out:
+                pq.write_table(table, out, compression="zstd", row_group_size=8192)
+            with open_output(path + WORDS) as out:
+                out.write(words.tobytes())
+            return pa.RecordBatch.from_pydict({"path": [path]})
+
+        for batch in batches:
+            for low, high in slices(batch["text"], min(size, SLICE_BYTES)):
+                part = batch.slice(low, high - low)
+                parts.append((part.select(["doc_id", "held"]), *with_ends(part["text"])))
+                held += part["text"].nbytes
+                if held >= size:
+                    yield close()
+                    number, held, parts = number + 1, 0, []
+        if parts:
+            yield close()
+
+    written = saved(rows.select("doc_id", "held", "text").mapInArrow(write, "path string"), "token-files")
+    return written.select(F.xxhash64("path").alias("chunk"), "path")
 
 
 def word_counts(files: DataFrame) -> DataFrame:
     """(chunk, key, c, first): for each word of a file its count over all training texts; ``first`` in one file."""
 
     def count(chunk: int, path: str) -> Iterator[pa.RecordBatch]:
-        every, trained = [], []
-        for part, tokens, offsets in _tokens(path, ["held"]):
-            every.append(np.unique(tokens))
-            trained.append(_training(part, tokens, offsets)[0])
-        keys = np.unique(np.concatenate(every))
-        n = np.zeros(len(keys), np.int64)
-        found, times = np.unique(np.concatenate(trained), return_counts=True)
-        n[np.searchsorted(keys, found)] = times
+        tokens = read_tokens(path)
+        keys = tokens.words
+        n = np.bincount(tokens.word[np.repeat(tokens.used, np.diff(tokens.offsets))], minlength=len(keys))
         for low in range(0, len(keys), 1 << 16):
             cut = slice(low, low + (1 << 16))
             yield pa.RecordBatch.from_pydict({"chunk": np.full(len(keys[cut]), chunk), "key": keys[cut].view(np.int64), "n": n[cut]})
@@ -87,6 +114,29 @@ def word_counts(files: DataFrame) -> DataFrame:
     return rows.select("chunk", "key", F.sum("n").over(same).alias("c"), (F.min("chunk").over(same) == F.col("chunk")).alias("first"))
 
 
+@dataclass
+class Tokens:
+    """The tokens of some texts: ``word`` numbers the sorted hashes ``words``; text ``d`` goes from ``offsets[d]``."""
+
+    words: np.ndarray
+    word: np.ndarray
+    offsets: np.ndarray
+    used: np.ndarray  # which texts are learnt from
+    rows: pa.Table  # their other columns
+
+
+def read_tokens(uri: str) -> Tokens:
+    fs, path = located(uri)
+    with fs.open_input_file(path + WORDS) as file:
+        words = np.frombuffer(file.read(), np.uint64)
+    with fs.open_input_file(path) as file:
+        table = pq.ParquetFile(file).read()
+    word = np.concatenate([c.flatten().to_numpy() for c in table["word"].chunks]).astype(np.int64)
+    lengths = np.concatenate([c.value_lengths().to_numpy() for c in table["word"].chunks])
+    used = ~table["held"].combine_chunks().to_numpy(zero_copy_only=False)
+    return Tokens(words, word, np.concatenate([[0], np.cumsum(lengths)]), used, table.select(["doc_id", "held"]))
+
+
 @dataclass
 class Automaton:
     """Histories, arcs and failure arcs.
@@ -154,11 +204,12 @@ class Texts:
     Pairs are arc keys as in ``Automaton``, sorted: state * len(words) + word.
     """
 
-    def __init__(self, tokens: np.ndarray, offsets: np.ndarray, used: np.ndarray):
-        self.offsets, self.used = offsets, np.repeat(used, np.diff(offsets))
-        self.words, self.word = np.unique(tokens, return_inverse=True)
+    def __init__(self, tokens: Tokens):
+        offsets = tokens.offsets
+        self.offsets, self.used = offsets, np.repeat(tokens.used, np.diff(offsets))
+        self.words, self.word = tokens.words, tokens.word
         n = len(self.words)
-        self.begin = np.zeros(len(tokens), bool)
+        self.begin = np.zeros(len(self.word), bool)
         self.begin[offsets[:-1]] = True
         state = np.concatenate([[0], self.word[:-1] + 1])
         state[self.begin] = n + 1
@@ -234,31 +285,6 @@ def assemble(texts: Texts, word_c: np.ndarray, tokens: tuple[int, int, int], wor
     )
 
 
-def _read(path: str) -> tuple[Texts, list[pa.RecordBatch]]:
-    """The texts of a file, and its other columns."""
-    parts = list(_tokens(path, ["doc_id", "held"]))
-    lengths = np.concatenate([np.diff(offsets) for _, _, offsets in parts])
-    used = np.concatenate([~part["held"].to_numpy(zero_copy_only=False) for part, _, _ in parts])
-    texts = Texts(np.concatenate([tokens for _, tokens, _ in parts]), np.concatenate([[0], np.cumsum(lengths)]), used)
-    return texts, [part.select(["doc_id", "held"]) for part, _, _ in parts]
-
-
-def build(files: DataFrame, counts: DataFrame, total: int, distinct: int, pair_least: float = MIN_COUNT, triple_least: float = MIN_COUNT) -> Automaton:
-    """The automaton of all texts at once, on the driver: for small corpora, and to compare with."""
-    paths = [r["path"] for r in files.select("path").toLocalIterator()]
-    parts = [p for path in paths for p in _tokens(path, ["held"])]
-    lengths = np.concatenate([np.diff(offsets) for _, _, offsets in parts])
-    used = np.concatenate([~part["held"].to_numpy(zero_copy_only=False) for part, _, _ in parts])
-    texts = Texts(np.concatenate([tokens for _, tokens, _ in parts]), np.concatenate([[0], np.cumsum(lengths)]), used)
-    known = {r["key"]: r["c"] for r in counts.filter("first").toLocalIterator()}
-    word_c = np.array([known[int(k)] for k in texts.words.view(np.int64)], np.int64)
-    texts.keep(texts.pair_n, pair_least)
-    triple_c = texts.triple_n
-    word_mass = texts.word_mass(np.arange(len(texts.pairs)))
-    pair_mass = texts.pair_mass(triple_c, np.flatnonzero((triple_c >= triple_least) & (triple_c > 0)))
-    return assemble(texts, word_c, (total, distinct, int(used.sum())), word_mass, pair_mass, triple_c, triple_least)
-
-
 def _packed(values: np.ndarray) -> bytes:
     return values.astype(np.min_scalar_type(int(values.max()))).tobytes() if len(values) else b""
 
@@ -387,21 +413,22 @@ def score_documents(docs: DataFrame, is_held_out: Column | None = None) -> DataF
     """
     held = held_out(F.col("doc_id")) if is_held_out is None else is_held_out
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held.alias("held"))
-    files = save_texts(rows, "texts", FILE_BYTES)
+    files = save_tokens(rows)
     counts = saved(word_counts(files), "words")
     facts = counts.filter("first").agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     total, distinct = int(facts["n"] or 0), int(facts["v"])
     ends = int(counts.filter(F.col("first") & (F.col("key") == int(END.view(np.int64)))).agg(F.sum("c")).first()[0] or 0)
     slots = max(LEAST_SLOTS, total // SLOT_TOKENS)
 
-    def with_pairs(path: str, got: dict[int, list[bytes]]) -> tuple[Texts, list[pa.RecordBatch], np.ndarray]:
-        texts, parts = _read(path)
+    def with_pairs(path: str, got: dict[int, list[bytes]]) -> tuple[Texts, pa.Table, np.ndarray]:
+        tokens = read_tokens(path)
+        texts = Texts(tokens)
         sums, own = _replies(texts.pair_keys(), got[PAIR], slots)
         texts.keep(sums, MIN_COUNT)
-        return texts, parts, own[texts.kept]
+        return texts, tokens.rows, own[texts.kept]
 
     def ask_pairs(chunk: int, path: str) -> Iterator[pa.RecordBatch]:
-        texts, _ = _read(path)
+        texts = Texts(read_tokens(path))
         yield from _ask(chunk, PAIR, texts.pair_keys(), texts.pair_n, slots)
 
     def ask_triples(chunk: int, path: str, got: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
@@ -415,7 +442,7 @@ def score_documents(docs: DataFrame, is_held_out: Column | None = None) -> DataF
         yield from _ask(chunk, PAIR_MASS, texts.kept_keys, texts.pair_mass(sums, np.flatnonzero(own & (sums >= MIN_COUNT))), slots)
 
     def score(chunk: int, path: str, got: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
-        texts, parts, _ = with_pairs(path, got)
+        texts, rows, _ = with_pairs(path, got)
         pairs = np.frombuffer(b"".join(got[WORD]), np.int64).reshape(-1, 2)
         word_c = pairs[np.argsort(pairs[:, 0].copy().view(np.uint64)), 1]  # a file's words are all counted
         triple_c, _ = _replies(texts.triple_keys, got.get(TRIPLE, []), slots)
@@ -425,8 +452,8 @@ def score_documents(docs: DataFrame, is_held_out: Column | None = None) -> DataF
         base, offsets = model.word_p[texts.word], texts.offsets
         yield pa.RecordBatch.from_pydict(
             {
-                "doc_id": pa.concat_arrays([p["doc_id"] for p in parts]),
-                "held_out": pa.concat_arrays([p["held"] for p in parts]),
+                "doc_id": rows["doc_id"].combine_chunks(),
+                "held_out": rows["held"].combine_chunks(),
                 "n_tokens": np.diff(offsets),
                 "n_known": np.add.reduceat((word_c[texts.word] > 0).astype(np.int64), offsets[:-1]),
                 "train_tokens": np.full(len(offsets) - 1, total),

@@ -14,7 +14,6 @@ from lumapanel.llm import (
     decontamination,
     mixing,
     sharding,
-    store,
     substrings,
     token_files,
     toxicity,
@@ -253,14 +252,49 @@ def test_repair_round_trip(tmp_path):
             assert held.ids(k, k + 1).tolist() == ids[ends[k] - lengths[k] : ends[k]].tolist()
 
 
+def whole_automaton(files, counts, total, distinct, pair_least, triple_least):
+    """The automaton of all texts at once."""
+    parts = [backoff_lm.read_tokens(r["path"]) for r in files.select("path").collect()]
+    words = np.unique(np.concatenate([p.words for p in parts]))
+    word = np.concatenate([np.searchsorted(words, p.words)[p.word] for p in parts])
+    offsets = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p.offsets) for p in parts]))])
+    used = np.concatenate([p.used for p in parts])
+    texts = backoff_lm.Texts(backoff_lm.Tokens(words, word, offsets, used, None))
+    known = {r["key"]: r["c"] for r in counts.filter("first").collect()}
+    word_c = np.array([known[int(k)] for k in words.view(np.int64)], np.int64)
+    texts.keep(texts.pair_n, pair_least)
+    triple_c = texts.triple_n
+    word_mass = texts.word_mass(np.arange(len(texts.pairs)))
+    pair_mass = texts.pair_mass(triple_c, np.flatnonzero((triple_c >= triple_least) & (triple_c > 0)))
+    return backoff_lm.assemble(texts, word_c, (total, distinct, int(used.sum())), word_mass, pair_mass, triple_c, triple_least)
+
+
+def test_token_files_hold_each_text(spark, odd_docs):
+    texts = {k: " ".join(f"W{(k * j) % 37}" for j in range(k % 50)) for k in range(300)} | {300: None}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("held", F.col("doc_id") % 3 == 0)
+    files = backoff_lm.save_tokens(docs, 1 << 10).collect()
+    assert len(files) > 8
+    seen = {}
+    for f in files:
+        t = backoff_lm.read_tokens(f["path"])
+        assert (np.diff(t.words.astype(object)) > 0).all()
+        for k, (doc_id, held) in enumerate(zip(t.rows["doc_id"].to_pylist(), t.rows["held"].to_pylist(), strict=True)):
+            assert held == (doc_id % 3 == 0) and t.used[k] == (not held)
+            seen[doc_id] = t.words[t.word[t.offsets[k] : t.offsets[k + 1]]]
+    assert seen.keys() == texts.keys()
+    for k, text in texts.items():
+        own = words_of(pa.array([(text or "").lower()])).hashes
+        assert seen[k].tolist() == [*own.tolist(), int(backoff_lm.END)]
+
+
 def test_automaton_states_sum_to_one(spark, odd_docs, no_docs):
     rng = np.random.default_rng(10)
     texts = [" ".join(rng.choice(list("abcdef"), rng.integers(0, 30), p=[0.4, 0.2, 0.1, 0.1, 0.1, 0.1])) for _ in range(200)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("held", F.lit(False))
-    files = store.save_texts(docs, "texts", 1 << 14)
+    files = backoff_lm.save_tokens(docs, 1 << 14)
     counts = backoff_lm.saved(backoff_lm.word_counts(files), "words")
     total = sum(len(t.split()) + 1 for t in texts)
-    model = backoff_lm.build(files, counts, total, 7, 1e-5, 1e-5)
+    model = whole_automaton(files, counts, total, 7, 1e-5, 1e-5)
     assert len(model.words) == 7 and len(model.back) > 9
     unknown = 1 / (total + 8)
     ends = 1 + int(np.flatnonzero(model.words == backoff_lm.END)[0])
