@@ -36,6 +36,7 @@ END = np.uint64(0x1D8AF066E4A9B3C7)  # stands for the end among the words' hashe
 START = np.uint64(0x7C15F39CC0605CED)  # and for the start of a text in pairs and triples
 DISCOUNT, PARTS = 0.75, 4  # discounted counts are whole numbers of a PARTS-th
 MIN_COUNT = 2
+STRETCH, ORDER = 2048, 3  # tokens of a long text walked in one go; words of the longest arcs
 FILE_BYTES = 14 << 20  # of text that a task holds as tokens, pairs and triples
 WORDS = ".words"  # beside a token file: the hashes of its words
 SLOT_TOKENS, LEAST_SLOTS = 1 << 22, 64
@@ -179,19 +180,32 @@ class Automaton:
         return total, after
 
     def scores(self, word: np.ndarray, base: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Log10 probability of each text: all texts walk from left to right together, carrying their states."""
+        """Log10 probability of each text: all texts walk from left to right together, carrying their states.
+
+        A long text walks in stretches of ``STRETCH`` tokens. The state after
+        ``ORDER - 1`` tokens is the same from any state before them, so a stretch
+        first takes that many steps from the empty history, unscored.
+        """
         length = np.diff(offsets)
-        order = np.argsort(-length, kind="stable")
-        first, sorted_length = offsets[:-1][order], -length[order]
-        state, total = np.full(len(order), self.start), np.zeros(len(order))
-        for t in range(int(length.max()) if len(length) else 0):
-            n = int(np.searchsorted(sorted_length, -t, side="left"))
+        pieces = np.maximum(1, -(-length // STRETCH))
+        text = np.repeat(np.arange(len(length)), pieces)
+        number = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        begin = offsets[:-1][text] + number * STRETCH
+        size = np.minimum(STRETCH, offsets[1:][text] - begin)
+        state, later = np.full(len(text), self.start), np.flatnonzero(number)
+        state[later] = 0
+        for back in range(ORDER - 1, 0, -1):
+            at = begin[later] - back
+            state[later] = self.step(state[later], word[at], base[at])[1]
+        order = np.argsort(-size, kind="stable")
+        first, falling, state = begin[order], -size[order], state[order]
+        total = np.zeros(len(order))
+        for t in range(int(size.max(initial=0))):
+            n = int(np.searchsorted(falling, -t, side="left"))
             at = first[:n] + t
             p, state[:n] = self.step(state[:n], word[at], base[at])
             total[:n] += p
-        out = np.empty(len(order))
-        out[order] = total
-        return out
+        return np.bincount(text[order], total, len(length))
 
 
 def _joined(history: np.ndarray, word: np.ndarray) -> np.ndarray:

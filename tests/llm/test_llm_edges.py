@@ -304,6 +304,16 @@ def test_automaton_states_sum_to_one(spark, odd_docs, no_docs):
         p, _ = model.step(np.full(7, state), np.arange(7), model.word_p)
         rest, _ = model.step(np.array([state]), np.array([-1]), np.array([np.log10(unknown)]))
         assert np.isclose((10**p).sum() + 10 ** rest[0], 1.0, atol=1e-9)
+    # A text longer than two stretches scores as if it were walked token by token.
+    words = rng.integers(-1, 7, 4 * backoff_lm.STRETCH + 5)
+    offsets = np.array([0, 3, 3 + backoff_lm.STRETCH, len(words)])
+    base = np.where(words < 0, np.log10(unknown), model.word_p[words])
+    for k, score in enumerate(model.scores(words, base, offsets)):
+        state, want = np.array([model.start]), 0.0
+        for at in range(offsets[k], offsets[k + 1]):
+            p, state = model.step(state, words[[at]], base[[at]])
+            want += p[0]
+        assert np.isclose(score, want, rtol=1e-12)
     assert backoff_lm.score_documents(odd_docs).count() == 10
     assert backoff_lm.score_documents(no_docs).count() == 0
 
