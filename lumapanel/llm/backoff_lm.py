@@ -37,7 +37,7 @@ START = np.uint64(0x7C15F39CC0605CED)  # and for the start of a text in pairs an
 DISCOUNT, PARTS = 0.75, 4  # discounted counts are whole numbers of a PARTS-th
 MIN_COUNT = 2
 STRETCH, ORDER = 2048, 3  # tokens of a long text walked in one go; words of the longest arcs
-FILE_BYTES = 14 << 20  # of text that a task holds as tokens, pairs and triples
+FILE_BYTES = 8 << 20  # of text that a task holds as tokens, pairs and triples
 WORDS = ".words"  # beside a token file: the hashes of its words
 SLOT_TOKENS, LEAST_SLOTS = 1 << 22, 64
 PAIR, TRIPLE, WORD_MASS, PAIR_MASS, WORD = range(5)
@@ -59,6 +59,12 @@ def with_ends(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, w.offsets + np.arange(len(n) + 1)
 
 
+def _write(path: str, table: pa.Table, numbers: str) -> None:
+    """A table whose column ``numbers`` is packed byte by byte."""
+    with open_output(path) as out:
+        pq.write_table(table, out, compression="zstd", use_dictionary=False, column_encoding={numbers: "BYTE_STREAM_SPLIT"})
+
+
 def save_tokens(rows: DataFrame, size: int = FILE_BYTES) -> DataFrame:
     """Write (doc_id, text, held) as token files of about ``size`` bytes of text each; returns (chunk, path), saved.
 
@@ -78,10 +84,8 @@ def save_tokens(rows: DataFrame, size: int = FILE_BYTES) -> DataFrame:
             table = pa.Table.from_batches([part for part, _, _ in parts]).append_column(
                 "word", pa.LargeListArray.from_arrays(offsets, pa.array(word.astype(np.uint32)))
             )
-            with open_output(path) as out:
-                pq.write_table(table, out, compression="zstd", row_group_size=8192)
-            with open_output(path + WORDS) as out:
-                out.write(words.tobytes())
+            _write(path, table, "word.list.element")
+            _write(path + WORDS, pa.table({"word": words}), "word")
             return pa.RecordBatch.from_pydict({"path": [path]})
 
         for batch in batches:
@@ -129,7 +133,7 @@ class Tokens:
 def read_tokens(uri: str) -> Tokens:
     fs, path = located(uri)
     with fs.open_input_file(path + WORDS) as file:
-        words = np.frombuffer(file.read(), np.uint64)
+        words = pq.ParquetFile(file).read()["word"].to_numpy()
     with fs.open_input_file(path) as file:
         table = pq.ParquetFile(file).read()
     word = np.concatenate([c.flatten().to_numpy() for c in table["word"].chunks]).astype(np.int64)
