@@ -418,3 +418,54 @@ def test_pipeline_odd_rows(spark, odd_docs, no_docs, sf_dir):
             out = corpus_pipeline.saved(stage(spark, out, sf_dir), "odd")
         assert out.columns[: len(docs.columns)] == docs.columns
         assert (out.count() > 0) == (n > 0)
+
+
+def test_recall_at_the_threshold_in_a_hot_bucket(spark):
+    """Texts that share half their words all meet in the same buckets; pairs at 0.81 among them, and beside a large class, are found."""
+    rng = np.random.default_rng(31)
+    shared = [f"s{k}" for k in range(50)]
+
+    def changed(words: list[str], times: int) -> list[str]:
+        words, free = list(words), np.arange(55, len(words) - 5, 5)
+        for at in rng.choice(free, times, replace=False):
+            words[at] = f"c{rng.integers(1 << 60)}"
+        return words
+
+    def fresh() -> list[str]:
+        return shared + [f"u{x}" for x in rng.integers(0, 1 << 60, 50)]
+
+    texts = [fresh() for _ in range(1500)]
+    pairs = []
+    for _ in range(300):
+        texts.append(fresh())
+        texts.append(changed(texts[-1], 2))
+        pairs.append((len(texts) - 2, len(texts) - 1))
+    middle = fresh()
+    for _ in range(400):  # a large class, and of some members a partner that few others of the class resemble
+        texts.append(changed(middle, 2))
+    for k in range(len(texts) - 100, len(texts)):
+        texts.append(changed(texts[k], 2))
+        pairs.append((k, len(texts) - 1))
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "uid long, text string")
+    rows = {r["uid"]: (r["root"], r["links"]) for r in chosen_path.near_duplicates(docs).collect()}
+    held = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    links, lost = collections.Counter(), 0
+    owners = collections.defaultdict(set)
+    for k, h in enumerate(held):
+        for s in h:
+            owners[s].add(k)
+    common = collections.Counter()
+    for s, some in owners.items():
+        if len(some) < 1000:  # the shared part adds 46 to every pair
+            common.update((a, b) for a in some for b in some if a < b)
+    for (a, b), n in common.items():
+        if (n + 46) / (len(held[a]) + len(held[b]) - n - 46) >= 0.8:
+            links[a] += 1
+            links[b] += 1
+    for a, b in pairs:
+        assert links[a] and links[b]
+        lost += rows[a][0] != rows[b][0]
+    assert lost <= len(pairs) // 100
+    assert all(rows[k][1] <= links[k] for k in range(len(texts)))
+    found = sum(n for _, n in rows.values())
+    assert found >= 0.99 * sum(links.values())
