@@ -350,8 +350,8 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
 
     Rows of the held-out fold, unlabelled rows, null and over-long texts
     (``MAX_FIT_CHARS``) aren't used for fitting. Several labels of one id: toxic
-    if any is; several rows of one: the smallest text. Only distinct tokens come
-    to the driver, as one Arrow table.
+    if any is; several rows of one: the smallest text. One task fits on this bounded
+    sample; only the machine's weights come to the driver.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").alias("_id")).agg((F.max("toxic") > 0).alias("_toxic"))
@@ -368,9 +368,19 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     split_rows = saved(rows.mapInArrow(split, f"_id {kind}, toxic boolean, words array<string>"), "labelled-tokens")
-    found = split_rows.orderBy("_id").toArrow()
-    lists = pa.concat_arrays([c.cast(pa.list_(pa.string())) for c in found["words"].chunks]) if len(found) else pa.array([], pa.list_(pa.string()))
-    return fit_bags(Bags.of(lists), found["toxic"].to_numpy().astype(bool))
+
+    def fit_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = list(batches)
+        lists = pa.concat_arrays([b["words"].cast(pa.list_(pa.string())) for b in rows]) if rows else pa.array([], pa.list_(pa.string()))
+        toxic = np.array([t for b in rows for t in b["toxic"].to_pylist()], bool)
+        machine = fit_bags(Bags.of(lists), toxic)
+        yield pa.RecordBatch.from_pydict({"weights": [machine.weights.tobytes()], "slope": [machine.slope], "shift": [machine.shift]})
+
+    one = split_rows.repartition(1).sortWithinPartitions("_id").mapInArrow(fit_all, "weights binary, slope double, shift double")
+    fitted = one.first()
+    if fitted is None:  # no row, no task
+        return fit([], [])
+    return Machine(np.frombuffer(fitted["weights"], np.float32), fitted["slope"], fitted["shift"])
 
 
 def scorer(machine: Machine, spark):
