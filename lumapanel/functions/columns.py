@@ -53,3 +53,15 @@ def literal_structs(df: DataFrame, names: Sequence[str], rows: Iterable[Sequence
 
 def spine(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.select(*keys).distinct()
+
+
+def total(values: Column) -> Column:
+    """Sum of an array of doubles from left to right, with what rounding loses added at the end (Neumaier); 0 if empty."""
+
+    def add(state: Column, x: Column) -> Column:
+        s, lost = state["s"], state["lost"]
+        t = s + x
+        return F.struct(t.alias("s"), (lost + F.when(F.abs(s) >= F.abs(x), (s - t) + x).otherwise((x - t) + s)).alias("lost"))
+
+    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("lost"))
+    return F.aggregate(values, zero, add, lambda state: state["s"] + state["lost"])

@@ -8,7 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import over
+from ..functions.columns import over, total
+from ..session import saved
 
 # Limits of the fit and the background that ends a dome.
 K_MAX = 10.0
@@ -18,18 +19,24 @@ STEPS = 200
 NEGLIGIBLE = 1e-4  # of the innermost ring's share, at the second ring
 
 
-def _fit_for(df: DataFrame, keys: list[str], ks: Column, d: str, v: str) -> DataFrame:
-    """Best non-negative (peak, background) for each tried decay rate."""
-    tried = df.withColumn("_k", F.explode(ks)).withColumn("_e", F.exp(-F.col("_k") * F.col(d)))
-    e, y = F.col("_e"), F.col(v)
-    s = tried.groupBy(*keys, "_k").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.sum(e).alias("_se"),
-        F.sum(e * e).alias("_see"),
-        F.sum(y).alias("_sy"),
-        F.sum(y * y).alias("_syy"),
-        F.sum(e * y).alias("_sey"),
-    )
+def _fit_for(df: DataFrame, keys: list[str], ks: Column, rings: str) -> DataFrame:
+    """Best non-negative (peak, background) for each tried decay rate.
+
+    The sums run over the rings in the order of their distance. So rates that fit
+    equally well, as all do where the peak is zero, have equal errors whatever the
+    order of the rows, and the smallest rate is taken.
+    """
+    r, k = F.col(rings), F.explode(ks).alias("_k")
+    tried = df.select(*keys, F.transform(r, lambda x: x["_d"]).alias("_ds"), F.transform(r, lambda x: x["_v"]).alias("_vs"), k)
+    tried = tried.withColumn("_es", F.transform("_ds", lambda d: F.exp(-F.col("_k") * d)))
+
+    def products(a: str, b: str) -> Column:
+        return total(F.zip_with(a, b, lambda x, y: x * y))
+
+    s = tried.select(
+        *keys, "_k", F.size("_es").alias("_n"), total(F.col("_es")).alias("_se"), products("_es", "_es").alias("_see"),
+        total(F.col("_vs")).alias("_sy"), products("_vs", "_vs").alias("_syy"), products("_es", "_vs").alias("_sey"),
+    )
     n, se, see, sy, sey = (F.col(c) for c in ("_n", "_se", "_see", "_sy", "_sey"))
     det = n * see - se * se
     peak = F.when(det > 1e-12 * n * see, (n * sey - se * sy) / det).otherwise(F.lit(0.0))
@@ -59,26 +66,30 @@ def light_domes(profile: DataFrame, key: str | Sequence[str], distance: str, val
     given for every dome.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    rows = profile.filter(F.col(value).isNotNull()).select(*keys, F.col(distance).alias("_d"), F.col(value).alias("_v"))
+    rows = profile.filter(F.col(value).isNotNull() & F.col(distance).isNotNull())
+    rows = rows.select(*keys, F.col(distance).cast("double").alias("_d"), F.col(value).cast("double").alias("_v"))
     base = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.var_pop("_v").alias("_var"), F.max("_d").alias("_far"),
+        F.count(F.lit(1)).alias("_n"), (F.max("_v") > F.min("_v")).alias("_varies"),
         F.slice(F.array_sort(F.collect_set("_d")), 1, 2).alias("_near"),  # a location has few rings
+        F.array_sort(F.collect_list(F.struct("_d", "_v"))).alias("_rings"),
     ).filter(F.col("_n") >= MIN_RINGS)
-    ok = rows.join(base.select(*keys), keys)
+    vs = F.transform("_rings", lambda x: x["_v"])
+    base = base.withColumn("_mean", total(vs) / F.col("_n"))
+    base = saved(base.withColumn("_ss", total(F.transform(vs, lambda v: (v - F.col("_mean")) * (v - F.col("_mean"))))), "rings")
     # Rates from 1e-4 to the limit in equal ratios, and zero.
     ratio = math.log(K_MAX / 1e-4) / (STEPS - 1)
     coarse = F.concat(
         F.array(F.lit(0.0)),
         F.transform(F.sequence(F.lit(0), F.lit(STEPS - 1)), lambda i: F.lit(1e-4) * F.exp(i * ratio)),
     )
-    first = _fit_for(ok, keys, coarse, "_d", "_v").select(*keys, F.col("_fit._k").alias("_k0"))
+    first = _fit_for(base, keys, coarse, "_rings").select(*keys, F.col("_fit._k").alias("_k0"))
     low, high = F.col("_k0") * math.exp(-ratio), F.least(F.col("_k0") * math.exp(ratio), F.lit(K_MAX))
     high = F.when(F.col("_k0") == 0, F.lit(1e-4)).otherwise(high)
     fine = F.transform(F.sequence(F.lit(0), F.lit(STEPS)), lambda i: low + (high - low) * i / STEPS)
-    best = _fit_for(ok.join(first, keys), keys, fine, "_d", "_v")
+    best = _fit_for(base.join(first, keys), keys, fine, "_rings")
     fit = best.join(base, keys).select(
         *keys, F.col("_fit._peak").alias("_peak"), F.col("_fit._k").alias("_k"), F.col("_fit._base").alias("_base"),
-        "_near", F.when(F.col("_var") > 0, 1.0 - F.col("_fit.sse") / (F.col("_n") * F.col("_var"))).otherwise(0.0).alias("_r2"),
+        "_near", F.when(F.col("_varies"), 1.0 - F.col("_fit.sse") / F.col("_ss")).otherwise(0.0).alias("_r2"),
     )
     peak, k, b = F.col("_peak"), F.col("_k"), F.col("_base")
     ends = (peak > threshold) & (k > 0) & (b < threshold)

@@ -1,4 +1,5 @@
 import math
+from itertools import permutations
 
 import numpy as np
 import pytest
@@ -128,6 +129,15 @@ def test_light_dome_recovers_its_parameters(spark):
     assert got["few"].decay_rate is None
 
 
+def test_light_dome_does_not_depend_on_the_order_of_rows(spark):
+    # No dome: a constant fits best, at every rate alike, and its value lies where rounding to two digits turns.
+    rings = [(20.0, 5.0), (40.0, 10.266666666666666), (60.0, 12.575), (80.0, 14.041666666666666), (120.0, 13.041666666666666)]
+    rows = [(i, d, v) for i, order in enumerate(permutations(rings)) for d, v in order]
+    got = light_domes(spark.createDataFrame(rows, "e int, d double, v double").coalesce(1), "e", "d", "v").drop("e").distinct().collect()
+    assert len(got) == 1
+    assert (got[0].decay_rate, got[0].peak_radiance, got[0].background_radiance, got[0].rate_determined) == (0.0, 0.0, 10.985, True)
+
+
 def test_nearest_by_value_with_many_ties(spark):
     rng = np.random.default_rng(4)
     vals = rng.choice([1.0, 1.0, 1.0, 2.0, 2.5, 3.0, 7.0], 60)
