@@ -1,9 +1,11 @@
 """Distance joins between points and locations.
 
 Distances are great-circle distances of cell centres. Points and locations meet
-through latitude/longitude buckets about one radius wide, so each join is an
+through latitude/longitude buckets a quarter of a radius high, so each join is an
 equi-join followed by the exact test. No side is forced into a broadcast: Spark
-picks one where the size allows, and splits skewed buckets otherwise.
+picks one where the size allows. Both sides are dealt to as many tasks as the
+session has shuffle partitions: a join's output is far larger than either side, so
+tasks cut after the size of its input would be too few.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from .ranking import summarise
 
 RING_LIMITS_KM = (1.0, 5.0, 10.0, 20.0, 50.0)
 CIRCLE_SIDES = 64
+BUCKETS_PER_RADIUS = 4
 KM_PER_DEG = math.pi * EARTH_RADIUS_KM / 180.0
 
 
@@ -36,8 +39,8 @@ def within_distance(
 ) -> DataFrame:
     """All (point, location) pairs at most ``radius_km`` apart, with ``distance_km``."""
     reach = radius_km / KM_PER_DEG
-    strips = max(1, int(180.0 // reach))
-    sectors = max(1, int(360.0 // (2.0 * reach)))
+    strips = max(1, int(180.0 // (reach / BUCKETS_PER_RADIUS)))
+    sectors = max(1, int(360.0 // (2.0 * reach / BUCKETS_PER_RADIUS)))
     tall, wide = 180.0 / strips, 360.0 / sectors
 
     def band(y: Column) -> Column:
@@ -61,6 +64,8 @@ def within_distance(
         .withColumn("_s", F.pmod(F.col("_s"), F.lit(sectors)))
     )
     km = haversine_km(F.col(lat), F.col(lon), la, lo)
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    here, there = here.repartition(tasks, "_band", "_sector"), there.repartition(tasks, "_b", "_s")
     joined = here.join(there, (F.col("_band") == F.col("_b")) & (F.col("_sector") == F.col("_s")))
     out = joined.drop("_band", "_sector", "_b", "_s").withColumn("distance_km", km)
     return out.filter(F.col("distance_km") <= radius_km)

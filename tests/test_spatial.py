@@ -148,3 +148,11 @@ def test_inner_cells_belong_to_the_disc_only(spark):
     assert middle in cells[5.0] - both and 60 < len(both) < 140  # about the cells on the inner circle
     area = len(cells[5.0] | cells[10.0]) * (111.19 / 240) ** 2 * math.cos(math.radians(15.5))
     assert math.pi * 100 < area < math.pi * 100 * 1.12
+
+
+def test_pairs_of_few_points_spread_over_all_tasks(spark):
+    points = spark.range(1600).select((F.col("id") % 40 * 0.2 + 15).alias("lat"), (F.floor(F.col("id") / 40) * 0.2 + 72).alias("lon")).coalesce(1)
+    places = spark.range(300).select("id", (F.col("id") % 17 * 0.4 + 15.3).alias("loc_lat"), (F.col("id") % 19 * 0.4 + 72.3).alias("loc_lon")).coalesce(1)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sizes = [r["count"] for r in X.within_distance(points, places, 90.0).groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    assert len(sizes) == tasks and max(sizes) < 2 * sum(sizes) / tasks
