@@ -32,6 +32,7 @@ from .words import mix, slices, window_hashes, words_of
 SHINGLE = 5
 THRESHOLD = 0.8
 TOKENS = 128
+SLICE = 1 << 20  # bytes of text whose shingles are held at once
 RUNS = 10  # a pair at the threshold shares one chosen token per run on average: it is missed with e**-10
 DEPTH = 3
 BUCKET = 256
@@ -65,7 +66,7 @@ def shingle_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Fingerprint and sketch per text; texts without words are left out."""
     for batch in batches:
-        for low, high in slices(batch["text"]):
+        for low, high in slices(batch["text"], SLICE):
             hashes, offsets = shingle_hashes(batch["text"].slice(low, high - low))
             full = np.flatnonzero(np.diff(offsets))
             if not len(full):
@@ -279,7 +280,7 @@ def jaccard_matrix(texts: pa.Array) -> np.ndarray:
     """Exact similarity of all pairs of a block's texts."""
     n = len(texts)
     parts = []
-    for low, high in slices(texts):
+    for low, high in slices(texts, SLICE):
         hashes, offsets = shingle_hashes(texts.slice(low, high - low))
         parts += [np.unique(hashes[offsets[k] : offsets[k + 1]]) for k in range(high - low)]
     sizes = np.array([len(p) for p in parts], np.float64)

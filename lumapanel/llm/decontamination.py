@@ -17,7 +17,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +27,8 @@ NGRAM = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_WORDS = 200_000
 MIN_SCORE = 0.5
-CELLS = 1 << 21
+CELLS = 1 << 19
+SLICE = 1 << 20  # bytes of text whose words are held at once
 _TABLE_BITS = 20
 
 
@@ -92,7 +92,7 @@ def document_counts(docs: DataFrame, block: Items) -> np.ndarray:
         look = shared.value
         total = np.zeros(len(look.keys), np.int64)
         for batch in batches:
-            for low, high in slices(batch["text"]):
+            for low, high in slices(batch["text"], SLICE):
                 w = words_of(batch["text"].slice(low, high - low), plain=True)
                 at, key = look.find(window_hashes(w.hashes, NGRAM))
                 start, text = _inside(w, at, NGRAM)
@@ -135,7 +135,7 @@ class Matcher:
         the word after it.
         """
         found = []
-        for low, high in slices(texts):
+        for low, high in slices(texts, SLICE):
             w = words_of(texts.slice(low, high - low), plain=True)
             at, key = self.look.find(window_hashes(w.hashes, NGRAM))
             start, text = _inside(w, at, NGRAM)
@@ -252,11 +252,11 @@ def contaminated(matcher: Matcher, spark, min_score: float = MIN_SCORE):
     """A column function from a text to whether some item of the block matches it."""
     shared = spark.sparkContext.broadcast(matcher)
 
-    @F.pandas_udf("boolean")
-    def flag(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def flag(texts: pa.Array) -> pa.Array:
         out = np.zeros(len(texts), bool)
-        out[shared.value.matches(pa.array(texts, pa.string(), from_pandas=True), min_score)[0]] = True
-        return pd.Series(out)
+        out[shared.value.matches(texts, min_score)[0]] = True
+        return pa.array(out)
 
     return flag
 

@@ -43,7 +43,7 @@ PATTERNS = [
 ]
 FEATURE_BITS = 20
 FEATURES = 1 << FEATURE_BITS
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 250_000  # some 50 MB of a worker
 
 # Bounds of the fitting sample; everything else covers all rows.
 MAX_TOXIC, MAX_CLEAN, MAX_FIT_CHARS = 1500, 2500, 100_000

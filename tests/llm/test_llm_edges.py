@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import collections
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -469,3 +470,20 @@ def test_recall_at_the_threshold_in_a_hot_bucket(spark):
     assert all(rows[k][1] <= links[k] for k in range(len(texts)))
     found = sum(n for _, n in rows.values())
     assert found >= 0.99 * sum(links.values())
+
+
+def test_decontamination_holds_little_beside_the_texts():
+    rng = np.random.default_rng(3)
+    words = np.array([f"w{k}" for k in range(50_000)])
+    item = " ".join(words[:40])
+    texts = pa.array([" ".join(rng.choice(words, 300)) + (" " + item if k % 100 == 0 else "") for k in range(4000)])
+    hashes = words_of(pa.array([item]), plain=True).hashes
+    matcher = decontamination.Matcher(decontamination.Items([7], [hashes]), np.ones(len(np.unique(window_hashes(hashes, decontamination.NGRAM)))))
+    tracemalloc.start()
+    try:
+        found = matcher.matches(texts)[0]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found.tolist() == list(range(0, 4000, 100))
+    assert peak < 80e6, peak  # of 8 MB of text
