@@ -9,6 +9,7 @@ own symbols.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -17,114 +18,211 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import saved
 from .store import attempt_name, located, new_folder, open_output
-from .words import slices
+from .words import slices, text_bytes
 
 MAGIC = b"REPAIR01"
 # New symbols per pass. With a 50k vocabulary they use up the 16-bit symbols; more rules need 32 bits and make larger files.
 ROUND_RULES = (2500,) * 6
 FILE_TOKENS = 2 << 20
 CACHE_UNITS = 1_000_000
+CACHE_IDS = 8_000_000
 
 
 # --- encoding ----------------------------------------------------------------
 
 
+# Kinds of bytes: letter, digit, punctuation, apostrophe, space, other white space, any other character, what may be white space.
+# The last two begin letters of two bytes (U+00C0 to U+017F without two signs, U+0400 to U+047F) and what may be white space.
+_L, _D, _P, _Q, _S, _W, _V, _U, _LETTER, _WIDE = range(10)
+_KIND = np.full(256, _V, np.uint8)
+_KIND[[*range(65, 91), *range(97, 123)]] = _L
+_KIND[48:58] = _D
+_KIND[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = _P
+_KIND[39] = _Q
+_KIND[32] = _S
+_KIND[9:14] = _W
+_KIND[28:32] = _U
+_KIND[[0xC3, 0xC4, 0xC5, 0xD0, 0xD1]] = _LETTER
+_KIND[[0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = _WIDE
+_KIND_TABLE = _KIND.tobytes()
+_WHITE = np.isin(np.arange(8), [_S, _W, _U])
+# Whether tokens always end between two kinds, at 8 * the first + the second; what follows white space is looked at apart.
+_ENDS = np.zeros((32, 8), np.uint8)
+_ENDS[np.ix_([_L, _D, _P, _Q, _V], [_S, _W])] = 1
+_ENDS[np.ix_([_L, _D], [_P, _Q])] = 1
+_ENDS[[_L, _D, _P, _P, _Q], [_D, _L, _L, _D, _D]] = 1
+_ENDS_TABLE = _ENDS.tobytes()
+
+
+def kinds(data: np.ndarray) -> np.ndarray:
+    """The kind of each byte of UTF-8 text."""
+    kind = np.frombuffer(bytearray(data.tobytes().translate(_KIND_TABLE)), np.uint8)
+    lead = np.flatnonzero(kind >= _LETTER)
+    if not len(lead):
+        return kind
+    letter = kind[lead] == _LETTER
+    lead, wide = lead[letter], lead[~letter]
+    sign = (data[lead] == 0xC3) & ((data[lead + 1] == 0x97) | (data[lead + 1] == 0xB7))
+    kind[lead] = kind[lead + 1] = np.where(sign, _V, _L)
+    if len(wide):
+        a, b, c = data[wide], data[wide + 1], data[np.minimum(wide + 2, len(data) - 1)]
+        two = (a == 0xC2) & (b <= 0xA0)
+        three = ((a == 0xE1) & ((b == 0x9A) | (b == 0xA0))) | ((a == 0xE3) & (b == 0x80) & (c == 0x80)) | ((a == 0xEF) & (b == 0xBB))
+        three |= (a == 0xE2) & (((b == 0x80) & ((c < 0x90) | ((c >= 0xA8) & (c < 0xB0)))) | ((b == 0x81) & ((c == 0x9F) | (c == 0xA0))))
+        kind[wide] = np.where(two | three, _U, _V)
+        kind[wide[two | three] + 1] = _U
+        kind[wide[three] + 2] = _U
+    return kind
+
+
+def unit_starts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where the units of some texts begin: at places where the byte-level pattern ends a token whatever stands around.
+
+    It never joins a letter, digit or sign with one of another kind that follows
+    (an apostrophe and letters apart), nor anything with white space that
+    follows. White space of one character other than a space stands alone;
+    longer white space stays with what follows it, a space too.
+    """
+    if not len(data):
+        return np.empty(0, np.int64)
+    kind = kinds(data)
+    cut = np.zeros(len(data), bool)
+    cut[1:] = np.frombuffer(((kind[:-1] << 3) | kind[1:]).tobytes().translate(_ENDS_TABLE), bool)
+    lone = np.flatnonzero(kind[1:-1] == _W) + 1
+    lone = lone[~_WHITE[kind[lone - 1]] & ~_WHITE[kind[lone + 1]]]
+    cut[lone + 1] = True
+    starts = at[:-1]
+    cut[starts[starts < at[1:]]] = True
+    return np.flatnonzero(cut)
+
+
 class UnitEncoder:
-    """Encodes texts with the tokenizers library, each distinct piece between single spaces once.
+    """Encodes texts with the tokenizers library, each distinct unit once.
 
-    The byte-level pattern never joins characters across a space that stands
-    between two other characters, except that the space goes with what follows;
-    so the ids of a text are those of its first piece and of " " + piece for
-    the others. Other white space stays inside a piece.
+    Units are words, numbers, signs and white space of the byte-level pattern,
+    cut out by ``unit_starts`` and told apart by Arrow, so the ids of a text are
+    those of its units. A unit that is surely one piece of the pattern goes to
+    the library as such a piece, others as texts. With another pattern, model
+    or a normalizer every text is encoded whole.
     """
 
-    _cut = re.compile(r"(?<=\S) (?=\S)")
-    _rare = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+    _piece = re.compile(
+        rb" ?(?:(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4\xc5\xd0\xd1][\x80-\xbf])+|[0-9]+|[!-/:-@\[-`{-~]+)|[\t\n\x0b\x0c]"
+    )
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         # The strings of added tokens are tokens wherever they stand, so texts that hold one are encoded whole.
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.separator = self.tokenizer.token_to_id("\u010d")
+        made = json.loads(self.tokenizer.to_str())
+        cut = made["pre_tokenizer"] or {}
+        known = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut["add_prefix_space"]
+        model = made["model"]
+        plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+        self.whole = not (known and plain) or any(made[k] for k in ("normalizer", "truncation", "padding"))
+        self.pieces = Tokenizer.from_file(path)
+        self.pieces.pre_tokenizer = None
+        # A letter of the vocabulary is a byte of the text.
+        vocabulary = self.tokenizer.get_vocab()
+        self.spans = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        self.spans[list(vocabulary.values())] = [len(token) for token in vocabulary]
+        # Bytes that print are their own letters, the others have the rest of the letters in order.
+        letters = set(ByteLevel.alphabet())
+        rest = iter(sorted(letters - set(map(chr, range(256)))))
+        self.letters = {b: chr(b) if chr(b) in letters else next(rest) for b in range(256)}
         self.clear()
 
     def clear(self) -> None:
-        self.heads: dict[str, int] = {}
-        self.rests: dict[str, int] = {}
+        self.known: dict[bytes, int] = {}
         self.flat, self.filled = np.empty(1 << 20, np.uint32), 0
         self.at, self.units = np.zeros(1 << 17, np.int64), 0
 
-    def _simple(self, text: str) -> bool:
-        """Whether every space stands between two other characters than white space."""
-        near = "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " "
-        return not near and not any(c in text for c in self._rare)
-
-    def _codes(self, known: dict[str, int], pieces: list[str], before: str) -> np.ndarray:
-        """Number of each piece; new ones are encoded after ``before`` and remembered."""
-        codes = np.fromiter(map(known.get, pieces, repeat(-1)), np.int64, len(pieces))
-        unknown = np.flatnonzero(codes < 0).tolist()
-        fresh = list(dict.fromkeys([pieces[k] for k in unknown]))
-        plain = [p for p in fresh if p and "\r" not in p and not p[0].isspace() and not p[-1].isspace()]
+    def _learn(self, fresh: list[bytes]) -> None:
+        """Encode new units and remember them."""
+        plain, odd = [], []
+        for unit in fresh:
+            (plain if self._piece.fullmatch(unit) else odd).append(unit)
         for low in range(0, len(plain), 4096):
-            # A carriage return before a piece or its space is a token of its own, so many pieces go in one call.
             part = plain[low : low + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast(["\r".join([before + p for p in part])], add_special_tokens=False)[0].ids, np.uint32)
-            cuts = np.flatnonzero(ids == self.separator)
-            ends = np.append(cuts - np.arange(len(cuts)), len(ids) - len(cuts))
-            if len(ends) != len(part):
+            # No piece holds a carriage return, so one call spells all of them in the letters of the vocabulary.
+            spelled = b"\r".join(part).decode("latin-1").translate(self.letters).split("\u010d")
+            if len(spelled) != len(part):
                 raise AssertionError("pieces ran together")
-            self._keep(known, part, ids[ids != self.separator], ends)
-        for p in fresh:
-            if p not in known:
-                ids = np.array(self.tokenizer.encode(before + p, add_special_tokens=False).ids, np.uint32)
-                self._keep(known, [p], ids, np.array([len(ids)]))
-        codes[unknown] = [known[pieces[k]] for k in unknown]
-        return codes
-
-    def _keep(self, known: dict[str, int], pieces: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+            ids = np.array(self.pieces.encode_batch_fast([spelled], is_pretokenized=True, add_special_tokens=False)[0].ids, np.uint32)
+            reach = np.cumsum(self.spans[ids])
+            ends = np.cumsum([len(unit) for unit in part])
+            last = np.searchsorted(reach, ends)
+            if reach[-1] != ends[-1] or not np.array_equal(reach[last], ends):
+                raise AssertionError("tokens don't spell the pieces")
+            self._keep(part, ids, last + 1)
+        for unit in odd:
+            ids = np.array(self.tokenizer.encode(unit.decode(), add_special_tokens=False).ids, np.uint32)
+            self._keep([unit], ids, np.array([len(ids)]))
+
+    def _keep(self, units: list[bytes], ids: np.ndarray, ends: np.ndarray) -> None:
         while self.filled + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        while self.units + len(pieces) >= len(self.at):
+        while self.units + len(units) >= len(self.at):
             self.at = np.concatenate([self.at, np.zeros_like(self.at)])
         self.flat[self.filled : self.filled + len(ids)] = ids
-        known.update(zip(pieces, range(self.units, self.units + len(pieces)), strict=True))
-        self.at[self.units + 1 : self.units + 1 + len(pieces)] = ends + self.filled
+        self.known.update(zip(units, range(self.units, self.units + len(units)), strict=True))
+        self.at[self.units + 1 : self.units + 1 + len(units)] = ends + self.filled
         self.filled += len(ids)
-        self.units += len(pieces)
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and how many each text has."""
-        if len(self.heads) + len(self.rests) > CACHE_UNITS:
-            self.clear()
-        if any(a in text for a in self.added for text in texts):
-            found = [self.tokenizer.encode(text, add_special_tokens=False).ids if any(a in text for a in self.added) else None for text in texts]
-            plain, sizes = self.encode([t for t, ids in zip(texts, found, strict=True) if ids is None])
+        self.units += len(units)
+
+    def _apart(self, texts: pa.Array) -> np.ndarray:
+        """Which texts must be encoded whole."""
+        apart = np.full(len(texts), self.whole)
+        for a in self.added:
+            apart |= pc.match_substring(texts, a).to_numpy(zero_copy_only=False)
+        return apart
+
+    def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and how many each text has; a null text has none."""
+        if isinstance(texts, list):
+            texts = pa.array(texts, pa.large_string())
+        texts = texts.fill_null("")
+        apart = self._apart(texts)
+        if apart.any():
+            plain, sizes = self.encode_units(texts.filter(pa.array(~apart)))
             ends = iter(np.split(plain, np.cumsum(sizes))[:-1])
-            every = [next(ends) if ids is None else np.array(ids, np.uint32) for ids in found]
+            every = [
+                np.array(self.tokenizer.encode(text.as_py(), add_special_tokens=False).ids, np.uint32) if whole else next(ends)
+                for text, whole in zip(texts, apart.tolist(), strict=True)
+            ]
             return np.concatenate(every), np.array([len(ids) for ids in every])
-        heads, rests, counts = [], [], []
-        for text in texts:
-            parts = text.split(" ") if self._simple(text) else self._cut.split(text)
-            heads.append(parts[0])
-            rests += parts[1:]
-            counts.append(len(parts))
-        bounds = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-        codes = np.empty(bounds[-1], np.int64)
-        later = np.ones(len(codes), bool)
-        later[bounds[:-1]] = False
-        codes[bounds[:-1]] = self._codes(self.heads, heads, "")
-        codes[later] = self._codes(self.rests, rests, " ")
-        at = self.at
-        lengths = at[codes + 1] - at[codes]
+        return self.encode_units(texts)
+
+    def encode_units(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if self.units > CACHE_UNITS or self.filled > CACHE_IDS:
+            self.clear()
+        data, at = text_bytes(texts)
+        starts = unit_starts(data, at)
+        if not len(starts):
+            return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
+        offsets = pa.py_buffer(np.append(starts, len(data)).astype(np.int32))
+        units = pa.Array.from_buffers(pa.binary(), len(starts), [None, offsets, pa.py_buffer(data)]).dictionary_encode()
+        distinct = units.dictionary.to_numpy(zero_copy_only=False).tolist()
+        codes = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(codes < 0).tolist()
+        if new:
+            fresh = [distinct[k] for k in new]
+            self._learn(fresh)
+            codes[new] = [self.known[u] for u in fresh]
+        codes = codes[units.indices.to_numpy()]
+        first = self.at[codes]
+        lengths = self.at[codes + 1] - first
         ends = np.concatenate([[0], np.cumsum(lengths)])
-        return self.flat[ragged(at[codes], lengths)], np.diff(ends[bounds])
+        return self.flat[ragged(first, lengths)], np.diff(ends[np.searchsorted(starts, at)])
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -151,15 +249,23 @@ def repair(ids: np.ndarray, end_id: int, first_symbol: int, rounds: tuple[int, .
     Occurrences that overlap are taken from the left. No pair holds ``end_id``.
     """
     seq, rules, symbol = ids.astype(np.uint32), [], first_symbol
+    short = first_symbol + sum(rounds) <= 1 << 16
+    kind, half, factor, drop = (np.uint32, 16, 0x9E3779B1, 11) if short else (np.uint64, 32, 0x9E3779B97F4A7C15, 43)
     for most in rounds:
         if len(seq) < 2:
             break
-        pair = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        cell = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(43)).astype(np.int64)
-        free = (seq[:-1] != end_id) & (seq[1:] != end_id)
-        counts = np.bincount(cell[free], minlength=1 << 21)
-        least = max(4, int(np.partition(counts, len(counts) - most)[len(counts) - most]))
-        spots = np.flatnonzero(free & (counts[cell] >= least))
+        pair = (seq[:-1].astype(kind) << kind(half)) | seq[1:].astype(kind)
+        cell = ((pair * kind(factor)) >> kind(drop)).astype(np.int64)
+        ends = np.flatnonzero(seq == end_id)
+        bound = np.unique(np.concatenate([ends[ends < len(pair)], ends[ends > 0] - 1]))
+        counts = np.bincount(cell, minlength=1 << 21)
+        np.subtract.at(counts, cell[bound], 1)
+        # The count that as many cells as there are rules reach.
+        reached = np.cumsum(np.bincount(counts)[::-1])[::-1]
+        least = max(4, int(np.searchsorted(-reached, -most, side="right")) - 1)
+        full = (counts >= least)[cell]
+        full[bound] = False
+        spots = np.flatnonzero(full)
         if not len(spots):
             break
         found, which, n = np.unique(pair[spots], return_inverse=True, return_counts=True)
@@ -181,7 +287,7 @@ def repair(ids: np.ndarray, end_id: int, first_symbol: int, rounds: tuple[int, .
         keep[spots + 1] = False
         seq = seq[keep]
         chosen = found[order]
-        rules.append(np.stack([(chosen >> np.uint64(32)).astype(np.uint32), chosen.astype(np.uint32)], axis=1))
+        rules.append(np.stack([chosen >> kind(half), chosen & kind((1 << half) - 1)], axis=1).astype(np.uint32))
         symbol += len(order)
     return seq, np.concatenate(rules) if rules else np.empty((0, 2), np.uint32)
 
@@ -308,16 +414,23 @@ def write_token_files(
             )
 
         for batch in batches:
-            for low, high in slices(batch["text"], 1 << 20):
+            for low, high in slices(batch["text"], 4 << 20):
                 piece = batch.slice(low, high - low)
-                ids, n = enc.encode([t or "" for t in piece["text"].to_pylist()])
+                ids, n = enc.encode(piece["text"])
                 out = np.full(len(ids) + len(n), end_id, np.uint32)
                 out[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = ids
-                held.append((out, n + 1, piece["doc_id"].to_pylist()))
-                size += len(out)
-                if size >= file_tokens:
-                    yield flush()
-                    held, size, number = [], 0, number + 1
+                n, names = n + 1, piece["doc_id"].to_pylist()
+                ends = np.cumsum(n)
+                first = begin = 0
+                while first < len(n):
+                    # The document that fills the file is its last.
+                    last = min(int(np.searchsorted(ends, begin + file_tokens - size)) + 1, len(n))
+                    held.append((out[begin : ends[last - 1]], n[first:last], names[first:last]))
+                    size += int(ends[last - 1]) - begin
+                    first, begin = last, int(ends[last - 1])
+                    if size >= file_tokens:
+                        yield flush()
+                        held, size, number = [], 0, number + 1
         if held:
             yield flush()
 

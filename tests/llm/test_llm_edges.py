@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import collections
+import itertools
 import tracemalloc
 
 import numpy as np
@@ -238,6 +239,20 @@ def test_token_files_odd_rows(odd_docs, no_docs):
         assert enc.encode([t, t])[0].tolist() == plain.encode(t, add_special_tokens=False).ids * 2
 
 
+def test_token_files_end_with_the_document_that_fills_them(spark):
+    import public_tokenizers
+
+    texts = [" ".join(["word"] * (k * 37 % 90)) for k in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    files = token_files.write_token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), 2, 50257, file_tokens=1000)
+    rows = files.orderBy("part", "file").collect()
+    assert sum(r["docs"] for r in rows) == 400 and all(r["ids"] < 1000 + 90 for r in rows)
+    last = {r["part"]: r["file"] for r in rows}
+    assert all(r["ids"] >= 1000 for r in rows if r["file"] < last[r["part"]])
+    out = token_files.read_token_files(files).orderBy("start").collect()
+    assert [(r["doc_id"], r["n_tokens"]) for r in out] == [(k, k * 37 % 90 + 1) for k in range(400)]
+
+
 def test_repair_round_trip(tmp_path):
     rng = np.random.default_rng(9)
     ids = np.concatenate([np.append(rng.choice([3, 4, 5, 5, 5], n), 2) for n in (1, 0, 500, 3000)]).astype(np.uint32)
@@ -366,6 +381,48 @@ def test_texts_with_added_tokens():
         assert ids.tolist() == [i for w in want for i in w] and n.tolist() == [len(w) for w in want]
 
 
+def test_each_word_and_sign_is_encoded_once():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok, enc = Tokenizer.from_file(path), token_files.UnitEncoder(path)
+    words = ["tion" * (k % 7) + chr(97 + k % 26) + ("é" if k % 3 else "") for k in range(60)]
+    texts = [f"{a}.\n{b}, {a}{sign}{b} {a}" for a in words for b in words for sign in ".;"]
+    ids, n = enc.encode(texts)
+    want = [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+    assert ids.tolist() == [i for w in want for i in w] and n.tolist() == [len(w) for w in want]
+    assert enc.units <= 2 * len(words) + 4  # glued to their neighbours, the words make thousands of pieces
+
+
+def test_units_end_where_tokens_end():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok, enc = Tokenizer.from_file(path), token_files.UnitEncoder(path)
+    parts = [*"abstdlmrveSx059.,;:!?'\"_-(  \n\t\r\x0b\x0c\x1c\x1f\x00\x7féÈ×÷ÿſжѿ漢。½²٣🙂αªº«́", *map(chr, [0x85, 0xA0, 0x1680, 0x180E, 0x2003, 0x200B])]
+    parts += [*map(chr, [0x2019, 0x2028, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF]), " the", "'s", "'re", " a", "\r\n"]
+    rng = np.random.default_rng(11)
+    for _ in range(40):
+        texts = ["".join(parts[k] for k in rng.integers(0, len(parts), n)) for n in rng.integers(0, 12, 200)]
+        ids, n = enc.encode(texts)
+        got = [w.tolist() for w in np.split(ids, np.cumsum(n))[:-1]]
+        assert got == [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("first", [40, 60000])
+def test_repair_takes_the_most_frequent_pairs(first):
+    rng = np.random.default_rng(12)
+    ids = np.append(rng.choice(40, 20000, p=np.arange(40) / 780), 2).astype(np.uint32)
+    seq, rules = token_files.repair(ids, 2, first, (30, 2500))
+    lengths = token_files.rule_lengths(rules, first)
+    flat, at = token_files.expansions(rules, lengths, first)
+    assert [i for s in seq.tolist() for i in (flat[at[s - first] : at[s - first] + lengths[s - first]].tolist() if s >= first else [s])] == ids.tolist()
+    n = collections.Counter((a, b) for a, b in itertools.pairwise(ids.tolist()) if 2 not in (a, b))
+    assert sorted(n[tuple(r)] for r in rules[:30].tolist()) == sorted(sorted(n.values())[-30:])
+
+
 def test_toxicity_odd_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 1), (3, 0), (3, 1), (None, 1), (6, 0)], "doc_id long, toxic int")
     for docs, n in ((odd_docs, 10), (no_docs, 0)):
